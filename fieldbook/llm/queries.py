@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from fieldbook.llm import decontaminate, line_dedup, mixing, near_dedup
+from fieldbook.llm import decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, pii, quality, substring_dedup
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_pii": pii.op3_pii,
+    "op4_image_copies": media.op4_image_copies,
     "op5_mixing": mixing.op5_mixing,
+    "op6_license_scan": licenses.op6_license_scan,
+    "op7_language_id": language_id.op7_language_id,
+    "op8_quality": quality.op8_quality,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
@@ -14,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_benchmark_decontamination": decontaminate.OP1_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op6_license_scan": licenses.OP6_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
 }
