@@ -15,7 +15,7 @@ last in the order. Columns of the input named n_lines, n_removed or removed are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.llm.scratch import written
@@ -36,10 +36,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _windows(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """One row for each window: its document's key, the position of its first line, and its hashes."""
-    lines = _keyed(docs.select(id_col, text_col), id_col, text_col).select("_fb_id", "_fb_th", F.split(F.col(text_col), "\n").alias("l"))
-    many = lines.where(F.size("l") >= n)
-    parts = many.select("_fb_id", "_fb_th", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("l") - (n - 1)), lambda i: F.slice("l", i, n))).alias("pos", "win"))
-    return parts.where(F.array_join("win", "").rlike(r"\S")).select("_fb_id", "_fb_th", "pos", F.xxhash64("win").alias("h1"), F.xxhash64(F.lit(7), "win").alias("h2"))
+    lines = F.split(F.col(text_col), "\n")
+    count = F.greatest(F.size(lines) - (n - 1), F.lit(0))
+    runs = F.arrays_zip(*[F.slice(lines, k + 1, count).alias(f"l{k}") for k in range(n)])
+    parts = _keyed(docs.select(id_col, text_col), id_col, text_col).select("_fb_id", "_fb_th", F.posexplode(runs).alias("pos", "win"))
+    text = F.concat(*[F.col(f"win.l{k}") for k in range(n)])
+    return parts.where(text.rlike(r"\S")).select("_fb_id", "_fb_th", "pos", F.xxhash64("win").alias("h1"), F.xxhash64(F.lit(7), "win").alias("h2"))
 
 
 def covered_lines(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,23 +58,18 @@ def dedup_lines(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: s
     """docs with the text left, n_lines (before), n_removed and removed (0-based line positions)."""
     covered = covered_lines(docs, n, id_col, text_col)
     base = docs.select([c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")])
-    # both sides are exchanged as they are: a written table keeps the join free to split hot keys
-    out = _keyed(base, id_col, text_col).join(written(covered), ["_fb_id", "_fb_th"], "left")
-    lines = F.split(F.col(text_col), "\n")
-    return out.withColumns(
-        {
-            "n_lines": _count(lines, text_col),
-            "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long"),
-            "removed": F.coalesce(F.col("removed"), F.array().cast("array<int>")),
-            text_col: F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(
-                F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
-            ),
-        }
-    ).select([*base.columns, "n_lines", "n_removed", "removed"])
-
-
-def _count(lines: Column, text_col: str) -> Column:
-    return F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    # how many documents lose lines grows with the corpus: a merge join at every size
+    lines = _keyed(base, id_col, text_col).withColumn("_fb_lines", F.split(text_col, "\n")).drop(text_col)
+    out = lines.join(written(covered).hint("merge"), ["_fb_id", "_fb_th"], "left")
+    size = F.coalesce(F.size("_fb_lines"), F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_fb_lines") - 1), "removed")
+    left = F.when(F.col("removed").isNull(), F.col("_fb_lines")).otherwise(F.transform(kept, lambda i: F.element_at("_fb_lines", i + 1)))
+    return out.select(
+        *[(F.array_join(left, "\n").alias(c) if c == text_col else F.col(f"`{c}`")) for c in base.columns],
+        F.when(F.col("_fb_lines").isNull(), 0).otherwise(size).cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.col("removed"), F.array().cast("array<int>")).alias("removed"),
+    )
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
