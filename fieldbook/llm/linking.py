@@ -5,18 +5,16 @@ buckets a vertex lies in, a confirming function keeps the pairs that really belo
 what is wanted are the components of the confirmed pairs.
 
 Each bucket first pairs its members with its smallest vertex only. Buckets whose members still lie in
-several components after that are open: for some rounds they get another pivot, from the component
-with the largest name. What then is still open is compared across components, never inside one, and
-each pair in one of its common buckets only; sketches decide inside the join which pairs go on to be
-confirmed. So every pair in a bucket is confirmed, refused, or already inside one component.
+several components after that are open: their members are compared across components, never inside
+one, and each pair in the smallest of its common buckets only; sketches decide inside the join which
+pairs go on to be confirmed. So every pair in a bucket is confirmed, refused, or already inside one component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldbook.llm.scratch import written
@@ -26,7 +24,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(v, c): for each vertex of the edges (a, b), the smallest vertex of its component.
 
     Every round a vertex takes the smallest name among its neighbours and its name's name. Labels are
-    a written table each round; the driver only gets whether any changed.
+    a written table each round; the driver only gets how many changed.
     """
     pairs = edges.select("a", "b").where("a <> b")
     sym = written(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -35,15 +33,16 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         near = sym.join(labels.select(F.col("v").alias("b"), "c"), "b").select(F.col("a").alias("v"), F.col("c").alias("n"))
         jump = labels.join(labels.select(F.col("v").alias("c"), F.col("c").alias("n")), "c").select("v", "n")
         step = labels.select("v", F.col("c").alias("n"), F.col("c").alias("old")).unionByName(near.union(jump), allowMissingColumns=True)
-        new = written(step.groupBy("v").agg(F.min("n").alias("c"), F.max("old").alias("old")))
-        labels = new.select("v", "c")
-        if not new.where("c <> old").limit(1).count():
+        seen = Observation()
+        step = step.groupBy("v").agg(F.min("n").alias("c"), F.max("old").alias("old"))
+        labels = written(step.observe(seen, F.count_if(F.col("c") != F.col("old")).alias("changed"))).select("v", "c")
+        if not seen.get["changed"]:
             return labels
     raise RuntimeError("components did not settle")
 
 
 def link_in_buckets(
-    vertices: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]], alike: str = "true", close: str = "true", rounds: int = 2
+    vertices: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]], alike: str = "true", close: str = "true"
 ) -> tuple[DataFrame, DataFrame]:
     """Confirmed edges (a, b), and their components (v, c).
 
@@ -52,36 +51,22 @@ def link_in_buckets(
     hold. alike is an SQL condition on s and sb, and close one on the sketches f and fb, that any
     pair worth confirming meets.
     """
-    pick = [F.min("v").alias("b"), F.min_by("tv", "v").alias("tb"), F.min_by("s", "v").alias("sb")]
     pair = [F.col("v").alias("a"), F.col("tv").alias("ta"), "b", "tb"]
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    pivots = vertices.groupBy("bucket").agg(F.count("*").alias("times"), *pick).where("times > 1").drop("times")
+    first = [F.min("v").alias("b"), F.min_by("tv", "v").alias("tb"), F.min_by("s", "v").alias("sb")]
+    pivots = vertices.groupBy("bucket").agg(F.count("*").alias("times"), *first).where("times > 1").drop("times")
     members = written(vertices.join(written(pivots), "bucket"))
     pairs = written(members.where("v <> b").where(alike).select(pair).distinct())
     sketches, confirm = prepare(members.select("v", "tv").distinct())
-    links, tested = [written(confirm(pairs))], pairs.select(ordered)
-    labels = components(links[0])
-    members = members.select("bucket", "v", "tv", "s")
-    for turn in range(rounds + 1):
-        named = members.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        spread = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-        # only open buckets go on
-        members = written(named.join(written(spread), "bucket"))
-        if turn < rounds:
-            top = members.where("c = high").groupBy("bucket").agg(*pick)
-            more = members.where("c <> high").join(written(top), "bucket")
-        else:
-            own = written(members.groupBy("v").agg(F.array_sort(F.collect_set("bucket")).alias("own")))
-            full = written(members.join(own, "v").join(sketches, ["v", "tv"]))
-            other = full.select("bucket", *[F.col(x).alias(y) for x, y in (("v", "b"), ("tv", "tb"), ("s", "sb"), ("c", "cb"), ("f", "fb"), ("own", "ownb"))])
-            more = full.join(other, "bucket").where(f"v < b and c <> cb and {alike} and {close} and array_min(array_intersect(own, ownb)) = bucket")
-        members = members.select("bucket", "v", "tv", "s")
-        more = more.where(alike).select(pair).distinct()
-        seen = tested.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        more = written(more.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"))
-        if not more.limit(1).count():
-            continue
-        links.append(written(confirm(more)))
-        tested = tested.union(more.select(ordered))
-        labels = components(reduce(DataFrame.union, links))
-    return reduce(DataFrame.union, links), labels
+    links = written(confirm(pairs))
+    labels = components(links)
+
+    # open buckets: their members have several names
+    named = members.select("bucket", "v", "tv", "s").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    spread = written(named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket"))
+    still = written(named.join(spread, "bucket"))
+    own = still.groupBy("v").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
+    full = written(still.join(own, "v").join(sketches, ["v", "tv"]))
+    other = full.select("bucket", *[F.col(x).alias(y) for x, y in (("v", "b"), ("tv", "tb"), ("s", "sb"), ("c", "cb"), ("f", "fb"), ("own", "ownb"))])
+    more = full.join(other, "bucket").where(f"v < b and c <> cb and {alike} and {close} and array_min(array_intersect(own, ownb)) = bucket")
+    links = links.union(written(confirm(more.select(pair))))
+    return links, components(links)

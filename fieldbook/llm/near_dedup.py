@@ -8,12 +8,10 @@ one shingle of all of them; one without words has none and is linked with nothin
    permutations fill 32 bands of 5 values. A pair of similarity 0.8 shares no band with probability
    3e-6, one of 0.85 with 1e-8.
 2. Equal sets are one vertex; only its smallest document goes on.
-3. In each band bucket every vertex is paired with the bucket's smallest vertex, not with all
-   others. Pairs are confirmed on full sets, rebuilt from the texts.
-4. Components are taken over confirmed pairs. Buckets whose vertices still lie in several
-   components are open; they get ``rounds`` more rounds with another pivot from a component that is not the
-   last pivot's. What is then still open is compared vertex by vertex across components
-   (never inside one), so no link is lost.
+3. Vertices that share a band bucket are linked without emitting all pairs of a bucket (see linking):
+   by pivots first, then across what still are different components.
+4. A pair is confirmed on full sets, rebuilt from the texts. Before that, 512 more min-max values,
+   two bits of each, rule out pairs far below the threshold (a pair at it passes but for 3e-6).
 
 Defined cases: rows that share an id are one vertex of the graph, whatever their texts; rows with a
 null id are compared with nothing, keep their size, and have a null component and kept = true.
@@ -27,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldbook.llm.linking import components, link_in_buckets
 from fieldbook.llm.scratch import written
 from fieldbook.llm.textarrays import SOLID, mix, pieces, shingle_hashes, split_words
 
 SHINGLE, BANDS, ROWS = 5, 32, 5
+SKETCH = 512
 _SIG = "doc_id long, th long, n_shingles long, f1 long, f2 long, bands array<long>"
 
 
@@ -119,34 +119,41 @@ def _confirm_batches(n: int, percent: int):
     return run
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(v, c): for each vertex of the edges (a, b), the smallest vertex of its component.
+def _sketch_batches(n: int):
+    """Adds f: 2 bits of each of 512 min-max values of a text's set, for an estimate of similarity."""
+
+    def run(batches):
+        times, plus = _constants(SKETCH // 2, seed=21)
+        for batch in batches:
+            for row, raw, offsets in pieces(batch.column(2)):
+                values, bounds = distinct_sets(raw, offsets, n)
+                bits = np.empty((len(offsets) - 1, SKETCH, 2), np.uint8)
+                with np.errstate(over="ignore"):
+                    for k in range(SKETCH // 2):
+                        y = (values * times[k]) ^ plus[k]
+                        for half, pick in enumerate((np.minimum, np.maximum)):
+                            v = mix(pick.reduceat(y, bounds[:-1]))
+                            bits[:, 2 * k + half, 0], bits[:, 2 * k + half, 1] = v & np.uint64(1), (v >> np.uint64(1)) & np.uint64(1)
+                words = np.packbits(bits.reshape(len(bits), -1), axis=1).view(np.int64)
+                part = batch.slice(row, len(offsets) - 1)
+                at = np.arange(len(bits) + 1, dtype=np.int32) * words.shape[1]
+                f = pa.ListArray.from_arrays(pa.array(at), pa.array(words.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, f], names=["v", "tv", "text", "f"])
+
+    return run
 
-    Smallest-neighbour steps with pointer jumping; each round's labels are a written table, and the driver gets
-    only the count of changed labels.
-    """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("c")))
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        jump = labels.select(F.col("v").alias("c"), F.col("c").alias("j"))
-        step = labels.join(jump, "c", "left").join(written(near), "v", "left")
-        new = written(step.select("v", F.least("c", F.coalesce("j", "c"), F.coalesce("m", "c")).alias("n"), "c"))
-        changed = new.where("n <> c").limit(1).count()
-        labels = new.select("v", F.col("n").alias("c"))
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
 
+def sketch_bound(percent: int) -> int:
+    """Sketches of a pair at the threshold differ in more bits than this with probability 3e-6."""
+    q = 1 - percent / 100
+    return int(SKETCH * q + 4.5 * (SKETCH * q * (1 - q) + SKETCH * q / 2) ** 0.5) + 1
 
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, text of a, text of b) for pairs (a, ta, b, tb)."""
-    texts = docs.select(F.col("doc_id").alias("k"), "th", "text")
-    left = pairs.join(texts.select(F.col("k").alias("a"), F.col("th").alias("ta"), F.col("text").alias("x")), ["a", "ta"])
-    return left.join(texts.select(F.col("k").alias("b"), F.col("th").alias("tb"), F.col("text").alias("y")), ["b", "tb"]).select("a", "b", "x", "y")
 
+def _differ(f: str, g: str) -> str:
+    return " + ".join(f"bit_count({f}[{k}] ^ {g}[{k}])" for k in range(SKETCH // 32))
 
-def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     sig = written(texts.mapInArrow(_signature_batches(n, bands, rows), _SIG))
@@ -158,46 +165,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, id_col
     tied = live.join(same, key, "left")
     first = tied.where("a is null or (a = doc_id and ta = th)")
     vertices = first.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("v"), F.col("th").alias("tv"), F.col("n_shingles").alias("s"))
-    pivots = vertices.groupBy("bucket").agg(F.count("*").alias("times"), F.min("v").alias("b"), F.min_by("tv", "v").alias("tb"), F.min_by("s", "v").alias("sb")).where("times > 1")
-    members = written(vertices.join(written(pivots), "bucket"))
+    bound = sketch_bound(percent)
+
+    def prepare(needed: DataFrame):
+        # the one exchange of all texts; a merge join at every size
+        mine = texts.where("text is not null").select(F.col("doc_id").alias("v"), F.col("th").alias("tv"), "text")
+        known = mine.join(written(needed).hint("merge"), ["v", "tv"], "left_semi")
+        known = written(known.mapInArrow(_sketch_batches(n), "v long, tv long, text string, f array<long>"))
+
+        def confirm(pairs: DataFrame) -> DataFrame:
+            x = known.select(F.col("v").alias("a"), F.col("tv").alias("ta"), F.col("text").alias("x"), F.col("f").alias("fx"))
+            y = known.select(F.col("v").alias("b"), F.col("tv").alias("tb"), F.col("text").alias("y"), F.col("f").alias("fy"))
+            both = pairs.join(x, ["a", "ta"]).join(y, ["b", "tb"]).where(f"{_differ('fx', 'fy')} <= {bound}")
+            return both.select("a", "b", "x", "y").mapInArrow(_confirm_batches(n, percent), "a long, b long")
+
+        return known.select("v", "tv", "f"), confirm
+
     alike = f"100 * least(s, sb) >= {percent} * greatest(s, sb)"
-    pairs = written(members.where("v <> b").where(alike).select(F.col("v").alias("a"), F.col("tv").alias("ta"), "b", "tb").distinct())
-
-    # documents that share a set, or an id with different sets
-    equal = tied.where("a is not null and a <> doc_id").select(F.col("doc_id").alias("a"), F.col("a").alias("b"))
-    confirm = lambda p: written(_with_texts(p, texts).mapInArrow(_confirm_batches(n, percent), "a long, b long"))
-    links = [confirm(pairs)]
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    labels = components(links[0])
-    for turn in range(rounds + 1):
-        named = members.select("bucket", "v", "tv", "s").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        named = written(named)
-        spread = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-        if turn < rounds:
-            # the next pivot: the smallest vertex of the component with the largest name
-            top = named.join(written(spread), "bucket").where("c = high").groupBy("bucket").agg(F.min("v").alias("b"), F.min_by("tv", "v").alias("tb"), F.min_by("s", "v").alias("sb"), F.first("high").alias("high"))
-            more = named.join(written(top), "bucket").where("c <> high").where(alike).select(F.col("v").alias("a"), F.col("tv").alias("ta"), "b", "tb")
-        else:
-            open_ = written(named.join(written(spread).select("bucket"), "bucket"))
-            other = open_.select("bucket", F.col("v").alias("b"), F.col("tv").alias("tb"), F.col("s").alias("sb"), F.col("c").alias("cb"))
-            more = open_.join(other, "bucket").where("v < b and c <> cb").where(alike).select(F.col("v").alias("a"), F.col("tv").alias("ta"), "b", "tb")
-        more = written(more.distinct().join(tested, (F.least(more.a, more.b) == tested.a) & (F.greatest(more.a, more.b) == tested.b), "left_anti"))
-        if not more.limit(1).count():
-            continue
-        links.append(confirm(more))
-        tested = tested.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        everything = links[0]
-        for link in links[1:]:
-            everything = everything.union(link)
-        labels = components(everything)
-
-    # exact copies last: they join their vertex; ids with several sets tie components together
+    edges, labels = link_in_buckets(vertices, prepare, alike, f"{_differ('f', 'fb')} <= {bound}")
+
+    # ids with several sets tie components together
     tie = written(tied.groupBy("doc_id").agg(F.min(F.coalesce("a", "doc_id")).alias("low"), F.max(F.coalesce("a", "doc_id")).alias("high")).where("low <> high"))
     if tie.limit(1).count():
-        everything = equal
-        for link in links:
-            everything = everything.union(link)
-        labels = components(everything)
+        equal = tied.where("a is not null and a <> doc_id").select(F.col("doc_id").alias("a"), F.col("a").alias("b"))
+        labels = components(edges.union(equal))
     out = sig.join(same, key, "left").withColumn("vertex", F.coalesce("a", "doc_id")).drop("a", "ta")
     out = out.join(labels.withColumnRenamed("v", "vertex"), "vertex", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("c", "vertex")).otherwise(F.col("doc_id"))
@@ -209,7 +200,8 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, i
     """docs without those that are not the smallest id of their group, with their own columns."""
     found = near_duplicates(docs, percent, n, id_col, text_col)
     gone = written(found.where("not kept").select(F.col("doc_id").alias("_fb_gone")).distinct())
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_fb_gone"), "left_anti")
+    # how many go grows with the corpus: a merge join at every size
+    return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("_fb_gone"), "left_anti")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
