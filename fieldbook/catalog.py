@@ -1,7 +1,7 @@
 """The registered queries of the notebook engine and their DuckDB SQL."""
 
-from __future__ import annotations
+from fieldbook.plans.queries import ORACLE_SQL, QUERIES
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "gate_summary"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
