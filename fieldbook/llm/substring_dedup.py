@@ -1,12 +1,17 @@
 """Substring dedup by sliding spans of sentences.
 
-A sentence ends at a newline, or after ``.``, ``!`` or ``?`` before white space or the text's end; one of
-more than 50 words is broken every 25 words, so that long unpunctuated passages have sentences too.
-Its words are lower-cased runs of letters, digits and bytes beyond ASCII; a sentence without words
-belongs to no span. From every sentence starts one span: the shortest run of at least 2 consecutive
-sentences with at least 10 words. Spans are hashed to 128 bits and joined globally; sentences that
-any repeated span covers, other than in its first document (smallest id), are removed; so are those
-of a span's later occurrences inside one document.
+A sentence ends at a newline, or after ``.``, ``!`` or ``?`` before white space or the text's end. Its
+words are lower-cased runs of letters, digits and bytes beyond ASCII; a sentence without words
+belongs to no span. A sentence of more than 10 words is broken before each word that has the smallest
+hash of some 10 consecutive words, so breaks depend on the words nearby and not on where the sentence
+began. From every sentence starts one span: the shortest run of at least 2 consecutive sentences with
+at least 20 words. Two documents that share 50 consecutive words, in whatever surroundings but with the
+same sentence ends, therefore share a span: a common break lies in the first 10 words, the next one 20
+words on within 10 more, and no break of either document alone before the last 9.
+
+Spans are hashed to 128 bits and joined globally; sentences that any repeated span covers, other than
+in its first document (smallest id), are removed; so are those of a span's later occurrences inside
+one document.
 
 The repeated spans are written out before they are joined back: a span that stands in a third of all
 documents is pre-aggregated on the map side and its join partition can be split.
@@ -27,13 +32,24 @@ from pyspark.sql import types as T
 from fieldbook.llm.scratch import written
 from fieldbook.llm.textarrays import ALNUM, SOLID, byte_class, mix, pieces, powers, split_words
 
-RUN, MIN_WORDS = 2, 10
-LONG, PART = 50, 25
+RUN, MIN_WORDS = 2, 20
+LONG = 10
 _LAST = (1 << 63) - 1
 _STOP = byte_class(lambda b: b in b".!?")
 _SPAN = "doc long, th long, first long, last long, again boolean, h1 long, h2 long"
 
 
+def lowest(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Where the first smallest entry of some n consecutive entries of one row lies, ascending."""
+    if len(h) < n:
+        return np.zeros(0, np.int64)
+    inside = np.flatnonzero(row[: len(h) - n + 1] == row[n - 1 :])
+    at = np.lib.stride_tricks.sliding_window_view(h, n).argmin(axis=1)[inside] + inside
+    found = np.zeros(len(h), bool)
+    found[at] = True
+    return np.flatnonzero(found)
+
+
 class Sentences:
     """The sentences with words of a piece: word bounds, byte bounds and rows."""
 
@@ -51,9 +67,12 @@ class Sentences:
         # word index where each sentence begins; sentences without words vanish
         first = np.searchsorted(w.start, edges[:-1])[counts > 0]
         counts = counts[counts > 0]
-        parts = np.where(counts > LONG, -(-counts // PART), 1)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        self.first = np.repeat(first, parts) + nth * PART
+        starts = np.zeros(len(w.start), bool)
+        starts[first] = True
+        self.hashes = w.hashes()
+        breaks = lowest(self.hashes, w.row, LONG)
+        starts[breaks[np.repeat(counts > LONG, counts)[breaks]]] = True
+        self.first = np.flatnonzero(starts)
         self.end = np.append(self.first[1:], len(w.start))
         self.row = w.row[self.first] if len(self.first) else np.zeros(0, np.int64)
         rows = len(offsets) - 1
@@ -76,7 +95,7 @@ class Sentences:
         at, last = at[ok], last[ok]
         ok = self.row[at] == self.row[last]
         at, last = at[ok], last[ok]
-        h = self.words.hashes()
+        h = self.hashes
         up, down = powers(len(h) + 1)
         out = []
         for salt in (0x8E95C4A1B7D3F265, 0x3C6EF372FE94F82B):
