@@ -6,7 +6,10 @@ becomes the set of its adjacent word pairs; so do the templates. Dice = 2 * comm
 
 Size bounds prune first: a Dice of t needs sizes within [t / (2 - t), (2 - t) / t] of each other, so
 units outside every template's bounds are dropped before their bigrams are made, and a unit meets
-only the templates whose bounds hold its size. The rest is an equi-join on bigrams and a count.
+only the templates whose bounds hold its size. Before that, units without any cue word are passed
+over: a match shares at least t / (2 - t) of a template's bigrams, so once so many of them hold a cue that
+fewer are left, every matching unit contains one of the cues. The rest is an equi-join on bigrams and
+a count.
 
 Defined cases: null and empty texts have no units; a unit of one word has no bigram and matches
 nothing; rows that repeat id and text give one result; equal scores go to the first licence
@@ -15,12 +18,17 @@ in code-point order. Only the id and the text of the input are read, so other co
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 #: templates are broadcast only up to this many bigrams
 BROADCAST_BIGRAMS = 1_000_000
+#: cues are drawn from templates of up to this many bigrams in all; beyond, units are pruned by size alone
+CUE_BIGRAMS = 20_000
 
 #: Notices by which texts declare a licence, written for this scan.
 TEMPLATES = [
@@ -69,6 +77,25 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPL
     return base.select("template", "license", F.explode("g").alias("gram"), F.size("g").alias("size"))
 
 
+def cue_words(grams: dict[int, list[str]], threshold: float) -> list[str]:
+    """Words of which every unit that matches a template holds at least one; long words first, as they are rare."""
+    cues = set()
+    for mine in grams.values():
+        need = len(mine) * threshold / (2 - threshold) - 1e-9
+        words = sorted({w for g in mine for w in g.split(" ")}, key=lambda w: (-len(w), w))
+        left = [g.split(" ") for g in mine]
+        while len(left) >= need:
+            word = words.pop(0)
+            cues.add(word)
+            left = [g for g in left if word not in g]
+    return sorted(cues)
+
+
+def has_cue(text: Column, cues: list[str]) -> Column:
+    """Whether a lower-cased text contains any cue; true without cues."""
+    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(c)) for c in cues]) if cues else F.lit(True)
+
+
 def scan_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, license, dice): the best licence of every unit that reaches the threshold.
 
@@ -76,17 +103,24 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THRE
     """
     stats = templates.select("template", "size").distinct().agg(F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("all")).first()
     low, high = (stats.low or 1) * threshold / (2 - threshold), (stats.high or 0) * (2 - threshold) / threshold
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t")).where("t is not null")
+    grams: dict[int, list[str]] = defaultdict(list)
+    if 0 < (stats["all"] or 0) <= CUE_BIGRAMS:
+        for row in templates.select("template", "gram").distinct().collect():
+            grams[row.template].append(row.gram)
+    cues = cue_words(grams, threshold)
+    low_text = _once(F.lower(text_col)).alias("low")
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), low_text).where(F.col("t").isNotNull() & has_cue(F.col("low"), cues))
+    base = read.select("doc_id", F.xxhash64("t").alias("th"), "t")
     # unit 0 is the whole text if it has several lines, unit k its line k - 1
     texts = F.concat(F.array(F.when(F.contains("t", F.lit("\n")), F.col("t"))), F.split("t", "\n"))
     # w words need at least 2w - 1 characters
-    words = F.transform(texts, lambda u: F.when(F.length(u) >= 2 * low + 1, normal_words(u)))
+    words = F.transform(texts, lambda u: F.when((F.length(u) >= 2 * low + 1) & has_cue(F.lower(u), cues), normal_words(u)))
     units = base.select("doc_id", "th", F.posexplode(words).alias("unit", "w")).where(F.size("w") > low)
     sets = units.select("doc_id", "th", (F.col("unit") - 1).alias("line"), _once(bigrams(F.col("w"))).alias("g")).where(F.size("g").between(low, high))
-    grams = sets.select("doc_id", "th", "line", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    pairs = sets.select("doc_id", "th", "line", F.size("g").alias("n"), F.explode("g").alias("gram"))
     if (stats["all"] or 0) <= BROADCAST_BIGRAMS:
         templates = F.broadcast(templates)
-    met = grams.join(templates, "gram").where((F.col("n") >= F.col("size") * threshold / (2 - threshold)) & (F.col("n") <= F.col("size") * (2 - threshold) / threshold))
+    met = pairs.join(templates, "gram").where((F.col("n") >= F.col("size") * threshold / (2 - threshold)) & (F.col("n") <= F.col("size") * (2 - threshold) / threshold))
     dice = F.lit(2.0) * F.count_distinct("gram") / (F.max("n") + F.max("size"))
     found = met.groupBy("doc_id", "th", "line", "template", "license").agg(dice.alias("dice")).where(F.col("dice") >= threshold)
     best = F.row_number().over(Window.partitionBy("doc_id", "th", "line").orderBy(F.desc("dice"), "license", "template"))
