@@ -1,0 +1,178 @@
+"""The defined cases: nulls, empty and long texts, repeated rows, empty tables, clashing columns, hot groups."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldbook.llm import decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, pii, quality, substring_dedup
+
+CLASH = "n_words long, n_hit long, hits string, items string, spans string, size string, source_size string, target long, copies string, key string, kept string, bucket string, v string, c string, removed string, n_removed string, n_sentences string, n_lines string, th string, h1 string, log_weight string, n_features string, lang_pred string, score string"
+LONG = "\n".join(f"word{k} is here number {k} of a long text." for k in range(20_000))
+ROWS = [(1, None, None, None), (2, "", "en", "a"), (3, "  \n\n ", "en", "a"), (None, "some words without any id", None, None), (4, LONG, "en", "b"), (4, LONG, "en", "b"), (5, LONG, None, "b"), (6, "... !!! ???", "de", None), (7, "einzelwort", "de", "c"), (8, "ein kurzer satz auf deutsch über nichts", "de", "c"), (8, "ein kurzer satz auf deutsch über nichts", "de", "c")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    extra = [x.split(" ") for x in CLASH.split(", ")]
+    return spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string").select("*", *[F.lit(None).cast(t).alias(n) for n, t in extra])
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return spark.createDataFrame([(1, "word5 is here number 5 of a long text word6 is here"), (2, None), (None, "einzelwort"), (3, ""), (1, "satz auf")], "item_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(4, 1, 0), (8, 0, 0), (None, 1, 0), (7, None, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+def operators(bench, labels):
+    """Per name: from documents to a table with one row for each."""
+    return {
+        "decontaminate": lambda d: decontaminate.find_contamination(d, bench),
+        "spans": substring_dedup.dedup_spans,
+        "pii": pii.find_pii,
+        "mixing": mixing.plan_mix,
+        "language": lambda d: language_id.predict(d, language_id.train(d)),
+        "quality": lambda d: quality.scored_keys(d, labels, 8, "doc_id", "text", quality.BUCKETS, 100, None),
+        "lines": line_dedup.dedup_lines,
+        "near": near_dedup.near_duplicates,
+    }
+
+
+NAMES = ["decontaminate", "spans", "pii", "mixing", "language", "quality", "lines", "near"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_one_row_for_each_and_empty_tables(odd, bench, labels, name):
+    f = operators(bench, labels)[name]
+    assert Counter(r.doc_id for r in f(odd).select("doc_id").collect()) == Counter(r[0] for r in ROWS)
+    assert f(odd.limit(0)).count() == 0
+    assert f(odd).count() == len(ROWS)
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def test_decontaminate_cases(spark, odd, bench, monkeypatch):
+    out = {r.doc_id: r for r in decontaminate.find_contamination(odd, bench).collect()}
+    assert out[1].n_words == 0 and out[1].n_hit == 0 and out[2].n_hit == 0
+    assert out[4].items == ["1"] and out[4].n_hit == 12
+    assert out[7].n_hit == 1 and out[7].items == []
+    assert out[8].n_hit == 2 and out[8].items == ["1"]
+    assert {r.doc_id for r in decontaminate.remove_contaminated(odd, bench).collect()} == {1, 2, 3, 6, None}
+    assert decontaminate.find_contamination(odd, bench.limit(0)).where("n_hit > 0").count() == 0
+    cut = {r.doc_id: r.text for r in decontaminate.remove_spans(odd, bench).collect()}
+    assert cut[8] == "ein kurzer  deutsch über nichts" and cut[1] is None and cut[7] == ""
+    # blocks of two windows give the same rows
+    small = decontaminate.find_contamination(odd, bench, max_windows=2)
+    big = decontaminate.find_contamination(odd, bench)
+    assert rows(small, "doc_id", "n_hit", "items") == rows(big, "doc_id", "n_hit", "items")
+
+
+def test_near_duplicate_cases(odd):
+    out = rows(near_dedup.near_duplicates(odd), "doc_id", "component_id", "kept")
+    assert out.count((4, 4, True)) == 2 and (5, 4, False) in out and (None, None, True) in out and (1, 1, True) in out and (2, 2, True) in out
+    assert sorted({r.doc_id for r in near_dedup.drop_near_duplicates(odd).collect()}, key=str) == [1, 2, 3, 4, 6, 7, 8, None]
+
+
+def test_near_duplicates_of_large_groups(spark):
+    """A third of all rows in one group of exact and near copies, and chains whose ends are unlike."""
+    rng = np.random.default_rng(1)
+    base = [f"w{k}" for k in range(200)]
+    docs = [(k, " ".join(base)) for k in range(0, 200)]
+    for k in range(200, 400):
+        words = base.copy()
+        words[int(rng.integers(0, 200))] = f"x{k}"
+        docs.append((k, " ".join(words)))
+    chain = [f"c{k}" for k in range(100)]
+    docs += [(1000 + k, " ".join([f"d{j}" for j in range(4 * k)] + chain[4 * k :])) for k in range(8)]
+    docs += [(2000 + k, " ".join(f"r{k}q{j}" for j in range(50))) for k in range(400)]
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect()}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in docs}
+    name = {i: i for i, _ in docs}
+
+    def root(i):
+        return i if name[i] == i else root(name[i])
+
+    for group in (range(400), range(1000, 1008)):
+        for a in group:
+            for b in group:
+                if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and root(a) != root(b):
+                    x, y = sorted((root(a), root(b)))
+                    name[y] = x
+    assert out == {i: root(i) for i, _ in docs}
+    assert len({out[i] for i in range(400)}) == 1
+
+
+def test_line_dedup_cases(spark, odd):
+    out = {(r.doc_id, r.n_removed) for r in line_dedup.dedup_lines(odd).collect()}
+    assert {(1, 0), (4, 0), (5, 20_000), (None, 0)} <= out
+    docs = spark.createDataFrame([(1, "a\nb\nc\nd\nx"), (2, "q\na\nb\nc\nd"), (3, "a\nb\nc\na\nb\nc"), (4, "\n\n\n\n"), (5, "\n\n\n\n")], "doc_id long, text string")
+    assert rows(line_dedup.dedup_lines(docs), "doc_id", "text", "removed") == [(1, "a\nb\nc\nd\nx", []), (2, "q", [1, 2, 3, 4]), (3, "", [0, 1, 2, 3, 4, 5]), (4, "\n\n\n\n", []), (5, "\n\n\n\n", [])]
+
+
+def test_mixing_cases(spark, odd):
+    out = {(r.doc_id, r.source): r for r in mixing.plan_mix(odd).collect()}
+    assert out[(1, None)].size == 0 and all(r.copies <= 2 for r in out.values())
+    assert mixing.mix(odd).columns == odd.columns
+    many = spark.createDataFrame([(k, "w " * (k % 7 + 1), None if k % 3 == 0 else "s" if k % 3 == 1 else "big") for k in range(6000)], "doc_id long, text string, source string")
+    plan = mixing.plan_mix(many).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 0.05 * r.target for r in plan)
+    assert rows(mixing.mix(many), "doc_id") == rows(mixing.mix(many.repartition(5)), "doc_id")
+
+
+def test_language_cases(spark, odd):
+    model = language_id.train(odd)
+    out = {r.doc_id: r for r in language_id.predict(odd, model).collect()}
+    assert all(out[i].lang_pred == "und" and out[i].score == 0.0 for i in (1, 2, 3, 6))
+    assert out[8].lang_pred == "de" and out[4].lang_pred == "en"
+    assert {r.lang_pred for r in language_id.predict(odd, language_id.train(odd.limit(0))).collect()} == {"und"}
+    with pytest.raises(ValueError):
+        language_id.train(odd, max_languages=1)
+
+
+def test_quality_cases(odd, labels):
+    out = {r.doc_id: r for r in quality.select_quality(odd, labels).collect()}
+    assert all(out[i].key is None and not out[i].kept for i in (1, 2, 3))
+    assert all(r.kept == (r.n_features > 0) for r in quality.select_quality(odd, labels.limit(0)).collect())
+    assert quality.keep_quality(odd, labels).columns == odd.columns
+
+
+def test_license_cases(spark, odd):
+    templates = licenses.template_table(spark)
+    assert licenses.scan_licenses(odd, templates).count() == 0
+    docs = spark.createDataFrame([(1, "x\nLICENSED under CC-BY 4.0!\ny"), (1, "x\nLICENSED under CC-BY 4.0!\ny"), (None, "Released under the MIT License"), (2, None)], "doc_id long, text string").withColumn("line", F.lit("clash"))
+    assert rows(licenses.scan_licenses(docs, templates), "doc_id", "line", "license") == [(1, 1, "CC-BY-4.0"), (None, 0, "MIT")]
+    assert licenses.scan_licenses(docs, templates.limit(0)).count() == 0
+
+
+def picture(seed: int, side: int = 96) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    coarse = rng.integers(0, 255, (side // 6, side // 6)).astype(float)
+    return np.kron(coarse, np.ones((6, 6))) * 0.8 + 20
+
+
+def pgm(a: np.ndarray) -> bytearray:
+    return bytearray(f"P5 {a.shape[1]} {a.shape[0]} 255\n".encode() + np.clip(a, 0, 255).astype(np.uint8).tobytes())
+
+
+def test_image_copies(spark):
+    images = []
+    for k in range(12):
+        a = picture(k)
+        images += [(10 * k, pgm(a)), (10 * k + 1, pgm(a[8:-4, 4:-10])), (10 * k + 2, pgm(a * 0.85 + 12)), (10 * k + 3, pgm(a))]
+    images += [(900, None), (901, bytearray()), (902, bytearray(b"no image")), (903, bytearray(b"no image")), (904, pgm(np.full((64, 64), 9.0))), (None, pgm(picture(1))), (0, pgm(picture(0)))]
+    df = spark.createDataFrame(images, "image_id long, content binary").withColumn("v", F.lit("clash"))
+    out = media.find_copies(df).collect()
+    assert Counter(r.image_id for r in out) == Counter(i for i, _ in images)
+    found = {r.image_id: r.class_id for r in out}
+    assert all(found[10 * k + j] == 10 * k for k in range(12) for j in range(4))
+    assert [found[i] for i in (900, 901, 902, 903, 904, None)] == [900, 901, 902, 902, 904, None]
+    assert media.find_copies(df.limit(0)).count() == 0

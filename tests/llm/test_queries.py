@@ -1,0 +1,229 @@
+"""Registered queries of the training-data operators against their SQL or a brute-force version."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from conftest import SF_DIR, duck_rows, spark_rows
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from fieldbook.llm import licenses, pii, quality, substring_dedup
+from fieldbook.llm.decontaminate import OP1_SQL
+from fieldbook.llm.line_dedup import OP9_SQL
+from fieldbook.llm.near_dedup import OP10_SQL
+from fieldbook.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_matches_sql(spark, duck, name):
+    assert spark_rows(QUERIES[name](spark, SF_DIR)) == duck_rows(duck, ORACLE_SQL[name])
+
+
+# --- substring dedup: the same spans, found with tuples of words and dictionaries
+
+
+def brute_spans(rows: list[tuple[int, str]]) -> dict[int, int]:
+    """How many sentences each document loses."""
+    cut = {}
+    for i, text in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        s = substring_dedup.Sentences(raw, np.array([0, len(raw)]))
+        data = s.words.lower.tobytes()
+        words = [data[a:b] for a, b in zip(s.words.start, s.words.end)]
+        cut[i] = [tuple(words[a:b]) for a, b in zip(s.first, s.end)]
+    home, spans = {}, defaultdict(list)
+    for i in sorted(cut):
+        seen = set()
+        for a in range(len(cut[i])):
+            for b in range(a + substring_dedup.RUN, len(cut[i]) + 1):
+                span = sum(cut[i][a:b], ())
+                if len(span) >= substring_dedup.MIN_WORDS:
+                    spans[i].append((a, b, span, span in seen or home.get(span, i) != i))
+                    seen.add(span)
+                    break
+        for span in seen:
+            home.setdefault(span, i)
+    return {i: len({k for a, b, _, again in spans[i] if again for k in range(a, b)}) for i in cut}
+
+
+def test_substring_dedup_matches_brute_force(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    expected = brute_spans([(r.doc_id, r.text) for r in docs.collect()])
+    found = {r.doc_id: r.n_removed for r in QUERIES["op2_substring_dedup"](spark, SF_DIR).collect()}
+    assert found == expected and sum(v > 0 for v in found.values()) > 5
+
+
+@pytest.mark.parametrize("mark", ["", ".", ",\n"])
+def test_shared_passages_of_fifty_words_are_found_in_any_surroundings(spark, mark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passages = [[word() for _ in range(52)] for _ in range(6)]
+    rows = []
+    for p, passage in enumerate(passages):
+        for k in range(4):
+            before, after = ([word() for _ in range(rng.integers(1, 90))] for _ in range(2))
+            rows.append((10 * p + k, " ".join([*before, *passage[:30], passage[30] + mark, *passage[31:], *after])))
+    clean = [(900 + k, " ".join(word() + "." * (i % 9 == 0) for i in range(200))) for k in range(5)]
+    out = {r.doc_id: r for r in substring_dedup.dedup_spans(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    for i, text in rows + clean:
+        assert (out[i].n_removed > 0) == (i < 900 and i % 10 > 0), i
+        if out[i].n_removed == 0:
+            assert out[i].text == text
+        else:
+            (span,) = out[i].removed
+            assert out[i].text == text[: span.start] + text[span.end :] and 20 <= len(text[span.start : span.end].split()) <= 52
+
+
+# --- personal data: the plain patterns over whole texts
+
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and pii.luhn(d)),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    found = [(m.start(), m.end(), kind) for kind, pattern, ok in PATTERNS for m in re.finditer(pattern, text) if ok(m[0])]
+    return sorted(found, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_pii_matches_patterns(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    total = Counter()
+    for r in QUERIES["op3_pii"](spark, SF_DIR).collect():
+        spans = base_spans(texts[r.doc_id] or "")
+        total.update(k for _, _, k in spans)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[2] == k for s in spans) for k in pii.BASE)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
+    assert all(total[k] for k in ("email", "card", "phone"))
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.one_of(st.text(alphabet="0123456789 .-+@()aZ_é\n", max_size=60), st.lists(st.sampled_from(["1.2.3.4", "256.1.1.1", "a@b.c", "+1 (555) 010-0199", "4111 1111 1111 1111", "@", ".", "-", " ", "5", "x"]), max_size=14).map("".join)))
+def test_pii_parsers_match_patterns(text):
+    assert [s for s in pii.find_spans(text, pii.automaton()) if s[2] in pii.BASE] == base_spans(text)
+
+
+def test_pii_added_kinds_and_redaction(spark):
+    rows = [(1, "see https://a.example/x?y=1 or mail me@site.org"), (2, "IBAN DE89 3704 0044 0532 0130 00 ok"), (3, "account no. 12345678"), (4, "IBAN DE00 3704 0044 0532 0130 00"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: [s.kind for s in r.spans] for r in pii.find_pii(docs).collect()} == {1: ["url", "email"], 2: ["account"], 3: ["account"], 4: [], 5: []}
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out[1] == "see [URL] or mail [EMAIL]" and out[3] == "account no. [ACCOUNT]" and out[5] is None
+
+
+# --- the rest
+
+
+def test_license_cues_lose_nothing(spark):
+    """Units with a share of a template's words, with and without the cue filter."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k, (_, text) in enumerate(licenses.TEMPLATES * 12):
+        words = text.split()
+        keep = [w for w in words if rng.random() < 0.93] + ["more"] * int(rng.integers(0, 3))
+        rows.append((k, " ".join(keep)))
+    docs, templates = spark.createDataFrame(rows, "doc_id long, text string"), licenses.template_table(spark)
+    with_cues = spark_rows(licenses.scan_licenses(docs, templates))
+    known, licenses.CUE_BIGRAMS = licenses.CUE_BIGRAMS, 0
+    try:
+        assert with_cues == spark_rows(licenses.scan_licenses(docs, templates)) and 50 < len(with_cues[1]) < len(rows)
+    finally:
+        licenses.CUE_BIGRAMS = known
+
+
+def test_language_id_held_out(spark):
+    sf = SF_DIR.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = QUERIES["op7_language_id"](spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
+    right, n = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert right >= 0.97 and n > 100
+    assert found.where("score < 0 or score > 1").count() == 0
+
+
+def brute_weights(texts: dict[int, str], good: set[int]) -> dict[int, float]:
+    """Log weights from dictionaries, one document at a time."""
+    buckets, shift = quality.BUCKETS, 64 - quality.BUCKETS.bit_length() + 1
+    found = {}
+    for i, text in texts.items():
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        w = quality.tokens(raw, np.array([0, len(raw)]))
+        h, spot = [int(x) for x in w.hashes()], []
+        for k, x in enumerate(h):
+            spot.append(x >> shift)
+            if k:
+                y = (h[k - 1] * 0xD6E8FEB86659FD93 + x) % (1 << 64)
+                for _ in (1, 2):
+                    y = ((y ^ (y >> 33)) * (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)[_ - 1]) % (1 << 64)
+                y ^= y >> 33
+                spot.append((0x1234567890ABCDEF if x == h[k - 1] else y) >> shift)
+        found[i] = spot
+    raw_n, target_n = Counter(b for s in found.values() for b in s), Counter(b for i in good if i in found for b in found[i])
+    a, b = sum(raw_n.values()) + buckets, sum(target_n.values()) + buckets
+    return {i: sum(np.log((target_n[x] + 1) / b) - np.log((raw_n[x] + 1) / a) for x in s) for i, s in found.items()}
+
+
+def test_quality_weights_and_selection(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()
+    good = {r.doc_id for r in labels if r.quality > 0}
+    rows = QUERIES["op8_quality"](spark, SF_DIR).collect()
+    expected = brute_weights(texts, good)
+    assert all(abs(r.log_weight - expected[r.doc_id]) <= 1e-6 * max(1, abs(r.log_weight)) for r in rows)
+    keyed = sorted((r for r in rows if r.key is not None), key=lambda r: (-r.key, r.doc_id))
+    k = round(len(good) / len({r.doc_id for r in labels}) * len(keyed))
+    assert {r.doc_id for r in rows if r.kept} == {r.doc_id for r in keyed[:k]}
+    assert spark_rows(QUERIES["op8_quality"](spark, SF_DIR)) == spark_rows(QUERIES["op8_quality"](spark, SF_DIR))
+
+
+def test_quality_on_labels_not_fitted(spark):
+    """Fitted on half of the labels of the largest table, the selection agrees with the other half."""
+    sf = SF_DIR.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fitted = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = quality.select_quality(docs, labels.where(fitted)).join(labels.where(~fitted), "doc_id")
+    bad, good = found.agg(F.avg(F.when(F.col("quality") == 0, F.col("kept").cast("int"))), F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int")))).first()
+    assert bad <= 0.03 and good >= 0.97
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against SQL over its own input."""
+    import duckdb
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns == columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{k}")
+        con = duckdb.connect()
+        con.register("documents", before.toPandas())
+        con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{SF_DIR}/benchmark.parquet')")
+        kept[name] = ids = Counter(r.doc_id for r in docs.select("doc_id").collect())
+        ask = lambda sql: con.execute(sql).fetchall()  # noqa: E731, B023
+        if name == "quality":
+            assert ids == Counter(r.doc_id for r in QUERIES["op8_quality"](spark, SF_DIR).where("kept").collect())
+        elif name == "line_dedup":
+            sums = dict(ask(f"SELECT doc_id, text_sha256 FROM ({OP9_SQL})"))
+            assert all(hashlib.sha256(r.text.encode()).hexdigest() == sums[r.doc_id] and r.n_chars == len(r.text) for r in docs.collect())
+            assert set(ids) >= {i for i, n in ask(f"SELECT doc_id, n_removed FROM ({OP9_SQL})") if n == 0}
+        elif name == "near_dedup":
+            sql = OP10_SQL.replace("0.85", "0.80").replace(">= 85 *", ">= 80 *")
+            assert set(ids) == {i for i, yes in ask(f"SELECT doc_id, kept FROM ({sql})") if yes}
+        elif name == "decontamination":
+            assert set(ids) == {i for i, hit in ask(f"SELECT doc_id, contaminated FROM ({OP1_SQL})") if not hit}
+        else:
+            plan = ask(f"SELECT doc_id, size, taken FROM ({ORACLE_SQL['op5_mixing']})")
+            assert all(ids[i] * size == taken for i, size, taken in plan)
+    assert list(kept) == ["quality", "line_dedup", "near_dedup", "decontamination", "mixing"]
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF_DIR).select("doc_id").collect()) == kept["mixing"]
