@@ -11,6 +11,7 @@ from fieldbook.functions.hashing import canonical_json
 from fieldbook.operators import draft, extract, gates, planner, seal, views
 from fieldbook.plans import mapping as m
 from fieldbook.sources import export, parse
+from fieldbook.streaming import sprints
 
 START, STEP, TODAY = "1995-01-01", 14, "1998-06-15"
 EVENT_START = "2024-01-01"
@@ -442,3 +443,14 @@ def docx_roundtrip(spark, sf):
     lines = _projects(spark, sf).select("project", F.array(F.col("start").cast("string"), F.col("end").cast("string")).alias("lines"))
     parsed = parse.parse_frame(export.note_documents(lines, "project", "lines"), "name", "content")
     return parsed.select("name", "ok", F.size("paragraphs").alias("paragraphs"))
+
+
+@query(
+    "sprint_windows",
+    """SELECT time_bucket(INTERVAL 14 DAY, ts::TIMESTAMP, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS events, round(sum(value), 2) AS total
+    FROM events GROUP BY ALL""",
+)
+def sprint_windows(spark, sf):
+    """The windows of the event stream, over the whole table."""
+    counts = sprints.sprint_counts(m.table(spark, sf, "events"))
+    return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -144,7 +144,7 @@ def parse_frame(files: DataFrame, name_col: str = "path", content_col: str = "co
 
 
 def parse_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All files below a folder, junk names left out."""
+    """All files below a folder, junk names left out; the source yields no row for a file of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return parse_frame(files.where(~tx.is_junk_name(F.element_at(F.split("path", "/"), -1))))
 
