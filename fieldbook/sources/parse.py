@@ -1,4 +1,4 @@
-"""Files as rows: sniffing, text decoding, CSV, Word and Excel documents, plain text.
+"""Files as rows: sniffing, text decoding, CSV, Word, Excel, HWPX and PDF documents, plain text.
 
 ``parse_files`` reads a folder with the binaryFile source and parses each file inside a task; a file
 that cannot be read becomes a row with ok = false and a warning, never an error.
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.functions import text as tx
+from fieldbook.sources.pdf import read_pdf
 
 MAX_ENTRY, MAX_DOCUMENT, MAX_CELLS = 256 << 20, 512 << 20, 2_000_000
 SCHEMA = "ok boolean, name string, kind string, size long, paragraphs array<string>, tables array<array<array<string>>>, sheets array<struct<name:string,rows:array<array<string>>>>, warnings array<string>, sha256 string"
@@ -100,6 +101,24 @@ def read_xlsx(z: zipfile.ZipFile) -> list[dict]:
     return out
 
 
+def read_hwpx(z: zipfile.ZipFile) -> tuple[list[str], list[list[list[str]]]]:
+    """Paragraphs outside tables and tables of all sections, in order of the section files' names."""
+    local = lambda node: node.tag.rpartition("}")[2]
+    said = lambda node: "".join(t.text or "" for t in node.iter() if local(t) == "t").strip()
+    paragraphs, tables = [], []
+    for part in sorted(n for n in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", n)):
+        root = ElementTree.fromstring(_member(z, part))
+        own = [t for t in root.iter() if local(t) == "tbl"]
+        inside = {p for t in own for p in t.iter() if local(p) == "p"}
+        tables += [[[said(c) for c in row.iter() if local(c) == "tc"] for row in t.iter() if local(row) == "tr"] for t in own]
+        for p in root.iter():
+            if local(p) == "p" and p not in inside:
+                held = {x for t in p.iter() if local(t) == "tbl" for x in t.iter()}
+                if s := "".join(t.text or "" for t in p.iter() if local(t) == "t" and t not in held).strip():
+                    paragraphs.append(s)
+    return paragraphs, tables
+
+
 def parse_bytes(name: str, data: bytes) -> dict:
     """One file as a row; any failure is a warning."""
     import hashlib
@@ -108,9 +127,14 @@ def parse_bytes(name: str, data: bytes) -> dict:
     try:
         if len(data) > MAX_DOCUMENT:
             raise ValueError("document is too large")
-        if data[:4] == b"%PDF" or data[:4] == b"\xd0\xcf\x11\xe0":
-            out["kind"] = "pdf" if data[:1] == b"%" else "hwp5"
-            raise ValueError(f"{out['kind']} is not supported")
+        if data[:4] == b"\xd0\xcf\x11\xe0":
+            out["kind"] = "hwp5"
+            raise ValueError("hwp5 is not supported")
+        if data[:4] == b"%PDF":
+            out["kind"] = "pdf"
+            lines, _, out["warnings"] = read_pdf(data)
+            out["paragraphs"] = [" ".join(x.split()) for x in lines]
+            return out
         if data[:4] in (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"):
             out["kind"] = "zip"
             with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -120,6 +144,9 @@ def parse_bytes(name: str, data: bytes) -> dict:
                 elif "xl/workbook.xml" in z.namelist():
                     out["kind"] = "xlsx"
                     out["sheets"] = read_xlsx(z)
+                elif any(re.fullmatch(r"Contents/section\d+\.xml", n) for n in z.namelist()):
+                    out["kind"] = "hwpx"
+                    out["paragraphs"], out["tables"] = read_hwpx(z)
                 else:
                     raise ValueError("no known document in the archive")
             return out
