@@ -454,3 +454,33 @@ def sprint_windows(spark, sf):
     """The windows of the event stream, over the whole table."""
     counts = sprints.sprint_counts(m.table(spark, sf, "events"))
     return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def _rosters(spark: SparkSession, sf: str) -> DataFrame:
+    """A plan a customer with people, milestones and results, some of them twice."""
+    k = F.col("c_custkey").cast("string")
+    pick = F.element_at(F.array(*[F.lit(x) for x in ("김하나", "이두리", "박세찬")]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    lines = F.array(
+        F.concat(F.lit("연구책임자: "), pick), F.lit("참여연구원 - 최네모"), F.concat(F.lit("연구책임자 "), pick, F.lit(" 교수")),
+        F.concat(F.lit("Milestone M12: 시제품 "), k), F.lit("M6 평가"), F.lit("2단계 평가: 현장"), F.lit("M12 점검: 중복"), F.lit("M130 점검: 너무 늦음"),
+        F.lit("산출물: 보고서, 소프트웨어"), F.lit("결과물 목록:"), F.concat(F.lit("- 시제품 "), k, F.lit("대")), F.lit("1) 보고서"), F.lit("a"), F.lit("- 밖의 줄"),
+    )
+    return m.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.posexplode(lines).alias("li", "line"))
+
+
+@query("extract_people", """SELECT c_custkey AS doc_id, n AS nth, CASE n WHEN 1 THEN ['김하나', '이두리', '박세찬'][c_custkey % 3 + 1] ELSE '최네모' END AS name, CASE n WHEN 1 THEN '연구책임자' ELSE '참여연구원' END AS role
+FROM (SELECT c_custkey, unnest([1, 2]) AS n FROM customer)""")
+def extract_people(spark, sf):
+    return extract.people(_rosters(spark, sf))
+
+
+@query("extract_milestones", """SELECT c_custkey AS doc_id, id, month, CASE id WHEN 'M12' THEN '시제품 ' || c_custkey ELSE name END AS name
+FROM customer, (VALUES ('M6', 6, 'M6 마일스톤'), ('M12', 12, ''), ('S2', NULL, '2단계 평가 현장')) AS v(id, month, name)""")
+def extract_milestones(spark, sf):
+    return extract.milestones(_rosters(spark, sf))
+
+
+@query("extract_deliverables", """SELECT c_custkey AS doc_id, nth, CASE nth WHEN 3 THEN '시제품 ' || c_custkey || '대' ELSE name END AS name
+FROM customer, (VALUES (1, '보고서'), (2, '소프트웨어'), (3, '')) AS v(nth, name)""")
+def extract_deliverables(spark, sf):
+    return extract.deliverables(_rosters(spark, sf))
