@@ -113,16 +113,18 @@ def scan_batches(block, n: int, text_col: str):
             for row, raw, offsets in pieces(batch.column(names.index(text_col))):
                 words = split_words(raw, offsets, ALNUM)
                 rows = len(offsets) - 1
-                edge = np.zeros(len(words.start) + 1, np.int64)
+                # a slot for each word and one more for each row's end, so that no hit reaches into the next row
+                edge = np.zeros(len(words.start) + rows, np.int64)
                 found = defaultdict(set)
                 for k, size, ids in known.hits(words):
-                    edge[k] += 1
-                    edge[k + size] -= 1
-                    found[int(words.row[k])] |= ids
+                    r = int(words.row[k])
+                    edge[k + r] += 1
+                    edge[k + size + r] -= 1
+                    found[r] |= ids
                 spans = defaultdict(list)
                 for r in found:
                     first, last = int(words.bounds[r]), int(words.bounds[r + 1])
-                    hit = np.cumsum(edge[first : last + 1])[:-1] > 0
+                    hit = np.cumsum(edge[first + r : last + r + 1])[:-1] > 0
                     turn = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
                     spans[r] = [(int(a), int(b)) for a, b in zip(turn[::2], turn[1::2])]
                 n_words += np.diff(words.bounds).tolist()

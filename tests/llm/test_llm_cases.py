@@ -76,6 +76,21 @@ def test_decontaminate_cases(spark, odd, bench, monkeypatch):
     assert rows(small, "doc_id", "n_hit", "items") == rows(big, "doc_id", "n_hit", "items")
 
 
+def test_decontaminate_rows_next_to_each_other(spark):
+    """Neighbours that are one window each, or end in a passage, or begin with one."""
+    passage = [f"p{k}" for k in range(14)]
+    bench = spark.createDataFrame([("a", " ".join(passage)), ("b", "p4 p5 p6 p7 p8 p9 p10 p11 p12 p13 z"), ("c", "short item")], "item_id string, text string")
+    one, short = " ".join(passage[:10]), "short item"
+    texts = [one, one, one, "x y " + " ".join(passage), " ".join(passage), "x " + " ".join(passage[4:]), " ".join(passage[4:]) + " y", short, short, one, "nothing", "q short item", short]
+    n_hit = [10, 10, 10, 14, 14, 10, 10, 2, 2, 10, 0, 2, 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for max_windows in (2, 1000):
+        out = {r.doc_id: r for r in decontaminate.find_contamination(docs, bench, max_windows=max_windows).collect()}
+        assert [out[k].n_hit for k in range(len(texts))] == n_hit
+        assert [out[k].n_hit > 0 for k in out] == [bool(out[k].items) for k in out]
+    assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()] == [10]
+
+
 def test_near_duplicate_cases(odd):
     out = rows(near_dedup.near_duplicates(odd), "doc_id", "component_id", "kept")
     assert out.count((4, 4, True)) == 2 and (5, 4, False) in out and (None, None, True) in out and (1, 1, True) in out and (2, 2, True) in out
