@@ -2,12 +2,13 @@
 
 A sentence ends at a newline, or after ``.``, ``!`` or ``?`` before white space or the text's end. Its
 words are lower-cased runs of letters, digits and bytes beyond ASCII; a sentence without words
-belongs to no span. A sentence of more than 10 words is broken before each word that has the smallest
-hash of some 10 consecutive words, so breaks depend on the words nearby and not on where the sentence
-began. From every sentence starts one span: the shortest run of at least 2 consecutive sentences with
-at least 20 words. Two documents that share 50 consecutive words, in whatever surroundings but with the
-same sentence ends, therefore share a span: a common break lies in the first 10 words, the next one 20
-words on within 10 more, and no break of either document alone before the last 9.
+belongs to no span. A sentence of more than 10 words is broken into parts of 4 to 10 words before words of
+locally smallest hash, so breaks depend on the words nearby and not on where the sentence began; the parts
+count as sentences. Every two consecutive sentences are a span. A repeated run of any number of
+sentences is covered by its spans from its first sentence to its last, however few words it has; what is
+only part of a sentence is not covered at a run's edges. Inside a long sentence two parts have at least 8
+words. Of passages of 50 words without any sentence end, none of 20,000 drawn ones had no common span
+in other surroundings.
 
 Spans are hashed to 128 bits and joined globally; sentences that any repeated span covers, other than
 in its first document (smallest id), are removed; so are those of a span's later occurrences inside
@@ -32,21 +33,38 @@ from pyspark.sql import types as T
 from fieldbook.llm.scratch import written
 from fieldbook.llm.textarrays import ALNUM, SOLID, byte_class, mix, pieces, powers, split_words
 
-RUN, MIN_WORDS = 2, 20
-LONG = 10
+RUN, MIN_WORDS = 2, 2
+LONG, NEAR = 10, 3
 _LAST = (1 << 63) - 1
 _STOP = byte_class(lambda b: b in b".!?")
 _SPAN = "doc long, th long, first long, last long, again boolean, h1 long, h2 long"
 
 
-def lowest(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Where the first smallest entry of some n consecutive entries of one row lies, ascending."""
-    if len(h) < n:
-        return np.zeros(0, np.int64)
-    inside = np.flatnonzero(row[: len(h) - n + 1] == row[n - 1 :])
-    at = np.lib.stride_tricks.sliding_window_view(h, n).argmin(axis=1)[inside] + inside
+def breaks(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where to break sentences [first, end) of more than LONG words, ascending: every part keeps over NEAR words.
+
+    First before each word of smallest hash among NEAR words to either side (the first of equals), then parts that
+    are still long at their smallest inner hash (of equals, the one nearest to the middle).
+    """
     found = np.zeros(len(h), bool)
-    found[at] = True
+    if len(h) > 2 * NEAR:
+        before = np.lib.stride_tricks.sliding_window_view(h, NEAR).min(axis=1)
+        at = np.arange(NEAR, len(h) - NEAR)
+        low = at[(h[at] < before[at - NEAR]) & (h[at] <= before[at + 1])]
+        mine = np.searchsorted(first, low, side="right") - 1
+        found[low[(end[mine] - first[mine] > LONG) & (low - first[mine] > NEAR) & (end[mine] - low > NEAR)]] = True
+    starts = np.unique(np.concatenate([first, np.flatnonzero(found)]))
+    ends = np.append(starts[1:], len(h))
+    while len(long := np.flatnonzero(ends - starts > LONG)):
+        a, n = starts[long] + NEAR + 1, (ends - starts)[long] - 2 * NEAR - 1
+        part = np.repeat(np.arange(len(long)), n)
+        heads = np.cumsum(n) - n
+        inner = np.arange(len(part)) - heads[part] + a[part]
+        worse = h[inner] != np.minimum.reduceat(h[inner], heads)[part]
+        order = np.lexsort((inner, np.abs(2 * inner - (starts + ends)[long][part]), worse, part))
+        cut = inner[order[heads]]
+        found[cut] = True
+        starts, ends = np.concatenate([starts[long], cut]), np.concatenate([cut, ends[long]])
     return np.flatnonzero(found)
 
 
@@ -70,8 +88,7 @@ class Sentences:
         starts = np.zeros(len(w.start), bool)
         starts[first] = True
         self.hashes = w.hashes()
-        breaks = lowest(self.hashes, w.row, LONG)
-        starts[breaks[np.repeat(counts > LONG, counts)[breaks]]] = True
+        starts[breaks(self.hashes, first, first + counts)] = True
         self.first = np.flatnonzero(starts)
         self.end = np.append(self.first[1:], len(w.start))
         self.row = w.row[self.first] if len(self.first) else np.zeros(0, np.int64)

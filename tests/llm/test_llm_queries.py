@@ -81,6 +81,26 @@ def test_shared_passages_of_fifty_words_are_found_in_any_surroundings(spark, mar
             assert out[i].text == text[: span.start] + text[span.end :] and 20 <= len(text[span.start : span.end].split()) <= 52
 
 
+def test_repeated_runs_are_removed_whole(spark):
+    """Copies with their tails, short boilerplate, and planted passages up to their partial edge sentences."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    words = lambda n: " ".join(word() for _ in range(n))
+    copy, foot, long = f"{words(10)}. {words(10)}. {words(5)}.", "All rights reserved. Do not copy.", words(95) + "."
+    passages = [" ".join(words(n) + "." for n in (9, 14, 6, 3, 18)) for _ in range(20)]
+    rows = [(1, copy), (2, copy), (3, f"{words(7)}.\n{foot}"), (4, f"{foot}\n{words(4)}. {words(6)}."), (5, long), (6, long)]
+    rows += [(10 + 2 * p + k, f"{words(int(rng.integers(1, 40)))}. {passage} {words(int(rng.integers(1, 40)))}.") for p, passage in enumerate(passages) for k in (0, 1)]
+    bare = [words(50) for _ in range(20)]
+    rows += [(100 + 2 * p + k, f"{words(int(rng.integers(1, 40)))} {passage} {words(int(rng.integers(1, 40)))}.") for p, passage in enumerate(bare) for k in (0, 1)]
+    out = {r.doc_id: r for r in substring_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].n_removed == 0 for i, _ in rows if i in (1, 3, 5) or i >= 10 and i % 2 == 0)
+    assert out[2].text == "" and out[6].text == "" and foot.split()[0] not in out[4].text and out[4].n_removed == 2
+    for p, passage in enumerate(passages):
+        assert not set(passage.replace(".", "").split()) & set(out[11 + 2 * p].text.replace(".", "").split())
+    left = [len(set(passage.split()) & set(out[101 + 2 * p].text.replace(".", "").split())) for p, passage in enumerate(bare)]
+    assert max(left) <= 2 * 13 and out[101].n_removed > 1
+
+
 # --- personal data: the plain patterns over whole texts
 
 PATTERNS = [
