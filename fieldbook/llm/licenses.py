@@ -11,6 +11,12 @@ over: a match shares at least t / (2 - t) of a template's bigrams, so once so ma
 fewer are left, every matching unit contains one of the cues. The rest is an equi-join on bigrams and
 a count.
 
+Licences inside longer text: a text's lines are also cut at sentence ends, and every run of consecutive
+pieces (across lines) of up to a template's greatest size in words is a unit too. Only texts that hold t / (2 - t) of a
+template's bigrams anywhere can have one, and a run begins with a piece that holds some. Of
+overlapping runs the best is given, with the line where it begins; a run that meets a line with a row of its own,
+or a text that is the same licence as a whole, gives none.
+
 Defined cases: null and empty texts have no units; a unit of one word has no bigram and matches
 nothing; rows that repeat id and text give one result; equal scores go to the first licence
 in code-point order. Only the id and the text of the input are read, so other columns cannot clash.
@@ -52,6 +58,25 @@ TEMPLATES = [
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_NO = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_NO = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_SPDX = "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense"
+#: Licence texts, usual headers, titles and SPDX lines; the SQL knows the notices alone.
+TEXTS = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", _BSD + _BSD_NO),
+    ("BSD-3-Clause", _BSD + _BSD_NAME + _BSD_NO),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    *[(lic, text.format(name, version)) for lic, name, version in (("AGPL-3.0", "Affero ", 3), ("GPL-2.0", "", 2), ("GPL-3.0", "", 3), ("LGPL-3.0", "Lesser ", 3)) for text in (_GNU, f"{_GNU} {_GNU_NO}")],
+    *[(lic, title) for lic, title in (("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("GPL-2.0", "GNU General Public License Version 2, June 1991"), ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"), ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"), ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"), ("MPL-2.0", "Mozilla Public License Version 2.0"))],
+    *[(x.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {x}") for x in _SPDX.split()],
+]
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:\.[0-9]+)*"
 
 
@@ -124,12 +149,61 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THRE
     dice = F.lit(2.0) * F.count_distinct("gram") / (F.max("n") + F.max("size"))
     found = met.groupBy("doc_id", "th", "line", "template", "license").agg(dice.alias("dice")).where(F.col("dice") >= threshold)
     best = F.row_number().over(Window.partitionBy("doc_id", "th", "line").orderBy(F.desc("dice"), "license", "template"))
-    return found.withColumn("k", best).where("k = 1").select("doc_id", "line", "license", "dice")
+    rows = found.withColumn("k", best).where("k = 1").select("doc_id", "th", "line", "license", "dice")
+    return rows.drop("th").unionByName(_inner_runs(base, templates, rows, threshold))
+
+
+def _inner_runs(base: DataFrame, templates: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, line, license, dice): the best runs of pieces inside texts (doc_id, th, t), apart from known rows."""
+    share = threshold / (2 - threshold)
+    all_words = F.explode(F.array(normal_words(F.col("t")))).alias("w")
+    grams = base.select("doc_id", "th", all_words).select("doc_id", "th", F.explode(bigrams(F.col("w"))).alias("gram"))
+    held = grams.join(templates, "gram").groupBy("doc_id", "th", "template").agg(F.count_distinct("gram").alias("c"), F.max("size").alias("size")).where(F.col("c") >= F.col("size") * share - 1e-9)
+    mine = templates.groupBy("template", "license", "size").agg(F.collect_set("gram").alias("mine"))
+    some = held.drop("c", "size").withColumnRenamed("doc_id", "d").withColumnRenamed("th", "h")
+    texts = base.dropDuplicates(["doc_id", "th"]).join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).drop("d", "h").join(mine, "template")
+    # pieces: the sentences of each line, with the words they hold
+    pieces = F.flatten(F.transform(F.split("t", "\n"), lambda u, k: F.transform(F.split(u, r"(?<=[.!?])\s+"), lambda x: F.struct(k.alias("line"), normal_words(x).alias("w")))))
+    cut = texts.withColumn("p", F.filter(pieces, lambda x: F.size(x["w"]) > 0)).drop("t")
+    # where each piece ends in words; runs begin with a piece that holds a bigram of the template
+    ends = F.aggregate("p", F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + F.size(x["w"]))))
+    cut = cut.where(F.size("p") > 0).withColumns({"at": ends, "w": F.flatten(F.col("p.w")), "lines": F.col("p.line")}).drop("p")
+    most = F.floor(F.col("size") / share + 1e-9).cast("int") + 1
+    begin = lambda k: F.get("at", k)
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.arrays_overlap(bigrams(F.slice("w", begin(k) + 1, begin(k + 1) - begin(k) + 1)), F.col("mine")))
+    near = F.transform(
+        starts,
+        lambda k: F.struct(
+            k.alias("first"),
+            F.slice("w", begin(k) + 1, most).alias("w"),
+            F.filter(F.transform(F.slice("at", k + 2, most), lambda e, j: F.struct((e - begin(k)).alias("n"), (k + j).alias("last"), F.get("lines", k + j).alias("line"))), lambda x: (x["n"] - 1 >= F.col("size") * share - 1e-9) & (x["n"] <= most)).alias("ends"),
+            F.get("lines", k).alias("line"),
+        ),
+    )
+    runs = cut.select("doc_id", "th", "template", "license", "size", "mine", F.explode(near).alias("r"))
+    runs = runs.select("doc_id", "th", "template", "license", "size", "mine", "r.first", "r.line", "r.w", F.explode("r.ends").alias("e"))
+    sets = runs.withColumn("g", F.expr("slice(w, 1, e.n)")).withColumn("g", bigrams(F.col("g")))
+    dice = F.lit(2.0) * F.size(F.array_intersect("g", "mine")) / (F.size("g") + F.col("size"))
+    found = sets.select("doc_id", "th", "first", F.col("e.last").alias("last"), "line", F.col("e.line").alias("line_end"), "license", "template", dice.alias("dice")).where(F.col("dice") >= threshold)
+    # runs that a line or the whole text already accounts for
+    known = rows.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("line").alias("at"), F.col("license").alias("lic"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))
+    found = found.join(known, same & (F.col("at").between(F.col("line"), F.col("line_end")) | ((F.col("at") == -1) & (F.col("lic") == F.col("license")))), "left_anti")
+    # the best run from each piece, then of those that overlap the best
+    best = found.groupBy("doc_id", "th", "first").agg(F.min(F.struct((-F.col("dice")).alias("worse"), "license", "template", "last", "line")).alias("x"))
+    order = F.array_sort(F.collect_list(F.struct("x.worse", "x.license", "x.template", "first", "x.last", "x.line"))).alias("all")
+    kept = F.aggregate(
+        "all", F.slice("all", 1, 0), lambda out, x: F.when(F.exists(out, lambda y: (x["first"] <= y["last"]) & (y["first"] <= x["last"])), out).otherwise(F.concat(out, F.array(x)))
+    )
+    chosen = best.groupBy("doc_id", "th").agg(order).select("doc_id", "th", F.explode(kept).alias("x")).select("doc_id", "th", "x.line", "x.license", (-F.col("x.worse")).alias("dice"))
+    # two runs that begin in one line are one row
+    line = F.row_number().over(Window.partitionBy("doc_id", "th", "line", "license").orderBy(F.desc("dice")))
+    return chosen.withColumn("k", line).where("k = 1").drop("k", "th")
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan_licenses(docs, template_table(spark))
+    return scan_licenses(docs, template_table(spark, TEMPLATES + TEXTS))
 
 
 def _values() -> str:

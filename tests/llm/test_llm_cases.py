@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -168,6 +169,25 @@ def test_license_cases(spark, odd):
     assert licenses.scan_licenses(docs, templates.limit(0)).count() == 0
 
 
+def test_licenses_inside_longer_texts(spark):
+    """Whole texts wrapped and in a paragraph, headers, titles, SPDX lines, and notices wrapped or inside a paragraph."""
+    mit, gpl = (next(t for lic, t in licenses.TEXTS if lic == x and len(t) > 200) for x in ("MIT", "GPL-3.0"))
+    wrap = lambda t: "\n".join(textwrap.wrap(t, 60))
+    prose = "\n".join(f"The river number {k} runs to the sea and back again in the spring." for k in range(40))
+    texts = [
+        (f"{prose}\n{wrap(mit)}\n{prose}", 40, "MIT"),
+        (mit, 0, "MIT"),
+        (f"{prose}\n# " + wrap(gpl).replace("\n", "\n# ") + f"\n{prose}", 40, "GPL-3.0"),
+        (f"MIT License\n{prose}", 0, "MIT"),
+        (f"# SPDX-License-Identifier: GPL-3.0-or-later\n{prose}", 0, "GPL-3.0"),
+        (f"{prose}\nThis work is licensed under a Creative Commons\nAttribution 4.0 International License.\n{prose}", 40, "CC-BY-4.0"),
+        (f"{prose}\nWe wrote it long ago. Released under the MIT License. It is about rivers and the sea.\n{prose}", 40, "MIT"),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(texts)] + [(90, prose), (None, texts[5][0])], "doc_id long, text string")
+    out = rows(licenses.scan_licenses(docs, licenses.template_table(spark, licenses.TEMPLATES + licenses.TEXTS)), "doc_id", "line", "license")
+    assert out == sorted([(k, line, lic) for k, (_, line, lic) in enumerate(texts)] + [(None, 40, "CC-BY-4.0")], key=repr)
+
+
 def picture(seed: int, side: int = 96) -> np.ndarray:
     rng = np.random.default_rng(seed)
     coarse = rng.integers(0, 255, (side // 6, side // 6)).astype(float)
