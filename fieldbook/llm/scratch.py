@@ -1,4 +1,4 @@
-"""Intermediate tables in the cluster's shared folder, and ranks without a single-task sort."""
+"""Intermediate tables in the cluster's shared folder, callers' columns under reserved names, and distributed ranks."""
 
 from __future__ import annotations
 
@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; where it is unset on a local master (tests), a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fieldbook-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -20,11 +22,38 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back: its lineage ends there and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/fieldbook/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/fieldbook/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete this application's written tables; call it once their results are stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/fieldbook/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(df: DataFrame, names: str) -> DataFrame:
+    """df without the columns of these names in any case, as Spark tells columns apart by letters alone."""
+    gone = {n.lower() for n in names.split()}
+    return df.select([quoted(c) for c in df.columns if c.lower() not in gone])
+
+
+def packed(df: DataFrame, **roles: str) -> DataFrame:
+    """All columns of df in the struct _fb_row, and those an operator reads under the operator's own names."""
+    return df.select(F.struct(*[quoted(c) for c in df.columns]).alias("_fb_row"), *[quoted(c).alias(role) for role, c in roles.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns packed before, in their order; new values for some of them are given by name."""
+    return df.select([new.get(c, F.col("_fb_row").getField(c)).alias(c) for c in columns])
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with its 1-based rank in the given order.
 
