@@ -15,7 +15,8 @@ of the whole text, in time linear in its length. Kinds and their checks:
 A match that fails its check is dropped and not retried. Spans are [start, end) in code points.
 
 Defined cases: a null or empty text has no spans; an id may be null or repeated, each row stands
-alone; texts of any length are handled whole. Columns of the input are kept; a column named spans is replaced.
+alone; texts of any length are handled whole; an empty table gives an empty one. find_pii keeps the columns of the
+input, but replaces one named spans in any case; redact keeps all, with the text changed.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldbook.llm.scratch import packed, unpacked, without
+
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,7 +38,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*://|www\.)[^\s<>\"'`{}|\\^]*[A-Za-z0-9/]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
-_AFTER_CUE = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|#))?\s*[:#=]?\s*([0-9](?:[ -]?[0-9]){5,17})(?![0-9])", re.I)
+_NUMBER = re.compile(r"number|no\.?|nr\.?|#", re.I)
+_DIGITS = re.compile(r"[0-9](?:[ -]?[0-9]){5,17}(?![0-9])")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _IP_CHARS = frozenset("0123456789.")
 _CARD_CHARS = frozenset("0123456789 -")
@@ -99,6 +103,22 @@ def only_digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def after_cue(text: str, at: int) -> re.Match | None:
+    """The digits after an account cue: blanks, a word for number, a separator; each blank is read once."""
+
+    def blanks(at: int) -> int:
+        while at < len(text) and text[at].isspace():
+            at += 1
+        return at
+
+    at = blanks(at)
+    if m := _NUMBER.match(text, at):
+        at = blanks(m.end())
+    if at < len(text) and text[at] in ":#=":
+        at = blanks(at + 1)
+    return _DIGITS.match(text, at)
+
+
 def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all valid spans, by start and then kind as listed."""
     out = []
@@ -139,8 +159,8 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int
                 rest += 1
             if (m := _IBAN.match(text, rest)) and iban_ok(m[0]):
                 span = m.span()
-            elif m := _AFTER_CUE.match(text, last + 1):
-                span = m.span(1)
+            elif m := after_cue(text, last + 1):
+                span = m.span()
             else:
                 continue
             done["account"] = span[1]
@@ -164,7 +184,7 @@ def _batches(text_at: int):
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with spans: array<struct<start, end, kind>> by start and then kind as listed."""
-    base = docs.select([c for c in docs.columns if c != "spans"])
+    base = without(docs, "spans")
     schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL("spans array<struct<start:long,end:long,kind:string>>").fields])
     return base.mapInArrow(_batches(base.columns.index(text_col)), schema)
 
@@ -184,10 +204,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return text.combine(spans, lambda t, found: t if t is None else one(t, found))
 
-    return find_pii(docs, text_col).withColumn(text_col, cut(text_col, "spans")).select(docs.columns)
+    return unpacked(find_pii(packed(docs, text=text_col)), docs.columns, **{text_col: cut("text", "spans")})
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
+    """Every document with its counts and spans; a null text has none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     line = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     found = find_pii(docs)
