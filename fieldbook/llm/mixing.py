@@ -4,20 +4,26 @@ Targets are shared by weight out of ``share`` times all tokens; a target stops a
 its source's tokens and the excess is shared again by weight until no target is above. That level is
 found by a loop whose only driver data are two sums a round; it ends when no further source stops.
 
-Each document is emitted floor(rate) times and once more if its own seeded draw in [0, 1) is below
-the rate's fraction. The draw is a hash of seed, id and (for a null id) text: reruns agree.
+Each document is emitted floor(rate) times and once more if its own seeded draw in [0, 1) lies below its source's
+cut. Draws do not depend on each other, so with the rate's fraction as the cut a source of few or long documents would
+miss its target by much. The cut is therefore set where the sizes of the documents below it, in order of their draws,
+come nearest to the fraction of the source's words: the chance of a copy stays the fraction up to this rounding, and
+a source misses its target by half of one document's size at most (of all documents with that draw, where rows share an
+id). The cut is found by radix: sums by 13 bits of the draw, then by the next 13 bits inside the one bin where the cut
+lies, four times; no group is sorted or gathered.
 
 Defined cases: a null text has size 0; the null source is a source, last in order; a source without
-tokens has target 0 and its documents are not emitted; rows that repeat an id share its draw; an
-empty table gives an empty mix. Columns of the input named like those added here are replaced.
+tokens has target 0 and its documents are not emitted; rows that repeat an id share its draw (for a null id, rows that
+repeat the text); an empty table gives an empty mix. plan_mix replaces columns of the input named like those it adds, in
+any case; mix keeps all columns of the input and their values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.llm.scratch import ranked, written
+from fieldbook.llm.scratch import packed, quoted, ranked, unpacked, without, written
 
 #: a table of sources is broadcast only if it is smaller than this
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
@@ -26,23 +32,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_size(text_col: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.regexp_count(quoted(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
 def source_key(source_col: str) -> Column:
     """A join key that never is null."""
-    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
+    return F.coalesce(F.concat(F.lit("="), quoted(source_col).cast("string")), F.lit("null"))
+
+
+#: a draw has DRAW bits, and a round of the search for the cut reads STEP of them
+DRAW, STEP = 52, 13
 
 
 def draw(seed: str, id_col: str, text_col: str) -> Column:
-    """A number in [0, 1) from 52 bits of a SHA-256."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(seed), key), 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    """A whole number below 2 ** DRAW from a SHA-256."""
+    key = F.coalesce(quoted(id_col).cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(quoted(text_col), F.lit("")))))
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(seed), key), 256), 1, DRAW // 4), 16, 10).cast("long")
 
 
 def source_targets(docs: DataFrame, size: Column, source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_rate: float = 2.0) -> DataFrame:
     """One row a source: _fb_key, source_size and target. Weights repeat over the sources in code-point order, null last."""
-    sums = docs.select(F.col(source_col).cast("string").alias("s"), source_key(source_col).alias("_fb_key"), size.alias("n")).groupBy("_fb_key", "s").agg(F.sum("n").alias("source_size"))
+    sums = docs.select(quoted(source_col).cast("string").alias("s"), source_key(source_col).alias("_fb_key"), size.alias("n")).groupBy("_fb_key", "s").agg(F.sum("n").alias("source_size"))
     order = ranked(sums, [F.col("s").asc_nulls_last()], "_fb_rank")
     pick = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.col("_fb_rank") - 1) % len(weights) + 1).cast("int"))
     sources = written(order.select("_fb_key", "source_size", pick.cast("long").alias("w")))
@@ -59,31 +69,54 @@ def source_targets(docs: DataFrame, size: Column, source_col: str = "source", we
     return sources.select("_fb_key", "source_size", F.least(F.col("w") * F.lit(level), F.lit(max_rate) * F.col("source_size")).alias("target"))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A table of sources, broadcast if its size is within the bounds."""
+    bounds = table.agg(F.count("*").alias("n"), F.sum(F.octet_length("_fb_key")).alias("b")).first()
+    return F.broadcast(table) if bounds.n <= BROADCAST_ROWS and (bounds.b or 0) <= BROADCAST_BYTES else table
+
+
+def cuts(slim: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets with below: documents (_fb_key, size, d) whose draw d is less than it get one more copy."""
+    rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
+    # how many words the further copies are to bring, and in the rounds: the bits known, the words before them
+    state = targets.withColumns({"times": F.floor(rate), "bin": F.lit(0).cast("long"), "sum": F.lit(0).cast("long"), "last": F.lit(0).cast("long")})
+    state = written(state.withColumn("more", F.col("target") - F.col("times") * F.col("source_size")))
+    for shift in range(DRAW - STEP, -1, -STEP):
+        here = F.shiftright("d", shift)
+        mine = slim.join(_small(state.select("_fb_key", "bin")), "_fb_key").where(F.shiftright(here, STEP) == F.col("bin"))
+        sums = mine.groupBy("_fb_key", here.alias("b")).agg(F.sum("size").alias("n"))
+        # at most 2 ** STEP rows a source
+        before = F.sum("n").over(Window.partitionBy("_fb_key").orderBy("b")) - F.col("n")
+        known = sums.withColumn("before", before).join(state.select("_fb_key", F.col("sum").alias("base"), F.col("more").alias("m")), "_fb_key")
+        # the last bin that begins before the words are reached
+        at = known.where(F.col("base") + F.col("before") < F.col("m")).groupBy("_fb_key").agg(F.max(F.struct("b", "before", "n")).alias("x"))
+        state = state.join(at, "_fb_key", "left").select(
+            "_fb_key", "source_size", "target", "times", "more", F.coalesce("x.b", F.lit(-1).cast("long")).alias("bin"), (F.col("sum") + F.coalesce("x.before", F.lit(0))).alias("sum"), F.coalesce("x.n", F.lit(0)).alias("last")
+        )
+        state = written(state)
+    nearer = F.col("sum") + F.col("last") / 2 <= F.col("more")
+    return state.select("_fb_key", "source_size", "target", "times", (F.col("bin") + nearer.cast("long")).alias("below"))
+
+
 def plan_mix(docs: DataFrame, seed: str = "mix-1:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the document)."""
-    targets = source_targets(docs, text_size(text_col), source_col, **options)
-    bounds = targets.agg(F.count("*").alias("n"), F.sum(F.octet_length("_fb_key")).alias("b")).first()
-    if bounds.n <= BROADCAST_ROWS and (bounds.b or 0) <= BROADCAST_BYTES:
-        targets = F.broadcast(targets)
-    base = docs.select([c for c in docs.columns if c not in ("size", "source_size", "target", "copies")])
-    rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    extra = (draw(seed, id_col, text_col) < rate - F.floor(rate)).cast("long")
-    return (
-        base.withColumn("size", text_size(text_col))
-        .withColumn("_fb_key", source_key(source_col))
-        .join(targets, "_fb_key")
-        .withColumn("copies", F.floor(rate) + extra)
-        .drop("_fb_key")
-    )
+    slim = written(docs.select(quoted(source_col), source_key(source_col).alias("_fb_key"), text_size(text_col).alias("size"), draw(seed, id_col, text_col).alias("d")))
+    targets = _small(cuts(slim.select("_fb_key", "size", "d"), source_targets(slim, F.col("size"), source_col, **options)))
+    names = {"size": text_size(text_col), "_fb_key": source_key(source_col), "_fb_d": draw(seed, id_col, text_col)}
+    rows = docs.select([quoted(c) for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")] + [c.alias(n) for n, c in names.items()])
+    out = rows.join(targets, "_fb_key").withColumn("copies", F.col("times") + (F.col("_fb_d") < F.col("below")).cast("long"))
+    return out.drop("_fb_key", "_fb_d", "times", "below")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each document as often as planned, with its own columns."""
-    plan = plan_mix(docs, **options)
-    return plan.where("copies > 0").withColumn("_fb_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
+    plan = plan_mix(packed(docs, doc_id=id_col, text=text_col, source=source_col), **options)
+    copies = plan.where("copies > 0").withColumn("_fb_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return unpacked(copies, docs.columns)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every document with the words the mix takes of it; a null text has none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     plan = plan_mix(docs)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -105,11 +138,13 @@ pick AS (SELECT arg_min(level, stop) AS level FROM levels WHERE level <= stop),
 t AS (
   SELECT source, source_size, least(w * level, 2.0::DOUBLE * source_size) AS target FROM r, pick),
 c AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source, t.source_size, t.target,
          CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE ELSE t.target / t.source_size END AS rate,
-         CAST(('0x' || substr(sha256('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null ' || md5(coalesce(d.text, '')))), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+         CAST(('0x' || substr(sha256('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null ' || md5(coalesce(d.text, '')))), 1, 13)) AS BIGINT) AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+m AS (
+  SELECT *, target - floor(rate) * source_size AS more, sum(size) OVER (PARTITION BY source ORDER BY u) AS upto, sum(size) OVER (PARTITION BY source, u) AS tied FROM c)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM c
+       CAST((floor(rate) + CASE WHEN upto - tied / 2 <= more THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM m
 """
