@@ -4,20 +4,22 @@ A word is a maximal run of letters, digits and bytes beyond ASCII after lower-ca
 is n consecutive words of an item; an item of fewer words, but not none, is one window. Windows are
 compared by 64-bit hash first and every hit is then verified word by word.
 
-The benchmark's windows reach the executors in blocks of at most ``max_windows`` windows, so what is
-broadcast has a fixed bound whatever the benchmark's size; each further block is one more scan that
-adds its hits to the same row, without a shuffle.
-
-Defined cases: a null text has no words and no hits; an empty benchmark hits nothing; items with a
-null id still hit but are never listed; an item id that occurs twice is one item with both texts'
-windows; repeated documents are separate rows. Columns of the input with a name used here
-(n_words, hits, items) are replaced.
+The benchmark is split into windows by a Spark job. The windows reach the executors in blocks of at most
+``max_windows`` windows, as sorted hashes and one flat buffer of words (about 30 bytes a window and its item's text), so
+what is broadcast and what a worker holds has a fixed bound whatever the benchmark's size. Each further block is
+one more scan that adds its hits to the rows of the one before, written out in between.
+
+Defined cases: a null text has no words and no hits; an empty benchmark hits nothing; an empty table gives an empty
+one; items with a null id still hit but are never listed; an item id that occurs twice is one item with both texts'
+windows; repeated documents are separate rows. find_contamination replaces columns of the input named like those it adds
+(n_words, n_hit, hits, items) in any case; remove_contaminated and remove_spans keep all columns and their values.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import reduce
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldbook.llm.scratch import packed, quoted, unpacked, without, written
 from fieldbook.llm.textarrays import ALNUM, Words, pieces, split_words, windows
 
 N = 10
@@ -33,84 +36,106 @@ MAX_WINDOWS = 1_000_000
 _OUT = "n_words long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>"
 
 
+class Block(NamedTuple):
+    """Windows in ascending order of hash: their lengths in words, where their words stand, and their items."""
+
+    hashes: np.ndarray
+    size: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    item: np.ndarray
+    words: bytes  # items' lower-cased words, single spaces between
+    items: list[str | None]
+
+
+def _window_batches(n: int, max_windows: int):
+    """(i, words, size, hashes, start, end) for each item: its windows, and an item of very many in several rows."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row, raw, offsets in pieces(batch.column(1)):
+                split = split_words(raw, offsets, ALNUM)
+                h, low = split.hashes(), split.lower.tobytes()
+                for r in range(len(offsets) - 1):
+                    first, last = int(split.bounds[r]), int(split.bounds[r + 1])
+                    size = min(n, last - first)
+                    for a in range(first, max(last - size + 1, first) if size else first, max_windows):
+                        b = min(a + max_windows + size - 1, last)
+                        mine = [low[x:y] for x, y in zip(split.start[a:b].tolist(), split.end[a:b].tolist())]
+                        ends = np.cumsum([len(w) + 1 for w in mine]) - 1
+                        starts = np.concatenate([[0], ends[:-1] + 1])
+                        out.append((batch.column(0)[row + r].as_py(), b" ".join(mine), size, windows(h[a:b], size).view(np.int64).tolist(), starts[: b - a - size + 1].tolist(), ends[size - 1 :].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.string(), pa.binary(), pa.int32(), *[pa.list_(pa.int64())] * 3))], names=["i", "words", "size", "hashes", "start", "end"])
+
+    return run
+
+
 def benchmark_blocks(benchmark: DataFrame, n: int, max_windows: int, id_col: str = "item_id", text_col: str = "text"):
-    """The benchmark's distinct (item, text) rows in lists of at most max_windows windows each.
+    """The windows of the benchmark's distinct (item, text) rows in blocks of at most max_windows windows each.
 
-    Rows stream to the driver one partition at a time; a list is a block's whole driver footprint.
+    Items stream to the driver one partition at a time; a block is the driver's whole footprint.
     """
-    block, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
-    for row in rows.toLocalIterator():
-        words = item_words(row.t)
-        made = max(1, len(words) - n + 1) if words else 0
-        # an item of more windows than a block holds is cut into overlapping runs
-        for at in range(0, made, max_windows):
-            run = words[at : at + max_windows + n - 1]
-            count = max(1, len(run) - n + 1)
-            if block and size + count > max_windows:
-                yield block
-                block, size = [], 0
-            block.append((row.i, run))
-            size += count
-    if block:
-        yield block
-
-
-def item_words(text: str) -> list[bytes]:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    w = split_words(raw, np.array([0, len(raw)]), ALNUM)
-    low = w.lower.tobytes()
-    return [low[s:e] for s, e in zip(w.start, w.end)]
-
-
-def _hash_words(words: list[bytes]) -> np.ndarray:
-    text = b" ".join(words)
-    raw = np.frombuffer(text, np.uint8)
-    return split_words(raw, np.array([0, len(raw)]), ALNUM).hashes()
+    rows = benchmark.select(quoted(id_col).cast("string").alias("i"), quoted(text_col).alias("t")).where("t is not null").distinct()
+    made = rows.mapInArrow(_window_batches(n, max_windows), "i string, words binary, size int, hashes array<long>, start array<long>, end array<long>")
+    parts, total, at, text, items = [], 0, 0, [], []
+    for row in made.toLocalIterator():
+        if parts and total + len(row.hashes) > max_windows:
+            yield _block(parts, text, items)
+            parts, total, at, text, items = [], 0, 0, [], []
+        count = len(row.hashes)
+        parts.append((np.array(row.hashes, np.int64).view(np.uint64), np.full(count, row["size"], np.int32), np.array(row.start) + at, np.array(row.end) + at, np.full(count, len(items), np.int32)))
+        items.append(row.i)
+        text.append(bytes(row.words))
+        total, at = total + count, at + len(row.words) + 1
+    if parts:
+        yield _block(parts, text, items)
+
+
+def _block(parts: list[tuple], text: list[bytes], items: list[str | None]) -> Block:
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.argsort(columns[0], kind="stable")
+    return Block(*[c[order] for c in columns], b" ".join(text), items)
 
 
 class WindowSet:
-    """A block's windows: per window length a bitmap, sorted hashes, and the words behind each hash."""
-
-    def __init__(self, block: list[tuple[str | None, list[bytes]]], n: int):
-        exact: dict[int, dict[int, dict[tuple, set]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for item, words in block:
-            size = min(n, len(words))
-            for at, h in enumerate(windows(_hash_words(words), size).tolist()):
-                exact[size][h][tuple(words[at : at + size])].add(item)
-        self.exact = {size: {h: dict(t) for h, t in found.items()} for size, found in exact.items()}
-        self.sorted = {size: np.sort(np.fromiter(found, np.uint64)) for size, found in self.exact.items()}
-        self.bits = {}
-        for size, hashes in self.sorted.items():
-            self.bits[size] = np.zeros(1 << 20, bool)
-            self.bits[size][(hashes >> np.uint64(44)).astype(np.int64)] = True
+    """A block ready for look-ups: for each window length a bitmap of hashes and where its windows stand in the block."""
+
+    def __init__(self, block: Block):
+        self.block, self.lengths = block, {}
+        for size in np.unique(block.size).tolist():
+            at = np.flatnonzero(block.size == size)
+            hashes = block.hashes[at]
+            bits = np.zeros(1 << 20, bool)
+            bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
+            self.lengths[size] = (bits, hashes, at)
 
     def hits(self, words: Words):
         """(first word, window length, items) of every verified occurrence."""
-        h, low = words.hashes(), None
-        for size, known in self.sorted.items():
+        b, h, low = self.block, words.hashes(), None
+        for size, (bits, known, place) in self.lengths.items():
             made = windows(h, size)
-            at = np.flatnonzero(self.bits[size][(made >> np.uint64(44)).astype(np.int64)])
+            at = np.flatnonzero(bits[(made >> np.uint64(44)).astype(np.int64)])
             at = at[words.row[at] == words.row[at + size - 1]]
-            place = np.minimum(np.searchsorted(known, made[at]), len(known) - 1)
-            at = at[known[place] == made[at]]
-            if len(at) and low is None:
+            left, right = np.searchsorted(known, made[at]), np.searchsorted(known, made[at], side="right")
+            some = left < right
+            if some.any() and low is None:
                 low = words.lower.tobytes()
-            for k in at.tolist():
-                text = tuple(low[s:e] for s, e in zip(words.start[k : k + size].tolist(), words.end[k : k + size].tolist()))
-                items = self.exact[size][int(made[k])].get(text)
+            for k, x, y in zip(at[some].tolist(), left[some].tolist(), right[some].tolist()):
+                text = b" ".join(low[s:e] for s, e in zip(words.start[k : k + size].tolist(), words.end[k : k + size].tolist()))
+                items = {b.items[b.item[w]] for w in place[x:y].tolist() if b.words[b.start[w] : b.end[w]] == text}
                 if items:
                     yield k, size, items
 
 
-def scan_batches(block, n: int, text_col: str):
+def scan_batches(block, text_at: int):
     def scan(batches):
-        known = WindowSet(block.value, n)
+        known = WindowSet(block.value)
         for batch in batches:
             names = batch.schema.names
             earlier = {c: batch.column(names.index(c)).to_pylist() for c in ("hits", "items") if c in names}
             n_words, n_hit, hits, items = [], [], [], []
-            for row, raw, offsets in pieces(batch.column(names.index(text_col))):
+            for row, raw, offsets in pieces(batch.column(text_at)):
                 words = split_words(raw, offsets, ALNUM)
                 rows = len(offsets) - 1
                 # a slot for each word and one more for each row's end, so that no hit reaches into the next row
@@ -155,19 +180,21 @@ def merge(old: list[dict], new: list[tuple[int, int]]) -> list[dict]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs with n_words, n_hit (words inside any hit), hits (disjoint word spans) and items (sorted ids)."""
     spark = docs.sparkSession
-    base = docs.select([c for c in docs.columns if c not in ("n_words", "n_hit", "hits", "items")])
-    extra = T.StructType.fromDDL(_OUT)
-    schema = T.StructType(base.schema.fields + extra.fields)
-    out = base
-    blocks = benchmark_blocks(benchmark, n, max_windows)
-    out = out.mapInArrow(scan_batches(spark.sparkContext.broadcast(next(blocks, [])), n, text_col), schema)
-    return reduce(lambda df, b: df.mapInArrow(scan_batches(spark.sparkContext.broadcast(b), n, text_col), schema), blocks, out)
+    out = without(docs, "n_words n_hit hits items")
+    schema, text_at = T.StructType(out.schema.fields + T.StructType.fromDDL(_OUT).fields), out.columns.index(text_col)
+    for k, block in enumerate(chain(benchmark_blocks(benchmark, n, max_windows), [None])):
+        if block is None and k:
+            return out
+        # one block's windows at a time: what the block before has found is written out
+        block = block or Block(*[np.zeros(0, t) for t in (np.uint64, np.int32, np.int64, np.int64, np.int32)], b"", [])
+        out = (written(out) if k else out).mapInArrow(scan_batches(spark.sparkContext.broadcast(block), text_at), schema)
+    return out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark window, with their own columns."""
-    found = find_contamination(docs, benchmark, n, text_col)
-    return found.where("n_hit = 0").select(docs.columns)
+    found = find_contamination(packed(docs, text=text_col), benchmark, n)
+    return unpacked(found.where("n_hit = 0"), docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text") -> DataFrame:
@@ -189,11 +216,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: st
             out.append(b"".join([*kept, data[at:]]).decode())
         return pd.Series(out, dtype=object)
 
-    found = find_contamination(docs, benchmark, n, text_col)
-    return found.withColumn(text_col, cut(text_col, "hits")).select(docs.columns)
+    found = find_contamination(packed(docs, text=text_col), benchmark, n)
+    return unpacked(found, docs.columns, **{text_col: cut("text", "hits")})
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Every document with its hits; a null text has no words and none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
