@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fieldbook.llm.scratch import quoted, without
 from fieldbook.llm.textarrays import code_points, mix, pieces
 
 BUCKETS = 1 << 15
@@ -100,7 +102,7 @@ def _count_batches(buckets: int, sizes: tuple[int, ...]):
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS, sizes: tuple[int, ...] = SIZES, max_languages: int = MAX_LANGUAGES):
     """(languages in code-point order, log prior, log-probability matrix of buckets by language)."""
-    rows = docs.select(text_col, lang_col).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = docs.select(quoted(text_col).alias("t"), quoted(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
     counts = rows.mapInArrow(_count_batches(buckets, sizes), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found: dict[str, np.ndarray] = {}
     for row in counts.toLocalIterator():  # at most buckets + 1 rows a language
@@ -149,12 +151,11 @@ def _predict_batches(model, sizes: tuple[int, ...], text_at: int):
 
 
 def predict(docs: DataFrame, model, text_col: str = "text", sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """docs without its text, with lang_pred and score (replacing columns of these names)."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    base = docs.select(names)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != text_col)
+    """docs without its text, with lang_pred and score (replacing columns of these names in any case)."""
+    base = without(docs, "lang_pred score")
+    schema = T.StructType([f for f in base.schema if f.name != text_col] + T.StructType.fromDDL("lang_pred string, score double").fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return base.mapInArrow(_predict_batches(shared, sizes, names.index(text_col)), f"{types}{', ' * bool(types)}lang_pred string, score double")
+    return base.mapInArrow(_predict_batches(shared, sizes, base.columns.index(text_col)), schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -162,6 +163,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
+    """Every document with its predicted language; null and letterless texts are und, a null id is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out_of = F.coalesce(held_out(), F.lit(False))
     model = train(docs.where(~out_of))

@@ -9,8 +9,9 @@ The repeated windows are written out before they are joined back, so a window th
 of all documents is pre-aggregated on the map side and its join partition can be split.
 
 Defined cases: a null text stays null with 0 lines; a text of fewer than n lines has no window and
-stays; rows that repeat id and text are one document and all get the same lines; a null id comes
-last in the order. Columns of the input named n_lines, n_removed or removed are replaced.
+stays; rows that repeat id and text (a null id too) are one document and all get the same lines; a null id comes
+last in the order; an empty table gives an empty one. Columns of the input named n_lines, n_removed or removed in any
+case are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.scratch import written
+from fieldbook.llm.scratch import quoted, without, written
 
 N = 3
 _LAST = (1 << 63) - 1
@@ -28,18 +29,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with _fb_id and _fb_th: a non-null key of (id, text)."""
     return docs.withColumns(
         {
-            "_fb_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)),
-            "_fb_th": F.xxhash64(F.col(id_col), F.col(text_col)),
+            "_fb_id": F.coalesce(quoted(id_col).cast("long"), F.lit(_LAST)),
+            "_fb_th": F.xxhash64(quoted(id_col), quoted(text_col)),
         }
     )
 
 
 def _windows(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """One row for each window: its document's key, the position of its first line, and its hashes."""
-    lines = F.split(F.col(text_col), "\n")
+    lines = F.split(quoted(text_col), "\n")
     count = F.greatest(F.size(lines) - (n - 1), F.lit(0))
     runs = F.arrays_zip(*[F.slice(lines, k + 1, count).alias(f"l{k}") for k in range(n)])
-    parts = _keyed(docs.select(id_col, text_col), id_col, text_col).select("_fb_id", "_fb_th", F.posexplode(runs).alias("pos", "win"))
+    parts = _keyed(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col).select("_fb_id", "_fb_th", F.posexplode(runs).alias("pos", "win"))
     text = F.concat(*[F.col(f"win.l{k}") for k in range(n)])
     return parts.where(text.rlike(r"\S")).select("_fb_id", "_fb_th", "pos", F.xxhash64("win").alias("h1"), F.xxhash64(F.lit(7), "win").alias("h2"))
 
@@ -57,15 +58,15 @@ def covered_lines(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col:
 def dedup_lines(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text left, n_lines (before), n_removed and removed (0-based line positions)."""
     covered = covered_lines(docs, n, id_col, text_col)
-    base = docs.select([c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")])
+    base = without(docs, "n_lines n_removed removed")
     # how many documents lose lines grows with the corpus: a merge join at every size
-    lines = _keyed(base, id_col, text_col).withColumn("_fb_lines", F.split(text_col, "\n")).drop(text_col)
+    lines = _keyed(base, id_col, text_col).withColumn("_fb_lines", F.split(quoted(text_col), "\n")).drop(quoted(text_col))
     out = lines.join(written(covered).hint("merge"), ["_fb_id", "_fb_th"], "left")
     size = F.coalesce(F.size("_fb_lines"), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_fb_lines") - 1), "removed")
     left = F.when(F.col("removed").isNull(), F.col("_fb_lines")).otherwise(F.transform(kept, lambda i: F.element_at("_fb_lines", i + 1)))
     return out.select(
-        *[(F.array_join(left, "\n").alias(c) if c == text_col else F.col(f"`{c}`")) for c in base.columns],
+        *[(F.array_join(left, "\n").alias(c) if c == text_col else quoted(c)) for c in base.columns],
         F.when(F.col("_fb_lines").isNull(), 0).otherwise(size).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.col("removed"), F.array().cast("array<int>")).alias("removed"),
@@ -73,6 +74,7 @@ def dedup_lines(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: s
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document with the lines it loses; a null text has no lines and loses none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))

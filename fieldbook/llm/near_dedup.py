@@ -15,7 +15,7 @@ one shingle of all of them; one without words has none and is linked with nothin
 
 Defined cases: rows that share an id are one vertex of the graph, whatever their texts; rows with a
 null id are compared with nothing, keep their size, and have a null component and kept = true.
-Columns of the input named like those added here are replaced.
+near_duplicates reads the id and the text alone; drop_near_duplicates keeps all columns of the input and their values.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.llm.linking import components, link_in_buckets
-from fieldbook.llm.scratch import written
+from fieldbook.llm.scratch import quoted, written
 from fieldbook.llm.textarrays import SOLID, mix, pieces, shingle_hashes, split_words
 
 SHINGLE, BANDS, ROWS = 5, 32, 5
@@ -155,7 +155,7 @@ def _differ(f: str, g: str) -> str:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(quoted(text_col)).alias("th"), quoted(text_col).alias("text"))
     sig = written(texts.mapInArrow(_signature_batches(n, bands, rows), _SIG))
 
     # a vertex for each distinct set: its smallest document
@@ -201,10 +201,11 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, i
     found = near_duplicates(docs, percent, n, id_col, text_col)
     gone = written(found.where("not kept").select(F.col("doc_id").alias("_fb_gone")).distinct())
     # how many go grows with the corpus: a merge join at every size
-    return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("_fb_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), quoted(id_col).cast("long") == F.col("_fb_gone"), "left_anti")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document with its component at 85 %; a document without words is alone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 

@@ -13,7 +13,8 @@ used are the ``max_labelled`` of smallest id hash: a bounded sample, so the labe
 Defined cases: a null or token-free text has weight 0, a null key and is not kept; with no good
 label at all every document with a token is kept; labels with a null id or quality are not used; an
 id labelled several times counts as good only if all its labels say so; rows that repeat an id share
-its draw. Columns of the input named like those added here are replaced.
+its draw; an empty table gives none. scored_keys and score replace columns named like those they add, in any case;
+keep_quality keeps all columns of the input and their values.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.scratch import ranked, written
+from fieldbook.llm.scratch import packed, quoted, ranked, unpacked, without, written
 from fieldbook.llm.textarrays import LOWER, Words, byte_class, mix, pieces
 
 BUCKETS = 1 << 15
@@ -91,15 +92,15 @@ def _count_batches(buckets: int):
 
 def labelled(labels: DataFrame, id_col: str = "doc_id", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(_fb_id, good) for at most max_labelled labelled ids."""
-    one = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
-    one = one.groupBy(F.col(id_col).alias("_fb_id")).agg((F.min("quality") > 0).alias("good"))
+    one = labels.select(quoted(id_col).alias("_fb_id"), "quality").where("_fb_id is not null and quality is not null")
+    one = one.groupBy("_fb_id").agg((F.min("quality") > 0).alias("good"))
     return one.orderBy(F.xxhash64("_fb_id"), "_fb_id").limit(max_labelled)
 
 
 def fit(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """The log ratio of target to raw probability of each bucket; zeros if there is no target text."""
     # known has at most MAX_LABELLED rows of an id and a flag
-    text = docs.select(text_col, F.col(id_col).alias("_fb_id")).join(F.broadcast(known), "_fb_id", "left").select(text_col, "good")
+    text = docs.select(quoted(text_col).alias("text"), quoted(id_col).alias("_fb_id")).join(F.broadcast(known), "_fb_id", "left").select("text", "good")
     counts = text.mapInArrow(_count_batches(buckets), "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n"))
     sums = np.zeros((2, buckets))
     for row in counts.toLocalIterator():  # at most two rows a bucket
@@ -130,24 +131,24 @@ def _score_batches(ratio, text_at: int):
 
 def score(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFrame:
     """docs with log_weight and n_features."""
-    base = docs.select([c for c in docs.columns if c not in ("log_weight", "n_features")])
+    base = without(docs, "log_weight n_features")
     schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL("log_weight double, n_features long").fields])
     return base.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(ratio), base.columns.index(text_col)), schema)
 
 
 def gumbel(seed: int, id_col: str):
     """A standard Gumbel draw by id."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    u = (F.pmod(F.xxhash64(F.lit(seed), quoted(id_col)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
-def scored_keys(docs: DataFrame, labels: DataFrame, seed: int, id_col: str, text_col: str, buckets: int, max_labelled: int, keep_share: float | None) -> DataFrame:
+def scored_keys(docs: DataFrame, labels: DataFrame, seed: int, id_col: str, text_col: str, buckets: int, max_labelled: int, keep_share: float | None, label_id: str = "doc_id") -> DataFrame:
     """docs with log_weight, n_features, key and kept."""
-    known = written(labelled(labels, max_labelled=max_labelled))
+    known = written(labelled(labels, label_id, max_labelled))
     ratio = fit(docs, known, id_col, text_col, buckets)
     key = F.when(F.col("n_features") > 0, F.col("log_weight") + gumbel(seed, id_col))
-    base = docs.select([c for c in docs.columns if c not in ("key", "kept")])
-    keys = written(score(base.select(id_col, text_col), ratio, text_col).select(F.col(id_col).alias("i"), key.alias("key")).where("key is not null"))
+    base = without(docs, "key kept")
+    keys = written(score(base.select(quoted(id_col), quoted(text_col)), ratio, text_col).select(quoted(id_col).alias("i"), key.alias("key")).where("key is not null"))
     if keep_share is None:
         row = known.agg(F.count("*").alias("n"), F.count_if("good").alias("g")).first()
         keep_share = row.g / row.n if row.g else 1.0
@@ -157,7 +158,7 @@ def scored_keys(docs: DataFrame, labels: DataFrame, seed: int, id_col: str, text
     if cut is None:
         kept = F.lit(False)
     else:
-        no_later = F.lit(True) if cut.i is None else F.coalesce(F.col(id_col) <= F.lit(cut.i), F.lit(False))
+        no_later = F.lit(True) if cut.i is None else F.coalesce(quoted(id_col) <= F.lit(cut.i), F.lit(False))
         kept = F.coalesce((F.col("key") > cut.key) | ((F.col("key") == cut.key) & no_later), F.lit(False))
     return score(base, ratio, text_col).withColumn("key", key).withColumn("kept", kept)
 
@@ -165,18 +166,20 @@ def scored_keys(docs: DataFrame, labels: DataFrame, seed: int, id_col: str, text
 def select_quality(docs: DataFrame, labels: DataFrame, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED, keep_share: float | None = None) -> DataFrame:
     """(doc_id, log_weight, n_features, key, kept), a row for each row of docs.
 
-    keep_share replaces the share of good labels if given.
+    keep_share replaces the share of good labels if given; the labels' id column is named id_col too.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = scored_keys(slim, labels, seed, "doc_id", "text", buckets, max_labelled, keep_share)
+    slim = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
+    found = scored_keys(slim, labels, seed, "doc_id", "text", buckets, max_labelled, keep_share, id_col)
     return found.select("doc_id", "log_weight", "n_features", "key", "kept")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED, keep_share: float | None = None) -> DataFrame:
     """The kept documents, with their own columns; no exchange of texts."""
-    return scored_keys(docs, labels, seed, id_col, text_col, buckets, max_labelled, keep_share).where("kept").select(docs.columns)
+    rows = packed(docs, doc_id=id_col, text=text_col)
+    return unpacked(scored_keys(rows, labels, seed, "doc_id", "text", buckets, max_labelled, keep_share, id_col).where("kept"), docs.columns)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
+    """Every document with its weight, key and whether it is kept; null and token-free texts are not kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return select_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -18,8 +18,9 @@ The repeated spans are written out before they are joined back: a span that stan
 documents is pre-aggregated on the map side and its join partition can be split.
 
 Defined cases: a null text stays null with 0 sentences; rows that share an id count as one document,
-whose rows remove nothing from each other; a row with a null id comes last; texts are processed
-whole. Columns of the input named n_sentences, n_removed or removed are replaced.
+whose rows remove nothing from each other; rows with a null id come last, in order of their texts' hashes, and only
+equal texts among them are one document; texts are processed whole; an empty table gives an empty one. Columns of the
+input named n_sentences, n_removed or removed in any case are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.scratch import written
+from fieldbook.llm.scratch import quoted, without, written
 from fieldbook.llm.textarrays import ALNUM, SOLID, byte_class, mix, pieces, powers, split_words
 
 RUN, MIN_WORDS = 2, 2
@@ -141,17 +142,19 @@ def _span_batches(batches):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"_fb_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_fb_th": F.xxhash64(F.col(id_col), F.col(text_col))})
+    return docs.withColumns({"_fb_id": F.coalesce(quoted(id_col).cast("long"), F.lit(_LAST)), "_fb_th": F.xxhash64(quoted(id_col), quoted(text_col))})
 
 
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_fb_id, _fb_th, cover): the ranges [first, last] of sentences to remove, for documents that have any."""
-    texts = _keyed(docs.select(id_col, text_col), id_col, text_col).where(F.col(text_col).isNotNull()).select("_fb_id", "_fb_th", text_col)
+    texts = _keyed(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col).where(quoted(text_col).isNotNull()).select("_fb_id", "_fb_th", quoted(text_col))
+    # rows without id are told apart by their texts
+    doc = F.struct("doc", F.when(F.col("doc") == _LAST, F.col("th")).otherwise(F.lit(0)).alias("th"))
     spans = texts.mapInArrow(_span_batches, _SPAN)
-    found = spans.where("not again").groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("doc").alias("home")).where("times > 1")
+    found = spans.where("not again").groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(doc).alias("home")).where("times > 1")
     repeated = written(found.drop("times"))
     mine = spans.where("again").select("doc", "th", "first", "last")
-    later = spans.where("not again").join(repeated, ["h1", "h2"]).where("doc > home").select("doc", "th", "first", "last")
+    later = spans.where("not again").join(repeated, ["h1", "h2"]).where(doc > F.col("home")).select("doc", "th", "first", "last")
     cover = mine.union(later).groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cover"))
     return written(cover.select(F.col("doc").alias("_fb_id"), F.col("th").alias("_fb_th"), "cover"))
 
@@ -206,14 +209,15 @@ def _cut_batches(text_at: int, cover_at: int):
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text left, n_sentences (before), n_removed and removed (code point spans cut out)."""
-    base = docs.select([c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")])
+    base = without(docs, "n_sentences n_removed removed")
     joined = _keyed(base, id_col, text_col).join(repeated_sentences(base, id_col, text_col), ["_fb_id", "_fb_th"], "left")
-    joined = joined.select(*base.columns, F.col("cover").alias("_fb_cover"))
+    joined = joined.select(*[quoted(c) for c in base.columns], F.col("cover").alias("_fb_cover"))
     schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL("n_sentences long, n_removed long, removed array<struct<start:long,end:long>>").fields])
     return joined.mapInArrow(_cut_batches(base.columns.index(text_col), len(base.columns)), schema)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document with the spans it loses; a null text has no sentences and loses none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
     return dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", F.array_join(spans, ",").alias("removed_spans"), F.sha2("text", 256).alias("text_sha256"))
