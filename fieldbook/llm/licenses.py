@@ -6,14 +6,14 @@ becomes the set of its adjacent word pairs; so do the templates. Dice = 2 * comm
 
 Size bounds prune first: a Dice of t needs sizes within [t / (2 - t), (2 - t) / t] of each other, so
 units outside every template's bounds are dropped before their bigrams are made, and a unit meets
-only the templates whose bounds hold its size. Before that, units without any cue word are passed
+only the templates whose bounds hold its size. Before that, units without any cue are passed
 over: a match shares at least t / (2 - t) of a template's bigrams, so once so many of them hold a cue that
 fewer are left, every matching unit contains one of the cues. The rest is an equi-join on bigrams and
 a count.
 
-Licences inside longer text: a text's lines are also cut at sentence ends, and every run of consecutive
-pieces (across lines) of up to a template's greatest size in words is a unit too. Only texts that hold t / (2 - t) of a
-template's bigrams anywhere can have one, and a run begins with a piece that holds some. Of
+Licences inside longer text, wrapped over lines or in the middle of one: a run of words that begins and ends with a
+template's bigrams is a unit too, for templates of at least ``MIN_RUN`` bigrams; its size is its number of word
+pairs. Only texts that hold t / (2 - t) of a template's bigrams anywhere can have one. Of
 overlapping runs the best is given, with the line where it begins; a run that meets a line with a row of its own,
 or a text that is the same licence as a whole, gives none.
 
@@ -24,17 +24,21 @@ in code-point order. Only the id and the text of the input are read, so other co
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldbook.llm.scratch import quoted, written
+
 THRESHOLD = 0.8
 #: templates are broadcast only up to this many bigrams
 BROADCAST_BIGRAMS = 1_000_000
 #: cues are drawn from templates of up to this many bigrams in all; beyond, units are pruned by size alone
 CUE_BIGRAMS = 20_000
+#: shorter templates (titles, SPDX lines) are found as lines alone, not inside them
+MIN_RUN = 4
 
 #: Notices by which texts declare a licence, written for this scan.
 TEMPLATES = [
@@ -103,16 +107,36 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPL
 
 
 def cue_words(grams: dict[int, list[str]], threshold: float) -> list[str]:
-    """Words of which every unit that matches a template holds at least one; long words first, as they are rare."""
-    cues = set()
-    for mine in grams.values():
-        need = len(mine) * threshold / (2 - threshold) - 1e-9
-        words = sorted({w for g in mine for w in g.split(" ")}, key=lambda w: (-len(w), w))
-        left = [g.split(" ") for g in mine]
-        while len(left) >= need:
-            word = words.pop(0)
-            cues.add(word)
-            left = [g for g in left if word not in g]
+    """Few strings of which every unit that matches a template holds at least one.
+
+    They are beginnings of words, taken greedily by how far they bring all templates: a template is done once
+    fewer bigrams are left without a cue than a match needs.
+    """
+    left = {(k, g) for k, mine in grams.items() for g in mine}
+    need = {k: len(mine) * threshold / (2 - threshold) - 1e-9 for k, mine in grams.items()}
+    holds: dict[str, set] = defaultdict(set)
+    for k, g in left:
+        for w in g.split(" "):
+            holds[w[:7]].add((k, g))
+            holds[w[:6]].add((k, g))
+    # where a beginning stands inside a word, it covers that word too
+    stems = [c for c in holds if len(c) >= 6]
+    for k, g in left:
+        for c in stems:
+            if c in g:
+                holds[c].add((k, g))
+    count, cues = Counter(k for k, _ in left), []
+    while todo := {k: count[k] - need[k] for k in count if count[k] >= need[k]}:
+        gain = {c: sum(1 / (todo[k] + 1) for k, _ in mine if k in todo) for c, mine in holds.items()}
+        # long beginnings first, as they are rare
+        best = max(gain, key=lambda c: (gain[c] > 0, min(len(c), 6), gain[c], c))
+        cues.append(best)
+        gone = holds.pop(best) & left
+        left -= gone
+        for k, _ in gone:
+            count[k] -= 1
+        for mine in holds.values():
+            mine -= gone
     return sorted(cues)
 
 
@@ -133,9 +157,10 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THRE
         for row in templates.select("template", "gram").distinct().collect():
             grams[row.template].append(row.gram)
     cues = cue_words(grams, threshold)
-    low_text = _once(F.lower(text_col)).alias("low")
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), low_text).where(F.col("t").isNotNull() & has_cue(F.col("low"), cues))
-    base = read.select("doc_id", F.xxhash64("t").alias("th"), "t")
+    low_text = _once(F.lower(quoted(text_col))).alias("low")
+    read = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("t"), low_text).where(F.col("t").isNotNull() & has_cue(F.col("low"), cues))
+    # few texts hold a cue: they are written out, so that all texts are looked through once
+    base = written(read.select("doc_id", F.xxhash64("t").alias("th"), "t"))
     # unit 0 is the whole text if it has several lines, unit k its line k - 1
     texts = F.concat(F.array(F.when(F.contains("t", F.lit("\n")), F.col("t"))), F.split("t", "\n"))
     # w words need at least 2w - 1 characters
@@ -149,59 +174,55 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, threshold: float = THRE
     dice = F.lit(2.0) * F.count_distinct("gram") / (F.max("n") + F.max("size"))
     found = met.groupBy("doc_id", "th", "line", "template", "license").agg(dice.alias("dice")).where(F.col("dice") >= threshold)
     best = F.row_number().over(Window.partitionBy("doc_id", "th", "line").orderBy(F.desc("dice"), "license", "template"))
-    rows = found.withColumn("k", best).where("k = 1").select("doc_id", "th", "line", "license", "dice")
+    rows = written(found.withColumn("k", best).where("k = 1").select("doc_id", "th", "line", "license", "dice"))
     return rows.drop("th").unionByName(_inner_runs(base, templates, rows, threshold))
 
 
 def _inner_runs(base: DataFrame, templates: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, line, license, dice): the best runs of pieces inside texts (doc_id, th, t), apart from known rows."""
+    """(doc_id, line, license, dice): the best runs of words inside texts (doc_id, th, t), apart from known rows."""
     share = threshold / (2 - threshold)
-    all_words = F.explode(F.array(normal_words(F.col("t")))).alias("w")
-    grams = base.select("doc_id", "th", all_words).select("doc_id", "th", F.explode(bigrams(F.col("w"))).alias("gram"))
-    held = grams.join(templates, "gram").groupBy("doc_id", "th", "template").agg(F.count_distinct("gram").alias("c"), F.max("size").alias("size")).where(F.col("c") >= F.col("size") * share - 1e-9)
-    mine = templates.groupBy("template", "license", "size").agg(F.collect_set("gram").alias("mine"))
-    some = held.drop("c", "size").withColumnRenamed("doc_id", "d").withColumnRenamed("th", "h")
-    texts = base.dropDuplicates(["doc_id", "th"]).join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).drop("d", "h").join(mine, "template")
-    # pieces: the sentences of each line, with the words they hold
-    pieces = F.flatten(F.transform(F.split("t", "\n"), lambda u, k: F.transform(F.split(u, r"(?<=[.!?])\s+"), lambda x: F.struct(k.alias("line"), normal_words(x).alias("w")))))
-    cut = texts.withColumn("p", F.filter(pieces, lambda x: F.size(x["w"]) > 0)).drop("t")
-    # where each piece ends in words; runs begin with a piece that holds a bigram of the template
-    ends = F.aggregate("p", F.array(F.lit(0)), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + F.size(x["w"]))))
-    cut = cut.where(F.size("p") > 0).withColumns({"at": ends, "w": F.flatten(F.col("p.w")), "lines": F.col("p.line")}).drop("p")
-    most = F.floor(F.col("size") / share + 1e-9).cast("int") + 1
-    begin = lambda k: F.get("at", k)
-    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.arrays_overlap(bigrams(F.slice("w", begin(k) + 1, begin(k + 1) - begin(k) + 1)), F.col("mine")))
-    near = F.transform(
-        starts,
-        lambda k: F.struct(
-            k.alias("first"),
-            F.slice("w", begin(k) + 1, most).alias("w"),
-            F.filter(F.transform(F.slice("at", k + 2, most), lambda e, j: F.struct((e - begin(k)).alias("n"), (k + j).alias("last"), F.get("lines", k + j).alias("line"))), lambda x: (x["n"] - 1 >= F.col("size") * share - 1e-9) & (x["n"] <= most)).alias("ends"),
-            F.get("lines", k).alias("line"),
-        ),
-    )
-    runs = cut.select("doc_id", "th", "template", "license", "size", "mine", F.explode(near).alias("r"))
-    runs = runs.select("doc_id", "th", "template", "license", "size", "mine", "r.first", "r.line", "r.w", F.explode("r.ends").alias("e"))
-    sets = runs.withColumn("g", F.expr("slice(w, 1, e.n)")).withColumn("g", bigrams(F.col("g")))
-    dice = F.lit(2.0) * F.size(F.array_intersect("g", "mine")) / (F.size("g") + F.col("size"))
-    found = sets.select("doc_id", "th", "first", F.col("e.last").alias("last"), "line", F.col("e.line").alias("line_end"), "license", "template", dice.alias("dice")).where(F.col("dice") >= threshold)
-    # runs that a line or the whole text already accounts for
-    known = rows.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("line").alias("at"), F.col("license").alias("lic"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))
-    found = found.join(known, same & (F.col("at").between(F.col("line"), F.col("line_end")) | ((F.col("at") == -1) & (F.col("lic") == F.col("license")))), "left_anti")
-    # the best run from each piece, then of those that overlap the best
-    best = found.groupBy("doc_id", "th", "first").agg(F.min(F.struct((-F.col("dice")).alias("worse"), "license", "template", "last", "line")).alias("x"))
-    order = F.array_sort(F.collect_list(F.struct("x.worse", "x.license", "x.template", "first", "x.last", "x.line"))).alias("all")
+    need, most = F.ceil(F.col("size") * share - 1e-9).cast("int"), F.floor(F.col("size") / share + 1e-9).cast("int")
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda x, y: F.concat_ws(" ", x, y))
+    grams = base.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", _once(normal_words(F.col("t"))).alias("w")).select("doc_id", "th", F.posexplode(pairs).alias("pos", "gram"))
+    met = grams.join(templates.where(F.col("size") >= MIN_RUN), "gram")
+    # a text's places of a template's bigrams, ascending
+    hits = met.groupBy("doc_id", "th", "template", "license", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("x")).where(F.size("x") >= need)
+    hits = hits.select("*", _once(F.col("x.pos")).alias("at"), _once(F.col("x.gram")).alias("g")).where(F.size(F.array_distinct("g")) >= need).drop("x")
+    # from each place that so many others follow closely enough, the best end
+    starts = F.filter(F.sequence(F.lit(0), F.size("at") - need), lambda k: F.get("at", k + need - 1) - F.get("at", k) < most)
+    begun = hits.select("*", F.explode(starts).alias("k")).withColumn("first", F.get("at", F.col("k")))
+    ends = F.filter(F.sequence(F.col("k") + need - 1, F.least(F.size("at") - 1, F.col("k") + most - 1)), lambda j: F.get("at", j) - F.col("first") < most)
+
+    def run(j: Column) -> Column:
+        common, long = F.size(F.array_distinct(F.slice("g", F.col("k") + 1, j - F.col("k") + 1))), F.get("at", j) - F.col("first") + 1
+        return F.struct((F.lit(-2.0) * common / (long + F.col("size"))).alias("worse"), (F.get("at", j) + 1).alias("last"))
+
+    found = begun.select("doc_id", "th", "template", "license", "first", _once(F.array_min(F.transform(ends, run))).alias("r")).where(F.col("r.worse") <= -threshold + 1e-12)
+    best = found.groupBy("doc_id", "th", "first").agg(F.min(F.struct("r.worse", "license", "template", "r.last")).alias("x"))
+    order = F.array_sort(F.collect_list(F.struct("x.worse", "x.license", "x.template", "first", "x.last"))).alias("all")
     kept = F.aggregate(
         "all", F.slice("all", 1, 0), lambda out, x: F.when(F.exists(out, lambda y: (x["first"] <= y["last"]) & (y["first"] <= x["last"])), out).otherwise(F.concat(out, F.array(x)))
     )
-    chosen = best.groupBy("doc_id", "th").agg(order).select("doc_id", "th", F.explode(kept).alias("x")).select("doc_id", "th", "x.line", "x.license", (-F.col("x.worse")).alias("dice"))
-    # two runs that begin in one line are one row
-    line = F.row_number().over(Window.partitionBy("doc_id", "th", "line", "license").orderBy(F.desc("dice")))
-    return chosen.withColumn("k", line).where("k = 1").drop("k", "th")
+    chosen = best.groupBy("doc_id", "th").agg(order).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), kept.alias("kept"))
+    # the lines of a run: how many lines end before its first and its last word
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))
+    texts = base.dropDuplicates(["doc_id", "th"]).join(chosen, same).drop("d", "h")
+    counts = texts.select("doc_id", "th", "kept", _once(F.transform(F.split("t", "\n"), lambda u: F.size(normal_words(u)))).alias("words"))
+    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("line"))
+
+    def line_of(place: Column) -> Column:
+        return F.aggregate("words", zero, lambda out, c: F.struct((out["sum"] + c).alias("sum"), (out["line"] + F.when(out["sum"] + c <= place, 1).otherwise(0)).alias("line")), lambda out: out["line"])
+
+    out = counts.select("doc_id", "th", "words", F.explode("kept").alias("x")).select("doc_id", "th", line_of(F.col("x.first")).alias("line"), line_of(F.col("x.last")).alias("line_end"), "x.license", (-F.col("x.worse")).alias("dice"))
+    # runs that a line or the whole text already accounts for
+    known = rows.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("line").alias("at"), F.col("license").alias("lic"))
+    out = out.join(known, same & (F.col("at").between(F.col("line"), F.col("line_end")) | ((F.col("at") == -1) & (F.col("lic") == F.col("license")))), "left_anti")
+    return out.groupBy("doc_id", "th", "line", "license").agg(F.max("dice").alias("dice")).drop("th")
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
+    """A row for each licence found in any document; null and empty texts give none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan_licenses(docs, template_table(spark, TEMPLATES + TEXTS))
 
