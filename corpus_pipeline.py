@@ -1,8 +1,9 @@
 """The corpus pipeline: documents through five stages, each written out and read again.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all documents its
-predecessor kept, and returns what is left with the columns of documents. Tables a stage needs
-besides (labels, benchmark) are read from sf_dir.
+predecessor kept, and returns what is left with the columns of documents: further columns are kept with their values,
+whatever their names, and an empty table gives an empty one. Tables a stage needs besides (labels, benchmark) are read
+from sf_dir.
 """
 
 from __future__ import annotations
@@ -15,34 +16,37 @@ from fieldbook.llm.line_dedup import dedup_lines
 from fieldbook.llm.mixing import mix
 from fieldbook.llm.near_dedup import drop_near_duplicates
 from fieldbook.llm.quality import keep_quality
-from fieldbook.llm.scratch import written
+from fieldbook.llm.scratch import packed, unpacked, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality classifier keeps."""
+    """Documents the quality classifier keeps; null and token-free texts go."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated three-line windows; one that thereby loses all its text goes."""
-    out = dedup_lines(docs)
-    gone = (F.col("n_removed") > 0) & (F.trim("text") == "")
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", length).select(docs.columns)
+    """Documents without repeated three-line windows; one that thereby loses all its text goes.
+
+    n_chars is counted anew where lines go; other columns keep their values. A null text stays.
+    """
+    out = dedup_lines(packed(docs, doc_id="doc_id", text="text"))
+    gone = F.coalesce((F.col("n_removed") > 0) & (F.trim("text") == ""), F.lit(False))
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_fb_row").getField("n_chars"))
+    return unpacked(out.where(~gone), docs.columns, text=F.col("text"), n_chars=length)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near copies (five words, similarity 0.8)."""
+    """One document, the smallest id, of each group of near copies (five words, similarity 0.8); null ids and texts stay."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten-word window of a benchmark item."""
+    """Documents that hold no ten-word window of a benchmark item; null texts stay."""
     return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that sources meet their target weights."""
+    """Documents repeated so that sources meet their target weights; a null source is one, a source without words goes."""
     return mix(docs)
 
 
