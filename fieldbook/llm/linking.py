@@ -4,10 +4,12 @@ Both near-duplicate texts and copied images come down to this: members (bucket,
 buckets a vertex lies in, a confirming function keeps the pairs that really belong together, and
 what is wanted are the components of the confirmed pairs.
 
-Each bucket first pairs its members with its smallest vertex only. Buckets whose members still lie in
-several components after that are open: their members are compared across components, never inside
-one, and each pair in the smallest of its common buckets only; sketches decide inside the join which
-pairs go on to be confirmed. So every pair in a bucket is confirmed, refused, or already inside one component.
+A bucket's pivot is its smallest vertex. First each vertex is paired with the smallest of its pivots only, so a group
+of copies that shares many buckets makes one pair a vertex. Then buckets whose members still lie in several
+components stay open, and each vertex goes on to further pivots of other components: up to 4, 16, 64 and so on at a
+time, until none is left. What is still open after that is compared across components, never inside one, and each
+pair in the smallest of its common buckets only; sketches decide inside the join which pairs go on to be
+confirmed. So every pair in a bucket is confirmed, refused, ruled out by its sketches, or already inside one component.
 """
 
 from __future__ import annotations
@@ -42,31 +44,59 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def link_in_buckets(
-    vertices: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]], alike: str = "true", close: str = "true"
+    vertices: DataFrame,
+    prepare: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
+    alike: str = "true",
+    close: str = "true",
+    pick: str = "f",
 ) -> tuple[DataFrame, DataFrame]:
     """Confirmed edges (a, b), and their components (v, c).
 
     vertices: (bucket, v, tv, s). prepare gets the distinct (v, tv) that share a bucket, and returns
     their sketches (v, tv, f) and a function from distinct pairs (a, ta, b, tb) to the (a, b) that
     hold. alike is an SQL condition on s and sb, and close one on the sketches f and fb, that any
-    pair worth confirming meets.
+    pair worth confirming meets; pick is an SQL expression for the part of f that counts in a bucket.
     """
-    pair = [F.col("v").alias("a"), F.col("tv").alias("ta"), "b", "tb"]
     first = [F.min("v").alias("b"), F.min_by("tv", "v").alias("tb"), F.min_by("s", "v").alias("sb")]
     pivots = vertices.groupBy("bucket").agg(F.count("*").alias("times"), *first).where("times > 1").drop("times")
     members = written(vertices.join(written(pivots), "bucket"))
-    pairs = written(members.where("v <> b").where(alike).select(pair).distinct())
     sketches, confirm = prepare(members.select("v", "tv").distinct())
-    links = written(confirm(pairs))
+    side = F.struct("b", "tb")
+    pairs = members.where("v <> b").where(alike).groupBy("v", "tv").agg(F.min(side).alias("p"))
+    tried = written(pairs.select(F.col("v").alias("a"), F.col("tv").alias("ta"), "p.b", "p.tb"))
+    links = written(confirm(tried))
     labels = components(links)
 
-    # open buckets: their members have several names
-    named = members.select("bucket", "v", "tv", "s").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    spread = written(named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket"))
-    still = written(named.join(spread, "bucket"))
+    still, quota = _open(members, labels), 4
+    while True:
+        left = still.where("v <> b and c <> cb").where(alike).groupBy("v", "tv").agg(F.collect_set(side).alias("p"))
+        # a vertex has no more pivots than buckets
+        done = tried.groupBy(F.col("a").alias("v"), F.col("ta").alias("tv")).agg(F.collect_set(side).alias("done"))
+        left = left.join(done, ["v", "tv"], "left").select("v", "tv", F.array_except("p", F.coalesce("done", F.slice("p", 1, 0))).alias("p"))
+        turn = left.select(F.col("v").alias("a"), F.col("tv").alias("ta"), F.explode(F.slice(F.array_sort("p"), 1, quota)).alias("p")).select("a", "ta", "p.b", "p.tb")
+        turn, quota = written(turn), 4 * quota
+        if not turn.limit(1).count():
+            break
+        tried, found = tried.union(turn), written(confirm(turn))
+        if found.limit(1).count():
+            links = links.union(found)
+            labels = components(links)
+            still = _open(still, labels)
+
     own = still.groupBy("v").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
-    full = written(still.join(own, "v").join(sketches, ["v", "tv"]))
+    full = still.join(own, "v").join(sketches, ["v", "tv"]).withColumn("f", F.expr(pick))
+    full = written(full.select("bucket", "v", "tv", "s", "c", "f", "own", F.col("b").alias("pivot")))
     other = full.select("bucket", *[F.col(x).alias(y) for x, y in (("v", "b"), ("tv", "tb"), ("s", "sb"), ("c", "cb"), ("f", "fb"), ("own", "ownb"))])
-    more = full.join(other, "bucket").where(f"v < b and c <> cb and {alike} and {close} and array_min(array_intersect(own, ownb)) = bucket")
-    links = links.union(written(confirm(more.select(pair))))
-    return links, components(links)
+    more = full.join(other, "bucket").where(f"v < b and v <> pivot and c <> cb and {alike} and {close} and array_min(array_intersect(own, ownb)) = bucket")
+    found = written(confirm(more.select(F.col("v").alias("a"), F.col("tv").alias("ta"), "b", "tb")))
+    if found.limit(1).count():
+        links = links.union(found)
+        labels = components(links)
+    return links, labels
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that have several components, with their component c and their pivot's cb."""
+    named = members.drop("c", "cb").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    spread = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("c", "v").alias("cb"))
+    return written(named.join(written(spread.where("low <> high").select("bucket", "cb")), "bucket"))

@@ -1,16 +1,21 @@
-"""Copied images by local descriptors: cropped or edited copies found without comparing all pairs.
+"""Copied images by local descriptors: cropped, resized, turned or edited copies found without comparing all pairs.
 
-1. Decode (binary PGM, PPM, or 8-bit PNG without interlace) to grey.
-2. At each scale of a pyramid, take the strongest corners (Harris response, 3x3 maxima).
+1. Decode (binary PGM, PPM, or 8-bit PNG without interlace) to grey; an image of more than 512 x 512 pixels is
+   halved until it has no more.
+2. At each scale of a smoothed pyramid (five levels, each smaller by 1.2) every corner is taken that has the greatest
+   Harris response within 3 pixels, so corners grow with the area and do not depend on what a crop left out.
 3. Turn each corner's patch by its intensity centroid and make 256 binary brightness tests.
 4. Hamming tables: an equal 64-bit word, of the four that a descriptor has, puts two images in one bucket; equal
-   contents are one vertex, and buckets are linked without emitting all their pairs.
+   contents are one vertex, and buckets are linked without emitting all their pairs (see linking). What is still to
+   compare across the components of one bucket must have descriptors there that differ in at most ``max_bits`` bits.
 5. A pair of images is confirmed by geometric consensus: corners whose descriptors differ in at most
-   ``max_bits`` bits vote for a similarity transform, and at least ``min_votes`` must agree with the best one.
+   ``max_bits`` bits vote for a similarity transform, and at least ``min_votes`` must agree with one of them in place,
+   scale and turn.
 
 Defined cases: null, empty or undecodable content has no corners: with null or empty content an image is linked with
 nothing, equal undecodable contents are one class; an image with too few corners links only to equal
-contents; rows that share an id are one vertex, which shows the content of smallest SHA-256. Only the id and the content of the input are read.
+contents; rows that share an id are one vertex, which shows the content of smallest SHA-256; an image without id keeps
+the null id as its class. Only the id and the content of the input are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.llm.linking import link_in_buckets
-from fieldbook.llm.scratch import written
+from fieldbook.llm.scratch import quoted, written
 
-CORNERS, SCALES, RADIUS = 12, (1.0, 0.75, 0.5), 9
+#: a patch's radius; the pyramid; how far a corner is the strongest; the most pixels described
+RADIUS, LEVELS, STEP, APART, PIXELS = 12, 5, 1.2, 3, 512 * 512
+MAX_BITS, MIN_VOTES = 40, 5
 TABLES = 4
 _PNM = re.compile(rb"P([56])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+255\s")
 _rng = np.random.default_rng(4)
 #: where the binary tests compare: 256 pairs of points within a disc around the corner
-PATTERN = np.clip(_rng.normal(0, RADIUS / 2.5, (256, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7)
+PATTERN = np.clip(_rng.normal(0, RADIUS / 2.5, (256, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7).astype(np.float32)
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -80,77 +87,81 @@ def _png(data: bytes) -> np.ndarray:
     return grey[:, :, : 3 if depth > 2 else 1].mean(axis=2).astype(np.float32)
 
 
-def _resize(stack: np.ndarray, factor: float) -> np.ndarray:
-    """Bilinear resize of images (n, h, w)."""
-    if factor == 1.0:
+def _resize(stack: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bilinear resize of images (n, height, width)."""
+    high, wide = stack.shape[1:]
+    if (h, w) == (high, wide):
         return stack
-    h, w = (max(1, round(n * factor)) for n in stack.shape[1:])
-    y = np.clip((np.arange(h) + 0.5) / factor - 0.5, 0, stack.shape[1] - 1)
-    x = np.clip((np.arange(w) + 0.5) / factor - 0.5, 0, stack.shape[2] - 1)
-    y0, x0 = np.minimum(y.astype(int), max(stack.shape[1] - 2, 0)), np.minimum(x.astype(int), max(stack.shape[2] - 2, 0))
-    y1, x1 = np.minimum(y0 + 1, stack.shape[1] - 1), np.minimum(x0 + 1, stack.shape[2] - 1)
+    y = np.clip((np.arange(h) + 0.5) * high / h - 0.5, 0, high - 1)
+    x = np.clip((np.arange(w) + 0.5) * wide / w - 0.5, 0, wide - 1)
+    y0, x0 = np.minimum(y.astype(int), max(high - 2, 0)), np.minimum(x.astype(int), max(wide - 2, 0))
+    y1, x1 = np.minimum(y0 + 1, high - 1), np.minimum(x0 + 1, wide - 1)
     fy, fx = (y - y0).astype(np.float32)[:, None], (x - x0).astype(np.float32)
-    top = stack[:, y0][:, :, x0] * (1 - fx) + stack[:, y0][:, :, x1] * fx
-    low = stack[:, y1][:, :, x0] * (1 - fx) + stack[:, y1][:, :, x1] * fx
-    return top * (1 - fy) + low * fy
+    rows = stack[:, y0] * (1 - fy) + stack[:, y1] * fy
+    return rows[:, :, x0] * (1 - fx) + rows[:, :, x1] * fx
 
 
-def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Sums over (2r + 1)-squares, with edges repeated."""
+def _near(a: np.ndarray, r: int, op: np.ufunc) -> np.ndarray:
+    """op over (2r + 1)-squares, with edges repeated."""
     for axis in (1, 2):
         pad = [(0, 0)] * 3
-        pad[axis] = (r + 1, r)
-        c = np.cumsum(np.pad(a, pad, mode="edge"), axis=axis, dtype=np.float64)
-        n = a.shape[axis]
-        a = (np.take(c, range(2 * r + 1, n + 2 * r + 1), axis) - np.take(c, range(n), axis)).astype(np.float32)
+        pad[axis] = (r, r)
+        wide, n = np.pad(a, pad, mode="edge"), a.shape[axis]
+        cut = (lambda k: wide[:, k : k + n]) if axis == 1 else (lambda k: wide[:, :, k : k + n])  # noqa: B023
+        a = cut(0).copy()
+        for k in range(1, 2 * r + 1):
+            op(a, cut(k), out=a)
     return a
 
 
-def describe_stack(stack: np.ndarray, corners: int = CORNERS) -> list[tuple[np.ndarray, np.ndarray]]:
+def _smooth(a: np.ndarray) -> np.ndarray:
+    """The binomial filter 1 2 1 along both axes."""
+    for axis in (1, 2):
+        pad = [(0, 0)] * 3
+        pad[axis] = (1, 1)
+        wide = np.pad(a, pad, mode="edge")
+        a = (wide[:, :-2] + wide[:, 2:] if axis == 1 else wide[:, :, :-2] + wide[:, :, 2:]) * np.float32(0.25) + a * np.float32(0.5)
+    return a
+
+
+_disc = [(y, x) for y in range(-RADIUS + 2, RADIUS - 1) for x in range(-RADIUS + 2, RADIUS - 1) if y * y + x * x <= (RADIUS - 2) ** 2]
+DISC_Y, DISC_X = (np.array(side) for side in zip(*_disc))
+
+
+def describe_stack(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each image of one shape: corners (x, y, scale, angle) and descriptors (corner, 4 words of 64 bits)."""
     points: list[list[np.ndarray]] = [[] for _ in stack]
     words: list[list[np.ndarray]] = [[] for _ in stack]
-    edge = RADIUS + 1
-    for factor in SCALES:
-        level = _resize(stack, factor)
+    edge, (high, wide) = RADIUS + 1, stack.shape[1:]
+    level = stack.astype(np.float32)
+    while level.shape[1] * level.shape[2] > PIXELS:
+        level = _resize(_smooth(level), max(1, level.shape[1] // 2), max(1, level.shape[2] // 2))
+    full, level = level.shape[1:], _smooth(_smooth(level))
+    for k in range(LEVELS):
+        if k:
+            level = _resize(_smooth(level), max(1, round(full[0] / STEP**k)), max(1, round(full[1] / STEP**k)))
         n, h, w = level.shape
         if h <= 2 * edge or w <= 2 * edge:
-            continue
+            break
         gy, gx = np.gradient(level, axis=(1, 2))
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        score = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        inner = score[:, edge - 1 : h - edge + 1, edge - 1 : w - edge + 1]
-        mid = inner[:, 1:-1, 1:-1]
-        peak = mid > 1.0
-        for dy in range(3):
-            for dx in range(3):
-                if (dy, dx) != (1, 1):
-                    peak &= mid >= inner[:, dy : dy + mid.shape[1], dx : dx + mid.shape[2]]
-        flat = np.where(peak, mid, 0).reshape(n, -1)
-        k = min(corners, flat.shape[1])
-        best = np.argpartition(-flat, k - 1, axis=1)[:, :k]
-        real = np.take_along_axis(flat, best, 1) > 0
-        image = np.repeat(np.arange(n), k)[real.ravel()]
-        y, x = best // mid.shape[2] + edge, best % mid.shape[2] + edge
-        y, x = y.ravel()[real.ravel()], x.ravel()[real.ravel()]
+        xx, yy, xy = (_near(g, 2, np.add) for g in (gx * gx, gy * gy, gx * gy))
+        score = xx * yy - xy * xy - np.float32(0.05) * (xx + yy) ** 2
+        peak = (score > 1.0) & (score == _near(score, APART, np.maximum))
+        image, y, x = np.nonzero(peak[:, edge : h - edge, edge : w - edge])
         if not len(image):
             continue
-        smooth = _box(level, 1)
-        span = np.arange(-RADIUS + 2, RADIUS - 1)
-        oy, ox = (a.ravel() for a in np.meshgrid(span, span, indexing="ij"))
-        disc = oy * oy + ox * ox <= (RADIUS - 2) ** 2
-        oy, ox = oy[disc], ox[disc]
-        patch = level[image[:, None], y[:, None] + oy, x[:, None] + ox]
-        angle = np.arctan2(patch @ oy.astype(np.float32), patch @ ox.astype(np.float32))
+        y, x = y + edge, x + edge
+        at = (image * h + y) * w + x
+        patch = level.ravel()[at[:, None] + (DISC_Y * w + DISC_X)]
+        angle = np.arctan2(patch @ DISC_Y.astype(np.float32), patch @ DISC_X.astype(np.float32))
         c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        value = []
+        flat, value = _near(level, 2, np.add).ravel(), []
         for end in (0, 1):
             px, py = PATTERN[:, end, 0], PATTERN[:, end, 1]
-            ty = np.rint(y[:, None] + s * px + c * py).astype(int)
-            tx = np.rint(x[:, None] + c * px - s * py).astype(int)
-            value.append(smooth[image[:, None], ty, tx])
+            value.append(flat[at[:, None] + np.rint(s * px + c * py).astype(int) * w + np.rint(c * px - s * py).astype(int)])
         bits = np.packbits(value[0] < value[1], axis=1).view(np.int64).reshape(len(image), 4)
-        place = np.stack([x / factor, y / factor, np.full(len(x), 1 / factor), angle], axis=1).astype(np.float32)
+        zoom = np.sqrt(high * wide / (h * w))
+        place = np.stack([(x + 0.5) * wide / w, (y + 0.5) * high / h, np.full(len(x), zoom), angle], axis=1).astype(np.float32)
         bounds = np.searchsorted(image, np.arange(n + 1))
         for i in range(n):
             points[i].append(place[bounds[i] : bounds[i + 1]])
@@ -162,8 +173,8 @@ def describe_stack(stack: np.ndarray, corners: int = CORNERS) -> list[tuple[np.n
 def _describe_batches(batches):
     """(v, print, content) to (v, print, points, words): points and words as flat arrays."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
             images = [decode(x.as_py()) for x in part.column(2)]
             points, words = [None] * len(images), [None] * len(images)
             shapes: dict[tuple, list[int]] = {}
@@ -178,49 +189,60 @@ def _describe_batches(batches):
             )
 
 
-def consensus(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray, max_bits: int, tolerance: float = 0.04) -> int:
-    """How many corners of the first image agree with one similarity transform into the second."""
+def consensus(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray, max_bits: int = MAX_BITS, enough: int | None = None) -> int:
+    """How many corners of the first image agree with one similarity transform into the second; stops at enough."""
     if not len(p) or not len(q):
         return 0
-    far = np.bitwise_count(d.view(np.uint64)[:, None, :] ^ e.view(np.uint64)[None, :, :]).sum(axis=2)
+    far = np.bitwise_count(d.view(np.uint64)[:, None, :] ^ e.view(np.uint64)[None, :, :]).sum(axis=2, dtype=np.int32)
     near = far.argmin(axis=1)
-    i = np.flatnonzero(far[np.arange(len(p)), near] <= max_bits)
-    if not len(i):
+    bits = far[np.arange(len(p)), near]
+    i = np.flatnonzero(bits <= max_bits)
+    if len(i) < (enough or 1):
         return 0
+    i = i[np.argsort(bits[i], kind="stable")]
     a, b = p[i], q[near[i]]
-    most, size = 0, max(float(np.ptp(p[:, :2], axis=0).max()), 16.0)
-    # each match fixes scale, turn and shift on its own
-    for one, two in zip(a, b):
-        zoom, turn = two[2] / one[2], two[3] - one[3]
-        m = zoom * np.array([[np.cos(turn), -np.sin(turn)], [np.sin(turn), np.cos(turn)]])
-        off = (a[:, :2] - one[:2]) @ m.T + two[:2] - b[:, :2]
-        good = np.hypot(off[:, 0], off[:, 1]) <= max(3.0, tolerance * size)
-        most = max(most, len(np.unique(np.rint(b[good, :2] / 3), axis=0)))
+    most = 0
+    zooms, turns = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
+    # each match fixes scale, turn and shift on its own; the best matches come first
+    for k in range(len(i)):
+        c, s = zooms[k] * np.cos(turns[k]), zooms[k] * np.sin(turns[k])
+        x, y = a[:, 0] - a[k, 0], a[:, 1] - a[k, 1]
+        off = np.hypot(c * x - s * y + b[k, 0] - b[:, 0], s * x + c * y + b[k, 1] - b[:, 1])
+        turned = np.abs((turns - turns[k] + np.pi) % (2 * np.pi) - np.pi)
+        scaled = np.abs(np.log(zooms / zooms[k]))
+        # a corner may be off by 3 pixels of its level, and by what an angle of 7 degrees or a scale 7 % off moves it
+        good = (off <= 3 * b[:, 2] + 0.12 * zooms[k] * np.hypot(x, y)) & (turned <= 0.5) & (scaled <= 0.3)
+        if good.sum() > most:
+            # corners at one place of either image count once
+            most = max(most, min(len(np.unique(np.rint(side[good, :2] / 3), axis=0)) for side in (a, b)))
+            if enough and most >= enough:
+                break
     return most
 
 
 def _confirm_batches(max_bits: int, min_votes: int):
-    shape = lambda x, t: np.array(x, t).reshape(-1, 4)
+    def rows(column, kind):
+        """The rows of an array column, each as a matrix of four columns."""
+        flat, at = np.asarray(column.flatten()).astype(kind, copy=False), column.offsets.to_numpy()
+        at = at - at[0]
+        return [flat[x:y].reshape(-1, 4) for x, y in zip(at[:-1], at[1:])]
 
     def run(batches):
         for batch in batches:
-            c = batch.to_pydict()
-            keep = [
-                consensus(shape(p, np.float32), shape(d, np.int64), shape(q, np.float32), shape(e, np.int64), max_bits) >= min_votes
-                for p, d, q, e in zip(c["pa"], c["wa"], c["pb"], c["wb"])
-            ]
-            mask = pa.array(keep, pa.bool_())
+            pa_, wa, pb, wb = (rows(batch.column(k), t) for k, t in ((2, np.float32), (3, np.int64), (4, np.float32), (5, np.int64)))
+            mask = pa.array([consensus(*x, max_bits, min_votes) >= min_votes for x in zip(pa_, wa, pb, wb)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run
 
 
-def find_copies(images: DataFrame, id_col: str = "image_id", content_col: str = "content", max_bits: int = 48, min_votes: int = 5, tables: int = TABLES) -> DataFrame:
+def find_copies(images: DataFrame, id_col: str = "image_id", content_col: str = "content", max_bits: int = MAX_BITS, min_votes: int = MIN_VOTES) -> DataFrame:
     """(image_id, n_corners, class_id, n_links), a row for each row of images.
 
-    class_id is the smallest id of the image's class; n_links counts confirmed pairs of its content.
+    class_id is the smallest id of the image's class; n_links counts the confirmed pairs of its content, of which
+    there are enough to hold each class together: pairs inside a class are not all compared.
     """
-    rows = images.select(F.col(id_col).cast("long").alias("image_id"), F.sha2(F.col(content_col), 256).alias("print"), F.col(content_col).alias("content"))
+    rows = images.select(quoted(id_col).cast("long").alias("image_id"), F.sha2(quoted(content_col), 256).alias("print"), quoted(content_col).alias("content"))
     ids = written(rows.select("image_id", "print", (F.octet_length("content") > 0).alias("some")))
     prints = written(ids.where("some and image_id is not null").groupBy("print").agg(F.min("image_id").alias("v")))
     # each vertex shows one content; images are described where they are read, and only descriptors are shuffled
@@ -228,7 +250,7 @@ def find_copies(images: DataFrame, id_col: str = "image_id", content_col: str =
     described = rows.mapInArrow(_describe_batches, "v long, print string, points array<float>, words array<long>")
     known = written(described.join(shown.hint("merge"), ["v", "print"]).dropDuplicates(["v", "print"]).drop("print"))
     # the keys of an image once each: an equal word in the same table
-    keys = F.array_distinct(F.transform("words", lambda w, k: F.xxhash64(k % tables, w)))
+    keys = F.array_distinct(F.transform("words", lambda w, k: F.xxhash64(k % TABLES, w)))
     one = known.select("v", F.explode(keys).alias("bucket"))
     vertices = one.select("bucket", "v", F.lit(0).cast("long").alias("tv"), F.lit(0).cast("long").alias("s"))
 
@@ -238,9 +260,12 @@ def find_copies(images: DataFrame, id_col: str = "image_id", content_col: str =
             both = left.join(known.select(F.col("v").alias("b"), F.col("points").alias("pb"), F.col("words").alias("wb")), "b")
             return both.select("a", "b", "pa", "wa", "pb", "wb").mapInArrow(_confirm_batches(max_bits, min_votes), "a long, b long")
 
-        return known.select("v", F.lit(0).cast("long").alias("tv"), F.lit(0).alias("f")), confirm
+        return known.select("v", F.lit(0).cast("long").alias("tv"), F.col("words").alias("f")), confirm
 
-    edges, labels = link_in_buckets(vertices, prepare)
+    # the descriptors that an image has in a bucket, and whether two of them are close
+    there = f"transform(filter(sequence(0, size(f) - 1), k -> xxhash64(k % {TABLES}, f[k]) = bucket), k -> slice(f, k - k % {TABLES} + 1, {TABLES}))"
+    differ = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(TABLES))
+    edges, labels = link_in_buckets(vertices, prepare, close=f"exists(f, x -> exists(fb, y -> {differ} <= {max_bits}))", pick=there)
     links = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
     facts = known.select("v", (F.size("words") / 4).cast("long").alias("n_corners")).join(labels, "v", "left").join(links, "v", "left")
     # the content's vertex by its print; a content that repeats is looked up by all its rows
@@ -261,7 +286,7 @@ SIDE = 72
 def _draw_batches(batches):
     """Two images a vector: drawn from its values, and a cropped, brightened copy."""
     rng = np.random.default_rng(44)
-    basis = _box(_box(rng.normal(0, 1, (64, SIDE, SIDE)).astype(np.float32), 1), 1).reshape(64, -1)
+    basis = _near(_near(rng.normal(0, 1, (64, SIDE, SIDE)).astype(np.float32), 1, np.add), 1, np.add).reshape(64, -1)
     head = f"P5 {SIDE} {SIDE} 255\n".encode()
     small = f"P5 {SIDE - 8} {SIDE - 6} 255\n".encode()
     for batch in batches:
@@ -283,4 +308,5 @@ def drawn_images(embeddings: DataFrame) -> DataFrame:
 
 
 def op4_image_copies(spark, sf_dir: str) -> DataFrame:
+    """Every drawn picture with its class; a null vector is a flat picture without corners."""
     return find_copies(drawn_images(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
