@@ -57,8 +57,9 @@ def canonical_json(text: Column | str) -> Column:
 
 
 def fields_hash(*fields: Column) -> Column:
-    """SHA-256 over fields, null as empty, with a separator that text rarely holds."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields]), 256)
+    """SHA-256 over fields, each with its length before it and null as ``-``, so no two lists of fields read alike."""
+    texts = [f.cast("string") for f in fields]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
 
 
 def seal_hash(content: Column, signatures: Column, previous: Column) -> Column:

@@ -73,10 +73,12 @@ def states_no_evidence(sentence: Column) -> Column:
 
 def forbidden_rule(sentence: Column) -> Column:
     """The number of the first forbidden wording in a sentence, or null."""
-    out = F.when(sentence.rlike(FORBIDDEN[0][2]), 0)
+    # most sentences hold none, which one pattern over all tells
+    some = sentence.rlike("|".join(f"(?:{pattern})" for _, _, pattern in FORBIDDEN))
+    rules = F.when(sentence.rlike(FORBIDDEN[0][2]), 0)
     for k, (_, _, pattern) in enumerate(FORBIDDEN[1:], 1):
-        out = out.when(sentence.rlike(pattern), k)
-    return out
+        rules = rules.when(sentence.rlike(pattern), k)
+    return F.when(some, rules)
 
 
 def forbidden_reason(rule: Column) -> Column:

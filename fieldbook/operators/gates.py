@@ -31,21 +31,21 @@ def sentences(entries: DataFrame, key: str = "event_id", text: str = "text") ->
 def g1_evidence(entries: DataFrame, ledger: DataFrame, rows: DataFrame | None = None, key: str = "event_id") -> DataFrame:
     """Unmapped sentences, citations that are not in the ledger, forbidden wording, metric rows without evidence.
 
-    A sentence without citation gets no other check.
+    A sentence without citation gets no other check. Each input is read once: its checks and its citations are one
+    array, and what is cited is looked up in one anti join.
     """
     s = sentences(entries, key)
-    cited = s.where(F.size("cites") > 0)
-    known = ledger.select(F.col("id").alias("cite"))
-    out = [
-        s.where((F.size("cites") == 0) & ~F.col("exempt")).select(_violation(F.col(key), "G1", "unmapped", "high")),
-        cited.select(key, "n", F.explode("cites").alias("cite")).join(known, "cite", "left_anti").select(_violation(F.col(key), "G1", "ghost", "high")),
-        cited.where(tx.forbidden_rule(F.col("sentence")).isNotNull()).select(_violation(F.col(key), "G1", "forbidden", "normal")),
-    ]
+    none = F.size("cites") == 0
+    check = lambda name, severity, cite=None: F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"), (F.lit(None).cast("string") if cite is None else cite).alias("cite"))
+    own = F.array(F.when(none & ~F.col("exempt"), check("unmapped", "high")), F.when(~none & tx.forbidden_rule(F.col("sentence")).isNotNull(), check("forbidden", "normal")))
+    cited = F.transform("cites", lambda c: check("ghost", "high", c))
+    found = s.select(F.col(key).cast("string").alias("location"), F.explode(F.concat(F.filter(own, lambda x: x.isNotNull()), cited)).alias("x"))
     if rows is not None:
-        out.append(rows.where("evidence is null").select(_violation(F.col("row_id"), "G1", "no_evidence", "high")))
-        ghosts = rows.where("evidence is not null").join(known, F.col("evidence") == F.col("cite"), "left_anti")
-        out.append(ghosts.select(_violation(F.col("row_id"), "G1", "ghost", "high")))
-    return union_all(out)
+        evidence = F.when(F.col("evidence").isNull(), check("no_evidence", "high")).otherwise(check("ghost", "high", F.col("evidence")))
+        found = found.unionByName(rows.select(F.col("row_id").cast("string").alias("location"), evidence.alias("x")))
+    known = ledger.select(F.col("id").alias("cite"), F.lit(True).alias("known")).distinct()
+    found = found.select("location", F.lit("G1").alias("gate"), "x.check", "x.severity", "x.cite").join(known, "cite", "left")
+    return found.where("check <> 'ghost' or known is null").select("location", "gate", "check", "severity")
 
 
 def month_buckets(start: Column, end: Column) -> Column:
@@ -62,9 +62,24 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], id_col: str
 
 
 def g2_overlap(notes: DataFrame) -> DataFrame:
-    """Notes whose period overlaps a sealed note of the same project, other than itself."""
+    """Notes whose period overlaps a sealed note of the same project, other than itself and what it revises or is revised by.
+
+    supersedes, where notes have it, names the note that one revises.
+    """
     sealed = notes.where("state = 'sealed'")
-    return overlapping(notes, sealed, ["project"]).where("note_id <> other").select(_violation(F.col("note_id"), "G2", "overlap", "high"))
+    pairs = overlapping(notes, sealed, ["project"]).where("note_id <> other")
+    if "supersedes" in notes.columns:
+        chains = notes.where("supersedes is not null").select("project", F.col("note_id").alias("x"), F.col("supersedes").alias("y"))
+        both = chains.union(chains.select("project", "y", "x")).distinct().select("project", F.col("x").alias("note_id"), F.col("y").alias("other"))
+        pairs = pairs.join(both, ["project", "note_id", "other"], "left_anti")
+    return pairs.select(_violation(F.col("note_id"), "G2", "overlap", "high"))
+
+
+def g2_duplicate(notes: DataFrame, key: str = "row_id") -> DataFrame:
+    """Rows whose note_id another, sealed row has too: ids are counted, no pairs are made."""
+    n = notes.groupBy("note_id").agg(F.count_if(F.col("state") == "sealed").alias("sealed"))
+    own = (F.col("state") == "sealed").cast("long")
+    return notes.join(n.where("sealed > 0"), "note_id").where(F.col("sealed") > own).select(_violation(F.col(key), "G2", "duplicate_id", "high"))
 
 
 def g2_contradiction(rows: DataFrame) -> DataFrame:
@@ -78,31 +93,43 @@ def g2_contradiction(rows: DataFrame) -> DataFrame:
 
 
 def g2_regression(rows: DataFrame) -> DataFrame:
-    """Rows of monotonic metrics worse than an earlier sealed row: a running best, no pairs."""
-    w = Window.partitionBy("key").orderBy("end").rangeBetween(Window.unboundedPreceding, -1)
-    sealed = F.when(F.col("state") == "sealed", F.col("value"))
-    days = F.datediff("end", F.lit("1970-01-01").cast("date"))
-    best = rows.withColumn("end", days).withColumns({"most": F.max(sealed).over(w), "least": F.min(sealed).over(w)})
+    """Rows of monotonic metrics worse than a sealed row whose period ended before theirs started, without a change_reason.
+
+    Sealed rows are first reduced to one best of each kind a key and end, and the rows' starts to one a key and day; only
+    these few meet in a window, whose running best then goes back to the rows by an equi-join.
+    """
+    mine = rows.where("monotonic and trim(coalesce(change_reason, '')) = ''") if "change_reason" in rows.columns else rows.where("monotonic")
+    best = rows.where("state = 'sealed' and value is not null").groupBy("key", F.col("end").alias("day")).agg(F.max("value").alias("most"), F.min("value").alias("least"))
+    asked = mine.groupBy("key", F.col("start").alias("day")).agg(F.lit(None).cast("double").alias("most"), F.lit(None).cast("double").alias("least"))
+    w = Window.partitionBy("key").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    days = best.unionByName(asked).withColumn("day", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    so_far = days.withColumns({"most": F.max("most").over(w), "least": F.min("least").over(w)}).groupBy("key", "day").agg(F.max("most").alias("most"), F.min("least").alias("least"))
     worse = F.when(F.col("direction") == "lower", F.col("value") > F.col("least")).otherwise(F.col("value") < F.col("most"))
-    return best.where(F.col("monotonic") & worse).select(_violation(F.col("note_id"), "G2", "regression", "normal"))
+    found = mine.withColumn("day", F.datediff("start", F.lit("1970-01-01").cast("date"))).join(so_far, ["key", "day"])
+    return found.where(worse).select(_violation(F.col("note_id"), "G2", "regression", "normal"))
+
+
+def _flagged(rows: DataFrame, where: Column, gate: str, checks: list[tuple[Column, str, str]]) -> DataFrame:
+    """One row for each check (condition, name, severity) that holds, in one pass over rows."""
+    each = F.array(*[F.when(cond, F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"))) for cond, name, severity in checks])
+    found = rows.select(where.cast("string").alias("location"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x"))
+    return found.select("location", F.lit(gate).alias("gate"), "x.check", "x.severity")
 
 
 def g3_numeric(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Value form, percentage range, whole counts, unit mismatch and false claims of a met target."""
     wide = rows.join(F.broadcast(catalog.select(F.col("key").alias("metric_key"), F.col("unit").alias("cat_unit"), "target", "direction")), "metric_key", "left")
     wide = wide.withColumn("v", to_number(F.col("value")))
-    good = wide.where("v is not null")
     missed = F.when(F.col("direction") == "lower", F.col("v") > F.col("target")).otherwise(F.col("v") < F.col("target"))
-    row = F.col("row_id")
-    return union_all(
-        [
-            wide.where("v is null").select(_violation(row, "G3", "value_form", "high")),
-            good.where("unit = '%' and not v between 0 and 100").select(_violation(row, "G3", "range", "high")),
-            good.where(F.col("unit").rlike(_COUNT_UNITS) & ((F.col("v") < 0) | (F.col("v") != F.floor("v")))).select(_violation(row, "G3", "count_form", "normal")),
-            good.where("unit <> '' and cat_unit <> '' and unit <> cat_unit").select(_violation(row, "G3", "unit_mismatch", "normal")),
-            good.where(tx.claims_achieved(F.col("achieved")) & missed).select(_violation(row, "G3", "false_achieved", "high")),
-        ]
-    )
+    # comparisons with a value that is no number are null, so none of the others holds for it
+    checks = [
+        (F.col("v").isNull(), "value_form", "high"),
+        (F.expr("unit = '%' and not v between 0 and 100"), "range", "high"),
+        (F.col("unit").rlike(_COUNT_UNITS) & ((F.col("v") < 0) | (F.col("v") != F.floor("v"))), "count_form", "normal"),
+        (F.expr("v is not null and unit <> '' and cat_unit <> '' and unit <> cat_unit"), "unit_mismatch", "normal"),
+        (tx.claims_achieved(F.col("achieved")) & missed, "false_achieved", "high"),
+    ]
+    return _flagged(wide, F.col("row_id"), "G3", checks)
 
 
 def g3_percentages(entries: DataFrame, key: str = "event_id", text: str = "text") -> DataFrame:
@@ -112,20 +139,27 @@ def g3_percentages(entries: DataFrame, key: str = "event_id", text: str = "text"
 
 
 def g4_required(notes: DataFrame) -> DataFrame:
-    """Missing author or reviewer, periods that do not run forward, and notes reviewed by their author."""
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    note, author, reviewer = F.col("note_id"), F.col("author"), F.col("reviewer")
-    checks = F.filter(
-        F.array(
-            F.when(blank(author), F.lit("author")),
-            F.when(blank(reviewer), F.lit("reviewer")),
-            F.when(F.coalesce(F.col("end") < F.col("start"), F.lit(True)), F.lit("period")),
-            F.when(~blank(author) & (F.trim(author) == F.trim(reviewer)), F.lit("self_review")),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    found = notes.select(note.alias("note_id"), F.explode(checks).alias("check"))
-    return found.select(F.col("note_id").cast("string").alias("location"), F.lit("G4").alias("gate"), "check", F.lit("high").alias("severity"))
+    """Missing fields, periods that do not run forward, and notes reviewed by their author.
+
+    project_code, title, note_id and written_on count only where notes have such a column.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    fields = [c for c in ("project_code", "title", "note_id", "author", "reviewer", "written_on") if c in notes.columns]
+    checks = [(blank(c), c, "high") for c in fields]
+    checks.append((F.coalesce(F.col("end") < F.col("start"), F.lit(True)), "period", "high"))
+    checks.append((~blank("author") & (F.trim("author") == F.trim("reviewer")), "self_review", "high"))
+    return _flagged(notes, F.col("note_id"), "G4", checks)
+
+
+def g4_history(notes: DataFrame, history: str = "history") -> DataFrame:
+    """Notes that have no list of changes; an empty list is one."""
+    return notes.where(F.col(history).isNull()).select(_violation(F.col("note_id"), "G4", "history", "high"))
+
+
+def g4_hash(notes: DataFrame, expected: Column) -> DataFrame:
+    """Notes without content hash, or whose hash is not the one of their present content."""
+    bad = F.coalesce(F.col("content_sha256") != expected, F.lit(True))
+    return notes.where(bad).select(_violation(F.col("note_id"), "G4", "content_hash", "high"))
 
 
 def g4_attachments(files: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -140,10 +174,15 @@ def missing_attachments(evidence: DataFrame, files: DataFrame) -> DataFrame:
     return need.join(files.select(F.col("name").alias("source_file")), "source_file", "left_anti").select(_violation(F.col("id"), "G4", "attachment_missing", "normal"))
 
 
-def decide(violations: DataFrame) -> DataFrame:
-    """(location, violations, high, decision): advisory if no violation is high, else rejected."""
+def decide(violations: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """(location, violations, high, decision): rejected if a violation is high, advisory if there are others.
+
+    With locations (location), those without any violation are listed too: they pass.
+    """
     n = violations.groupBy("location").agg(F.count("*").alias("violations"), F.count_if(F.col("severity") == "high").alias("high"))
-    return n.withColumn("decision", F.when(F.col("high") > 0, "rejected").otherwise("advisory"))
+    if locations is not None:
+        n = locations.select(F.col("location").cast("string")).distinct().join(n, "location", "left").na.fill(0, ["violations", "high"])
+    return n.withColumn("decision", F.when(F.col("high") > 0, "rejected").when(F.col("violations") > 0, "advisory").otherwise("pass"))
 
 
 def per_gate(violations: DataFrame) -> DataFrame:

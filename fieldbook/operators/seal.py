@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldbook.functions.hashing import fields_hash, seal_hash
 
@@ -19,25 +23,40 @@ def content_hash(notes: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def seal_chain(notes: DataFrame, fields: list[str], chain: str, order: list[str], signer: str = "author") -> DataFrame:
-    """notes with content_sha256, prev_seal and seal: each chain is folded in its order, one seal over the last.
+    """notes with content_sha256, prev_seal, seal and chain_pos: each chain is folded in its order, one seal over the last.
 
-    Sealing is sequential within a chain, so each chain's notes are gathered to an array of hashes
-    and folded there; chains are a project's notes, spread over all tasks.
+    Sealing is sequential within a chain: a chain's notes lie in one partition, sorted, and stream through it with
+    only the last seal kept; chains are a project's notes, spread over all tasks. Ties in the order are sealed in order
+    of their content hashes.
     """
-    hashed = content_hash(notes, fields).withColumn("_fb_sig", F.sha2(F.col(signer), 256))
-    links = hashed.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(*order, "content_sha256", "_fb_sig"))).alias("n"))
-    step = lambda seals, x: F.concat(seals, F.array(seal_hash(x["content_sha256"], x["_fb_sig"], F.element_at(seals, -1))))
-    folded = links.select(chain, "n", F.aggregate("n", F.array(F.lit("")), step).alias("s"))
-    each = folded.select(chain, F.posexplode("n").alias("pos", "x"), "s")
-    seals = each.select(chain, *[F.col(f"x.{o}").alias(o) for o in order], (F.col("pos") + 1).alias("chain_pos"), F.get("s", F.col("pos")).alias("prev_seal"), F.get("s", F.col("pos") + 1).alias("seal"))
-    return hashed.drop("_fb_sig").join(seals, [chain, *order])
+    hashed = content_hash(notes, fields).withColumn("_fb_sig", F.sha2(F.coalesce(F.col(signer).cast("string"), F.lit("")), 256))
+    sorted_ = hashed.repartition(F.col(chain)).sortWithinPartitions(chain, *order, "content_sha256")
+    names = [f for f in hashed.columns if f not in ("_fb_sig", "prev_seal", "seal", "chain_pos")]
+    schema = T.StructType([hashed.schema[c] for c in names] + T.StructType.fromDDL("prev_seal string, seal string, chain_pos long").fields)
+
+    def fold(batches):
+        at, last, pos = object(), "", 0
+        for batch in batches:
+            rows = zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in (chain, "content_sha256", "_fb_sig")))
+            before, seals, places = [], [], []
+            for mine, content, signature in rows:
+                if mine != at:
+                    at, last, pos = mine, "", 0
+                before.append(last)
+                last, pos = hashlib.sha256(f"{content}{signature}{last}".encode()).hexdigest(), pos + 1
+                seals.append(last)
+                places.append(pos)
+            kept = [batch.column(batch.schema.names.index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.string()), pa.array(seals, pa.string()), pa.array(places, pa.int64())], names=[*names, "prev_seal", "seal", "chain_pos"])
+
+    return sorted_.mapInArrow(fold, schema)
 
 
 def verify_chain(sealed: DataFrame, fields: list[str], chain: str, signer: str = "author") -> DataFrame:
     """(chain, notes, checked, first_bad): both the links and the bodies are recomputed; checked counts the good prefix."""
     w = Window.partitionBy(chain).orderBy("chain_pos")
     before = F.lag("seal", 1, "").over(w)
-    again = seal_hash(F.col("content_sha256"), F.sha2(F.col(signer), 256), F.col("prev_seal"))
+    again = seal_hash(F.col("content_sha256"), F.sha2(F.coalesce(F.col(signer).cast("string"), F.lit("")), 256), F.col("prev_seal"))
     bad = (F.col("prev_seal") != before) | (F.col("seal") != again) | (F.col("content_sha256") != fields_hash(*[F.col(f) for f in fields]))
     marked = sealed.withColumn("bad", bad)
     out = marked.groupBy(chain).agg(F.count("*").alias("notes"), F.min(F.when(F.col("bad"), F.col("chain_pos"))).cast("long").alias("first_bad"))

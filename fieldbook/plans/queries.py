@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions import dates, numbers
 from fieldbook.functions import text as tx
-from fieldbook.functions.hashing import canonical_json
+from fieldbook.functions.hashing import canonical_json, fields_hash
 from fieldbook.operators import draft, extract, gates, planner, seal, views
 from fieldbook.plans import mapping as m
 from fieldbook.sources import export, parse
@@ -91,12 +91,13 @@ def _metric_notes(spark: SparkSession, sf: str) -> DataFrame:
     end = F.date_add(F.lit(EVENT_START).cast("date"), (F.floor(day / 3) * 3 + 2).cast("int"))
     cat = m.catalog(spark).select("key", "direction", "monotonic")
     rows = e.select(F.col("event_id").alias("note_id"), F.concat("event_type", F.lit("-"), (F.col("user_id") % 5).cast("string")).alias("key"), F.col("event_type").alias("k2"), end.alias("end"), (F.floor(F.col("value") / 10) * 10).cast("double").alias("value"), F.when(F.col("event_id") % 2 == 0, "sealed").otherwise("draft").alias("state"))
+    rows = rows.withColumns({"start": F.date_sub("end", 2), "change_reason": F.when(F.col("note_id") % 3 == 0, "recalibrated").when(F.col("note_id") % 3 == 1, "")})
     return rows.join(F.broadcast(cat.withColumnRenamed("key", "k2")), "k2").drop("k2")
 
 
 _METRIC_NOTES = """mn AS (
   SELECT event_id AS note_id, event_type || '-' || (user_id % 5) AS key, DATE '2024-01-01' + CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 3) * 3 + 2 AS INTEGER) AS "end",
-    CAST(floor(e.value / 10) * 10 AS DOUBLE) AS value, CASE WHEN event_id % 2 = 0 THEN 'sealed' ELSE 'draft' END AS state, direction, monotonic
+    CAST(floor(e.value / 10) * 10 AS DOUBLE) AS value, CASE WHEN event_id % 3 = 0 THEN 'recalibrated' WHEN event_id % 3 = 1 THEN '' END AS change_reason, CASE WHEN event_id % 2 = 0 THEN 'sealed' ELSE 'draft' END AS state, direction, monotonic
   FROM events AS e JOIN catalog AS c ON c.key = e.event_type)"""
 
 
@@ -171,12 +172,67 @@ def gate_g2_contradiction(spark, sf):
     return gates.g2_contradiction(_metric_notes(spark, sf))
 
 
-@query("gate_g2_regression", f"""WITH {_CATALOG}, {_METRIC_NOTES} SELECT CAST(note_id AS VARCHAR) AS location, 'G2' AS gate, 'regression' AS "check", 'normal' AS severity FROM mn AS a WHERE monotonic AND EXISTS (SELECT 1 FROM mn AS b WHERE b.state = 'sealed' AND b.key = a.key AND b."end" < a."end" AND CASE WHEN a.direction = 'lower' THEN a.value > b.value ELSE a.value < b.value END)""")
+@query("gate_g2_regression", f"""WITH {_CATALOG}, {_METRIC_NOTES} SELECT CAST(note_id AS VARCHAR) AS location, 'G2' AS gate, 'regression' AS "check", 'normal' AS severity FROM mn AS a WHERE monotonic AND coalesce(change_reason, '') = '' AND EXISTS (SELECT 1 FROM mn AS b WHERE b.state = 'sealed' AND b.key = a.key AND b."end" < a."end" - 2 AND CASE WHEN a.direction = 'lower' THEN a.value > b.value ELSE a.value < b.value END)""")
 def gate_g2_regression(spark, sf):
     return gates.g2_regression(_metric_notes(spark, sf))
 
 
-@query("gate_g4_required", f"""WITH {_NOTES} SELECT CAST(note_id AS VARCHAR) AS location, 'G4' AS gate, c AS "check", 'high' AS severity FROM (SELECT note_id, unnest([CASE WHEN trim(author) = '' THEN 'author' END, CASE WHEN trim(reviewer) = '' THEN 'reviewer' END, CASE WHEN "end" < start THEN 'period' END, CASE WHEN trim(author) <> '' AND trim(author) = trim(reviewer) THEN 'self_review' END]) AS c FROM notes) WHERE c IS NOT NULL""")
+_REVISED = """revised AS (SELECT *, CASE WHEN note_id % 6 = 0 THEN note_id - 1 END AS supersedes FROM notes)"""
+
+
+@query("gate_g2_revisions", f"""WITH {_NOTES}, {_REVISED} SELECT CAST(a.note_id AS VARCHAR) AS location, 'G2' AS gate, 'overlap' AS "check", 'high' AS severity FROM revised AS a JOIN revised AS b ON a.project = b.project AND b.state = 'sealed' AND a.note_id <> b.note_id AND a."end" >= b.start AND a.start <= b."end" AND a.supersedes IS DISTINCT FROM b.note_id AND b.supersedes IS DISTINCT FROM a.note_id""")
+def gate_g2_revisions(spark, sf):
+    """Overlaps where every sixth note revises the one before: a revision and its original do not count."""
+    notes = m.notes(m.table(spark, sf, "orders"))
+    return gates.g2_overlap(notes.withColumn("supersedes", F.when(F.col("note_id") % 6 == 0, F.col("note_id") - 1)))
+
+
+@query("gate_g2_duplicate", f"""WITH {_NOTES}, d AS (SELECT note_id AS row_id, project || ' RN-' || strftime(start, '%Y%m%d') || '-' || strftime("end", '%Y%m%d') AS id, state FROM notes) SELECT CAST(a.row_id AS VARCHAR) AS location, 'G2' AS gate, 'duplicate_id' AS "check", 'high' AS severity FROM d AS a WHERE EXISTS (SELECT 1 FROM d AS b WHERE b.state = 'sealed' AND b.id = a.id AND b.row_id <> a.row_id)""")
+def gate_g2_duplicate(spark, sf):
+    notes = m.notes(m.table(spark, sf, "orders"))
+    name = F.concat(F.col("project").cast("string"), F.lit(" "), seal.note_id(F.col("start"), F.col("end"), F.lit(0)))
+    return gates.g2_duplicate(notes.select(F.col("note_id").alias("row_id"), name.alias("note_id"), "state"))
+
+
+@query("gate_g4_fields", f"""WITH {_NOTES} SELECT CAST(note_id AS VARCHAR) AS location, 'G4' AS gate, c AS "check", 'high' AS severity FROM (SELECT note_id, unnest([CASE WHEN note_id % 61 = 0 THEN 'project_code' END, CASE WHEN note_id % 67 = 0 THEN 'title' END, CASE WHEN trim(author) = '' THEN 'author' END, CASE WHEN trim(reviewer) = '' THEN 'reviewer' END, CASE WHEN note_id % 71 = 0 THEN 'written_on' END, CASE WHEN "end" < start OR note_id % 73 = 0 THEN 'period' END, CASE WHEN trim(author) <> '' AND trim(author) = trim(reviewer) THEN 'self_review' END]) AS c FROM notes) WHERE c IS NOT NULL""")
+def gate_g4_fields(spark, sf):
+    """All required fields of the header, each missing for some notes."""
+    n, gone = F.col("note_id"), F.lit(None)
+    notes = m.notes(m.table(spark, sf, "orders")).withColumns(
+        {
+            "project_code": F.when(n % 61 == 0, "  ").otherwise(F.col("project").cast("string")),
+            "title": F.when(n % 67 == 0, gone).otherwise("a project"),
+            "written_on": F.when(n % 71 == 0, gone).otherwise(F.col("written_on")),
+            "end": F.when(n % 73 == 0, gone).otherwise(F.col("end")),
+        }
+    )
+    return gates.g4_required(notes)
+
+
+@query("gate_g4_history", f"""WITH {_NOTES} SELECT CAST(note_id AS VARCHAR) AS location, 'G4' AS gate, 'history' AS "check", 'high' AS severity FROM notes WHERE note_id % 79 = 0""")
+def gate_g4_history(spark, sf):
+    notes = m.notes(m.table(spark, sf, "orders"))
+    return gates.g4_history(notes.withColumn("history", F.when(F.col("note_id") % 79 != 0, F.array().cast("array<string>"))))
+
+
+@query("gate_g4_hash", f"""WITH {_NOTES} SELECT CAST(note_id AS VARCHAR) AS location, 'G4' AS gate, 'content_hash' AS "check", 'high' AS severity FROM notes WHERE note_id % 59 = 0 OR note_id % 83 = 0""")
+def gate_g4_hash(spark, sf):
+    """Notes hashed when written; some changed afterwards, some lost their hash."""
+    n = F.col("note_id")
+    notes = seal.content_hash(m.notes(m.table(spark, sf, "orders")), SEALED_FIELDS)
+    notes = notes.withColumns({"value": F.when(n % 59 == 0, F.col("value") + 1).otherwise(F.col("value")), "content_sha256": F.when(n % 83 != 0, F.col("content_sha256"))})
+    return gates.g4_hash(notes, fields_hash(*[F.col(f) for f in SEALED_FIELDS]))
+
+
+@query("gate_run", f"WITH {_NARRATIVE}, {_LEDGER}, {_ROWS}, {_CATALOG}, {_SENTENCES}, {_G1}, {_G3}, v AS (SELECT location, severity FROM v1 UNION ALL SELECT location, severity FROM v3) SELECT CAST(e.event_id AS VARCHAR) AS location, count(v.location) AS violations, count(*) FILTER (v.severity = 'high') AS high, CASE WHEN count(*) FILTER (v.severity = 'high') > 0 THEN 'rejected' WHEN count(v.location) > 0 THEN 'advisory' ELSE 'pass' END AS decision FROM events AS e LEFT JOIN v ON v.location = e.event_id GROUP BY e.event_id")
+def gate_run(spark, sf):
+    """The decision for every note, those that pass too."""
+    entries, ledger, rows = _inputs(spark, sf)
+    found = gates.g1_evidence(entries, ledger, rows).unionByName(gates.g3_numeric(rows, m.catalog(spark)))
+    return gates.decide(found, entries.select(F.col("event_id").alias("location")))
+
+
+@query("gate_g4_required", f"""WITH {_NOTES} SELECT CAST(note_id AS VARCHAR) AS location, 'G4' AS gate, c AS "check", 'high' AS severity FROM (SELECT note_id, unnest([CASE WHEN trim(author) = '' THEN 'author' END, CASE WHEN trim(reviewer) = '' THEN 'reviewer' END, CASE WHEN written_on IS NULL THEN 'written_on' END, CASE WHEN "end" < start THEN 'period' END, CASE WHEN trim(author) <> '' AND trim(author) = trim(reviewer) THEN 'self_review' END]) AS c FROM notes) WHERE c IS NOT NULL""")
 def gate_g4_required(spark, sf):
     return gates.g4_required(m.notes(m.table(spark, sf, "orders")))
 
@@ -220,7 +276,9 @@ def citation_extract(spark, sf):
 @query("forbidden_wording", f"WITH {_NARRATIVE} SELECT event_id, CAST(r AS INTEGER) AS rule FROM (SELECT event_id, {_rule_sql('text')} AS r FROM narrative) WHERE r IS NOT NULL")
 def forbidden_wording(spark, sf):
     entries = _inputs(spark, sf)[0]
-    return entries.select("event_id", tx.forbidden_rule(F.col("text")).cast("int").alias("rule")).where("rule is not null")
+    # as a generator, the composed text is made once and not copied into every rule
+    once = entries.select("event_id", F.explode(F.array("text")).alias("text"))
+    return once.select("event_id", F.explode(F.array(tx.forbidden_rule(F.col("text")).cast("int"))).alias("rule")).where("rule is not null")
 
 
 @query("lines_view", r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS li, line FROM (SELECT doc_id, i, trim(regexp_replace(l[i], '[\s\x{00A0}\x{3000}]+', ' ', 'g')) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)) WHERE line <> ''")
@@ -349,7 +407,7 @@ def citation_set_diff(spark, sf):
     return _inputs(spark, sf)[0].select("event_id", draft.same_citations(F.col("text"), after).alias("same"))
 
 
-@query("content_hash", f"""WITH {_NOTES} SELECT note_id, sha256(note_id || '|' || start || '|' || "end" || '|' || printf('%.2f', value) || '|' || priority) AS content_sha256 FROM notes""")
+@query("content_hash", f"""WITH {_NOTES} SELECT note_id, sha256(list_aggregate(list_transform([CAST(note_id AS VARCHAR), CAST(start AS VARCHAR), CAST("end" AS VARCHAR), printf('%.2f', value), priority], lambda x: coalesce(length(x) || ':' || x, '-')), 'string_agg', '')) AS content_sha256 FROM notes""")
 def content_hash(spark, sf):
     notes = m.notes(m.table(spark, sf, "orders")).withColumn("value", F.format_string("%.2f", "value"))
     return seal.content_hash(notes, SEALED_FIELDS).select("note_id", "content_sha256")
