@@ -180,21 +180,23 @@ def merge(old: list[dict], new: list[tuple[int, int]]) -> list[dict]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs with n_words, n_hit (words inside any hit), hits (disjoint word spans) and items (sorted ids)."""
     spark = docs.sparkSession
-    out = without(docs, "n_words n_hit hits items")
-    schema, text_at = T.StructType(out.schema.fields + T.StructType.fromDDL(_OUT).fields), out.columns.index(text_col)
+    base, roles = without(docs, "n_words n_hit hits items"), {"text": text_col}
+    out = packed(base, **roles)
+    schema = T.StructType(out.schema.fields + T.StructType.fromDDL(_OUT).fields)
     for k, block in enumerate(chain(benchmark_blocks(benchmark, n, max_windows), [None])):
         if block is None and k:
-            return out
+            break
         # one block's windows at a time: what the block before has found is written out
         block = block or Block(*[np.zeros(0, t) for t in (np.uint64, np.int32, np.int64, np.int64, np.int32)], b"", [])
-        out = (written(out) if k else out).mapInArrow(scan_batches(spark.sparkContext.broadcast(block), text_at), schema)
-    return out
+        out = (written(out) if k else out).mapInArrow(scan_batches(spark.sparkContext.broadcast(block), 1), schema)
+    return unpacked(out, base.columns, roles, "n_words n_hit hits items")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark window, with their own columns."""
-    found = find_contamination(packed(docs, text=text_col), benchmark, n)
-    return unpacked(found.where("n_hit = 0"), docs.columns)
+    roles = {"text": text_col}
+    found = find_contamination(packed(docs, **roles), benchmark, n)
+    return unpacked(found.where("n_hit = 0"), docs.columns, roles)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text") -> DataFrame:
@@ -216,8 +218,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: st
             out.append(b"".join([*kept, data[at:]]).decode())
         return pd.Series(out, dtype=object)
 
-    found = find_contamination(packed(docs, text=text_col), benchmark, n)
-    return unpacked(found, docs.columns, **{text_col: cut("text", "hits")})
+    roles = {"text": text_col}
+    found = find_contamination(packed(docs, **roles), benchmark, n)
+    return unpacked(found, docs.columns, roles, **{text_col: cut("text", "hits")})
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.scratch import quoted, without
+from fieldbook.llm.scratch import packed, quoted, unpacked, without
 from fieldbook.llm.textarrays import code_points, mix, pieces
 
 BUCKETS = 1 << 15
@@ -153,9 +153,11 @@ def _predict_batches(model, sizes: tuple[int, ...], text_at: int):
 def predict(docs: DataFrame, model, text_col: str = "text", sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """docs without its text, with lang_pred and score (replacing columns of these names in any case)."""
     base = without(docs, "lang_pred score")
-    schema = T.StructType([f for f in base.schema if f.name != text_col] + T.StructType.fromDDL("lang_pred string, score double").fields)
+    rows = packed(base, text=text_col)
+    schema = T.StructType([rows.schema["_fb_row"], *T.StructType.fromDDL("lang_pred string, score double").fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return base.mapInArrow(_predict_batches(shared, sizes, base.columns.index(text_col)), schema)
+    out = rows.mapInArrow(_predict_batches(shared, sizes, 1), schema)
+    return unpacked(out, [c for c in base.columns if c != text_col], {}, "lang_pred score")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -9,8 +9,8 @@
    contents are one vertex, and buckets are linked without emitting all their pairs (see linking). What is still to
    compare across the components of one bucket must have descriptors there that differ in at most ``max_bits`` bits.
 5. A pair of images is confirmed by geometric consensus: corners whose descriptors differ in at most
-   ``max_bits`` bits vote for a similarity transform, and at least ``min_votes`` must agree with one of them in place,
-   scale and turn.
+   ``max_bits`` bits vote for a similarity transform, and at least ``min_votes`` and 3 % of the corners of the image with fewer
+   must agree with one of them in place, scale and turn.
 
 Defined cases: null, empty or undecodable content has no corners: with null or empty content an image is linked with
 nothing, equal undecodable contents are one class; an image with too few corners links only to equal
@@ -33,7 +33,7 @@ from fieldbook.llm.scratch import quoted, written
 
 #: a patch's radius; the pyramid; how far a corner is the strongest; the most pixels described
 RADIUS, LEVELS, STEP, APART, PIXELS = 12, 5, 1.2, 3, 512 * 512
-MAX_BITS, MIN_VOTES = 40, 5
+MAX_BITS, MIN_VOTES, VOTE_SHARE = 40, 5, 0.03
 TABLES = 4
 _PNM = re.compile(rb"P([56])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+255\s")
 _rng = np.random.default_rng(4)
@@ -220,6 +220,12 @@ def consensus(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray, max_bi
     return most
 
 
+def agree(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray, max_bits: int = MAX_BITS, min_votes: int = MIN_VOTES) -> bool:
+    """Whether min_votes corners, and VOTE_SHARE of the corners of the image with fewer, agree; chance grows with corners."""
+    enough = max(min_votes, int(np.ceil(VOTE_SHARE * min(len(p), len(q)))))
+    return consensus(p, d, q, e, max_bits, enough) >= enough
+
+
 def _confirm_batches(max_bits: int, min_votes: int):
     def rows(column, kind):
         """The rows of an array column, each as a matrix of four columns."""
@@ -230,7 +236,7 @@ def _confirm_batches(max_bits: int, min_votes: int):
     def run(batches):
         for batch in batches:
             pa_, wa, pb, wb = (rows(batch.column(k), t) for k, t in ((2, np.float32), (3, np.int64), (4, np.float32), (5, np.int64)))
-            mask = pa.array([consensus(*x, max_bits, min_votes) >= min_votes for x in zip(pa_, wa, pb, wb)], pa.bool_())
+            mask = pa.array([agree(*x, max_bits, min_votes) for x in zip(pa_, wa, pb, wb)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run

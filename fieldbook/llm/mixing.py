@@ -110,9 +110,10 @@ def plan_mix(docs: DataFrame, seed: str = "mix-1:", id_col: str = "doc_id", text
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each document as often as planned, with its own columns."""
-    plan = plan_mix(packed(docs, doc_id=id_col, text=text_col, source=source_col), **options)
+    roles = {"doc_id": id_col, "text": text_col, "source": source_col}
+    plan = plan_mix(packed(docs, **roles), **options)
     copies = plan.where("copies > 0").withColumn("_fb_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return unpacked(copies, docs.columns)
+    return unpacked(copies, docs.columns, roles)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

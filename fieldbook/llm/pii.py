@@ -184,9 +184,10 @@ def _batches(text_at: int):
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with spans: array<struct<start, end, kind>> by start and then kind as listed."""
-    base = without(docs, "spans")
-    schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL("spans array<struct<start:long,end:long,kind:string>>").fields])
-    return base.mapInArrow(_batches(base.columns.index(text_col)), schema)
+    base, roles = without(docs, "spans"), {"text": text_col}
+    rows = packed(base, **roles)
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("spans array<struct<start:long,end:long,kind:string>>").fields])
+    return unpacked(rows.mapInArrow(_batches(1), schema), base.columns, roles, "spans")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -204,7 +205,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return text.combine(spans, lambda t, found: t if t is None else one(t, found))
 
-    return unpacked(find_pii(packed(docs, text=text_col)), docs.columns, **{text_col: cut("text", "spans")})
+    roles = {"text": text_col}
+    return unpacked(find_pii(packed(docs, **roles)), docs.columns, roles, **{text_col: cut("text", "spans")})
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

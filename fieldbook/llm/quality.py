@@ -131,9 +131,11 @@ def _score_batches(ratio, text_at: int):
 
 def score(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFrame:
     """docs with log_weight and n_features."""
-    base = without(docs, "log_weight n_features")
-    schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL("log_weight double, n_features long").fields])
-    return base.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(ratio), base.columns.index(text_col)), schema)
+    base, roles = without(docs, "log_weight n_features"), {"text": text_col}
+    rows = packed(base, **roles)
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("log_weight double, n_features long").fields])
+    out = rows.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(ratio), 1), schema)
+    return unpacked(out, base.columns, roles, "log_weight n_features")
 
 
 def gumbel(seed: int, id_col: str):
@@ -175,8 +177,9 @@ def select_quality(docs: DataFrame, labels: DataFrame, seed: int = 8, id_col: st
 
 def keep_quality(docs: DataFrame, labels: DataFrame, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED, keep_share: float | None = None) -> DataFrame:
     """The kept documents, with their own columns; no exchange of texts."""
-    rows = packed(docs, doc_id=id_col, text=text_col)
-    return unpacked(scored_keys(rows, labels, seed, "doc_id", "text", buckets, max_labelled, keep_share, id_col).where("kept"), docs.columns)
+    roles = {"doc_id": id_col, "text": text_col}
+    found = scored_keys(packed(docs, **roles), labels, seed, "doc_id", "text", buckets, max_labelled, keep_share, id_col)
+    return unpacked(found.where("kept"), docs.columns, roles)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -45,13 +45,18 @@ def without(df: DataFrame, names: str) -> DataFrame:
 
 
 def packed(df: DataFrame, **roles: str) -> DataFrame:
-    """All columns of df in the struct _fb_row, and those an operator reads under the operator's own names."""
-    return df.select(F.struct(*[quoted(c) for c in df.columns]).alias("_fb_row"), *[quoted(c).alias(role) for role, c in roles.items()])
+    """What an operator reads of df under the operator's own names (roles), and all other columns in the struct _fb_row.
+
+    So no column of the caller can clash with one that is added, and names that need quotes pass through Python.
+    """
+    rest = [quoted(c) for c in df.columns if c not in roles.values()]
+    return df.select(F.struct(*(rest or [F.lit(None).cast("int").alias("none")])).alias("_fb_row"), *[quoted(c).alias(role) for role, c in roles.items()])
 
 
-def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
-    """The columns packed before, in their order; new values for some of them are given by name."""
-    return df.select([new.get(c, F.col("_fb_row").getField(c)).alias(c) for c in columns])
+def unpacked(df: DataFrame, columns: list[str], roles: dict[str, str], added: str = "", **new: Column) -> DataFrame:
+    """The columns packed before, in their order, and added ones; new values for some of them are given by name."""
+    own = {c: F.col(role) for role, c in roles.items()} | new
+    return df.select([(own[c] if c in own else F.col("_fb_row").getField(c)).alias(c) for c in columns] + added.split())
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

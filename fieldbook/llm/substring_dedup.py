@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.scratch import quoted, without, written
+from fieldbook.llm.scratch import packed, quoted, unpacked, without, written
 from fieldbook.llm.textarrays import ALNUM, SOLID, byte_class, mix, pieces, powers, split_words
 
 RUN, MIN_WORDS = 2, 2
@@ -147,7 +147,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_fb_id, _fb_th, cover): the ranges [first, last] of sentences to remove, for documents that have any."""
-    texts = _keyed(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col).where(quoted(text_col).isNotNull()).select("_fb_id", "_fb_th", quoted(text_col))
+    texts = _keyed(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col).where(quoted(text_col).isNotNull()).select("_fb_id", "_fb_th", quoted(text_col).alias("text"))
     # rows without id are told apart by their texts
     doc = F.struct("doc", F.when(F.col("doc") == _LAST, F.col("th")).otherwise(F.lit(0)).alias("th"))
     spans = texts.mapInArrow(_span_batches, _SPAN)
@@ -210,10 +210,11 @@ def _cut_batches(text_at: int, cover_at: int):
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text left, n_sentences (before), n_removed and removed (code point spans cut out)."""
     base = without(docs, "n_sentences n_removed removed")
-    joined = _keyed(base, id_col, text_col).join(repeated_sentences(base, id_col, text_col), ["_fb_id", "_fb_th"], "left")
-    joined = joined.select(*[quoted(c) for c in base.columns], F.col("cover").alias("_fb_cover"))
-    schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL("n_sentences long, n_removed long, removed array<struct<start:long,end:long>>").fields])
-    return joined.mapInArrow(_cut_batches(base.columns.index(text_col), len(base.columns)), schema)
+    roles = {"text": text_col, "_fb_id": "_fb_id", "_fb_th": "_fb_th"}
+    joined = packed(_keyed(base, id_col, text_col), **roles).join(repeated_sentences(base, id_col, text_col), ["_fb_id", "_fb_th"], "left")
+    rows = joined.select("_fb_row", "text", "cover")
+    schema = T.StructType([*rows.schema.fields[:2], *T.StructType.fromDDL("n_sentences long, n_removed long, removed array<struct<start:long,end:long>>").fields])
+    return unpacked(rows.mapInArrow(_cut_batches(1, 2), schema), base.columns, {"text": text_col}, "n_sentences n_removed removed")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
