@@ -29,10 +29,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars is counted anew where lines go; other columns keep their values. A null text stays.
     """
-    out = dedup_lines(packed(docs, doc_id="doc_id", text="text"))
+    roles = {"doc_id": "doc_id", "text": "text"}
+    out = dedup_lines(packed(docs, **roles))
     gone = F.coalesce((F.col("n_removed") > 0) & (F.trim("text") == ""), F.lit(False))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_fb_row").getField("n_chars"))
-    return unpacked(out.where(~gone), docs.columns, text=F.col("text"), n_chars=length)
+    return unpacked(out.where(~gone), docs.columns, roles, n_chars=length)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
