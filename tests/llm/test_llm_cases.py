@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldbook.llm import decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, pii, quality, substring_dedup
+import corpus_pipeline
+from fieldbook.llm import decontaminate, language_id, licenses, line_dedup, linking, media, mixing, near_dedup, pii, quality, substring_dedup
 
 CLASH = "n_words long, n_hit long, hits string, items string, spans string, size string, source_size string, target long, copies string, key string, kept string, bucket string, v string, c string, removed string, n_removed string, n_sentences string, n_lines string, th string, h1 string, log_weight string, n_features string, lang_pred string, score string"
 LONG = "\n".join(f"word{k} is here number {k} of a long text." for k in range(20_000))
@@ -188,6 +189,85 @@ def test_licenses_inside_longer_texts(spark):
     assert out == sorted([(k, line, lic) for k, (_, line, lic) in enumerate(texts)] + [(None, 40, "CC-BY-4.0")], key=repr)
 
 
+def names_that_clash(spark):
+    """Every column an operator adds, in another case, and names that need quotes; the values must come back."""
+    made = "N_Words N_HIT Hits items Spans Size SOURCE_size Target copies Key kept Bucket V c Removed n_removed N_Lines TH h1 Log_Weight n_features a.b c`d _fb_copy"
+    rows = [(1, "the cat sat on the mat and looked at the dog for a while", "en", "a"), (2, "mail me@site.org now or never, said the dog to the old cat", "en", "b"), (3, None, "en", "b"), (4, "a\nb\nc\nd", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    return docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in made.split()])
+
+
+def test_callers_columns_keep_their_values(spark, bench, labels, tmp_path):
+    docs = names_that_clash(spark)
+    extra = docs.columns[5:]
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    outputs = {
+        "mix": mixing.mix(docs),
+        "remove_contaminated": decontaminate.remove_contaminated(docs, bench),
+        "remove_spans": decontaminate.remove_spans(docs, bench),
+        "keep_quality": quality.keep_quality(docs, labels, keep_share=1.0),
+        "redact": pii.redact(docs),
+        "drop_near_duplicates": near_dedup.drop_near_duplicates(docs),
+        **{name: stage(spark, docs, str(tmp_path)) for name, stage in corpus_pipeline.STAGES},
+    }
+    for name, out in outputs.items():
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found, name
+        for r in found:
+            assert list(r)[5:] == [f"{n} {r.doc_id}" for n in extra], name
+    # those that add columns replace only what has their names
+    for name, f in operators(bench, labels).items():
+        if name in ("near", "quality"):
+            continue
+        out = f(docs)
+        kept = [n for n in extra if n in out.columns]
+        assert {"a.b", "c`d"} <= set(kept), name
+        at = [out.columns.index(n) for n in kept]
+        ids = out.columns.index("doc_id")
+        if name != "mixing":
+            assert all([r[k] for k in at if out.schema[k].dataType.simpleString() == "string" and kept[at.index(k)] not in ("kept", "items")] == [f"{n} {r[ids]}" for n in kept if out.schema[out.columns.index(n)].dataType.simpleString() == "string" and n not in ("kept", "items")] for r in out.collect()), name
+
+
+def test_stages_on_odd_rows(spark, odd, bench, labels, tmp_path):
+    """Every stage takes nulls, long texts, repeated rows and an empty table."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        left[name] = Counter(r.doc_id for r in out.select("doc_id").collect())
+        assert set(left[name]) <= {r[0] for r in ROWS}
+    assert left["line_dedup"] == Counter([1, 2, 3, None, 4, 4, 6, 7, 8, 8]) and left["near_dedup"] == Counter([1, 2, 3, None, 4, 4, 6, 7, 8, 8])
+
+
+def test_label_ids_by_another_name(spark, odd, labels):
+    docs, known = odd.select(F.col("doc_id").alias("key id"), "text"), labels.withColumnRenamed("doc_id", "key id")
+    out = quality.keep_quality(docs, known, id_col="key id")
+    assert out.columns == ["key id", "text"] and rows(out, "`key id`") == rows(quality.keep_quality(odd.select("doc_id", "text"), labels), "doc_id")
+
+
+def test_null_ids_of_different_texts(spark):
+    shared = " ".join(f"Sentence {w} stands here twice." for w in "one two three four five six".split())
+    docs = spark.createDataFrame([(None, "First words alone. " + shared), (None, shared + " Last words alone."), (None, "nothing of it")], "doc_id long, text string")
+    out = sorted(r.n_removed for r in substring_dedup.dedup_spans(docs).collect())
+    assert out[:2] == [0, 0] and out[2] >= 6
+
+
+def test_block_of_windows_stays_small():
+    """A block of 200,000 windows: what is broadcast, by its definition about 30 bytes a window and the words."""
+    import pyarrow as pa
+
+    words = [f"w{k:06d}" for k in range(200_009)]
+    made = [b.to_pylist() for b in decontaminate._window_batches(10, 1_000_000)([pa.record_batch([pa.array(["i"]), pa.array([" ".join(words)])], names=["i", "t"])])]
+    row = made[0][0]
+    block = decontaminate._block([(np.array(row["hashes"], np.int64).view(np.uint64), np.full(len(row["hashes"]), 10, np.int32), np.array(row["start"]), np.array(row["end"]), np.zeros(len(row["hashes"]), np.int32))], [row["words"]], ["i"])
+    assert len(block.hashes) == 200_000 and sum(x.nbytes for x in block[:5]) + len(block.words) <= 42 * 200_000
+
+
 def picture(seed: int, side: int = 96) -> np.ndarray:
     rng = np.random.default_rng(seed)
     coarse = rng.integers(0, 255, (side // 6, side // 6)).astype(float)
@@ -211,3 +291,80 @@ def test_image_copies(spark):
     assert all(found[10 * k + j] == 10 * k for k in range(12) for j in range(4))
     assert [found[i] for i in (900, 901, 902, 903, 904, None)] == [900, 901, 902, 902, 904, None]
     assert media.find_copies(df.limit(0)).count() == 0
+
+
+# --- recall of edited copies
+
+
+def _bilinear(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h, w = a.shape
+    y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
+    y0, x0 = np.minimum(y.astype(int), h - 2), np.minimum(x.astype(int), w - 2)
+    fy, fx = y - y0, x - x0
+    top, low = a[y0, x0] * (1 - fx) + a[y0, x0 + 1] * fx, a[y0 + 1, x0] * (1 - fx) + a[y0 + 1, x0 + 1] * fx
+    return top * (1 - fy) + low * fy
+
+
+def turned(a: np.ndarray, degrees: float) -> np.ndarray:
+    h, w = a.shape
+    t, (yy, xx) = np.deg2rad(degrees), np.mgrid[0:h, 0:w].astype(float)
+    y, x = yy - (h - 1) / 2, xx - (w - 1) / 2
+    return _bilinear(a, (h - 1) / 2 + np.cos(t) * y + np.sin(t) * x, (w - 1) / 2 - np.sin(t) * y + np.cos(t) * x)
+
+
+def resized(a: np.ndarray, factor: float) -> np.ndarray:
+    h, w = (round(n * factor) for n in a.shape)
+    wide = np.pad(a, 1, mode="edge")
+    soft = sum(wide[i : i + a.shape[0], j : j + a.shape[1]] * (2 - abs(i - 1)) * (2 - abs(j - 1)) for i in range(3) for j in range(3)) / 16
+    yy, xx = np.mgrid[0:h, 0:w].astype(float)
+    return _bilinear(soft if factor < 0.8 else a, (yy + 0.5) / factor - 0.5, (xx + 0.5) / factor - 0.5)
+
+
+def drawn(kind: str, seed: int, side: int = 192) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    if kind == "blocks":
+        return np.kron(rng.integers(0, 255, (side // 8, side // 8)).astype(float), np.ones((8, 8))) * 0.8 + 20
+    out, (yy, xx) = np.full((side, side), float(rng.integers(60, 200))), np.mgrid[0:side, 0:side]
+    for _ in range(side // 2):
+        (cy, cx), s, tall = rng.integers(0, side, 2), rng.integers(4, 24), rng.uniform(0.4, 1.5)
+        shape = (yy - cy) ** 2 + (xx - cx) ** 2 < s * s if rng.random() < 0.5 else (abs(yy - cy) < s) & (abs(xx - cx) < s * tall)
+        out[shape] = rng.integers(0, 255)
+    return out
+
+
+EDITS = {
+    "crop": lambda a: a[20:-10, 8:-30], "quarter": lambda a: a[24:-24, 24:-24], "bright": lambda a: a * 0.85 + 12, "noise": lambda a: a + np.random.default_rng(1).normal(0, 6, a.shape),
+    "turn 15": lambda a: turned(a, 15), "turn 40": lambda a: turned(a, 40), "turn 90": np.rot90, **{f"size {f}": (lambda a, f=f: resized(a, f)) for f in (0.9, 0.8, 0.7, 0.6)},
+}
+
+
+@pytest.mark.parametrize("kind", ["blocks", "shapes"])
+def test_edited_copies_are_found(spark, kind):
+    """Recall of at least 0.9 an edit, and unrelated pictures apart (pictures of 192 pixels)."""
+    n, step = 10, len(EDITS) + 1
+    images = []
+    for k in range(n):
+        a = drawn(kind, k)
+        images += [(step * k, pgm(a)), *[(step * k + 1 + j, pgm(edit(a))) for j, edit in enumerate(EDITS.values())]]
+    out = {r.image_id: r.class_id for r in media.find_copies(spark.createDataFrame(images, "image_id long, content binary")).collect()}
+    for j, name in enumerate(EDITS):
+        assert sum(out[step * k + 1 + j] == out[step * k] for k in range(n)) >= 0.9 * n, name
+    assert len({out[step * k] for k in range(n)}) == n
+
+
+def test_pairs_grow_with_a_group(spark, monkeypatch):
+    """Twice as many near copies make about twice as many pairs to confirm."""
+    base = drawn("blocks", 3, 96)
+
+    def count(size: int) -> int:
+        rng = np.random.default_rng(size)
+        images = [(k, pgm(base + rng.normal(0, 6, base.shape))) for k in range(size)]
+        pairs = []
+        known = linking.written
+        monkeypatch.setattr(linking, "written", lambda df: pairs.append(known(df)) or pairs[-1])
+        out = media.find_copies(spark.createDataFrame(images, "image_id long, content binary").repartition(8))
+        monkeypatch.setattr(linking, "written", known)
+        assert {r.class_id for r in out.collect()} == {0}
+        return sum(df.count() for df in pairs if df.columns == ["a", "ta", "b", "tb"])
+
+    assert count(160) <= 2.2 * count(80)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldbook.llm import licenses, pii, quality, substring_dedup
+from fieldbook.llm import licenses, media, pii, quality, substring_dedup
 from fieldbook.llm.decontaminate import OP1_SQL
 from fieldbook.llm.line_dedup import OP9_SQL
 from fieldbook.llm.near_dedup import OP10_SQL
@@ -29,28 +31,56 @@ def test_matches_sql(spark, duck, name):
 # --- substring dedup: the same spans, found with tuples of words and dictionaries
 
 
+def word_hash(word: str) -> int:
+    return word_hash_bytes(word.encode())
+
+
+def word_hash_bytes(word: bytes) -> int:
+    """The hash of a word, from its definition."""
+    x = sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(word)) % (1 << 64)
+    for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> 33)) * times % (1 << 64)
+    return x ^ (x >> 33)
+
+
+def ascii_lower(text: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def plain_sentences(text: str) -> list[tuple[str, ...]]:
+    out = []
+    for part in re.split(r"(?<=\n)|(?<=[.!?])(?=[\x20\x09-\x0D])", text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(part))
+        if not words:
+            continue
+        h, n = [word_hash(w) for w in words], len(words)
+        cuts = [k for k in range(4, n - 3) if n > 10 and h[k] < min(h[k - 3 : k]) and h[k] <= min(h[k + 1 : k + 4])]
+        parts = list(zip([0, *cuts], [*cuts, n]))
+        while parts:
+            x, y = parts.pop()
+            if y - x > 10:
+                k = min(range(x + 4, y - 3), key=lambda k: (h[k], abs(2 * k - x - y), k))
+                parts += [(x, k), (k, y)]
+            else:
+                cuts.append(x)
+        cuts = sorted(set(cuts))
+        out += [tuple(words[x:y]) for x, y in zip(cuts, [*cuts[1:], n])]
+    return out
+
+
 def brute_spans(rows: list[tuple[int, str]]) -> dict[int, int]:
     """How many sentences each document loses."""
-    cut = {}
-    for i, text in rows:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        s = substring_dedup.Sentences(raw, np.array([0, len(raw)]))
-        data = s.words.lower.tobytes()
-        words = [data[a:b] for a, b in zip(s.words.start, s.words.end)]
-        cut[i] = [tuple(words[a:b]) for a, b in zip(s.first, s.end)]
+    cut = {i: plain_sentences(text or "") for i, text in rows}
     home, spans = {}, defaultdict(list)
     for i in sorted(cut):
         seen = set()
-        for a in range(len(cut[i])):
-            for b in range(a + substring_dedup.RUN, len(cut[i]) + 1):
-                span = sum(cut[i][a:b], ())
-                if len(span) >= substring_dedup.MIN_WORDS:
-                    spans[i].append((a, b, span, span in seen or home.get(span, i) != i))
-                    seen.add(span)
-                    break
+        for a in range(len(cut[i]) - 1):
+            span = cut[i][a] + cut[i][a + 1]
+            spans[i].append((a, a + 2, span in seen or home.get(span, i) != i))
+            seen.add(span)
         for span in seen:
             home.setdefault(span, i)
-    return {i: len({k for a, b, _, again in spans[i] if again for k in range(a, b)}) for i in cut}
+    return {i: len({k for a, b, again in spans[i] if again for k in range(a, b)}) for i in cut}
 
 
 def test_substring_dedup_matches_brute_force(spark):
@@ -133,6 +163,25 @@ def test_pii_parsers_match_patterns(text):
     assert [s for s in pii.find_spans(text, pii.automaton()) if s[2] in pii.BASE] == base_spans(text)
 
 
+@pytest.mark.parametrize("unit", ["account" + " " * 100_000, " ", "7", "@", "account ", "+1 ", "www.", "a@b", "IBAN DE", "1.2."])
+def test_pii_takes_linear_time(unit):
+    """A megabyte of what could make a parser read on and on."""
+    anchors, took = pii.automaton(), []
+    for size in (250_000, 1_000_000):
+        text = unit * (size // len(unit))
+        began = time.process_time()
+        pii.find_spans(text, anchors)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 and took[1] < 12 * took[0] + 0.5
+
+
+def test_mix_meets_its_targets(spark):
+    """Every source of the larger table within one document's size."""
+    rows = QUERIES["op5_mixing"](spark, SF_DIR.replace("sf0.001", "sf0.01")).join(spark.read.parquet(f"{SF_DIR.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "source"), "doc_id")
+    for r in rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("longest")).collect():
+        assert abs(r.taken - r.target) <= r.longest / 2 + 1, r
+
+
 def test_pii_added_kinds_and_redaction(spark):
     rows = [(1, "see https://a.example/x?y=1 or mail me@site.org"), (2, "IBAN DE89 3704 0044 0532 0130 00 ok"), (3, "account no. 12345678"), (4, "IBAN DE00 3704 0044 0532 0130 00"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -141,6 +190,32 @@ def test_pii_added_kinds_and_redaction(spark):
     assert out[1] == "see [URL] or mail [EMAIL]" and out[3] == "account no. [ACCOUNT]" and out[5] is None
 
 
+# --- copied images: the same confirmation over all pairs
+
+
+def test_image_copies_match_brute_force(spark, tmp_path):
+    """The query over a small table of vectors, with equal, near, repeated and null ones."""
+    rng = np.random.default_rng(8)
+    vectors = [rng.normal(0, 1, 64).tolist() for _ in range(36)]
+    vectors += [vectors[0], (np.array(vectors[1]) + rng.normal(0, 0.02, 64)).tolist(), (np.array(vectors[1]) + rng.normal(0, 0.02, 64)).tolist(), None]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pictures = {r.image_id: bytes(r.content) for r in media.drawn_images(spark.read.parquet(f"{tmp_path}/embeddings.parquet")).collect()}
+    found = {i: media.describe_stack(media.decode(c)[None])[0] for i, c in pictures.items()}
+    name = {i: i for i in found}
+
+    def root(i):
+        return i if name[i] == i else root(name[i])
+
+    for a in found:
+        for b in found:
+            if a < b and root(a) != root(b) and (pictures[a] == pictures[b] or media.agree(*found[a], *found[b]) or media.agree(*found[b], *found[a])):
+                x, y = sorted((root(a), root(b)))
+                name[y] = x
+    out = {r.image_id: r for r in QUERIES["op4_image_copies"](spark, str(tmp_path)).collect()}
+    assert {i: r.class_id for i, r in out.items()} == {i: root(i) for i in found}
+    assert all(out[i].n_corners == len(found[i][0]) for i in found) and len({root(i) for i in found}) == 37
+
+
 # --- the rest
 
 
@@ -170,14 +245,54 @@ def test_language_id_held_out(spark):
     assert found.where("score < 0 or score > 1").count() == 0
 
 
+def plain_ngrams(text: str) -> list[int]:
+    """Buckets of the 1- to 3-grams of a text's letters."""
+    chars = re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in text))
+    out = []
+    for n in (1, 2, 3):
+        for k in range(len(chars) - n + 1):
+            if chars[k : k + n] == " ":
+                continue
+            h = 0x9E3779B97F4A7C15 * n % (1 << 64)
+            for c in chars[k : k + n]:
+                h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+            for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                h = (h ^ (h >> 33)) * times % (1 << 64)
+            out.append((h ^ (h >> 33)) >> 49)
+    return out
+
+
+def test_language_id_matches_brute_force(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in docs}
+    grams = {i: Counter(plain_ngrams(r.text or "")) for i, r in docs.items()}
+    fitted = [i for i, r in docs.items() if not out[i] and r.text is not None and r.lang is not None]
+    langs = sorted({docs[i].lang for i in fitted})
+    prior, log_p = {}, {}
+    for lang in langs:
+        mine = [i for i in fitted if docs[i].lang == lang]
+        total = sum((grams[i] for i in mine), Counter())
+        all_ = sum(total.values()) + 0.5 * (1 << 15)
+        prior[lang] = np.log(len(mine) / len(fitted))
+        log_p[lang] = lambda g, total=total, all_=all_: np.log((total[g] + 0.5) / all_)
+    for r in QUERIES["op7_language_id"](spark, SF_DIR).collect():
+        assert r.held_out == out[r.doc_id]
+        if not any(c.isalpha() for c in docs[r.doc_id].text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        sums = {lang: prior[lang] + sum(n * log_p[lang](g) for g, n in grams[r.doc_id].items()) for lang in langs}
+        best = max(sums.values())
+        assert sums[r.lang_pred] >= best - 1e-6 * abs(best)
+        assert abs(r.score - 1 / sum(np.exp(v - best) for v in sums.values())) < 1e-6
+
+
 def brute_weights(texts: dict[int, str], good: set[int]) -> dict[int, float]:
     """Log weights from dictionaries, one document at a time."""
     buckets, shift = quality.BUCKETS, 64 - quality.BUCKETS.bit_length() + 1
-    found = {}
+    found, known = {}, {}
     for i, text in texts.items():
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        w = quality.tokens(raw, np.array([0, len(raw)]))
-        h, spot = [int(x) for x in w.hashes()], []
+        tokens = re.findall(rb"[0-9a-z\x80-\xff]+|[^\x00-\x200-9a-z\x80-\xff]+", ascii_lower(text or "").encode())
+        h, spot = [known[t] if t in known else known.setdefault(t, word_hash_bytes(t)) for t in tokens], []
         for k, x in enumerate(h):
             spot.append(x >> shift)
             if k:
