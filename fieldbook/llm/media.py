@@ -212,7 +212,7 @@ def consensus(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray, max_bi
         scaled = np.abs(np.log(zooms / zooms[k]))
         # a corner may be off by 3 pixels of its level, and by what an angle of 7 degrees or a scale 7 % off moves it
         good = (off <= 3 * b[:, 2] + 0.12 * zooms[k] * np.hypot(x, y)) & (turned <= 0.5) & (scaled <= 0.3)
-        if good.sum() > most:
+        if good.sum() >= max(most + 1, enough or 1):
             # corners at one place of either image count once
             most = max(most, min(len(np.unique(np.rint(side[good, :2] / 3), axis=0)) for side in (a, b)))
             if enough and most >= enough:

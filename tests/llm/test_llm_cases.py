@@ -341,7 +341,7 @@ EDITS = {
 @pytest.mark.parametrize("kind", ["blocks", "shapes"])
 def test_edited_copies_are_found(spark, kind):
     """Recall of at least 0.9 an edit, and unrelated pictures apart (pictures of 192 pixels)."""
-    n, step = 10, len(EDITS) + 1
+    n, step = 4, len(EDITS) + 1
     images = []
     for k in range(n):
         a = drawn(kind, k)
