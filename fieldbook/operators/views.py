@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbook.operators.gates import month_buckets
+
 
 def state_counts(notes: DataFrame) -> DataFrame:
     return notes.groupBy("state").agg(F.count("*").alias("notes"), F.countDistinct("project").alias("projects"))
@@ -16,10 +18,57 @@ def month_rollup(notes: DataFrame) -> DataFrame:
 
 
 def package_progress(active: DataFrame, notes: DataFrame) -> DataFrame:
-    """(package, sprints, sealed_sprints, notes): how many of a package's sprints have a sealed note."""
-    each = active.select("seq", F.explode(F.split("packages", ",")).alias("package"))
-    per = notes.groupBy(F.col("sprint").alias("seq")).agg(F.count("*").alias("n"), F.max(F.when(F.col("state") == "sealed", 1).otherwise(0)).alias("s"))
-    return each.join(per, "seq", "left").groupBy("package").agg(F.count("*").alias("sprints"), F.sum(F.coalesce("s", F.lit(0))).alias("sealed_sprints"), F.sum(F.coalesce("n", F.lit(0))).alias("notes"))
+    """(project, package, sprints, sealed_sprints, notes): how many of a package's sprints have a sealed note.
+
+    active: project, seq, packages (comma-joined); notes: project, sprint, state.
+    """
+    each = active.select("project", "seq", F.explode(F.split("packages", ",")).alias("package"))
+    per = notes.groupBy("project", F.col("sprint").alias("seq")).agg(F.count("*").alias("n"), F.max(F.when(F.col("state") == "sealed", 1).otherwise(0)).alias("s"))
+    wide = each.join(per, ["project", "seq"], "left")
+    return wide.groupBy("project", "package").agg(F.count("*").alias("sprints"), F.sum(F.coalesce("s", F.lit(0))).alias("sealed_sprints"), F.sum(F.coalesce("n", F.lit(0))).alias("notes"))
+
+
+def month_detail(blocks: DataFrame, sprints: DataFrame, notes: DataFrame, milestones: DataFrame) -> DataFrame:
+    """(project, month, sprints, notes, sealed, milestones) for every month block of a project.
+
+    Sprints count in each block they overlap, notes in the block their period starts in, milestones (project, month,
+    name) by number. Blocks and sprints meet by calendar month with exact bounds after, each pair in its first month.
+    """
+    block = blocks.select("project", F.col("seq").alias("month"), F.col("start").alias("b0"), F.col("end").alias("b1"))
+    wide = block.withColumn("cm", F.explode(month_buckets(F.col("b0"), F.col("b1"))))
+    span = sprints.select("project", F.col("start").alias("s0"), F.col("end").alias("s1"), F.explode(month_buckets(F.col("start"), F.col("end"))).alias("cm"))
+    over = wide.join(span, ["project", "cm"]).where("b1 >= s0 and b0 <= s1").where(F.col("cm") == F.trunc(F.greatest("b0", "s0"), "month"))
+    starts = notes.select("project", "state", F.col("start").alias("n0"), F.trunc("start", "month").alias("cm"))
+    written = wide.join(starts, ["project", "cm"]).where("n0 between b0 and b1")
+    counts = [
+        over.groupBy("project", "month").agg(F.count("*").alias("sprints")),
+        written.groupBy("project", "month").agg(F.count("*").alias("notes"), F.count_if(F.col("state") == "sealed").alias("sealed")),
+        milestones.groupBy("project", "month").agg(F.count("*").alias("milestones")),
+    ]
+    out = block.select("project", "month")
+    for part in counts:
+        out = out.join(part, ["project", "month"], "left")
+    return out.na.fill(0, ["sprints", "notes", "sealed", "milestones"])
+
+
+def upcoming_milestones(milestones: DataFrame, today: str, most: int = 4) -> DataFrame:
+    """(project, nth, name, date): of each project the first milestones in stored order (pos) that are not past."""
+    nth = F.row_number().over(Window.partitionBy("project").orderBy("pos"))
+    ahead = milestones.where(F.col("date") >= F.lit(today).cast("date")).withColumn("nth", nth)
+    return ahead.where(F.col("nth") <= most).select("project", "nth", "name", "date")
+
+
+def newest_evidence(ledger: DataFrame, order: list[str], most: int = 300) -> DataFrame:
+    """The newest entries of a ledger for a pick list, as many as the list shows; sorted and cut in each task first."""
+    return ledger.orderBy(*[F.desc(c) for c in order]).limit(most)
+
+
+def dashboard(notes: DataFrame, actuals: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(measure, value): notes in all and by state, metric keys with values, evidence by kind."""
+    named = lambda df, col, prefix: df.groupBy(F.concat(F.lit(prefix), F.col(col)).alias("measure")).agg(F.count("*").alias("value"))
+    total = notes.agg(F.count("*").alias("value")).select(F.lit("notes").alias("measure"), "value")
+    keys = actuals.agg(F.countDistinct("key").alias("value")).select(F.lit("measured_keys").alias("measure"), "value")
+    return total.unionByName(named(notes, "state", "notes_")).unionByName(keys).unionByName(named(ledger, "kind", "evidence_"))
 
 
 def elapsed_percent(projects: DataFrame, today: str) -> DataFrame:
