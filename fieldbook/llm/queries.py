@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.llm import decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, pii, quality, substring_dedup
+from fieldbook.llm import conversation_repair, decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, pii, quality, substring_dedup
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_license_scan": licenses.OP6_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
+    "op12_conversation_repair": conversation_repair.OP12_SQL,
 }
