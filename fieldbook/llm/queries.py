@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.llm import conversation_repair, decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, pii, quality, substring_dedup
+from fieldbook.llm import conversation_repair, decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, pii, quality, source_divergence, substring_dedup
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_source_divergence": source_divergence.op13_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
     "op12_conversation_repair": conversation_repair.OP12_SQL,
+    "op13_source_divergence": source_divergence.OP13_SQL,
 }

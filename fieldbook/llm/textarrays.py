@@ -113,6 +113,13 @@ def split_words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower:
     return Words(low, start, end, np.repeat(np.arange(rows), np.diff(bounds)), bounds)
 
 
+def exact(words: Words, table: np.ndarray) -> pa.DictionaryArray:
+    """The words themselves, as codes into their distinct strings; table is the one they were split by."""
+    offsets = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int32)
+    solid = np.ascontiguousarray(words.lower[table[words.lower]])
+    return pa.StringArray.from_buffers(len(words.start), pa.py_buffer(offsets), pa.py_buffer(solid)).dictionary_encode()
+
+
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
