@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.llm import conversation_repair, decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, pii, quality, source_divergence, substring_dedup
+from fieldbook.llm import conversation_repair, decontaminate, language_id, licenses, line_dedup, media, mixing, near_dedup, pii, quality, quality_rules, source_divergence, substring_dedup
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_source_divergence": source_divergence.op13_source_divergence,
 }
