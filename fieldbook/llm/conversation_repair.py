@@ -154,8 +154,9 @@ def _walked(schema: pa.Schema) -> pa.Schema:
 
 def repaired_turns(rows: DataFrame, plans: DataFrame) -> DataFrame:
     """(conv_id, edit, role, text): the turns of the repaired conversations; each lies in one partition, in order."""
-    edits = plans.select(F.col("conv_id").alias("c"), F.posexplode(F.regexp_extract_all("audit", F.lit("I*[DKR]"), F.lit(0))).alias("pos", "edit"), F.regexp_extract("audit", r"I*\z", 0).alias("end"), F.regexp_count("audit", F.lit("[DKR]")).alias("n"))
-    edits = edits.select("c", F.col("pos").cast("long").alias("p"), F.when(F.col("pos") == F.col("n") - 1, F.concat("edit", "end")).otherwise(F.col("edit")).alias("edits"))
+    # what stands before each turn and its own letter; the last has the inserts at the end too
+    each = F.posexplode(F.regexp_extract_all("audit", F.lit(r"I*[DKR](?:I+\z)?"), F.lit(0)))
+    edits = plans.select(F.col("conv_id").alias("c"), each.alias("p", "edits"))
     both = rows.join(edits, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p")))
     ordered = both.repartition("conv_id").sortWithinPartitions("conv_id", "pos").select("conv_id", "role", "text", "edits")
     schema = T.StructType([rows.schema["conv_id"], *T.StructType.fromDDL("edit string, role string, text string").fields])
