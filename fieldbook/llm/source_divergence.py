@@ -35,7 +35,7 @@ CELLS, PAIRS = 1 << 18, 1 << 22
 #: the fewest terms of a tile, however many sources there are
 NARROW = 64
 #: rows a task holds before it sends its counts on
-HELD = 1 << 20
+HELD = 1 << 18
 #: letters and everything beyond ASCII
 LETTERS = byte_class(lambda b: 97 <= b <= 122 or b >= 128)
 
@@ -46,11 +46,9 @@ def _count_batches(batches):
     held: list[pa.Table] = []
 
     def out():
-        names = list(groups)
-        table = pa.concat_tables(held)
-        for batch in table.to_batches():
-            at = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array([names[k][j] for k in at], pa.string()) for j in (0, 1)] + batch.columns[1:], names=["lang", "source", "term", "c", "d"])
+        names = [pa.array(x, pa.string()) for x in zip(*groups)]
+        for batch in pa.concat_tables(held).to_batches():
+            yield pa.RecordBatch.from_arrays([*(x.take(batch.column(0)) for x in names), *batch.columns[1:]], names=["lang", "source", "term", "c", "d"])
         groups.clear()
         held.clear()
 
