@@ -7,9 +7,8 @@ what is wanted are the components of the confirmed pairs.
 A bucket's pivot is its smallest vertex. First each vertex is paired with the smallest of its pivots only, so a group
 of copies that shares many buckets makes one pair a vertex. Then buckets whose members still lie in several
 components stay open, and each vertex goes on to further pivots of other components: up to 4, 16, 64 and so on at a
-time, until none is left. What is still open after that is compared across components, never inside one, and each
-pair in the smallest of its common buckets only; sketches decide inside the join which pairs go on to be
-confirmed. So every pair in a bucket is confirmed, refused, ruled out by its sketches, or already inside one component.
+time, until none is left. What is still open after that is compared across components, never inside one; sketches
+decide inside the join which pairs go on to be confirmed, each once. So every pair in a bucket is confirmed, refused, ruled out by its sketches, or already inside one component.
 """
 
 from __future__ import annotations
@@ -48,14 +47,15 @@ def link_in_buckets(
     prepare: Callable[[DataFrame], tuple[DataFrame, Callable[[DataFrame], DataFrame]]],
     alike: str = "true",
     close: str = "true",
-    pick: str = "f",
+    parts: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Confirmed edges (a, b), and their components (v, c).
 
     vertices: (bucket, v, tv, s). prepare gets the distinct (v, tv) that share a bucket, and returns
     their sketches (v, tv, f) and a function from distinct pairs (a, ta, b, tb) to the (a, b) that
     hold. alike is an SQL condition on s and sb, and close one on the sketches f and fb, that any
-    pair worth confirming meets; pick is an SQL expression for the part of f that counts in a bucket.
+    pair worth confirming meets. Where only a part of f counts in a bucket, parts is an SQL expression for those of f whose
+    bucket is in the array own, as array<struct<bucket, part>>; then f and fb in close are the arrays of a bucket's parts.
     """
     first = [F.min("v").alias("b"), F.min_by("tv", "v").alias("tb"), F.min_by("s", "v").alias("sb")]
     pivots = vertices.groupBy("bucket").agg(F.count("*").alias("times"), *first).where("times > 1").drop("times")
@@ -84,11 +84,18 @@ def link_in_buckets(
             still = _open(still, labels)
 
     own = still.groupBy("v").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
-    full = still.join(own, "v").join(sketches, ["v", "tv"]).withColumn("f", F.expr(pick))
+    if parts is None:
+        # the sketch is one in all buckets, so each pair is looked at in the smallest of its common buckets
+        full, once = still.join(own, "v").join(sketches, ["v", "tv"]), "array_min(array_intersect(own, ownb)) = bucket"
+    else:
+        each = sketches.join(own, "v").select("v", "tv", F.explode(F.expr(parts)).alias("e"))
+        mine = each.groupBy("e.bucket", "v", "tv").agg(F.collect_list("e.part").alias("f"))
+        full, once = still.join(mine, ["bucket", "v", "tv"]).withColumn("own", F.lit(None).cast("array<bigint>")), "true"
     full = written(full.select("bucket", "v", "tv", "s", "c", "f", "own", F.col("b").alias("pivot")))
     other = full.select("bucket", *[F.col(x).alias(y) for x, y in (("v", "b"), ("tv", "tb"), ("s", "sb"), ("c", "cb"), ("f", "fb"), ("own", "ownb"))])
-    more = full.join(other, "bucket").where(f"v < b and v <> pivot and c <> cb and {alike} and {close} and array_min(array_intersect(own, ownb)) = bucket")
-    found = written(confirm(more.select(F.col("v").alias("a"), F.col("tv").alias("ta"), "b", "tb")))
+    more = full.join(other, "bucket").where(f"v < b and v <> pivot and c <> cb and {alike} and {close} and {once}")
+    more = more.select(F.col("v").alias("a"), F.col("tv").alias("ta"), "b", "tb")
+    found = written(confirm(more if parts is None else more.distinct()))
     if found.limit(1).count():
         links = links.union(found)
         labels = components(links)

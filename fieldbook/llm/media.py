@@ -1,18 +1,22 @@
 """Copied images by local descriptors: cropped, resized, turned or edited copies found without comparing all pairs.
 
-1. Decode (binary PGM, PPM, or 8-bit PNG without interlace) to grey; an image of more than 512 x 512 pixels is
-   halved until it has no more.
-2. At each scale of a smoothed pyramid (five levels, each smaller by 1.2) every corner is taken that has the greatest
-   Harris response within 3 pixels, so corners grow with the area and do not depend on what a crop left out.
+1. Decode (binary PGM, PPM, or 8-bit PNG without interlace) to grey.
+2. At each scale of a smoothed pyramid, from the full size down by 1.2 a level as long as a patch fits, every corner is
+   taken that has the greatest Harris response within 3 pixels, so corners grow with the area and depend neither on what
+   a crop left out nor on its size.
 3. Turn each corner's patch by its intensity centroid and make 256 binary brightness tests.
-4. Hamming tables: an equal 64-bit word, of the four that a descriptor has, puts two images in one bucket; equal
+4. Hamming tables: 48 equal bits, the first of one of the four words that a descriptor has, put two images in one bucket; equal
    contents are one vertex, and buckets are linked without emitting all their pairs (see linking). What is still to
    compare across the components of one bucket must have descriptors there that differ in at most ``max_bits`` bits.
 5. A pair of images is confirmed by geometric consensus: corners whose descriptors differ in at most
-   ``max_bits`` bits vote for a similarity transform, and at least ``min_votes`` and 3 % of the corners of the image with fewer
-   must agree with one of them in place, scale and turn.
+   ``max_bits`` bits vote for a similarity transform, and enough of them must agree with one in place, scale and turn. Of the
+   corners of the image with fewer that is 3 %, but at least 12, or 35 % where that is less than 12, and never less than
+   ``min_votes``: unrelated pictures reach 8 or so by chance however few corners they have.
 
-Defined cases: null, empty or undecodable content has no corners: with null or empty content an image is linked with
+A task holds the pyramid of one image at a time, or of as many small ones as have PIECE pixels together, some 60 bytes a
+pixel, and compares descriptors of two images in pieces, so its memory is that of one image.
+
+Defined cases: null, empty or undecodable content (also one that claims more than MAX_PIXELS) has no corners: with null or empty content an image is linked with
 nothing, equal undecodable contents are one class; an image with too few corners links only to equal
 contents; rows that share an id are one vertex, which shows the content of smallest SHA-256; an image without id keeps
 the null id as its class. Only the id and the content of the input are read, so other columns cannot clash.
@@ -31,10 +35,14 @@ from pyspark.sql import functions as F
 from fieldbook.llm.linking import link_in_buckets
 from fieldbook.llm.scratch import quoted, written
 
-#: a patch's radius; the pyramid; how far a corner is the strongest; the most pixels described
-RADIUS, LEVELS, STEP, APART, PIXELS = 12, 5, 1.2, 3, 512 * 512
-MAX_BITS, MIN_VOTES, VOTE_SHARE = 40, 5, 0.03
-TABLES = 4
+#: a patch's radius; the pyramid's step; how far a corner is the strongest
+RADIUS, STEP, APART = 12, 1.2, 3
+#: pixels described at once; the most an image may have; distances of descriptors held at once
+PIECE, MAX_PIXELS, HELD = 1 << 20, 1 << 28, 1 << 22
+MAX_BITS, MIN_VOTES = 40, 5
+#: how many of the smaller image's corners must agree: a share, but at least so many, or so large a share of few corners
+VOTE_SHARE, VOTES, FEW_SHARE = 0.03, 12, 0.35
+TABLES, WORD = 4, (1 << 48) - 1
 _PNM = re.compile(rb"P([56])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+255\s")
 _rng = np.random.default_rng(4)
 #: where the binary tests compare: 256 pairs of points within a disc around the corner
@@ -48,6 +56,8 @@ def decode(data: bytes | None) -> np.ndarray | None:
             return None
         if m := _PNM.match(data):
             depth, w, h = (1, 3)[m[1] == b"6"], int(m[2]), int(m[3])
+            if h * w > MAX_PIXELS:
+                return None
             flat = np.frombuffer(data, np.uint8, h * w * depth, m.end())
             return flat.reshape(h, w, depth).mean(axis=2).astype(np.float32) if h and w else None
         return _png(data) if data[:8] == b"\x89PNG\r\n\x1a\n" else None
@@ -56,35 +66,55 @@ def decode(data: bytes | None) -> np.ndarray | None:
 
 
 def _png(data: bytes) -> np.ndarray:
-    at, body, head = 8, b"", b""
+    at, body, head, palette = 8, [], b"", b""
     while at + 8 <= len(data):
         size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
         part = data[at + 8 : at + 8 + size]
-        head, body = (part if kind == b"IHDR" else head), (body + part if kind == b"IDAT" else body)
+        if kind == b"IDAT":
+            body.append(part)
+        head, palette = (part if kind == b"IHDR" else head), (part if kind == b"PLTE" else palette)
         at += 12 + size
     w, h = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
-    if head[8] != 8 or head[12]:
-        raise ValueError("only 8-bit PNG without interlace")
-    depth = {0: 1, 2: 3, 4: 2, 6: 4}[head[9]]
-    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * depth)
-    out = np.zeros((h + 1, w * depth + depth), np.int32)  # one row above and one pixel to the left are zero
+    if head[8] != 8 or head[12] or not 0 < h * w <= MAX_PIXELS:
+        raise ValueError("only 8-bit PNG without interlace, of at most MAX_PIXELS")
+    depth = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[9]]
+    size = h * (1 + w * depth)
+    # no more is unpacked than the header announces
+    rows = np.frombuffer(zlib.decompressobj().decompress(b"".join(body), size), np.uint8, size).reshape(h, 1 + w * depth)
+    out = np.zeros((h + 1, w + 1, depth), np.uint8)  # one row above and one pixel to the left are zero
     for y in range(h):
-        kind, line, up = rows[y, 0], rows[y, 1:].astype(np.int32), out[y]
-        if kind in (0, 2):
-            out[y + 1, depth:] = (line + (up[depth:] if kind else 0)) & 255
-            continue
-        for x in range(w * depth):
-            left, above, corner = out[y + 1, x], up[x + depth], up[x]
-            if kind == 1:
-                guess = left
-            elif kind == 3:
-                guess = (left + above) // 2
-            else:
-                p = left + above - corner
-                guess = min((left, above, corner), key=lambda v: abs(p - v))
-            out[y + 1, x + depth] = (line[x] + guess) & 255
-    grey = out[1:, depth:].reshape(h, w, depth)
-    return grey[:, :, : 3 if depth > 2 else 1].mean(axis=2).astype(np.float32)
+        _unfilter(int(rows[y, 0]), rows[y, 1:].reshape(w, depth), out[y], out[y + 1])
+    pixels = out[1:, 1:]
+    if head[9] == 3:
+        return np.frombuffer(palette, np.uint8).reshape(-1, 3).mean(axis=1).astype(np.float32)[pixels[:, :, 0]]
+    return pixels[:, :, : 3 if depth > 2 else 1].mean(axis=2).astype(np.float32)
+
+
+def _unfilter(kind: int, line: np.ndarray, up: np.ndarray, out: np.ndarray) -> None:
+    """One row of pixels from its differences; up and out begin with the zero pixel to the left."""
+    if kind == 0:
+        out[1:] = line
+    elif kind == 1:
+        np.cumsum(line, axis=0, dtype=np.uint8, out=out[1:])
+    elif kind == 2:
+        out[1:] = line + up[1:]
+    elif kind in (3, 4):
+        # each pixel needs the one before it: a loop over plain numbers, a channel at a time
+        for c in range(line.shape[1]):
+            above, left, made = up[:, c].tolist(), 0, []
+            for x, v in enumerate(line[:, c].tolist(), 1):
+                if kind == 3:
+                    guess = (left + above[x]) >> 1
+                else:
+                    corner = above[x - 1]
+                    p = left + above[x] - corner
+                    to_left, to_above, to_corner = abs(p - left), abs(p - above[x]), abs(p - corner)
+                    guess = left if to_left <= to_above and to_left <= to_corner else above[x] if to_above <= to_corner else corner
+                left = (v + guess) & 255
+                made.append(left)
+            out[1:, c] = made
+    else:
+        raise ValueError("an unknown filter")
 
 
 def _resize(stack: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -133,13 +163,11 @@ def describe_stack(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     points: list[list[np.ndarray]] = [[] for _ in stack]
     words: list[list[np.ndarray]] = [[] for _ in stack]
     edge, (high, wide) = RADIUS + 1, stack.shape[1:]
-    level = stack.astype(np.float32)
-    while level.shape[1] * level.shape[2] > PIXELS:
-        level = _resize(_smooth(level), max(1, level.shape[1] // 2), max(1, level.shape[2] // 2))
-    full, level = level.shape[1:], _smooth(_smooth(level))
-    for k in range(LEVELS):
+    level, k = _smooth(_smooth(stack.astype(np.float32))), -1
+    while True:
+        k += 1
         if k:
-            level = _resize(_smooth(level), max(1, round(full[0] / STEP**k)), max(1, round(full[1] / STEP**k)))
+            level = _resize(_smooth(level), max(1, round(high / STEP**k)), max(1, round(wide / STEP**k)))
         n, h, w = level.shape
         if h <= 2 * edge or w <= 2 * edge:
             break
@@ -170,32 +198,54 @@ def describe_stack(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.concatenate(p), np.concatenate(d)) if p else none for p, d in zip(points, words)]
 
 
+def _parts(batch: pa.RecordBatch):
+    """A batch in slices of at most 64 images, fewer if they are large."""
+    sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(2)]
+    at = 0
+    while at < batch.num_rows:
+        end, held = at + 1, sizes[at]
+        while end < min(at + 64, batch.num_rows) and held + sizes[end] <= 4 * PIECE:
+            held, end = held + sizes[end], end + 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _lists(rows: list[np.ndarray | None], kind) -> pa.Array:
+    """An array column of these rows, an empty list for None."""
+    full = [np.zeros(0, kind) if r is None else r for r in rows]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in full])]), pa.int32()), pa.array(np.concatenate(full)))
+
+
 def _describe_batches(batches):
     """(v, print, content) to (v, print, points, words): points and words as flat arrays."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
+        for part in _parts(batch):
             images = [decode(x.as_py()) for x in part.column(2)]
             points, words = [None] * len(images), [None] * len(images)
             shapes: dict[tuple, list[int]] = {}
             for i, image in enumerate(images):
                 if image is not None:
                     shapes.setdefault(image.shape, []).append(i)
-            for rows in shapes.values():
-                for i, (p, d) in zip(rows, describe_stack(np.stack([images[i] for i in rows]))):
-                    points[i], words[i] = p.ravel().tolist(), d.ravel().tolist()
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([p or [] for p in points], pa.list_(pa.float32())), pa.array([d or [] for d in words], pa.list_(pa.int64()))], names=["v", "print", "points", "words"]
-            )
+            for (h, w), same in shapes.items():
+                many = max(1, PIECE // max(h * w, 1))
+                for rows in (same[k : k + many] for k in range(0, len(same), many)):
+                    for i, (p, d) in zip(rows, describe_stack(np.stack([images[i] for i in rows]))):
+                        points[i], words[i] = p.ravel(), d.ravel()
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(points, np.float32), _lists(words, np.int64)], names=["v", "print", "points", "words"])
 
 
 def consensus(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray, max_bits: int = MAX_BITS, enough: int | None = None) -> int:
     """How many corners of the first image agree with one similarity transform into the second; stops at enough."""
     if not len(p) or not len(q):
         return 0
-    far = np.bitwise_count(d.view(np.uint64)[:, None, :] ^ e.view(np.uint64)[None, :, :]).sum(axis=2, dtype=np.int32)
-    near = far.argmin(axis=1)
-    bits = far[np.arange(len(p)), near]
+    near, bits, many = np.empty(len(p), np.int64), np.empty(len(p), np.int32), max(1, HELD // len(q))
+    mine, other = d.view(np.uint64), np.ascontiguousarray(e.view(np.uint64).T)
+    for k in range(0, len(p), many):
+        far = np.zeros((len(mine[k : k + many]), len(q)), np.uint16)
+        for j in range(4):
+            far += np.bitwise_count(mine[k : k + many, j, None] ^ other[j])
+        near[k : k + many] = far.argmin(axis=1)
+        bits[k : k + many] = far[np.arange(len(far)), near[k : k + many]]
     i = np.flatnonzero(bits <= max_bits)
     if len(i) < (enough or 1):
         return 0
@@ -221,8 +271,9 @@ def consensus(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray, max_bi
 
 
 def agree(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray, max_bits: int = MAX_BITS, min_votes: int = MIN_VOTES) -> bool:
-    """Whether min_votes corners, and VOTE_SHARE of the corners of the image with fewer, agree; chance grows with corners."""
-    enough = max(min_votes, int(np.ceil(VOTE_SHARE * min(len(p), len(q)))))
+    """Whether enough corners agree, by how many the image with fewer has."""
+    fewer = min(len(p), len(q))
+    enough = max(min_votes, min(VOTES, int(np.ceil(FEW_SHARE * fewer))), int(np.ceil(VOTE_SHARE * fewer)))
     return consensus(p, d, q, e, max_bits, enough) >= enough
 
 
@@ -255,8 +306,8 @@ def find_copies(images: DataFrame, id_col: str = "image_id", content_col: str =
     shown = prints.groupBy("v").agg(F.min("print").alias("print"))
     described = rows.mapInArrow(_describe_batches, "v long, print string, points array<float>, words array<long>")
     known = written(described.join(shown.hint("merge"), ["v", "print"]).dropDuplicates(["v", "print"]).drop("print"))
-    # the keys of an image once each: an equal word in the same table
-    keys = F.array_distinct(F.transform("words", lambda w, k: F.xxhash64(k % TABLES, w)))
+    # the keys of an image once each: equal bits in the same table
+    keys = F.array_distinct(F.transform("words", lambda w, k: F.xxhash64(k % TABLES, w.bitwiseAND(F.lit(WORD)))))
     one = known.select("v", F.explode(keys).alias("bucket"))
     vertices = one.select("bucket", "v", F.lit(0).cast("long").alias("tv"), F.lit(0).cast("long").alias("s"))
 
@@ -268,10 +319,11 @@ def find_copies(images: DataFrame, id_col: str = "image_id", content_col: str =
 
         return known.select("v", F.lit(0).cast("long").alias("tv"), F.col("words").alias("f")), confirm
 
-    # the descriptors that an image has in a bucket, and whether two of them are close
-    there = f"transform(filter(sequence(0, size(f) - 1), k -> xxhash64(k % {TABLES}, f[k]) = bucket), k -> slice(f, k - k % {TABLES} + 1, {TABLES}))"
+    # the descriptors that an image has in its open buckets, and whether two of one bucket are close
+    there = f"struct(xxhash64(k % {TABLES}, f[k] & {WORD}L) as bucket, slice(f, k - k % {TABLES} + 1, {TABLES}) as part)"
+    there = f"filter(transform(sequence(0, size(f) - 1), k -> {there}), e -> array_contains(own, e.bucket))"
     differ = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(TABLES))
-    edges, labels = link_in_buckets(vertices, prepare, close=f"exists(f, x -> exists(fb, y -> {differ} <= {max_bits}))", pick=there)
+    edges, labels = link_in_buckets(vertices, prepare, close=f"exists(f, x -> exists(fb, y -> {differ} <= {max_bits}))", parts=there)
     links = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
     facts = known.select("v", (F.size("words") / 4).cast("long").alias("n_corners")).join(labels, "v", "left").join(links, "v", "left")
     # the content's vertex by its print; a content that repeats is looked up by all its rows

@@ -368,3 +368,83 @@ def test_pairs_grow_with_a_group(spark, monkeypatch):
         return sum(df.count() for df in pairs if df.columns == ["a", "ta", "b", "tb"])
 
     assert count(160) <= 2.2 * count(80)
+
+
+def gradients(seed: int, side: int = 192) -> np.ndarray:
+    """Soft light and dark waves with sharp strokes: a third kind of picture."""
+    rng = np.random.default_rng(seed)
+    yy, xx = np.mgrid[0:side, 0:side]
+    out = sum(rng.uniform(10, 30) * np.sin(rng.uniform(0.02, 0.2) * xx + rng.uniform(0.02, 0.2) * yy + rng.uniform(0, 6)) for _ in range(6)) + 128
+    for _ in range(side):
+        (cy, cx), t, n, wide = rng.integers(0, side, 2), rng.uniform(0, np.pi), rng.integers(6, 30), rng.uniform(0.7, 2)
+        along, across = (xx - cx) * np.cos(t) + (yy - cy) * np.sin(t), (yy - cy) * np.cos(t) - (xx - cx) * np.sin(t)
+        out[(abs(along) < n) & (abs(across) < wide)] += rng.uniform(-80, 80)
+    return np.clip(out, 0, 255)
+
+
+def test_unlike_pictures_stay_apart():
+    """No two of twelve unlike pictures of three kinds agree, nor their quarters and small copies."""
+    made = [f(k) for k in range(4) for f in (gradients, lambda k: drawn("shapes", 40 + k), lambda k: drawn("blocks", 60 + k))]
+    found = [[media.describe_stack(np.clip(x, 0, 255).astype(np.float32)[None])[0] for x in (a, a[24:-24, 24:-24], resized(a, 0.6), turned(a, 15))] for a in made]
+    for i, mine in enumerate(found):
+        assert all(media.agree(*mine[0], *x) or media.agree(*x, *mine[0]) for x in mine)
+        assert not any(media.agree(*x, *y) for other in found[:i] + found[i + 1 :] for x in mine for y in other)
+
+
+def test_small_crops_of_large_pictures(spark):
+    """A sixteenth of a large picture, and a quarter-size copy, are found; another picture is not."""
+    side, cut = 1024, 256
+    a = drawn("shapes", 5, side)
+    images = [(1, pgm(a)), (2, pgm(a[side // 3 : side // 3 + cut, side // 5 : side // 5 + cut])), (3, pgm(resized(resized(a, 0.5), 0.5))), (4, pgm(drawn("shapes", 6, side)))]
+    out = media.find_copies(spark.createDataFrame(images, "image_id long, content binary")).collect()
+    assert {r.image_id: r.class_id for r in out} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+@pytest.mark.parametrize("side", [2048, 4096])
+def test_crops_of_very_large_pictures(side):
+    a = resized(drawn("blocks", 7, side // 2), 2.0)
+    whole, crop = (media.describe_stack(x.astype(np.float32)[None])[0] for x in (a, a[700:1212, 300:812]))
+    assert media.agree(*crop, *whole)
+
+
+def png(pixels: np.ndarray, kind: int, filters: list[int], palette: bytes = b"") -> bytes:
+    """A PNG of these pixels (height, width, channels), its rows by the filters in turn."""
+    import struct
+    import zlib
+
+    h, w, depth = pixels.shape
+    full = np.zeros((h + 1, w + 1, depth), int)
+    full[1:, 1:] = pixels
+    left, up, corner = full[1:, :-1], full[:-1, 1:], full[:-1, :-1]
+    p = left + up - corner
+    near = np.stack([abs(p - left), abs(p - up), abs(p - corner)]).argmin(axis=0)  # ties: left, then above
+    guesses = [0 * left, left, up, (left + up) // 2, np.choose(near, [left, up, corner])]
+    rows = b"".join(bytes([filters[y % len(filters)]]) + ((full[1 + y, 1:] - guesses[filters[y % len(filters)]][y]) % 256).astype(np.uint8).tobytes() for y in range(h))
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    body = zlib.compress(rows)
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0))
+    return b"\x89PNG\r\n\x1a\n" + head + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", body[:9]) + chunk(b"IDAT", body[9:]) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("filters", [[0], [1], [2], [3], [4], [4, 3, 2, 1, 0]])
+@pytest.mark.parametrize("kind,depth", [(0, 1), (2, 3), (4, 2), (6, 4)])
+def test_png_filters(filters, kind, depth):
+    pixels = np.random.default_rng(depth).integers(0, 256, (9, 7, depth))
+    grey = pixels[:, :, : 3 if depth > 2 else 1].mean(axis=2)
+    assert np.allclose(media.decode(png(pixels, kind, filters)), grey, atol=1e-3)
+
+
+def test_png_palettes_and_bad_files():
+    index = np.random.default_rng(2).integers(0, 4, (5, 6, 1))
+    colours = bytes([0, 0, 0, 30, 60, 90, 255, 255, 255, 3, 6, 9])
+    assert np.allclose(media.decode(png(index, 3, [0], colours)), np.array([0, 60, 255, 6])[index[:, :, 0]])
+    good = png(np.zeros((2, 2, 1), int), 0, [0])
+    bomb = good.replace(b"\x00\x00\x00\x02\x00\x00\x00\x02", b"\x00\x00\xff\xff\x00\x00\xff\xff")
+    assert media.decode(bomb) is None and media.decode(good[:40]) is None and media.decode(png(np.zeros((2, 2, 1), int), 3, [0])) is None
+    import zlib
+
+    # a stream of a gigabyte behind a header of four pixels: only those are unpacked
+    stream = zlib.compressobj()
+    long = b"".join(stream.compress(bytes(1 << 20)) for _ in range(64)) + stream.flush()
+    at = good.index(b"IDAT")
+    assert media.decode(good[: at - 4] + len(long).to_bytes(4, "big") + b"IDAT" + long + bytes(4)).shape == (2, 2)
