@@ -5,7 +5,7 @@
    taken that has the greatest Harris response within 3 pixels, so corners grow with the area and depend neither on what
    a crop left out nor on its size.
 3. Turn each corner's patch by its intensity centroid and make 256 binary brightness tests.
-4. Hamming tables: 48 equal bits, the first of one of the four words that a descriptor has, put two images in one bucket; equal
+4. Hamming tables: an equal 64-bit word, of the four that a descriptor has, puts two images in one bucket; equal
    contents are one vertex, and buckets are linked without emitting all their pairs (see linking). What is still to
    compare across the components of one bucket must have descriptors there that differ in at most ``max_bits`` bits.
 5. A pair of images is confirmed by geometric consensus: corners whose descriptors differ in at most
@@ -42,7 +42,7 @@ PIECE, MAX_PIXELS, HELD = 1 << 20, 1 << 28, 1 << 22
 MAX_BITS, MIN_VOTES = 40, 5
 #: how many of the smaller image's corners must agree: a share, but at least so many, or so large a share of few corners
 VOTE_SHARE, VOTES, FEW_SHARE = 0.03, 12, 0.35
-TABLES, WORD = 4, (1 << 48) - 1
+TABLES = 4
 _PNM = re.compile(rb"P([56])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+255\s")
 _rng = np.random.default_rng(4)
 #: where the binary tests compare: 256 pairs of points within a disc around the corner
@@ -306,8 +306,8 @@ def find_copies(images: DataFrame, id_col: str = "image_id", content_col: str =
     shown = prints.groupBy("v").agg(F.min("print").alias("print"))
     described = rows.mapInArrow(_describe_batches, "v long, print string, points array<float>, words array<long>")
     known = written(described.join(shown.hint("merge"), ["v", "print"]).dropDuplicates(["v", "print"]).drop("print"))
-    # the keys of an image once each: equal bits in the same table
-    keys = F.array_distinct(F.transform("words", lambda w, k: F.xxhash64(k % TABLES, w.bitwiseAND(F.lit(WORD)))))
+    # the keys of an image once each: an equal word in the same table
+    keys = F.array_distinct(F.transform("words", lambda w, k: F.xxhash64(k % TABLES, w)))
     one = known.select("v", F.explode(keys).alias("bucket"))
     vertices = one.select("bucket", "v", F.lit(0).cast("long").alias("tv"), F.lit(0).cast("long").alias("s"))
 
@@ -320,7 +320,7 @@ def find_copies(images: DataFrame, id_col: str = "image_id", content_col: str =
         return known.select("v", F.lit(0).cast("long").alias("tv"), F.col("words").alias("f")), confirm
 
     # the descriptors that an image has in its open buckets, and whether two of one bucket are close
-    there = f"struct(xxhash64(k % {TABLES}, f[k] & {WORD}L) as bucket, slice(f, k - k % {TABLES} + 1, {TABLES}) as part)"
+    there = f"struct(xxhash64(k % {TABLES}, f[k]) as bucket, slice(f, k - k % {TABLES} + 1, {TABLES}) as part)"
     there = f"filter(transform(sequence(0, size(f) - 1), k -> {there}), e -> array_contains(own, e.bucket))"
     differ = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(TABLES))
     edges, labels = link_in_buckets(vertices, prepare, close=f"exists(f, x -> exists(fb, y -> {differ} <= {max_bits}))", parts=there)
