@@ -4,13 +4,14 @@ Targets are shared by weight out of ``share`` times all tokens; a target stops a
 its source's tokens and the excess is shared again by weight until no target is above. That level is
 found by a loop whose only driver data are two sums a round; it ends when no further source stops.
 
-Each document is emitted floor(rate) times and once more if its own seeded draw in [0, 1) lies below its source's
-cut. Draws do not depend on each other, so with the rate's fraction as the cut a source of few or long documents would
-miss its target by much. The cut is therefore set where the sizes of the documents below it, in order of their draws,
-come nearest to the fraction of the source's words: the chance of a copy stays the fraction up to this rounding, and
-a source misses its target by half of one document's size at most (of all documents with that draw, where rows share an
-id). The cut is found by radix: sums by 13 bits of the draw, then by the next 13 bits inside the one bin where the cut
-lies, four times; no group is sorted or gathered.
+Each document is emitted floor(rate) times, and once more with a probability of exactly the rate's fraction f, whatever its
+size. Draws that do not depend on each other would let a source of few or long documents miss its target by much. So
+the further copies are drawn systematically: with a source's documents in order of size, and one seeded offset o in
+[0, 1) a source, floor(f * n + o) of the first n get one. Of documents of one size, those of the smallest seeded draws do. The
+offset and the draws are uniform, so each document has the chance f, and since every prefix of the order is right to
+within one document, a source misses its target by less than its longest document (more only by rows that share an id).
+Sizes are counted on the executors, the cut among the draws of each size is found by a distributed rank; no group is
+gathered.
 
 Defined cases: a null text has size 0; the null source is a source, last in order; a source without
 tokens has target 0 and its documents are not emitted; rows that repeat an id share its draw (for a null id, rows that
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from fieldbook.llm.scratch import packed, quoted, ranked, unpacked, without, written
 
-#: a table of sources is broadcast only if it is smaller than this
-BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
+#: a table of sources or of their sizes is broadcast only if it is smaller than this
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 4 << 20
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,14 +41,19 @@ def source_key(source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), quoted(source_col).cast("string")), F.lit("null"))
 
 
-#: a draw has DRAW bits, and a round of the search for the cut reads STEP of them
-DRAW, STEP = 52, 13
+#: bits of a draw
+DRAW = 52
 
 
-def draw(seed: str, id_col: str, text_col: str) -> Column:
+def _number(key: Column) -> Column:
     """A whole number below 2 ** DRAW from a SHA-256."""
+    return F.conv(F.substring(F.sha2(key, 256), 1, DRAW // 4), 16, 10).cast("long")
+
+
+def draw(seed: str, id_col: str, text_col: str) -> Column:
+    """A document's draw."""
     key = F.coalesce(quoted(id_col).cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(quoted(text_col), F.lit("")))))
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(seed), key), 256), 1, DRAW // 4), 16, 10).cast("long")
+    return _number(F.concat(F.lit(seed), key))
 
 
 def source_targets(docs: DataFrame, size: Column, source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_rate: float = 2.0) -> DataFrame:
@@ -70,42 +76,40 @@ def source_targets(docs: DataFrame, size: Column, source_col: str = "source", we
 
 
 def _small(table: DataFrame) -> DataFrame:
-    """A table of sources, broadcast if its size is within the bounds."""
+    """A table of sources or sizes, broadcast if it is within the bounds."""
     bounds = table.agg(F.count("*").alias("n"), F.sum(F.octet_length("_fb_key")).alias("b")).first()
     return F.broadcast(table) if bounds.n <= BROADCAST_ROWS and (bounds.b or 0) <= BROADCAST_BYTES else table
 
 
-def cuts(slim: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets with below: documents (_fb_key, size, d) whose draw d is less than it get one more copy."""
+def cuts(slim: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """(_fb_key, size, source_size, target, times, below): documents whose draw is less than below get one more copy."""
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    # how many words the further copies are to bring, and in the rounds: the bits known, the words before them
-    state = targets.withColumns({"times": F.floor(rate), "bin": F.lit(0).cast("long"), "sum": F.lit(0).cast("long"), "last": F.lit(0).cast("long")})
-    state = written(state.withColumn("more", F.col("target") - F.col("times") * F.col("source_size")))
-    for shift in range(DRAW - STEP, -1, -STEP):
-        here = F.shiftright("d", shift)
-        mine = slim.join(_small(state.select("_fb_key", "bin")), "_fb_key").where(F.shiftright(here, STEP) == F.col("bin"))
-        sums = mine.groupBy("_fb_key", here.alias("b")).agg(F.sum("size").alias("n"))
-        # at most 2 ** STEP rows a source
-        before = F.sum("n").over(Window.partitionBy("_fb_key").orderBy("b")) - F.col("n")
-        known = sums.withColumn("before", before).join(state.select("_fb_key", F.col("sum").alias("base"), F.col("more").alias("m")), "_fb_key")
-        # the last bin that begins before the words are reached
-        at = known.where(F.col("base") + F.col("before") < F.col("m")).groupBy("_fb_key").agg(F.max(F.struct("b", "before", "n")).alias("x"))
-        state = state.join(at, "_fb_key", "left").select(
-            "_fb_key", "source_size", "target", "times", "more", F.coalesce("x.b", F.lit(-1).cast("long")).alias("bin"), (F.col("sum") + F.coalesce("x.before", F.lit(0))).alias("sum"), F.coalesce("x.n", F.lit(0)).alias("last")
-        )
-        state = written(state)
-    nearer = F.col("sum") + F.col("last") / 2 <= F.col("more")
-    return state.select("_fb_key", "source_size", "target", "times", (F.col("bin") + nearer.cast("long")).alias("below"))
+    offset = _number(F.concat(F.lit(f"{seed}source "), "_fb_key")) / F.lit(float(1 << DRAW))
+    sources = targets.withColumns({"times": F.floor(rate), "f": rate - F.floor(rate), "o": offset})
+    # one row for each size of a source, so a window over its sizes holds no documents
+    upto = F.sum("n").over(Window.partitionBy("_fb_key").orderBy("size"))
+    sizes = slim.groupBy("_fb_key", "size").agg(F.count("*").alias("n")).withColumn("upto", upto).join(_small(sources), "_fb_key")
+    more = F.floor(F.col("f") * F.col("upto") + F.col("o")) - F.floor(F.col("f") * (F.col("upto") - F.col("n")) + F.col("o"))
+    sizes = written(sizes.withColumn("more", more).drop("f", "o", "upto"))
+    # the last draw that gets a copy, where some do and some do not
+    part = sizes.where("more > 0 and more < n").select("_fb_key", "size", "more")
+    places = ranked(slim.join(_small(part.select("_fb_key", "size")), ["_fb_key", "size"]), [F.col("_fb_key"), F.col("size"), F.col("d")], "_fb_rank")
+    places = written(places)
+    first = places.groupBy("_fb_key", "size").agg(F.min("_fb_rank").alias("first")).join(part, ["_fb_key", "size"])
+    at = first.select("_fb_key", "size", (F.col("first") + F.col("more") - 1).alias("_fb_rank"))
+    last = places.join(_small(at), ["_fb_key", "size", "_fb_rank"]).select("_fb_key", "size", "d")
+    below = F.when(F.col("more") == 0, 0).when(F.col("more") == F.col("n"), 1 << DRAW).otherwise(F.col("d") + 1)
+    return written(sizes.join(last, ["_fb_key", "size"], "left").select("_fb_key", "size", "source_size", "target", "times", below.alias("below")))
 
 
 def plan_mix(docs: DataFrame, seed: str = "mix-1:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the document)."""
     slim = written(docs.select(quoted(source_col), source_key(source_col).alias("_fb_key"), text_size(text_col).alias("size"), draw(seed, id_col, text_col).alias("d")))
-    targets = _small(cuts(slim.select("_fb_key", "size", "d"), source_targets(slim, F.col("size"), source_col, **options)))
+    found = _small(cuts(slim.select("_fb_key", "size", "d"), source_targets(slim, F.col("size"), source_col, **options), seed))
     names = {"size": text_size(text_col), "_fb_key": source_key(source_col), "_fb_d": draw(seed, id_col, text_col)}
     rows = docs.select([quoted(c) for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")] + [c.alias(n) for n, c in names.items()])
-    out = rows.join(targets, "_fb_key").withColumn("copies", F.col("times") + (F.col("_fb_d") < F.col("below")).cast("long"))
-    return out.drop("_fb_key", "_fb_d", "times", "below")
+    out = rows.join(found, ["_fb_key", "size"]).withColumn("copies", F.col("times") + (F.col("_fb_d") < F.col("below")).cast("long"))
+    return out.select(*[quoted(c) for c in rows.columns if c not in names], "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -141,11 +145,13 @@ t AS (
 c AS (
   SELECT d.doc_id, d.size, t.source, t.source_size, t.target,
          CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE ELSE t.target / t.source_size END AS rate,
+         CAST(('0x' || substr(sha256('mix-1:source ' || coalesce('=' || t.source, 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS o,
          CAST(('0x' || substr(sha256('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null ' || md5(coalesce(d.text, '')))), 1, 13)) AS BIGINT) AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 m AS (
-  SELECT *, target - floor(rate) * source_size AS more, sum(size) OVER (PARTITION BY source ORDER BY u) AS upto, sum(size) OVER (PARTITION BY source, u) AS tied FROM c)
+  SELECT *, rate - floor(rate) AS f, count(*) OVER (PARTITION BY source ORDER BY size) AS upto, count(*) OVER (PARTITION BY source, size) AS n,
+         rank() OVER (PARTITION BY source, size ORDER BY u) AS place FROM c)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST((floor(rate) + CASE WHEN upto - tied / 2 <= more THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+       CAST((floor(rate) + CASE WHEN place <= floor(f * upto + o) - floor(f * (upto - n) + o) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM m
 """
