@@ -1,6 +1,6 @@
 """The registered queries of the notebook engine and their DuckDB SQL."""
 
-from fieldbook.plans import notebook  # noqa: F401  registers its queries
+from fieldbook.plans import nested, notebook  # noqa: F401  register their queries
 from fieldbook.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "gate_summary"

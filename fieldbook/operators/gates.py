@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fieldbook.functions import text as tx
 from fieldbook.functions.numbers import to_number
 
-_COUNT_UNITS = "^[건회명개편차번]$"
+# Fixed value: units of counts.
+COUNT_UNITS = "^[건회명개편차번]$"
 
 
 def _violation(where: Column, gate: str, check: str, severity: str) -> list[Column]:
@@ -44,7 +45,8 @@ def g1_evidence(entries: DataFrame, ledger: DataFrame, rows: DataFrame | None =
         evidence = F.when(F.col("evidence").isNull(), check("no_evidence", "high")).otherwise(check("ghost", "high", F.col("evidence")))
         found = found.unionByName(rows.select(F.col("row_id").cast("string").alias("location"), evidence.alias("x")))
     known = ledger.select(F.col("id").alias("cite"), F.lit(True).alias("known")).distinct()
-    found = found.select("location", F.lit("G1").alias("gate"), "x.check", "x.severity", "x.cite").join(known, "cite", "left")
+    # what cites nothing gets a key of its own that no evidence has: null keys would all meet in one task
+    found = found.select("location", F.lit("G1").alias("gate"), "x.check", "x.severity", F.coalesce("x.cite", F.concat(F.lit(" "), "location")).alias("cite")).join(known, "cite", "left")
     return found.where("check <> 'ghost' or known is null").select("location", "gate", "check", "severity")
 
 
@@ -125,7 +127,7 @@ def g3_numeric(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     checks = [
         (F.col("v").isNull(), "value_form", "high"),
         (F.expr("unit = '%' and not v between 0 and 100"), "range", "high"),
-        (F.col("unit").rlike(_COUNT_UNITS) & ((F.col("v") < 0) | (F.col("v") != F.floor("v"))), "count_form", "normal"),
+        (F.col("unit").rlike(COUNT_UNITS) & ((F.col("v") < 0) | (F.col("v") != F.floor("v"))), "count_form", "normal"),
         (F.expr("v is not null and unit <> '' and cat_unit <> '' and unit <> cat_unit"), "unit_mismatch", "normal"),
         (tx.claims_achieved(F.col("achieved")) & missed, "false_achieved", "high"),
     ]
@@ -174,15 +176,21 @@ def missing_attachments(evidence: DataFrame, files: DataFrame) -> DataFrame:
     return need.join(files.select(F.col("name").alias("source_file")), "source_file", "left_anti").select(_violation(F.col("id"), "G4", "attachment_missing", "normal"))
 
 
-def decide(violations: DataFrame, locations: DataFrame | None = None) -> DataFrame:
-    """(location, violations, high, decision): rejected if a violation is high, advisory if there are others.
+def decision(violations: Column, mode: Column | str = "advisory") -> Column:
+    """pass without violations; else rejected in strict mode and advisory in any other."""
+    strict = mode == "strict" if isinstance(mode, Column) else F.lit(mode == "strict")
+    return F.when(violations == 0, "pass").when(strict, "rejected").otherwise("advisory")
+
+
+def decide(violations: DataFrame, locations: DataFrame | None = None, mode: Column | str = "advisory") -> DataFrame:
+    """(location, violations, high, decision): pass, or by mode (a word, or a column of location) rejected or advisory.
 
     With locations (location), those without any violation are listed too: they pass.
     """
     n = violations.groupBy("location").agg(F.count("*").alias("violations"), F.count_if(F.col("severity") == "high").alias("high"))
     if locations is not None:
         n = locations.select(F.col("location").cast("string")).distinct().join(n, "location", "left").na.fill(0, ["violations", "high"])
-    return n.withColumn("decision", F.when(F.col("high") > 0, "rejected").when(F.col("violations") > 0, "advisory").otherwise("pass"))
+    return n.withColumn("decision", decision(F.col("violations"), mode))
 
 
 def per_gate(violations: DataFrame) -> DataFrame:

