@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldbook.operators import autodraft, planner, seal
 from fieldbook.operators import notes as nt
-from fieldbook.operators import seal
 from fieldbook.plans import mapping as m
-from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _ROWS, _SENTENCES, EVENT_START, query
+from fieldbook.plans.notebook import _HELD, _SLOT, _slot_notes
+from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, _projects, query
 
 TEXTS, ROWS, DAYS = ("error", "view", "click"), ("purchase", "signup"), 5
 
@@ -90,3 +91,76 @@ def gate_run_notes(spark, sf):
     counts = [F.size(F.col("gates")[k]["violations"]).cast("long").alias(f"g{k + 1}") for k in range(4)]
     checks = F.flatten(F.transform("gates", lambda g: F.transform(g["violations"], lambda v: F.concat(g["gate"], F.lit(" "), v["check"]))))
     return found.select("project", "note_id", *counts, F.array_join(F.array_sort(F.array_distinct(checks)), ",").alias("checks"), "all_pass", "decision")
+
+
+def part_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """(pos, key, name, unit): the types and names of the parts as metrics, in order of name."""
+    part = m.table(spark, sf, "part")
+    names = part.select(F.col("p_type").alias("name")).union(part.select("p_name")).where("name is not null").distinct()
+    # one row a distinct name: a list of metrics, which a window of one task may number
+    return names.select(F.row_number().over(Window.orderBy("name")).alias("pos"), F.concat(F.lit("k_"), F.replace("name", F.lit(" "), F.lit("_"))).alias("key"), "name", F.lit("건").alias("unit"))
+
+
+_PART_CATALOG = """cat AS (SELECT row_number() OVER (ORDER BY name) AS pos, 'k_' || replace(name, ' ', '_') AS key, name FROM (SELECT p_type AS name FROM part UNION SELECT p_name FROM part))"""
+
+
+def shipped_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence a line item, dated by its shipping, which mostly lies after the sprint of its order's note.
+
+    Lines of even number are rows ``date,type,quantity,unit,condition``, others sentences on the part, every fifth guessing.
+    """
+    item, part = m.table(spark, sf, "lineitem"), m.table(spark, sf, "part")
+    notes = _slot_notes(spark, sf).select(F.col("row_id").alias("l_orderkey"), "project", "note_id", "start", "end")
+    day, n, qty = F.to_date("l_shipdate").cast("string"), F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
+    row = F.concat_ws(",", day, F.concat("p_type", F.lit(" line")), qty, F.lit("건"), F.when(n % 3 == 0, F.concat(F.lit("lot "), "l_suppkey")).otherwise(""))
+    said = F.concat(day, F.lit(" — "), "p_name", F.lit(" 시험을 "), qty, F.when(n % 5 == 0, "건 한 것으로 추정된다.").when(n % 7 == 0, "건").otherwise("건 수행하였다."))
+    wide = item.join(part, F.col("l_partkey") == F.col("p_partkey")).join(notes, "l_orderkey")
+    return wide.select("project", "note_id", "start", "end", n.alias("n"), F.concat(F.lit("E"), n % 100000).alias("id"), F.when(n % 4 == 1, "measurement").otherwise("record").alias("kind"), F.when(F.col("l_linenumber") % 2 == 0, row).otherwise(said).alias("content"))
+
+
+_SHIPPED = f"""{_PROJECTS}, {_SPRINTS}, {_HELD}, {_PART_CATALOG},
+own AS (SELECT row_id, project, start, "end", {_SLOT.format('')} || CASE revision WHEN 1 THEN '-R1' ELSE '' END AS note_id FROM held),
+item AS (SELECT o.project, o.note_id, o.start, o."end", l_orderkey * 10 + l_linenumber AS n, CAST(l_shipdate AS DATE) AS day, CAST(l_shipdate AS DATE)::VARCHAR AS ds, l_linenumber % 2 = 0 AS csv, p_type, p_name, CAST(l_quantity AS INTEGER) AS qty, l_suppkey
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN own AS o ON o.row_id = l_orderkey),
+said AS (SELECT *, 'E' || (n % 100000) AS id, p_name || ' 시험을 ' || qty || CASE WHEN n % 5 = 0 THEN '건 한 것으로 추정된다.' WHEN n % 7 = 0 THEN '건' ELSE '건 수행하였다.' END AS body FROM item)"""
+_DRAFTED = """drafted AS (
+  SELECT project, note_id, 'metrics' AS section, n, id AS evidence, NULL AS text, key AS metric_key, CAST(qty AS DOUBLE) AS value, 'x' AS same, condition FROM (
+    SELECT *, row_number() OVER (PARTITION BY project, note_id, key, qty, ds ORDER BY n) AS k FROM (
+      SELECT i.*, c.key, CASE WHEN csv AND n % 3 = 0 THEN 'lot ' || l_suppkey ELSE 'Measured ' || ds END AS condition FROM __FROM__ AS i JOIN cat AS c ON c.pos = (
+        SELECT min(pos) FROM cat WHERE CASE WHEN i.csv THEN contains(i.p_type || ' line', name) OR contains(name, i.p_type || ' line') ELSE contains(i.body, name) END) WHERE csv OR n % 4 = 1)) WHERE k = 1
+  UNION ALL
+  SELECT project, note_id, 'work', n, id, ds || ' ' || regexp_replace(body, '\\.$', '') || ' [' || id || '].', NULL, NULL, 'x', NULL FROM (
+    SELECT *, row_number() OVER (PARTITION BY project, note_id, ds, body ORDER BY n) AS k FROM __FROM__ WHERE NOT csv AND n % 5 <> 0 AND n % 7 <> 0) WHERE k = 1)"""
+
+
+@query("draft_notes", f"""WITH {_SHIPPED}, there AS (SELECT * FROM said WHERE day BETWEEN start AND "end"), {_DRAFTED.replace('__FROM__', 'there')}
+SELECT project, note_id, section, n, evidence, text, metric_key, value, condition FROM drafted
+UNION ALL SELECT DISTINCT project, note_id, CASE WHEN NOT day BETWEEN start AND "end" THEN 'off_period' WHEN n % 5 = 0 THEN 'forbidden' ELSE 'non_sentence' END, n, id, NULL, NULL, NULL, NULL FROM said WHERE NOT day BETWEEN start AND "end" OR NOT csv AND (n % 5 = 0 OR n % 7 = 0)""")
+def draft_notes(spark, sf):
+    """What the drafts of all notes take from their line items, and what they pass over for which reason."""
+    rows = autodraft.draft(shipped_entries(spark, sf), part_catalog(spark, sf))
+    return rows.select("project", "note_id", "section", "n", "evidence", "text", "metric_key", "value", "condition")
+
+
+@query("draft_redirect", f"""WITH {_SHIPPED}, slots AS (
+  SELECT s.project, s.seq, s.start, s."end", coalesce(max((h.revision, h.state)) FILTER (h.row_id IS NOT NULL)[2], 'none') AS state, max(h.revision) AS revision, {_SLOT.format('s.')} AS slot
+  FROM sprints AS s LEFT JOIN held AS h ON h.project = s.project AND h.seq = s.seq GROUP BY s.project, s.seq, s.start, s."end"),
+moved AS (SELECT i.* EXCLUDE (note_id, start, "end"), slot || CASE revision WHEN 1 THEN '-R1' ELSE '' END AS note_id, state = 'none' AS created FROM said AS i JOIN slots AS t ON t.project = i.project AND i.day BETWEEN t.start AND t."end" WHERE NOT i.day BETWEEN i.start AND i."end" AND state <> 'sealed'),
+{_DRAFTED.replace('__FROM__', 'moved')},
+one AS (SELECT *, row_number() OVER (PARTITION BY project, note_id, section, coalesce(text[: length(text) - length(evidence) - 3], metric_key || '|' || value || '|' || condition) ORDER BY n) AS first FROM drafted)
+SELECT project, note_id, section, n, evidence, text, metric_key, value, condition, created FROM one JOIN (SELECT DISTINCT project, note_id, created FROM moved) USING (project, note_id) WHERE first = 1""")
+def draft_redirect(spark, sf):
+    """Line items shipped outside the sprint of their order's note, drafted into the notes of the sprints they belong to."""
+    notes = _slot_notes(spark, sf)
+    rows = spark.createDataFrame([], "project long, note_id string, section string, key string")
+    found = autodraft.redirect(shipped_entries(spark, sf), notes, planner.sprint_grid(_projects(spark, sf)), rows, part_catalog(spark, sf))
+    return found.select("project", "note_id", "section", "n", "evidence", "text", "metric_key", "value", "condition", "created")
+
+
+@query("catalog_match", """WITH cat AS (SELECT row_number() OVER (ORDER BY lower(name), name) AS pos, name FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ɏ]{6,}')) AS name FROM benchmark))
+SELECT doc_id, (SELECT arg_min(name, pos) FROM cat WHERE contains(lower(d.text), lower(cat.name))) AS name FROM documents AS d""")
+def catalog_match(spark, sf):
+    """Documents with the first long word of the benchmark that they contain, a catalogue of thousands of names."""
+    words = m.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ɏ]{6,}"), F.lit(0))).alias("name")).distinct()
+    names = words.select(F.row_number().over(Window.orderBy(F.lower("name"), "name")).alias("pos"), "name", F.col("name").alias("key"))
+    return autodraft.match_names(m.table(spark, sf, "documents").select("doc_id", "text"), names, "text").select("doc_id", F.col("metric_key").alias("name"))
