@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions.dates import month_number
 from fieldbook.functions.numbers import to_number
-from fieldbook.operators.seal import note_id
+from fieldbook.operators.seal import can_move, note_id
 
 #: length of a note id without its revision: all revisions of a slot share it
 SLOT = 20
@@ -125,8 +125,33 @@ def keep_if_no_worse(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("location", "before", "after", (F.col("after") <= F.col("before")).alias("kept"))
 
 
-def metric_keys(names: DataFrame, slug: Column) -> DataFrame:
-    """(pos, name, key): a key for each metric; the second and later of one slug get _2, _3, …"""
-    nth = F.row_number().over(Window.partitionBy("slug").orderBy("pos"))
-    keyed = names.withColumn("slug", slug).withColumn("nth", nth)
-    return keyed.select("pos", "name", F.when(F.col("nth") > 1, F.concat_ws("_", "slug", F.col("nth").cast("string"))).otherwise(F.col("slug")).alias("key"))
+def metric_keys(names: DataFrame, slug: Column, by: list[str] | None = None) -> DataFrame:
+    """(by…, pos, name, key): a key for each metric, in order of pos; one that is taken gets the first free of _2, _3, …
+
+    An empty slug is kpi. A key can only be taken by one of the same stem, which is the slug without numbers at its end. Where all
+    of a stem have one slug, they are just counted; where slugs differ (a, a 2), a fold in order of pos finds the first free number.
+    """
+    by = by or []
+    keyed = names.select(*by, "pos", "name", F.coalesce(F.nullif(slug, F.lit("")), F.lit("kpi")).alias("slug"))
+    keyed = keyed.withColumn("stem", F.regexp_replace("slug", r"(_\d+)+$", ""))
+    mixed = keyed.groupBy(*by, "stem").agg((F.min("slug") != F.max("slug")).alias("mixed"))
+    keyed = keyed.join(mixed, [*by, "stem"])
+    nth = F.row_number().over(Window.partitionBy(*by, "slug").orderBy("pos"))
+    plain = keyed.where("not mixed").withColumn("nth", nth)
+    plain = plain.select(*by, "pos", "name", F.when(F.col("nth") > 1, F.concat_ws("_", "slug", F.col("nth").cast("string"))).otherwise(F.col("slug")).alias("key"))
+
+    def step(taken: Column, row: Column) -> Column:
+        numbered = F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda i: F.concat_ws("_", row["slug"], i.cast("string")))
+        return F.concat(taken, F.array(F.element_at(F.array_except(F.concat(F.array(row["slug"]), numbered), taken), 1)))
+
+    rows = keyed.where("mixed").groupBy(*by, "stem").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "slug"))).alias("rows"))
+    found = rows.withColumn("keys", F.aggregate("rows", F.array().cast("array<string>"), step))
+    folded = found.select(*by, F.explode(F.arrays_zip("rows", "keys")).alias("x")).select(*by, "x.rows.pos", "x.rows.name", F.col("x.keys").alias("key"))
+    return plain.unionByName(folded)
+
+
+def illegal_moves(states: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, place, state, to): where the states of a note, in order, take a step that no note may take; place counts from 1."""
+    w = Window.partitionBy(key).orderBy(*order)
+    steps = states.select(key, F.row_number().over(w).alias("place"), F.lag("state").over(w).alias("state"), F.col("state").alias("to"))
+    return steps.where(F.col("state").isNotNull() & ~can_move(F.col("state"), F.col("to")))

@@ -79,3 +79,92 @@ def validate_grid(grid: DataFrame, projects: DataFrame) -> DataFrame:
     for df in out[1:]:
         found = found.unionByName(df)
     return found
+
+
+def normalise_milestones(milestones: DataFrame, projects: DataFrame, most: int = 24) -> DataFrame:
+    """(project, id, name, month, date, moved): the first of each id (by pos), dated to the end of its project month.
+
+    A month beyond the project's is moved to its last day, which moved says; one that is null or below 1 has no date. A
+    project keeps its first ``most`` milestones.
+    """
+    one = milestones.groupBy("project", "id").agg(F.min_by(F.struct("pos", "name", "month"), "pos").alias("x")).select("project", "id", "x.*")
+    nth = F.row_number().over(Window.partitionBy("project").orderBy("pos"))
+    period = projects.select("project", "start", "end", month_span(F.col("start"), F.col("end")).alias("months"))
+    wide = one.withColumn("nth", nth).where(F.col("nth") <= most).join(period, "project")
+    beyond = F.col("month") > F.col("months")
+    day = F.when(beyond, F.col("end")).when(F.col("month") >= 1, F.least(F.date_add(F.add_months("start", F.col("month")), -1), F.col("end")))
+    return wide.select("project", "id", F.left(F.coalesce("name", "id"), F.lit(120)).alias("name"), "month", day.alias("date"), F.coalesce(beyond, F.lit(False)).alias("moved"))
+
+
+def normalise_kpis(kpis: DataFrame, keys: DataFrame, most: int = 60) -> DataFrame:
+    """(project, pos, key, name, unit, target, direction) of kpis (project, pos, name, unit, target as text, direction) with their keys.
+
+    A target is the number in its text, if there is one; any direction but lower is higher. A project keeps its first ``most``.
+    """
+    nth = F.row_number().over(Window.partitionBy("project").orderBy("pos"))
+    digits = F.regexp_extract(F.regexp_replace(F.coalesce("target", F.lit("")), r"[^\d.\-]", ""), r"^-?(\d+\.?\d*|\.\d+)", 0)
+    one = kpis.withColumn("nth", nth).where(F.col("nth") <= most).join(keys.select("project", "pos", "key"), ["project", "pos"])
+    cut = lambda c, n: F.left(F.coalesce(c, F.lit("")), F.lit(n)).alias(c)
+    return one.select("project", "pos", "key", cut("name", 120), cut("unit", 20), F.nullif(digits, F.lit("")).try_cast("double").alias("target"), F.when(F.col("direction") == "lower", "lower").otherwise("higher").alias("direction"))
+
+
+def validate_system(projects: DataFrame, sprints: DataFrame, months: DataFrame, milestones: DataFrame, packages: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(project, rule, place): every rule that a project's plan breaks, in one pass over all parts together.
+
+    projects: project, start, end, months. sprints: project, seq, start, end, slot. months: project, seq, start, end. milestones:
+    project, id, date. packages: project, num, start, end. metrics: project, key. The rules:
+
+    * period: the dates run forward; months: their number is that of the period;
+    * no_sprint, first_day, last_day, gap (or overlap) after a sprint, sprint_order, sprint_outside;
+    * slot: two sprints with one note slot; sprint_id: two with one number; blocks: as many month blocks as months;
+    * milestone_outside, package_outside, package_order; metric_key: two metrics with one key.
+    """
+    none = lambda t: F.lit(None).cast(t)
+
+    def part(df: DataFrame, kind: str, place, start="start", end="end", seq=None, key=None, n=None) -> DataFrame:
+        return df.select("project", F.lit(kind).alias("kind"), place.cast("string").alias("place"), F.col(start).alias("start") if start else none("date").alias("start"), F.col(end).alias("end") if end else none("date").alias("end"), (none("int") if seq is None else F.col(seq).cast("int")).alias("seq"), (none("string") if key is None else F.col(key)).alias("key"), (none("int") if n is None else F.col(n).cast("int")).alias("n"))
+
+    sid = F.concat(F.lit("S"), F.lpad(F.col("seq").cast("string"), 2, "0"))
+    parts = [
+        part(projects, "project", F.lit(""), n="months"), part(sprints, "sprint", sid, seq="seq", key="slot"), part(months, "month", F.concat(F.lit("M"), F.col("seq").cast("string")), seq="seq"),
+        part(milestones, "milestone", F.col("id"), "date", "date"), part(packages, "package", F.concat(F.lit("WP"), F.col("num").cast("string"))), part(metrics, "metric", F.col("key"), None, None, key="key"),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    # one shuffle by project serves all windows and the aggregate
+    whole, line = Window.partitionBy("project"), Window.partitionBy("project", "kind").orderBy("seq", "start", "end")
+    own = lambda c: F.max(F.when(F.col("kind") == "project", F.col(c))).over(whole)
+    nth = lambda c: F.row_number().over(Window.partitionBy("project", "kind", c).orderBy("start", "end", "place"))
+    rows = rows.withColumns({"p0": own("start"), "p1": own("end"), "before": F.lag("end").over(line), "prior": F.lag("place").over(line), "key_nth": nth("key"), "seq_nth": nth("seq")})
+    k = F.col("kind")
+    outside = (F.col("start") < F.col("p0")) | (F.col("end") > F.col("p1"))
+    broken = lambda cond, rule, place=F.col("place"): F.when(cond, F.struct(F.lit(rule).alias("rule"), place.alias("place")))
+    span = month_span(F.col("start"), F.col("end"))
+    each = F.array(
+        broken((k == "project") & F.coalesce(F.col("start") > F.col("end"), F.lit(True)), "period"),
+        broken((k == "project") & ~F.col("n").eqNullSafe(span) & (F.col("start") <= F.col("end")), "months"),
+        broken((k == "sprint") & F.col("before").isNotNull() & (F.date_add("before", 1) != F.col("start")), "gap", F.col("prior")),
+        broken((k == "sprint") & (F.col("start") > F.col("end")), "sprint_order"),
+        broken((k == "sprint") & outside, "sprint_outside"),
+        broken((k == "sprint") & (F.col("key_nth") == 2), "slot", F.col("key")),
+        broken((k == "sprint") & (F.col("seq_nth") == 2), "sprint_id"),
+        broken((k == "milestone") & outside, "milestone_outside"),
+        broken((k == "package") & outside, "package_outside"),
+        broken((k == "package") & (F.col("start") > F.col("end")), "package_order"),
+        broken((k == "metric") & (F.col("key_nth") == 2), "metric_key"),
+    )
+    single = F.filter(each, lambda x: x.isNotNull())
+    count = lambda kind: F.count_if(k == kind)
+    of = lambda kind, c: F.when(k == kind, F.col(c))
+    total = rows.groupBy("project").agg(
+        F.flatten(F.collect_list(single)).alias("single"), count("project").alias("there"), count("sprint").alias("sprints"), count("month").alias("blocks"),
+        F.min_by(F.when(k == "sprint", F.col("start")), of("sprint", "seq")).alias("first"), F.max_by(F.when(k == "sprint", F.col("end")), of("sprint", "seq")).alias("last"),
+        F.max(of("project", "start")).alias("start"), F.max(of("project", "end")).alias("end"),
+    ).where("there > 0")
+    at = F.lit("")
+    sums = F.array(
+        broken(F.col("sprints") == 0, "no_sprint", at), broken(F.col("first") != F.col("start"), "first_day", at), broken(F.col("last") != F.col("end"), "last_day", at),
+        broken(F.col("blocks") != month_span(F.col("start"), F.col("end")), "blocks", at),
+    )
+    return total.select("project", F.explode(F.concat("single", F.filter(sums, lambda x: x.isNotNull()))).alias("x")).select("project", "x.rule", "x.place")

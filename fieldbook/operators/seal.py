@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 
 from fieldbook.functions.hashing import fields_hash, seal_hash
 
-# The states of a note and where each may go.
-TRANSITIONS = [
-    ("draft", "gate_check"), ("gate_check", "rejected"), ("gate_check", "awaiting_sign"), ("rejected", "draft"),
-    ("awaiting_sign", "sealed"), ("awaiting_sign", "draft"), ("sealed", "revised"),
-]
+# The states of a note and where each may go; a sealed note goes nowhere.
+TRANSITIONS = {
+    "empty": ["queued", "draft"], "queued": ["draft", "empty"], "draft": ["advisory", "rejected", "awaiting_sign", "draft"], "advisory": ["awaiting_sign", "draft"],
+    "rejected": ["draft"], "awaiting_sign": ["sealed", "draft"], "sealed": [],
+}
 
 
 def content_hash(notes: DataFrame, fields: list[str]) -> DataFrame:
@@ -64,12 +64,8 @@ def verify_chain(sealed: DataFrame, fields: list[str], chain: str, signer: str =
 
 
 def can_move(state: Column, to: Column) -> Column:
-    return F.concat_ws(">", state, to).isin([f"{a}>{b}" for a, b in TRANSITIONS])
-
-
-def revise(notes: DataFrame) -> DataFrame:
-    """New drafts of sealed notes: the revision after, naming the note they replace."""
-    return notes.where("state = 'sealed'").withColumns({"supersedes": F.col("note_id"), "revision": F.col("revision") + 1, "state": F.lit("draft")})
+    """Whether a note in one state may go to another; null is no state."""
+    return F.coalesce(F.concat_ws(">", state, to).isin([f"{a}>{b}" for a, to_ in TRANSITIONS.items() for b in to_]), F.lit(False))
 
 
 def note_id(start: Column, end: Column, revision: Column) -> Column:

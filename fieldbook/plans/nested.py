@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldbook.operators import autodraft, planner, seal
+from fieldbook.functions.hashing import fields_hash
+from fieldbook.operators import autodraft, planner, seal, sealing
 from fieldbook.operators import notes as nt
 from fieldbook.plans import mapping as m
 from fieldbook.plans.notebook import _HELD, _SLOT, _slot_notes
-from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, _projects, query
+from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _NOTES, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, SEALED_FIELDS, _projects, query
 
 TEXTS, ROWS, DAYS = ("error", "view", "click"), ("purchase", "signup"), 5
 
@@ -164,3 +165,37 @@ def catalog_match(spark, sf):
     words = m.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ɏ]{6,}"), F.lit(0))).alias("name")).distinct()
     names = words.select(F.row_number().over(Window.orderBy(F.lower("name"), "name")).alias("pos"), "name", F.col("name").alias("key"))
     return autodraft.match_names(m.table(spark, sf, "documents").select("doc_id", "text"), names, "text").select("doc_id", F.col("metric_key").alias("name"))
+
+
+def approved_notes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Notes of orders signed by their authors, and an approval of each; some have changed, or have no one to approve them."""
+    n = F.col("note_id")
+    notes = m.notes(m.table(spark, sf, "orders")).withColumn("value", F.format_string("%.2f", "value"))
+    notes = seal.content_hash(notes, SEALED_FIELDS)
+    author = F.nullif("author", F.lit(""))
+    none = lambda t: F.lit(None).cast(t)
+    signed = F.filter(F.array(F.struct(author.alias("signer"), F.lit("contributor").alias("stage"), F.col("written_on").cast("string").alias("signed_at"))), lambda s: s["signer"].isNotNull())
+    state = F.when(F.col("state") == "sealed", "awaiting_sign").when(F.col("state") == "draft", "draft").otherwise("advisory")
+    notes = notes.withColumns({"state": state, "signatures": signed, "history": F.array().cast(sealing.HISTORY), "prev_seal": none("string"), "seal": none("string"), "chain_pos": none("long"), "value": F.when(n % 17 == 0, "0.00").otherwise(F.col("value"))})
+    approver = F.when(n % 13 == 0, "").when((n % 11 == 0) & author.isNotNull(), F.col("author")).otherwise(F.concat(F.lit("a"), n % 7))
+    return notes, notes.select("project", "note_id", approver.alias("approver"), F.col("written_on").cast("string").alias("at"))
+
+
+@query("seal_in_steps", f"""WITH RECURSIVE {_NOTES},
+a AS (SELECT *, CASE WHEN note_id % 13 = 0 THEN '' WHEN note_id % 11 = 0 AND author <> '' THEN author ELSE 'a' || (note_id % 7) END AS approver, CAST(written_on AS VARCHAR) AS ats,
+  sha256(list_aggregate(list_transform([CAST(note_id AS VARCHAR), CAST(start AS VARCHAR), CAST("end" AS VARCHAR), printf('%.2f', value), priority], lambda x: coalesce(length(x) || ':' || x, '-')), 'string_agg', '')) AS content FROM notes),
+b AS (SELECT *, CASE WHEN approver = '' THEN 'no_approver' WHEN note_id % 17 = 0 AND printf('%.2f', value) <> '0.00' THEN 'stale_hash' WHEN state = 'draft' THEN 'not_checked' WHEN author <> '' AND author = approver THEN 'self_approval' END AS blocker FROM a),
+c AS (SELECT project, note_id, row_number() OVER (PARTITION BY project ORDER BY note_id % 2, ats, note_id) AS pos, content,
+  sha256(CASE WHEN author <> '' THEN length(author) || ':' || author || '11:contributor' || length(ats) || ':' || ats || ';' ELSE '' END || length(approver) || ':' || approver || '14:final_approval' || length(ats) || ':' || ats) AS digest FROM b WHERE blocker IS NULL),
+r(project, note_id, pos, seal) AS (
+  SELECT project, note_id, pos, sha256(content || digest) FROM c WHERE pos = 1
+  UNION ALL SELECT c.project, c.note_id, c.pos, sha256(c.content || c.digest || r.seal) FROM r JOIN c ON c.project = r.project AND c.pos = r.pos + 1)
+SELECT b.project, b.note_id, CASE WHEN r.seal IS NOT NULL THEN 'sealed' WHEN state = 'sealed' THEN 'awaiting_sign' WHEN state = 'draft' THEN 'draft' ELSE 'advisory' END AS state, b.blocker, r.pos AS chain_pos, r.seal
+FROM b LEFT JOIN r ON r.project = b.project AND r.note_id = b.note_id""")
+def seal_in_steps(spark, sf):
+    """Notes sealed in two steps, even numbers first, each onto the chain that stands; what blocks the others."""
+    notes, approvals = approved_notes(spark, sf)
+    expected = fields_hash(*[F.col(f) for f in SEALED_FIELDS])
+    first = sealing.seal_notes(notes, approvals.where("note_id % 2 = 0"), expected).withColumnRenamed("blocker", "before")
+    both = sealing.seal_notes(first, approvals.where("note_id % 2 = 1"), expected)
+    return both.select("project", "note_id", "state", F.coalesce("blocker", "before").alias("blocker"), "chain_pos", "seal")
