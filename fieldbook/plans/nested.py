@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldbook.functions import dates
 from fieldbook.functions.hashing import fields_hash
-from fieldbook.operators import autodraft, planner, seal, sealing
+from fieldbook.operators import autodraft, lifecycle, planner, seal, sealing, store
 from fieldbook.operators import notes as nt
 from fieldbook.plans import mapping as m
-from fieldbook.plans.notebook import _HELD, _SLOT, _slot_notes
-from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _NOTES, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, SEALED_FIELDS, _projects, query
+from fieldbook.plans.notebook import _BLOCKS, _HELD, _MILESTONES, _SLOT, _milestones, _slot_notes
+from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _NOTES, _PACKAGES, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, SEALED_FIELDS, _packages, _projects, query
 
 TEXTS, ROWS, DAYS = ("error", "view", "click"), ("purchase", "signup"), 5
 
@@ -199,3 +200,49 @@ def seal_in_steps(spark, sf):
     first = sealing.seal_notes(notes, approvals.where("note_id % 2 = 0"), expected).withColumnRenamed("blocker", "before")
     both = sealing.seal_notes(first, approvals.where("note_id % 2 = 1"), expected)
     return both.select("project", "note_id", "state", F.coalesce("blocker", "before").alias("blocker"), "chain_pos", "seal")
+
+
+@query("system_validate", f"""WITH {_PROJECTS}, {_SPRINTS}, {_PACKAGES}, {_MILESTONES}, {_BLOCKS},
+p AS (SELECT *, (year("end") - year(start)) * 12 + month("end") - month(start) + 1 AS months FROM projects),
+s AS (SELECT *, lag("end") OVER (PARTITION BY project ORDER BY seq) AS before, lag(seq) OVER (PARTITION BY project ORDER BY seq) AS prior FROM sprints WHERE NOT (project % 7 = 0 AND seq = 2) AND NOT (project % 13 = 0 AND seq = 1)),
+e AS (SELECT project, min(start) AS a, max("end") AS b FROM s GROUP BY project), b AS (SELECT project, count(*) AS n FROM blocks GROUP BY project)
+SELECT project, 'months' AS rule, '' AS place FROM p WHERE project % 11 = 0
+UNION ALL SELECT project, 'gap', 'S' || lpad(CAST(prior AS VARCHAR), 2, '0') FROM s WHERE before + 1 <> start
+UNION ALL SELECT p.project, 'no_sprint', '' FROM p LEFT JOIN e USING (project) WHERE a IS NULL
+UNION ALL SELECT project, 'first_day', '' FROM p JOIN e USING (project) WHERE a <> start
+UNION ALL SELECT project, 'last_day', '' FROM p JOIN e USING (project) WHERE b <> "end"
+UNION ALL SELECT project, 'blocks', '' FROM p LEFT JOIN b USING (project) WHERE coalesce(n, 0) <> months
+UNION ALL SELECT project, 'milestone_outside', 'MS' || pos FROM milestones JOIN p USING (project) WHERE date > "end"
+UNION ALL SELECT project, 'metric_key', o_orderpriority FROM (SELECT o_custkey AS project, o_orderpriority FROM orders GROUP BY 1, 2 HAVING count(*) > 1)""")
+def system_validate(spark, sf):
+    """What the plans of all customers break: sprints taken out, a wrong number of months, milestones past the end, repeated keys."""
+    projects, p = _projects(spark, sf), F.col("project")
+    sprints = planner.sprint_grid(projects).where("not (project % 7 = 0 and seq = 2) and not (project % 13 = 0 and seq = 1)").withColumn("slot", seal.note_id(F.col("start"), F.col("end"), F.lit(0)))
+    months = projects.withColumn("months", dates.month_span(F.col("start"), F.col("end")) + (p % 11 == 0).cast("int"))
+    stones = _milestones(projects).select("project", F.concat(F.lit("MS"), "pos").alias("id"), "date")
+    metrics = m.table(spark, sf, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderpriority").alias("key"))
+    return planner.validate_system(months, sprints, planner.month_blocks(projects), stones, _packages(projects), metrics)
+
+
+@query("writes_applied", """WITH w AS (SELECT l_orderkey AS path, l_suppkey % 3 AS base, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS "at", l_linenumber || ' ' || l_partkey AS writer, coalesce(o_custkey % 3, 0) AS found FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderkey % 5 <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY path, base = found ORDER BY "at", writer) AS nth FROM w)
+SELECT path, base, "at", writer, found, base = found AND nth = 1 AS applied FROM n""")
+def writes_applied(spark, sf):
+    """Line items as writes to their orders, each with the revision its writer read; a fifth of the orders is not stored yet."""
+    stored = m.table(spark, sf, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 3).alias("rev"), F.col("o_orderstatus").alias("body"))
+    item = m.table(spark, sf, "lineitem")
+    writes = item.select(F.col("l_orderkey").alias("path"), (F.col("l_suppkey") % 3).alias("base"), F.to_date("l_shipdate").cast("string").alias("at"), F.concat_ws(" ", "l_linenumber", "l_partkey").alias("writer"), F.col("l_returnflag").alias("body"))
+    return store.compare_and_set(stored, writes)[1]
+
+
+_EVENT_STATES = {"error": "rejected", "view": "draft", "click": "advisory", "purchase": "awaiting_sign", "signup": "sealed"}
+
+
+@query("illegal_moves", f"""WITH s AS (SELECT user_id AS note, event_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _EVENT_STATES.items())} END AS s FROM events),
+l AS (SELECT note, row_number() OVER w AS place, lag(s) OVER w AS state, s AS "to" FROM s WINDOW w AS (PARTITION BY note ORDER BY event_id))
+SELECT note, CAST(place AS INTEGER) AS place, state, "to" FROM l WHERE state IS NOT NULL AND (state, "to") NOT IN (('draft', 'advisory'), ('draft', 'rejected'), ('draft', 'awaiting_sign'), ('draft', 'draft'), ('advisory', 'awaiting_sign'), ('advisory', 'draft'), ('rejected', 'draft'), ('awaiting_sign', 'sealed'), ('awaiting_sign', 'draft'))""")
+def illegal_moves(spark, sf):
+    """A user's events read as the states of a note: the steps that no note may take."""
+    state = F.create_map(*[F.lit(x) for kv in _EVENT_STATES.items() for x in kv])
+    states = m.table(spark, sf, "events").select(F.col("user_id").alias("note"), "event_id", F.element_at(state, F.col("event_type")).alias("state"))
+    return lifecycle.illegal_moves(states, "note", ["event_id"])

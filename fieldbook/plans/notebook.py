@@ -145,10 +145,20 @@ def change_rollback(spark, sf):
     return lifecycle.keep_if_no_worse(gates.g4_required(notes), gates.g4_required(after))
 
 
-@query("metric_keys", r"""WITH s AS (SELECT p_partkey AS pos, p_name AS name, left(trim(regexp_replace(lower(p_name), '[^a-z0-9가-힣]+', '_', 'g'), '_'), 40) AS slug FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos) AS nth FROM s)
-SELECT pos, name, CASE WHEN nth > 1 THEN slug || '_' || nth ELSE slug END AS key FROM n""")
+@query("metric_keys", r"""WITH RECURSIVE s AS (SELECT p_brand AS project, p_partkey AS pos, name, coalesce(nullif(left(trim(regexp_replace(lower(name), '[^a-z0-9가-힣]+', '_', 'g'), '_'), 40), ''), 'kpi') AS slug
+  FROM (SELECT *, CASE WHEN p_size > 25 THEN p_name ELSE p_name || ' ' || (p_size % 4) END AS name FROM part)),
+n AS (SELECT *, regexp_replace(slug, '(_\d+)+$', '') AS stem, row_number() OVER (PARTITION BY project, regexp_replace(slug, '(_\d+)+$', '') ORDER BY pos) AS i FROM s),
+r(project, stem, i, pos, name, key, seen) AS (
+  SELECT project, stem, i, pos, name, slug, [slug] FROM n WHERE i = 1
+  UNION ALL SELECT project, stem, i, pos, name, key, list_append(seen, key) FROM (
+    SELECT n.project, n.stem, n.i, n.pos, n.name, seen, list_filter([slug] || list_transform(range(2, len(seen) + 3), lambda k: slug || '_' || k), lambda k: NOT list_contains(seen, k))[1] AS key
+    FROM r JOIN n ON n.project = r.project AND n.stem = r.stem AND n.i = r.i + 1))
+SELECT project, pos, name, key FROM r""")
 def metric_keys(spark, sf):
-    return lifecycle.metric_keys(m.table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name")), tx.slug(F.col("name")))
+    """Keys of the parts of each brand, some of whose names end in a number."""
+    name = F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(F.concat_ws(" ", "p_name", F.col("p_size") % 4))
+    names = m.table(spark, sf, "part").select(F.col("p_brand").alias("project"), F.col("p_partkey").alias("pos"), name.alias("name"))
+    return lifecycle.metric_keys(names, tx.slug(F.col("name")), ["project"])
 
 
 _MILESTONES = """milestones AS (SELECT project, k AS pos, CAST(k * 7 AS INTEGER) AS month, 'stage ' || k AS name, CAST(start + to_months(CAST(k * 7 AS INTEGER)) AS DATE) AS date FROM (SELECT project, start, unnest(range(1, 10)) AS k FROM projects))"""
