@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions import dates
 from fieldbook.functions.hashing import fields_hash
-from fieldbook.operators import autodraft, lifecycle, planner, seal, sealing, store
+from fieldbook.operators import analyze, autodraft, lifecycle, planner, seal, sealing, store
 from fieldbook.operators import notes as nt
+from fieldbook.operators.extract import MONTH_MARK, WP_LINE
 from fieldbook.plans import mapping as m
 from fieldbook.plans.notebook import _BLOCKS, _HELD, _MILESTONES, _SLOT, _milestones, _slot_notes
 from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _NOTES, _PACKAGES, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, SEALED_FIELDS, _packages, _projects, query
@@ -246,3 +247,36 @@ def illegal_moves(spark, sf):
     state = F.create_map(*[F.lit(x) for kv in _EVENT_STATES.items() for x in kv])
     states = m.table(spark, sf, "events").select(F.col("user_id").alias("note"), "event_id", F.element_at(state, F.col("event_type")).alias("state"))
     return lifecycle.illegal_moves(states, "note", ["event_id"])
+
+
+_PLANTED = {"that ": "WP2: ", "with ": "M12 평가: ", "from ": "연구책임자: Dr. 홍길동 ", "this ": "총 기간 24개월 ", "que ": "WP 7. "}
+
+
+def _marked(text: str) -> str:
+    for word, mark in _PLANTED.items():
+        text = f"replace({text}, '{word}', '{mark}')"
+    return text
+
+
+@query("analyze_documents", rf"""WITH d AS (SELECT source AS project, doc_id AS di, {_marked('text')} AS text FROM documents),
+x AS (SELECT project, di, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM d WHERE text IS NOT NULL),
+l AS (SELECT project, di, lpad(CAST(n AS VARCHAR), 9, '0') AS place, line FROM (SELECT *, trim(regexp_replace(raw, '[\s\x{{00A0}}\x{{3000}}]+', ' ', 'g')) AS line FROM x) WHERE line <> ''),
+c AS (
+  SELECT project, 'title' AS field, '' AS key, 9 AS tier, di, place, line AS value, 'low' AS confidence, line AS quote FROM (SELECT *, row_number() OVER (PARTITION BY project, di ORDER BY place) AS k FROM l WHERE length(line) BETWEEN 8 AND 120) WHERE k = 1
+  UNION ALL SELECT project, 'period', '', 9, di, place, CAST(regexp_extract(line, '{analyze.MONTHS}', 1) AS INTEGER) || ' months', 'low', left(line, 300) FROM l WHERE regexp_matches(line, '{analyze.MONTHS}') AND CAST(regexp_extract(line, '{analyze.MONTHS}', 1) AS INTEGER) BETWEEN 1 AND 120
+  UNION ALL SELECT project, 'people', p, 1, di, place, p, 'medium', left(line, 300) FROM (SELECT *, regexp_extract(line, '(?:연구책임자)[^가-힣]*([가-힣]{{2,4}})', 1) || '|연구책임자' AS p FROM l WHERE regexp_matches(line, '(?:연구책임자)[^가-힣]*[가-힣]{{2,4}}')) WHERE p NOT IN ('연구|연구책임자', '책임|연구책임자')
+  UNION ALL SELECT project, 'packages', lpad(num, 2, '0'), 1, di, place, name, 'high', left(line, 300) FROM (SELECT *, CAST(CAST(regexp_extract(line, '{WP_LINE}', 1) AS INTEGER) AS VARCHAR) AS num, left(trim(regexp_extract(line, '{WP_LINE}', 2)), 160) AS name FROM l WHERE regexp_matches(line, '{WP_LINE}')) WHERE CAST(num AS INTEGER) BETWEEN 1 AND 40 AND length(name) >= 2
+  UNION ALL SELECT project, 'milestones', 'M' || m, 1, di, place, m || '|' || coalesce(nullif(title, ''), 'M' || m || ' 마일스톤'), 'medium', left(line, 300) FROM (SELECT *, CAST(CAST(regexp_extract(line, '{MONTH_MARK}', 1) AS INTEGER) AS VARCHAR) AS m, trim(regexp_extract(line, '{MONTH_MARK}', 2)) AS title FROM l WHERE regexp_matches(line, '{MONTH_MARK}')) WHERE CAST(m AS INTEGER) BETWEEN 1 AND 120),
+o AS (SELECT *, row_number() OVER (PARTITION BY project, field, key ORDER BY tier, di, place) AS k FROM c),
+i AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY list_position(['title', 'period', 'people', 'packages', 'milestones'], field), tier, di, place, key) AS e FROM o WHERE k = 1),
+s AS (SELECT d.project, count(DISTINCT d.di) AS docs, (SELECT count(*) FROM l WHERE l.project = d.project) AS lines FROM d GROUP BY d.project)
+SELECT project, field, row_number() OVER (PARTITION BY project, field ORDER BY CASE field WHEN 'packages' THEN key WHEN 'milestones' THEN lpad(split_part(value, '|', 1), 3, '0') ELSE '' END, e) AS nth, key, value, confidence, 'E' || e AS evidence, di, place, quote FROM i
+UNION ALL SELECT project, f, n, CASE f WHEN 'packages' THEN lpad(CAST(n AS VARCHAR), 2, '0') ELSE '' END, v, 'none', CASE f WHEN 'packages' THEN NULL ELSE 'E' || (coalesce((SELECT max(e) FROM i WHERE i.project = s.project), 0) + 1 + CASE WHEN f = 'period' AND NOT EXISTS (SELECT 1 FROM i WHERE i.project = s.project AND i.field = 'title') THEN 1 ELSE 0 END) END, NULL, '', ''
+  FROM s, (VALUES ('title', 1, '신규 연구 프로젝트'), ('period', 1, '24 months'), ('packages', 1, '연구 기획 및 설계'), ('packages', 2, '연구 수행 및 데이터 확보'), ('packages', 3, '결과 분석 및 정리')) AS v(f, n, v) WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.project = s.project AND i.field = f)
+UNION ALL SELECT project, '#', 0, '', docs || ' ' || lines, '', NULL, NULL, '', '' FROM s""")
+def analyze_documents(spark, sf):
+    """The documents of each source analysed as one project; some common words are read as the marks of a plan."""
+    docs = m.table(spark, sf, "documents").select(F.col("source").alias("project"), F.col("doc_id").alias("di"), F.expr(_marked("text")).alias("text"))
+    found = analyze.analyse(docs)
+    size = F.struct(F.lit("#").alias("field"), F.lit(0).alias("nth"), F.lit("").alias("key"), F.concat_ws(" ", "docs", "lines").alias("value"), F.lit("").alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("long").alias("di"), F.lit("").alias("place"), F.lit("").alias("quote"))
+    return found.select("project", F.explode(F.concat("fields", F.array(size))).alias("x")).select("project", "x.*").withColumn("nth", F.col("nth").cast("long"))

@@ -444,11 +444,21 @@ def loose_dates(spark, sf):
     return m.table(spark, sf, "orders").select("o_orderkey", dates.parse_loose(text).alias("day"))
 
 
-@query("keyword_top10", rf"""WITH {_LINES}, wd AS (SELECT doc_id, li, unnest(range(1, len(w) + 1)) AS wi, w FROM (SELECT doc_id, li, regexp_extract_all(lower(line), '[a-z]{{3,}}') AS w FROM lines)),
-c AS (SELECT doc_id, w[wi] AS word, count(*) AS n, min((li, wi)) AS first FROM wd GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT doc_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM c) WHERE k <= 10""")
+_WORDS = "(SELECT doc_id, regexp_replace(regexp_replace(text, '^Th', 'Keywords: ab, Th'), '^E', '키워드 E') AS text FROM documents)"
+
+
+@query("keyword_top10", rf"""WITH {_LINES.replace('FROM documents', f'FROM {_WORDS} AS documents')},
+named AS (SELECT doc_id, arg_min(items, li) AS items FROM (SELECT doc_id, li, list_filter(list_transform(string_split_regex(own, '[,、;·]'), lambda x: trim(x)), lambda x: length(x) >= 2)[: 12] AS items FROM (
+  SELECT doc_id, li, trim(regexp_extract(line, '(?i)(?:{extract.KEYWORDS})[\s:：·\-–|]*(.*)$', 1)) AS own FROM lines WHERE regexp_matches(line, '(?i){extract.KEYWORDS}')) WHERE length(own) >= 2) GROUP BY doc_id HAVING len(arg_min(items, li)) >= 2),
+wd AS (SELECT doc_id, li, unnest(range(1, len(w) + 1)) AS wi, w FROM (SELECT doc_id, li, regexp_extract_all(line, '{extract.WORD}') AS w FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM named))),
+c AS (SELECT doc_id, w[wi] AS word, count(*) AS n, min((li, wi)) AS first FROM wd WHERE lower(w[wi]) NOT IN {tuple(extract.STOP)!r} GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT doc_id, k AS nth, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM c) WHERE k <= 10
+UNION ALL SELECT doc_id, unnest(range(1, len(items) + 1)), unnest(items), NULL FROM named""")
 def keyword_top10(spark, sf):
-    return extract.keywords(draft.lines_view(m.table(spark, sf, "documents")))
+    """Keywords of the documents, some of which begin with a list of their own."""
+    marked = F.regexp_replace(F.regexp_replace("text", "^Th", "Keywords: ab, Th"), "^E", "키워드 E")
+    found = extract.keywords(draft.lines_view(m.table(spark, sf, "documents").select("doc_id", marked.alias("text"))))
+    return found.withColumn("nth", F.col("nth").cast("long"))
 
 
 @query("html_cells", r"""SELECT page_id, CAST(i - 1 AS INTEGER) AS r, trim(regexp_replace(l[i], '<[^>]*>', '', 'g')) AS v FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?s)<(?:li|td|th|h1)[^>]*>(.*?)</(?:li|td|th|h1)>', 1) AS l FROM pages))""")
