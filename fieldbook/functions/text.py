@@ -132,3 +132,30 @@ def slug(name: Column, size: int = 40) -> Column:
     """A key for a metric's name: lower case, other than letters and digits as underscores."""
     dashed = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9가-힣]+", "_")
     return F.substring(F.regexp_replace(dashed, "^_+|_+$", ""), 1, size)
+
+
+def reply_array(text: Column, schema: str) -> Column:
+    """The JSON array inside a reply, from its first bracket to its last, as schema says; null if there is none."""
+    return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)(\[.*\])", 1), F.lit("")), schema)
+
+
+def base64url(data: Column) -> Column:
+    """Bytes as URL-safe base64 without padding."""
+    return F.rtrim(F.translate(F.base64(data), "+/", "-_"), F.lit("="))
+
+
+def from_base64url(text: Column) -> Column:
+    """The bytes of URL-safe base64, padded or not."""
+    plain = F.translate(F.rtrim(text, F.lit("=")), "-_", "+/")
+    return F.unbase64(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "="))
+
+
+def key_fingerprint(kind: Column, curve: Column, x: Column, y: Column) -> Column:
+    """The first eight bytes of the SHA-256 of a public key's parts, as hex pairs with colons."""
+    digest = F.left(F.sha2(F.concat_ws("|", kind, curve, x, y), 256), F.lit(16))
+    return F.array_join(F.regexp_extract_all(digest, F.lit("(..)"), F.lit(1)), ":")
+
+
+def auto_code(day: Column) -> Column:
+    """A code for a project that has none, by the day it began."""
+    return F.concat(F.lit("PRJ-"), F.date_format(day, "yyyy-MMdd"))

@@ -8,7 +8,7 @@ what the note names; the checks are then higher-order functions over the nested
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import dates
@@ -251,3 +251,94 @@ def run_gates(notes: DataFrame, ledger: DataFrame, catalog: DataFrame, mode: Col
     total = sum((F.size(f"_fb_{g.lower()}") for g in checked), F.lit(0))
     out = wide.select(*[c for c in NOTE if c != "mode"], each.alias("gates"), total.alias("violations"), strict.alias("mode"))
     return out.withColumn("all_pass", F.col("violations") == 0).withColumn("decision", gates.decision(F.col("violations"), F.col("mode")))
+
+
+# The headings of a note's official form, and what stands where a section is empty.
+FORM = {
+    "title": "연 구 노 트", "goal": "1. 기간 목표", "work": "2. 수행 내용", "results": "3. 결과 데이터 (서술)", "metrics": "4. 결과 데이터 (측정)", "interpretation": "5. 해석", "next_plan": "6. 차기 계획",
+    "attachments": "7. 첨부 원본 목록", "ledger": "8. 증거원장", "gates": "9. 게이트 판정", "history": "10. 수정 이력", "nothing": "해당 기간 관련 증거 자료 없음", "no_files": "첨부 없음",
+}
+BLOCK = "struct<kind:string,text:string,rows:array<array<string>>>"
+LEDGER_ROWS, HISTORY_ROWS = 500, 50
+
+
+def _ledgers(ledger: DataFrame, most: int | None) -> DataFrame:
+    """(project, _fb_ledger): each project's entries (n, id, kind, source_file, locator, content) as cells in order of n, the first ``most``."""
+    rows = ledger
+    if most is not None:
+        rows = ledger.withColumn("_fb_k", F.row_number().over(Window.partitionBy("project").orderBy("n"))).where(F.col("_fb_k") <= most)
+    cells = F.transform(F.array("id", "kind", "source_file", "locator", "content"), lambda x: F.coalesce(x, F.lit("")))
+    return rows.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", cells.alias("cells")))), lambda x: x["cells"]).alias("_fb_ledger"))
+
+
+def note_blocks(notes: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(project, note_id, n, kind, text, rows): the blocks of each note's official form, in order.
+
+    kind is h1, h2, p, table or small; a table has rows of cells. Sections without text say so; of the project's ledger the first 500
+    entries are listed, of the note's history the last 50. notes have the columns of NOTE, and those of
+    run_gates if the gates are to be shown. Blocks are put together inside each note's row, so nothing is sorted but a
+    project's ledger.
+    """
+    text = lambda c: F.coalesce(c.cast("string") if isinstance(c, Column) else F.col(c).cast("string"), F.lit(""))
+    block = lambda kind, t=None, rows=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if t is None else t).alias("text"), (F.lit(None).cast("array<array<string>>") if rows is None else rows).alias("rows")).cast(BLOCK)
+    table = lambda head, rows: block("table", rows=F.concat(F.array(F.array(*[F.lit(x) for x in head])), rows))
+    heading = lambda k: F.array(block("h2", F.lit(FORM[k])))
+    nothing = lambda k="nothing": F.array(block("p", F.lit(FORM[k])))
+    line = lambda *cells: F.array(*cells)
+
+    def section(k: str) -> Column:
+        items = F.filter(F.coalesce(F.col(f"sections.{k}"), _none(ENTRY)), lambda e: e["text"].rlike(r"\S"))
+        wp = lambda e: F.when(F.coalesce(e["wp"], F.lit("")) != "", F.concat(F.lit(" ("), e["wp"], F.lit(")"))).otherwise("") if k == "goal" else F.lit("")
+        shown = F.transform(items, lambda e: block("p", F.concat(F.lit("· "), e["text"], wp(e))))
+        return F.concat(heading(k), F.when(F.size(items) == 0, nothing()).otherwise(shown))
+
+    h = F.col("header")
+    head = F.array(
+        line(F.lit("과제번호"), text(h["project_code"]), F.lit("연구노트번호"), text("note_id")), line(F.lit("과제명"), text(h["title"]), F.lit("작성기간"), F.concat(text("period.start"), F.lit(" ~ "), text("period.end"))),
+        line(F.lit("작성자"), text(h["author"]), F.lit("점검자"), text(h["reviewer"])), line(F.lit("작성일"), text(h["written_on"]), F.lit("점검일"), F.coalesce(F.nullif(h["reviewed_on"], F.lit("")), F.lit("(미점검)"))),
+        line(F.lit("WP 연계"), F.coalesce(F.nullif(F.array_join("wp_refs", ", "), F.lit("")), F.lit("-")), F.lit("상태"), text("state")),
+    )
+    got = F.coalesce(F.col("sections.metrics"), _none(METRIC))
+    measured = F.transform(got, lambda r: line(text(r["metric"]), text(r["value"]), text(r["unit"]), text(r["condition"]), F.when(r["achieved"] == "true", "달성").when(r["achieved"] == "false", "미달").otherwise("-"), F.array_join(_evidence(r), ", ")))
+    files = F.coalesce(F.col("attachments"), F.array().cast(NOTE["attachments"]))
+    attached = F.transform(files, lambda a: line(text(a["name"]), text(a["size"]), F.concat(F.left(text(a["sha256"]), F.lit(16)), F.lit("…"))))
+    done = F.coalesce(F.col("history"), F.array().cast(NOTE["history"]))
+    last = F.slice(done, F.greatest(F.size(done) - HISTORY_ROWS + 1, F.lit(1)), HISTORY_ROWS)
+    told = F.transform(last, lambda x: line(text(x["at"]), text(x["by"]), text(x["what"])))
+    seal_ = F.when(F.coalesce(F.col("seal"), F.lit("")) != "", F.concat(F.lit(" · 확정 해시: "), F.col("seal"))).otherwise("") if "seal" in notes.columns else F.lit("")
+    entries_ = F.coalesce("_fb_ledger", F.array().cast("array<array<string>>"))
+    empty = F.array().cast(f"array<{BLOCK}>")
+    parts = [
+        F.array(block("h1", F.lit(FORM["title"])), block("table", rows=head)), section("goal"), section("work"), section("results"),
+        heading("metrics"), F.when(F.size(got) == 0, nothing()).otherwise(F.array(table(["지표", "값", "단위", "조건", "달성", "증거"], measured))), section("interpretation"), section("next_plan"),
+        heading("attachments"), F.when(F.size(files) == 0, nothing("no_files")).otherwise(F.array(table(["파일명", "크기", "SHA-256"], attached))),
+        F.when(F.size(entries_) == 0, empty).otherwise(F.concat(heading("ledger"), F.array(table(["ID", "종류", "출처", "위치", "내용"], entries_)))),
+    ]
+    if "gates" in notes.columns:
+        judged = F.transform("gates", lambda g: line(g["gate"], F.when(g["pass"], "PASS").otherwise("지적"), F.size(g["violations"]).cast("string")))
+        parts.append(F.concat(heading("gates"), F.array(table(["게이트", "판정", "지적 수"], judged))))
+    parts += [heading("history"), F.array(table(["시각", "작업자", "내용"], told)), F.array(block("small", F.concat(F.lit("본문 해시: "), F.coalesce(F.nullif("content_sha256", F.lit("")), F.lit("-")), seal_)))]
+    wide = notes.join(_ledgers(ledger, LEDGER_ROWS), "project", "left")
+    out = wide.select("project", "note_id", F.posexplode(F.concat(*parts)).alias("n", "b"))
+    return out.select("project", "note_id", (F.col("n") + 1).alias("n"), "b.kind", "b.text", "b.rows")
+
+
+def note_sheets(notes: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(project, note_id, sheet, n, cells): the four sheets of a note's workbook: summary, metrics, narrative and ledger, rows in order."""
+    text = lambda c: F.coalesce(c.cast("string") if isinstance(c, Column) else F.col(c).cast("string"), F.lit(""))
+    summary = {"과제번호": "header.project_code", "과제명": "header.title", "연구노트번호": "note_id", "작성자": "header.author", "점검자": "header.reviewer", "상태": "state", "본문 해시": "content_sha256"}
+    first = [F.array(F.lit(k), text(c)) for k, c in summary.items()]
+    first.insert(3, F.array(F.lit("작성기간"), F.concat(text("period.start"), F.lit(" ~ "), text("period.end"))))
+    measured = F.transform(F.coalesce(F.col("sections.metrics"), _none(METRIC)), lambda r: F.array(text(r["metric"]), text(r["value"]), text(r["unit"]), text(r["condition"]), F.array_join(_evidence(r), ", ")))
+
+    def told(k: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"sections.{k}"), _none(ENTRY)), lambda e: F.array(F.lit(k), text(e["text"])))
+
+    narrative = F.concat(*[told(k) for k in ("goal", *NARRATIVE)])
+    listed = F.coalesce("_fb_ledger", F.array().cast("array<array<string>>"))
+    heads = {"measured": ["지표", "값", "단위", "조건", "증거"], "narrative": ["섹션", "내용"], "ledger": ["ID", "종류", "출처", "위치", "내용"]}
+    top = lambda k, rows: F.concat(F.array(F.array(*[F.lit(x) for x in heads[k]])), rows)
+    sheets = {"summary": F.array(*first), "metrics": top("measured", measured), "narrative": top("narrative", narrative), "ledger": top("ledger", listed)}
+    wide = notes.join(_ledgers(ledger, None), "project", "left")
+    each = wide.select("project", "note_id", F.explode(F.array(*[F.struct(F.lit(k).alias("sheet"), v.alias("rows")) for k, v in sheets.items()])).alias("s"))
+    return each.select("project", "note_id", "s.sheet", F.posexplode("s.rows").alias("n", "cells")).withColumn("n", F.col("n") + 1)

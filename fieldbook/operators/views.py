@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbook.functions.dates import clamp_date
 from fieldbook.operators.gates import month_buckets
 
 
@@ -102,3 +103,45 @@ def chart_axis(actuals: DataFrame, key: str = "metric_key", value: str = "value"
 def backup_due(days: DataFrame, today: str, after: int = 30) -> DataFrame:
     since = F.datediff(F.lit(today).cast("date"), "last_backup")
     return days.select("project", since.alias("days"), F.coalesce(since >= after, F.lit(True)).alias("due"))
+
+
+def view_range(start: Column, end: Column, today: Column, preset: str) -> Column:
+    """(start, end) of a view of a period: all, year (this one), past12 months or next6, clamped into the period."""
+    year = F.trunc(today, "year")
+    wanted = {"all": (start, end), "year": (year, F.date_add(F.add_months(year, 12), -1)), "past12": (F.date_sub(today, 365), today), "next6": (today, F.date_add(today, 183))}[preset]
+    return F.struct(*[clamp_date(d, start, end).alias(name) for d, name in zip(wanted, ("start", "end"))])
+
+
+def axis_ticks(start: Column, end: Column, most: int = 430) -> Column:
+    """The days inside a view that an axis marks: firsts of months up to ``most`` days, else firsts of years; the view's first day is none."""
+    unit = lambda u: F.filter(F.sequence(F.trunc(start, u), F.trunc(end, u), F.expr(f"interval 1 {u}")), lambda d: (d > start) & (d <= end if u == "month" else d < end))
+    return F.when(F.datediff(end, start) + 1 <= most, unit("month")).otherwise(unit("year"))
+
+
+def notes_list(notes: DataFrame) -> DataFrame:
+    """(project, place, note_id, start, end, revised, state): each project's notes, the greatest id first; revised is the number of a revision."""
+    place = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("note_id"), "state"))
+    return notes.select("project", place.alias("place"), "note_id", "start", "end", F.when(F.col("revision") > 0, F.col("revision")).alias("revised"), "state")
+
+
+def new_uploads(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Files (name, size, at, …) that are not known yet by name and size, the first of equal ones."""
+    nth = F.row_number().over(Window.partitionBy("name", "size").orderBy("at"))
+    return files.withColumn("_fb_n", nth).where("_fb_n = 1").drop("_fb_n").join(known.select("name", "size"), ["name", "size"], "left_anti")
+
+
+def file_references(files: DataFrame) -> DataFrame:
+    """(name, kind, content): one entry of evidence for each file that gave no text, for the file as a whole."""
+    bare = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) == ""
+    return files.where(bare).select("name", F.lit("reference").alias("kind"), F.concat(F.lit("file as a whole: "), "name").alias("content"))
+
+
+def evidence_of_notes(evidence: DataFrame, attached: DataFrame) -> DataFrame:
+    """Uploaded evidence (project, source_type, source_file, kind, …) whose file is attached (project, name) to a note; references aside."""
+    names = attached.select("project", F.col("name").alias("source_file")).distinct()
+    return evidence.where("source_type = 'upload' and kind <> 'reference'").join(names, ["project", "source_file"], "left_semi")
+
+
+def oversized(files: DataFrame, group: str, most: int) -> DataFrame:
+    """(group, bytes, files): groups of files whose declared sizes add up to more than allowed."""
+    return files.groupBy(group).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files")).where(F.col("bytes") > most)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import dates
+from fieldbook.functions import text as tx
 from fieldbook.functions.hashing import fields_hash
-from fieldbook.operators import analyze, autodraft, lifecycle, planner, seal, sealing, store
+from fieldbook.operators import analyze, autodraft, lifecycle, planner, seal, sealing, store, views
 from fieldbook.operators import notes as nt
 from fieldbook.operators.extract import MONTH_MARK, WP_LINE
 from fieldbook.plans import mapping as m
 from fieldbook.plans.notebook import _BLOCKS, _HELD, _MILESTONES, _SLOT, _milestones, _slot_notes
-from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _NOTES, _PACKAGES, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, SEALED_FIELDS, _packages, _projects, query
+from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _NOTES, _PACKAGES, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, SEALED_FIELDS, TODAY, _packages, _projects, query
 
 TEXTS, ROWS, DAYS = ("error", "view", "click"), ("purchase", "signup"), 5
 
@@ -280,3 +281,130 @@ def analyze_documents(spark, sf):
     found = analyze.analyse(docs)
     size = F.struct(F.lit("#").alias("field"), F.lit(0).alias("nth"), F.lit("").alias("key"), F.concat_ws(" ", "docs", "lines").alias("value"), F.lit("").alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("long").alias("di"), F.lit("").alias("place"), F.lit("").alias("quote"))
     return found.select("project", F.explode(F.concat("fields", F.array(size))).alias("x")).select("project", "x.*").withColumn("nth", F.col("nth").cast("long"))
+
+
+def project_ledger(events: DataFrame) -> DataFrame:
+    """The ledger of events by project, a user: in order of event, with its place and content."""
+    full = event_ledger(events).join(m.ledger(events).select("id", "content"), "id")
+    n = F.substring("id", 2, 20).cast("long")
+    return full.withColumn("n", n).join(events.select(F.col("event_id").alias("n"), F.col("user_id").cast("string").alias("project")), "n").withColumn("locator", F.concat(F.lit("row "), "n"))
+
+
+_TABLE = "array_to_string(list_transform({0}, lambda r: array_to_string(r, ' | ')), chr(10))"
+_NOTE_ROWS = f"""{_ONLY(_NARRATIVE, TEXTS)}, {_EVENT_NOTES}, {_ONLY(_ROWS, ROWS)},
+told AS (SELECT ev.project, ev.block, event_id, n.event_type, text FROM narrative AS n JOIN ev USING (event_id)),
+mr AS (SELECT project, block, list([metric_key, value, unit, achieved, '-', coalesce(evidence, '')] ORDER BY event_id) AS rows FROM metric_rows JOIN ev ON row_id = event_id GROUP BY project, block),
+fr AS (SELECT project, block, list([file, '', CASE WHEN project % 43 = 0 THEN 'none' ELSE left(sha256(file), 16) END || '…'] ORDER BY file) AS rows FROM (SELECT DISTINCT project, block, 'log-' || CAST(day AS VARCHAR) || '.csv' AS file FROM ev WHERE event_type IN {TEXTS!r}) GROUP BY project, block),
+le AS (SELECT user_id AS project, list([id, CASE WHEN told THEN 'researcher_statement' ELSE 'measurement' END, file, 'row ' || event_id, event_type || ' ' || printf('%.2f', value)] ORDER BY event_id) AS rows FROM ledger JOIN events ON id = 'E' || event_id GROUP BY user_id),
+hd AS (SELECT project, block, start, "end", 'RN-' || strftime(start, '%Y%m%d') || '-' || strftime("end", '%Y%m%d') AS note_id, CASE WHEN sealed THEN 'sealed' ELSE 'draft' END AS state, CASE WHEN project % 41 = 0 THEN '' ELSE 'user ' || project END AS title,
+  CASE WHEN project % 37 = 0 THEN '' ELSE 'u' || (project % 50) END AS author, CAST("end" - CAST(project % 3 AS INTEGER) AS VARCHAR) AS written, CAST(start AS VARCHAR) || ' ~ ' || CAST("end" AS VARCHAR) AS span FROM n),
+h AS (SELECT *, CASE WHEN project % 23 = 0 THEN author || ' ' ELSE 'r1' END AS reviewer FROM hd)"""
+
+
+@query("note_blocks", f"""WITH {_NOTE_ROWS},
+b AS (
+  SELECT project, block, 0 AS sec, 0 AS ord, 'h1' AS kind, '{nt.FORM["title"]}' AS content FROM h
+  UNION ALL SELECT project, block, 1, 0, 'table', array_to_string(['과제번호 | P' || project || ' | 연구노트번호 | ' || note_id, '과제명 | ' || title || ' | 작성기간 | ' || span, '작성자 | ' || author || ' | 점검자 | ' || reviewer, '작성일 | ' || written || ' | 점검일 | (미점검)', 'WP 연계 | WP1 | 상태 | ' || state], chr(10)) FROM h
+  UNION ALL SELECT project, block, k, 0, 'h2', t FROM h, (VALUES (2, '{nt.FORM["goal"]}'), (4, '{nt.FORM["work"]}'), (6, '{nt.FORM["results"]}'), (8, '{nt.FORM["metrics"]}'), (10, '{nt.FORM["interpretation"]}'), (12, '{nt.FORM["next_plan"]}'), (14, '{nt.FORM["attachments"]}'), (20, '{nt.FORM["history"]}')) AS v(k, t)
+  UNION ALL SELECT project, block, k, 0, 'p', '{nt.FORM["nothing"]}' FROM h, (VALUES (3), (11), (13)) AS v(k)
+  UNION ALL SELECT project, block, CASE event_type WHEN 'click' THEN 7 ELSE 5 END, event_id, 'p', '· ' || text FROM told
+  UNION ALL SELECT project, block, k, 0, 'p', '{nt.FORM["nothing"]}' FROM h, (VALUES (5), (7)) AS v(k) WHERE NOT EXISTS (SELECT 1 FROM told AS t WHERE t.project = h.project AND t.block = h.block AND (event_type = 'click') = (k = 7))
+  UNION ALL SELECT h.project, h.block, 9, 0, CASE WHEN rows IS NULL THEN 'p' ELSE 'table' END, CASE WHEN rows IS NULL THEN '{nt.FORM["nothing"]}' ELSE '지표 | 값 | 단위 | 조건 | 달성 | 증거' || chr(10) || {_TABLE.format('rows')} END FROM h LEFT JOIN mr ON mr.project = h.project AND mr.block = h.block
+  UNION ALL SELECT h.project, h.block, 15, 0, CASE WHEN rows IS NULL THEN 'p' ELSE 'table' END, CASE WHEN rows IS NULL THEN '{nt.FORM["no_files"]}' ELSE '파일명 | 크기 | SHA-256' || chr(10) || {_TABLE.format('rows')} END FROM h LEFT JOIN fr ON fr.project = h.project AND fr.block = h.block
+  UNION ALL SELECT h.project, h.block, 16, 0, 'h2', '{nt.FORM["ledger"]}' FROM h JOIN le ON le.project = h.project
+  UNION ALL SELECT h.project, h.block, 17, 0, 'table', 'ID | 종류 | 출처 | 위치 | 내용' || chr(10) || {_TABLE.format('rows[: 500]')} FROM h JOIN le ON le.project = h.project
+  UNION ALL SELECT project, block, 21, 0, 'table', '시각 | 작업자 | 내용' FROM h)
+SELECT CAST(project AS VARCHAR) AS project, note_id, row_number() OVER (PARTITION BY project, block ORDER BY sec, ord) AS n, kind, content FROM b JOIN h USING (project, block)""")
+def note_blocks(spark, sf):
+    """The official form of each note, block by block; the last one, which holds the content's hash, is left out."""
+    out = nt.note_blocks(event_notes(spark, sf), project_ledger(m.table(spark, sf, "events"))).where("kind <> 'small'")
+    rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, " | ")), "\n")
+    return out.select("project", "note_id", F.col("n").cast("long").alias("n"), "kind", F.coalesce("text", rows).alias("content"))
+
+
+@query("note_sheets", f"""WITH {_NOTE_ROWS},
+s AS (
+  SELECT project, block, 'summary' AS sheet, k AS n, [l, CASE k WHEN 1 THEN 'P' || project WHEN 2 THEN title WHEN 3 THEN note_id WHEN 4 THEN span WHEN 5 THEN author WHEN 6 THEN reviewer ELSE state END] AS cells FROM h, (VALUES (1, '과제번호'), (2, '과제명'), (3, '연구노트번호'), (4, '작성기간'), (5, '작성자'), (6, '점검자'), (7, '상태')) AS v(k, l)
+  UNION ALL SELECT project, block, 'metrics', 1, ['지표', '값', '단위', '조건', '증거'] FROM h
+  UNION ALL SELECT project, block, 'metrics', unnest(range(2, len(rows) + 2)), unnest(list_transform(rows, lambda r: [r[1], r[2], r[3], r[4], r[6]])) FROM mr
+  UNION ALL SELECT project, block, 'narrative', 1, ['섹션', '내용'] FROM h
+  UNION ALL SELECT project, block, 'narrative', 1 + row_number() OVER (PARTITION BY project, block ORDER BY event_type = 'click', event_id), [CASE event_type WHEN 'click' THEN 'results' ELSE 'work' END, text] FROM told
+  UNION ALL SELECT project, block, 'ledger', 1, ['ID', '종류', '출처', '위치', '내용'] FROM h
+  UNION ALL SELECT h.project, block, 'ledger', unnest(range(2, len(rows) + 2)), unnest(rows) FROM h JOIN le ON le.project = h.project)
+SELECT CAST(project AS VARCHAR) AS project, note_id, sheet, n, array_to_string(cells, ' | ') AS cells FROM s JOIN h USING (project, block)""")
+def note_sheets(spark, sf):
+    """The workbook of each note, row by row, without the row of its hash."""
+    out = nt.note_sheets(event_notes(spark, sf), project_ledger(m.table(spark, sf, "events"))).where("sheet <> 'summary' or n < 8")
+    return out.select("project", "note_id", "sheet", F.col("n").cast("long").alias("n"), F.array_join("cells", " | ").alias("cells"))
+
+
+@query("view_ranges", f"""WITH {_PROJECTS}, w AS (SELECT project, start, "end", unnest(['all', 'year', 'past12', 'next6']) AS preset FROM projects),
+r AS (SELECT *, CASE preset WHEN 'all' THEN start WHEN 'year' THEN DATE '1998-01-01' WHEN 'past12' THEN DATE '1997-06-15' ELSE DATE '1998-06-15' END AS a, CASE preset WHEN 'all' THEN "end" WHEN 'year' THEN DATE '1998-12-31' WHEN 'past12' THEN DATE '1998-06-15' ELSE DATE '1998-12-15' END AS b FROM w),
+c AS (SELECT project, preset, greatest(least(a, "end"), start) AS view_start, greatest(least(b, "end"), start) AS view_end FROM r)
+SELECT project, preset, view_start, view_end, list_filter(list_transform(range(0, 400), lambda i: CAST(CASE WHEN view_end - view_start + 1 <= 430 THEN date_trunc('month', view_start) + to_months(CAST(i AS INTEGER)) ELSE date_trunc('year', view_start) + to_years(CAST(i AS INTEGER)) END AS DATE)),
+  lambda d: d > view_start AND CASE WHEN view_end - view_start + 1 <= 430 THEN d <= view_end ELSE d < view_end END) AS ticks FROM c""")
+def view_ranges(spark, sf):
+    """The four ranges in which each project can be viewed, and the days that their axes mark."""
+    day, p = F.lit(TODAY).cast("date"), _projects(spark, sf)
+    each = F.array(*[F.struct(F.lit(k).alias("preset"), views.view_range(F.col("start"), F.col("end"), day, k).alias("r")) for k in ("all", "year", "past12", "next6")])
+    out = p.select("project", F.explode(each).alias("x")).select("project", "x.preset", F.col("x.r.start").alias("view_start"), F.col("x.r.end").alias("view_end"))
+    return out.withColumn("ticks", views.axis_ticks(F.col("view_start"), F.col("view_end")))
+
+
+@query("notes_list", f"""WITH {_PROJECTS}, {_SPRINTS}, {_HELD}, o AS (SELECT *, {_SLOT.format('')} || CASE revision WHEN 1 THEN '-R1' ELSE '' END AS note_id FROM held)
+SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY note_id DESC, state) AS INTEGER) AS place, note_id, start, "end", nullif(revision, 0) AS revised, state FROM o""")
+def notes_list(spark, sf):
+    return views.notes_list(_slot_notes(spark, sf))
+
+
+@query("new_uploads", '''WITH f AS (SELECT source AS name, n_chars % 50 AS size, doc_id AS "at" FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY name, size ORDER BY "at") AS k FROM f WHERE "at" % 2 = 1)
+SELECT name, size, "at" FROM o WHERE k = 1 AND (name, size) NOT IN (SELECT (name, size) FROM f WHERE "at" % 8 = 0 AND name IS NOT NULL AND size IS NOT NULL)''')
+def new_uploads(spark, sf):
+    """Odd documents as uploads, of which those like every eighth document are known."""
+    files = m.table(spark, sf, "documents").select(F.col("source").alias("name"), (F.col("n_chars") % 50).alias("size"), F.col("doc_id").alias("at"))
+    return views.new_uploads(files.where("at % 2 = 1"), files.where("at % 8 = 0"))
+
+
+@query("file_cards", r"""SELECT doc_id, coalesce(nullif(substr(regexp_replace(coalesce(source || '/' || lang || ': ' || doc_id || '.TXT', ''), '[/\\:*?"<>|\x00-\x1F]', '_', 'g'), 1, 180), ''), '_') AS name, 'txt' AS ext,
+  CASE WHEN b < 1024 THEN b || ' B' ELSE printf('%.1f KB', floor((b * 10 + 512) / 1024.0) / 10) END AS size, replace(replace(replace(replace(replace(split_part(text, chr(10), 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS title,
+  CAST('0' AS INTEGER) + doc_id % 3 = 0 AS junk, strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), 'PRJ-%Y-%m%d') AS code, rtrim(translate(base64(encode(left(text, 20))), '+/', '-_'), '=') AS head
+FROM (SELECT *, strlen(text) AS b FROM documents WHERE text IS NOT NULL)""")
+def file_cards(spark, sf):
+    """What a list of files shows of each document."""
+    d = m.table(spark, sf, "documents").where("text is not null")
+    name = F.concat("source", F.lit("/"), "lang", F.lit(": "), F.col("doc_id").cast("string"), F.lit(".TXT"))
+    copy = F.when(F.col("doc_id") % 3 == 0, "x (1).txt").otherwise("x.txt")
+    return d.select(
+        "doc_id", tx.safe_name(name).alias("name"), tx.extension(name).alias("ext"), tx.format_bytes(F.octet_length("text")).alias("size"), tx.escape_html(F.substring_index("text", "\n", 1)).alias("title"),
+        tx.is_junk_name(copy).alias("junk"), tx.auto_code(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))).alias("code"), tx.base64url(F.encode(F.left("text", F.lit(20)), "UTF-8")).alias("head"),
+    )
+
+
+@query("note_evidence", f"""WITH {_EVENT_NOTES} SELECT CAST(e.user_id AS VARCHAR) AS project, l.id FROM ledger AS l JOIN events AS e ON l.id = 'E' || e.event_id
+WHERE EXISTS (SELECT 1 FROM ev WHERE ev.project = e.user_id AND event_type IN {TEXTS!r} AND 'log-' || CAST(day AS VARCHAR) || '.csv' = l.file)""")
+def note_evidence(spark, sf):
+    """The evidence of each user whose log is attached to one of the user's notes."""
+    attached = event_notes(spark, sf).select("project", F.explode("attachments").alias("a")).select("project", "a.name")
+    return views.evidence_of_notes(project_ledger(m.table(spark, sf, "events")), attached).select("project", "id")
+
+
+@query("file_references", r"""SELECT 'd' || doc_id AS name, 'reference' AS kind, 'file as a whole: d' || doc_id AS content FROM documents WHERE trim(regexp_replace(coalesce(regexp_replace(text, '[a-zA-Z.,]+', '', 'g'), ''), '\s+', ' ', 'g')) = ''""")
+def file_references(spark, sf):
+    """Documents in which nothing but plain letters stands, as files that gave no text."""
+    text = F.regexp_replace("text", "[a-zA-Z.,]+", "")
+    return views.file_references(m.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), text.alias("text")))
+
+
+@query("oversized_uploads", "SELECT source, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes, count(*) AS files FROM documents GROUP BY source HAVING sum(strlen(coalesce(text, ''))) > 30000")
+def oversized_uploads(spark, sf):
+    files = m.table(spark, sf, "documents").select("source", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    return views.oversized(files, "source", 30_000)
+
+
+@query("cell_dates", r"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(ts AS DATE) WHEN 1 THEN CAST(ts AS DATE) WHEN 2 THEN CAST(date_trunc('month', ts) AS DATE) END AS day FROM events""")
+def cell_dates(spark, sf):
+    """Days of events as cells hold them: written out, as serial numbers, as months, and as other numbers."""
+    day = F.to_date("ts")
+    serial = (F.datediff(day, F.lit("1899-12-30").cast("date"))).cast("string")
+    cell = F.when(F.col("event_id") % 4 == 0, F.date_format(day, "yyyy. M. d.")).when(F.col("event_id") % 4 == 1, serial).when(F.col("event_id") % 4 == 2, F.date_format(day, "yyyy년 M월")).otherwise(F.col("value").cast("string"))
+    return m.table(spark, sf, "events").select("event_id", dates.cell_date(cell).alias("day"))

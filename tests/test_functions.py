@@ -49,3 +49,24 @@ def test_texts(spark):
 )
 def test_canonical_json(spark, text, expected):
     assert each(spark, [text], hashing.canonical_json) == [expected]
+
+
+def test_replies_keys_and_cells(spark):
+    from pyspark.sql import functions as F
+
+    from fieldbook.functions import dates
+    from fieldbook.functions import text as tx
+
+    rows = [(1, 'here: [{"a": 1}, {"a": 2}] done', b"\xfb\xff\x00"), (2, "no list", b""), (3, "[broken", b"ab"), (4, None, None)]
+    df = spark.createDataFrame(rows, "k int, t string, b binary")
+    out = df.select("k", tx.reply_array(F.col("t"), "array<struct<a:int>>").alias("r"), tx.base64url(F.col("b")).alias("u"), (tx.from_base64url(tx.base64url(F.col("b"))) == F.col("b")).alias("same")).collect()
+    assert [[x.a for x in r.r] if r.r else None for r in out] == [[1, 2], None, None, None]
+    assert [r.u for r in out] == ["-_8A", "", "YWI", None] and [r.same for r in out] == [True, True, True, None]
+    import hashlib
+
+    want = hashlib.sha256(b"EC|P-256|x|y").hexdigest()[:16]
+    got = df.limit(1).select(tx.key_fingerprint(F.lit("EC"), F.lit("P-256"), F.lit("x"), F.lit("y"))).first()[0]
+    assert got == ":".join(want[k : k + 2] for k in range(0, 16, 2))
+    cells = ["2026. 3. 1", "2026년 3월", "20260301", "46082", "46082.75", "2026.13.1", "12", "", None, "2026-3"]
+    found = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "k int, c string").select(dates.cell_date(F.col("c")).cast("string")).collect()
+    assert [r[0] for r in found] == ["2026-03-01", "2026-03-01", "2026-03-01", "2026-03-01", "2026-03-01", None, None, None, None, "2026-03-01"]

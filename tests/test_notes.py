@@ -171,3 +171,23 @@ def test_the_content_hash_covers_content_alone(spark):
     assert base == hashed(lambda n: n.update(_state="sealed", attachments=[], content_sha256="x"))
     for change in (lambda n: n["period"].update(end="2026-03-15"), lambda n: n["wp_refs"].append("WP2"), lambda n: n["sections"]["work"][0].update(text="other"), lambda n: n["sections"]["metrics"][0].update(value=89)):
         assert hashed(change) != base
+
+
+def test_blocks_of_a_bare_and_of_a_full_note(spark):
+    full = clean()
+    full["sections"]["goal"] = [{"text": "목표", "wp": "WP1"}, {"text": " "}]
+    full["수정이력"] = [{"at": str(k), "by": "kim", "what": f"edit {k}"} for k in range(60)]
+    texts = spark.createDataFrame([(json.dumps(n, ensure_ascii=False),) for n in (full, {"note_id": "RN-X", "project": "q"})], "value string")
+    rows = nt.parse_notes(texts).select("note.*")
+    ledger = spark.createDataFrame([("p", k, f"E{k}", "statement", "f.pdf", f"p.{k}", f"text {k}") for k in range(600, 0, -1)], "project string, n long, id string, kind string, source_file string, locator string, content string")
+    out = {(r.project, r.n): r for r in nt.note_blocks(rows, ledger).collect()}
+    mine = [out["p", k] for k in range(1, sum(p == "p" for p, _ in out) + 1)]
+    assert [r.text for r in mine if r.kind == "h2"] == [nt.FORM[k] for k in ("goal", "work", "results", "metrics", "interpretation", "next_plan", "attachments", "ledger", "history")]
+    assert [r.text for r in mine if r.kind == "p"] == ["· 목표 (WP1)", "· 첫 시험을 수행하였다 [E1].", "· The device was calibrated [E2].", "· a note of our own [E5].", "· 결과를 기록하였다 [E3].", nt.FORM["nothing"], nt.FORM["nothing"]]
+    tables = [r.rows for r in mine if r.kind == "table"]
+    assert [len(t) for t in tables] == [5, 2, 5, 501, 51] and [r[0] for r in tables[3][1:]] == [f"E{k}" for k in range(1, 501)] and tables[4][1] == ["10", "kim", "edit 10"]
+    bare = [out["q", k] for k in range(1, sum(p == "q" for p, _ in out) + 1)]
+    assert [r.kind for r in bare] == ["h1", "table"] + ["h2", "p"] * 7 + ["h2", "table", "small"] and bare[-1].text == "본문 해시: -"
+    sheets = {(r.project, r.sheet): 0 for r in nt.note_sheets(rows, ledger).collect()}
+    assert len(sheets) == 8 and nt.note_sheets(rows, ledger).where("project = 'p' and sheet = 'ledger'").count() == 601
+    assert nt.note_blocks(rows.limit(0), ledger).count() == 0
