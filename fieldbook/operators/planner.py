@@ -43,16 +43,21 @@ def assign_sprint(day: Column, start: Column, step: int = 14) -> Column:
     return F.when(day >= start, F.floor(F.datediff(day, start) / step).cast("int") + 1)
 
 
-def active_work_packages(sprints: DataFrame, packages: DataFrame, step: int = 14) -> DataFrame:
-    """(project, seq, packages): the packages (project, num, start, end) that overlap each sprint, by number.
+def active_pairs(sprints: DataFrame, packages: DataFrame, step: int = 14) -> DataFrame:
+    """(project, seq, num): which packages (project, num, start, end) overlap each sprint; repeated if a number repeats.
 
-    A package is exploded to the sprints it touches by arithmetic, so the overlap is an equi-join.
+    A package is exploded to the sprints it touches by arithmetic, so the overlap needs no range join.
     """
     first = sprints.groupBy("project").agg(F.min("start").alias("zero"), F.max("seq").alias("n"))
     spans = packages.where("end >= start").join(first, "project").where(f"end >= zero and start < date_add(zero, n * {step})")
     low = F.greatest(F.floor(F.datediff("start", "zero") / step).cast("int") + 1, F.lit(1))
     high = F.least(F.floor(F.datediff("end", "zero") / step).cast("int") + 1, F.col("n"))
-    hits = spans.select("project", "num", F.explode(F.sequence(low, high)).alias("seq"))
+    return spans.select("project", F.explode(F.sequence(low, high)).alias("seq"), "num")
+
+
+def active_work_packages(sprints: DataFrame, packages: DataFrame, step: int = 14) -> DataFrame:
+    """(project, seq, packages): the packages that overlap each sprint, by number, as one text."""
+    hits = active_pairs(sprints, packages, step)
     return hits.groupBy("project", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_set("num")), lambda x: F.concat(F.lit("WP"), x.cast("string"))), ",").alias("packages"))
 
 

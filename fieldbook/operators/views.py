@@ -21,35 +21,35 @@ def month_rollup(notes: DataFrame) -> DataFrame:
 def package_progress(active: DataFrame, notes: DataFrame) -> DataFrame:
     """(project, package, sprints, sealed_sprints, notes): how many of a package's sprints have a sealed note.
 
-    active: project, seq, packages (comma-joined); notes: project, sprint, state.
+    active: project, seq, num; notes: project, sprint, state.
     """
-    each = active.select("project", "seq", F.explode(F.split("packages", ",")).alias("package"))
     per = notes.groupBy("project", F.col("sprint").alias("seq")).agg(F.count("*").alias("n"), F.max(F.when(F.col("state") == "sealed", 1).otherwise(0)).alias("s"))
-    wide = each.join(per, ["project", "seq"], "left")
-    return wide.groupBy("project", "package").agg(F.count("*").alias("sprints"), F.sum(F.coalesce("s", F.lit(0))).alias("sealed_sprints"), F.sum(F.coalesce("n", F.lit(0))).alias("notes"))
+    wide = active.distinct().join(per, ["project", "seq"], "left")
+    package = F.concat(F.lit("WP"), F.col("num").cast("string")).alias("package")
+    return wide.groupBy("project", package).agg(F.count("*").alias("sprints"), F.sum(F.coalesce("s", F.lit(0))).alias("sealed_sprints"), F.sum(F.coalesce("n", F.lit(0))).alias("notes"))
 
 
 def month_detail(blocks: DataFrame, sprints: DataFrame, notes: DataFrame, milestones: DataFrame) -> DataFrame:
     """(project, month, sprints, notes, sealed, milestones) for every month block of a project.
 
     Sprints count in each block they overlap, notes in the block their period starts in, milestones (project, month,
-    name) by number. Blocks and sprints meet by calendar month with exact bounds after, each pair in its first month.
+    name) by number. Sprints tile a project in equal steps but the last, so those of a block are arithmetic on its bounds; notes
+    and blocks meet by calendar month. All counts come together in one union and one aggregate.
     """
+    days = F.datediff("end", "start") + 1
+    grid = sprints.groupBy("project").agg(F.min("start").alias("zero"), F.max("end").alias("last"), F.max(days).alias("step"))
+    nth = lambda d: F.floor(F.datediff(d, "zero") / F.col("step"))
     block = blocks.select("project", F.col("seq").alias("month"), F.col("start").alias("b0"), F.col("end").alias("b1"))
+    held = block.join(grid, "project", "left").withColumn("n", F.coalesce(nth(F.least("b1", "last")) - nth("b0") + 1, F.lit(0)))
+    zero = F.lit(0).cast("long")
+    row = lambda **c: [F.col("project"), F.col("month"), *[c.get(k, zero).alias(k) for k in ("there", "sprints", "notes", "sealed", "milestones")]]
     wide = block.withColumn("cm", F.explode(month_buckets(F.col("b0"), F.col("b1"))))
-    span = sprints.select("project", F.col("start").alias("s0"), F.col("end").alias("s1"), F.explode(month_buckets(F.col("start"), F.col("end"))).alias("cm"))
-    over = wide.join(span, ["project", "cm"]).where("b1 >= s0 and b0 <= s1").where(F.col("cm") == F.trunc(F.greatest("b0", "s0"), "month"))
-    starts = notes.select("project", "state", F.col("start").alias("n0"), F.trunc("start", "month").alias("cm"))
+    starts = notes.groupBy("project", F.col("start").alias("n0")).agg(F.count("*").alias("n"), F.count_if(F.col("state") == "sealed").alias("s")).withColumn("cm", F.trunc("n0", "month"))
     written = wide.join(starts, ["project", "cm"]).where("n0 between b0 and b1")
-    counts = [
-        over.groupBy("project", "month").agg(F.count("*").alias("sprints")),
-        written.groupBy("project", "month").agg(F.count("*").alias("notes"), F.count_if(F.col("state") == "sealed").alias("sealed")),
-        milestones.groupBy("project", "month").agg(F.count("*").alias("milestones")),
-    ]
-    out = block.select("project", "month")
-    for part in counts:
-        out = out.join(part, ["project", "month"], "left")
-    return out.na.fill(0, ["sprints", "notes", "sealed", "milestones"])
+    one = F.lit(1).cast("long")
+    parts = held.select(row(there=one, sprints=F.col("n"))).unionByName(written.select(row(notes=F.col("n"), sealed=F.col("s")))).unionByName(milestones.select(row(milestones=one)))
+    counts = [F.sum(c).alias(c) for c in ("there", "sprints", "notes", "sealed", "milestones")]
+    return parts.groupBy("project", "month").agg(*counts).where("there > 0").drop("there")
 
 
 def upcoming_milestones(milestones: DataFrame, today: str, most: int = 4) -> DataFrame:
