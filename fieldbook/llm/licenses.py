@@ -186,19 +186,29 @@ def _inner_runs(base: DataFrame, templates: DataFrame, rows: DataFrame, threshol
     pairs = F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda x, y: F.concat_ws(" ", x, y))
     grams = base.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", _once(normal_words(F.col("t"))).alias("w")).select("doc_id", "th", F.posexplode(pairs).alias("pos", "gram"))
     met = grams.join(templates.where(F.col("size") >= MIN_RUN), "gram")
-    # a text's places of a template's bigrams, ascending
-    hits = met.groupBy("doc_id", "th", "template", "license", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("x")).where(F.size("x") >= need)
-    hits = hits.select("*", _once(F.col("x.pos")).alias("at"), _once(F.col("x.gram")).alias("g")).where(F.size(F.array_distinct("g")) >= need).drop("x")
+    # a text's places of a template's bigrams, ascending, each with the place before of the same bigram
+    before = F.lag("pos").over(Window.partitionBy("doc_id", "th", "template", "gram").orderBy("pos"))
+    hits = met.withColumn("before", before).groupBy("doc_id", "th", "template", "license", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "before"))).alias("x"), F.count_if(F.col("before").isNull()).alias("distinct"))
+    hits = hits.where(F.col("distinct") >= need)
     # from each place that so many others follow closely enough, the best end
-    starts = F.filter(F.sequence(F.lit(0), F.size("at") - need), lambda k: F.get("at", k + need - 1) - F.get("at", k) < most)
-    begun = hits.select("*", F.explode(starts).alias("k")).withColumn("first", F.get("at", F.col("k")))
-    ends = F.filter(F.sequence(F.col("k") + need - 1, F.least(F.size("at") - 1, F.col("k") + most - 1)), lambda j: F.get("at", j) - F.col("first") < most)
+    starts = F.filter(F.sequence(F.lit(0), F.size("x") - need), lambda k: F.get("x", k + need - 1)["pos"] - F.get("x", k)["pos"] < most)
 
-    def run(j: Column) -> Column:
-        common, long = F.size(F.array_distinct(F.slice("g", F.col("k") + 1, j - F.col("k") + 1))), F.get("at", j) - F.col("first") + 1
-        return F.struct((F.lit(-2.0) * common / (long + F.col("size"))).alias("worse"), (F.get("at", j) + 1).alias("last"))
+    def run(k: Column) -> Column:
+        """A run's bigrams are counted as it grows: one is new unless it stood between the start and here before."""
+        first = F.get("x", k)["pos"]
+        zero = F.struct(F.lit(0).alias("common"), F.lit(0.0).alias("worse"), F.lit(0).alias("last"))
 
-    found = begun.select("doc_id", "th", "template", "license", "first", _once(F.array_min(F.transform(ends, run))).alias("r")).where(F.col("r.worse") <= -threshold + 1e-12)
+        def step(out: Column, e: Column) -> Column:
+            common = out["common"] + F.when(e["before"].isNull() | (e["before"] < first), 1).otherwise(0)
+            worse = F.lit(-2.0) * common / (e["pos"] - first + 1 + F.col("size"))
+            better = (e["pos"] - first < most) & (worse < out["worse"])
+            return F.struct(common.cast("int").alias("common"), F.when(better, worse).otherwise(out["worse"]).alias("worse"), F.when(better, e["pos"] + 1).otherwise(out["last"]).cast("int").alias("last"))
+
+        r = F.aggregate(F.slice("x", k + 1, most), zero, step)
+        return F.struct(first.alias("first"), r.alias("r"))
+
+    runs = F.filter(F.transform(starts, run), lambda y: y["r"]["worse"] <= -threshold + 1e-12)
+    found = hits.select("doc_id", "th", "template", "license", F.explode(runs).alias("y")).select("doc_id", "th", "template", "license", "y.first", "y.r")
     best = found.groupBy("doc_id", "th", "first").agg(F.min(F.struct("r.worse", "license", "template", "r.last")).alias("x"))
     order = F.array_sort(F.collect_list(F.struct("x.worse", "x.license", "x.template", "first", "x.last"))).alias("all")
     kept = F.aggregate(

@@ -197,6 +197,18 @@ def names_that_clash(spark):
     return docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in made.split()])
 
 
+def test_a_long_file_of_notices_takes_linear_time(spark):
+    """Half a megabyte of repeated licence text and prose: every notice is found, in time."""
+    import time
+
+    text = next(t for lic, t in licenses.TEXTS if lic == "MIT")
+    words = " ".join(text.split())
+    one = spark.createDataFrame([(1, (words + " and some words of prose that no licence has ") * (500_000 // len(words)))], "doc_id long, text string")
+    began = time.time()
+    found = licenses.scan_licenses(one, licenses.template_table(spark, licenses.TEMPLATES + licenses.TEXTS)).collect()
+    assert {r.license for r in found} == {"MIT"} and time.time() - began < 120
+
+
 def test_callers_columns_keep_their_values(spark, bench, labels, tmp_path):
     docs = names_that_clash(spark)
     extra = docs.columns[5:]
