@@ -83,7 +83,7 @@ def forbidden_rule(sentence: Column) -> Column:
 
 def forbidden_reason(rule: Column) -> Column:
     """language/reason of a rule number."""
-    return F.element_at(F.array(*[F.lit(f"{lang}/{why}") for lang, why, _ in FORBIDDEN]), rule + 1)
+    return F.when(rule.isNotNull(), F.element_at(F.array(*[F.lit(f"{lang}/{why}") for lang, why, _ in FORBIDDEN]), rule + 1))
 
 
 def claims_achieved(text: Column) -> Column:
@@ -107,15 +107,20 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^.]+)$", 1))
 
 
+# Characters that a file name may not have, and names of files that are no documents.
+NO_NAME = r'[/\\:*?"<>|\x00-\x1F]'
+JUNK = r"^\.|^~\$| \(\d+\)\.[^.]+$|(?i)\.(tmp|crdownload|partial)$"
+
+
 def safe_name(name: Column) -> Column:
     """A file name without separators, wildcards and controls, of at most 180 characters."""
-    clean = F.regexp_replace(F.coalesce(name, F.lit("")), r'[/\\:*?"<>|\x00-\x1F]', "_")
+    clean = F.regexp_replace(F.coalesce(name, F.lit("")), NO_NAME, "_")
     return F.coalesce(F.nullif(F.substring(clean, 1, 180), F.lit("")), F.lit("_"))
 
 
 def is_junk_name(name: Column) -> Column:
     """Hidden files, browser copies like ``x (1).pdf``, lock files and unfinished downloads."""
-    return F.coalesce(name.rlike(r"^\.|^~\$| \(\d+\)\.[^.]+$|(?i)\.(tmp|crdownload|partial)$"), F.lit(False))
+    return F.coalesce(name.rlike(JUNK), F.lit(False))
 
 
 def format_bytes(n: Column) -> Column:

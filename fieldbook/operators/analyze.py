@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fieldbook.functions import text as tx
 from fieldbook.functions.dates import month_span, parse_loose
 from fieldbook.functions.numbers import korean_number
-from fieldbook.operators.extract import CODE, MILESTONE, MONTH_MARK, NO_NAMES, RANGE, ROLES, STAGE, SUBTASK, WP_LINE, ascii_bounds
+from fieldbook.operators.extract import CODE, MILESTONE, MONTH_MARK, MONTHS, NO_NAMES, RANGE, ROLES, STAGE, SUBTASK, WP_LINE, ascii_bounds
 
 # The labels of fields and what their values look like.
 TITLE = r"연구개발\s*과제명|과제명|사업명|프로젝트명|연구\s*제목|Project\s*Title"
@@ -23,7 +23,6 @@ CODE_VALUE = r"([A-Z]{1,6}[-_]?\d{2,4}[-_]?\d{2,}[-_A-Z0-9]*|\d{4}[-_]\d{3,}[-_A
 AGENCY = r"전문기관|부처|주관\s*부처|발주처|지원기관|Funding\s*Agency"
 ORG = r"주관연구개발기관|주관기관|수행기관|주관\s*연구기관|기관명|회사명|Organization|Company"
 PERIOD = r"연구개발\s*기간|수행\s*기간|사업\s*기간|연구\s*기간|총\s*기간|과제\s*기간"
-MONTHS = r"(?:기간|총)\D{0,10}(\d{1,3})\s*개월"
 BUDGET = r"총\s*연구개발비|총\s*사업비|정부지원\s*연구개발비|총\s*예산|연구개발비|Total\s*Budget"
 BUDGET_VALUE = r"([\d,.]+\s*(?:조|억|천만|백만|십만|만|천)?\s*원|[\d,]+(?:\.\d+)?)"
 KPI = r"([가-힣A-Za-z0-9()\s]{2,40}?)\s*(?:목표|달성치|기준)\s*[:：]?\s*([\d,.]+)\s*(%|점|건|회|초|ms|[가-힣]{0,3})\s*(?:이상|이하)?"

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from fieldbook.functions import text as tx
 from fieldbook.functions.dates import parse_iso
 from fieldbook.functions.numbers import to_number
-from fieldbook.operators.draft import first_wins, merge_key
+from fieldbook.operators.draft import contained, first_name, first_wins, merge_key
 from fieldbook.operators.lifecycle import SLOT
 from fieldbook.operators.seal import note_id
 
-GRAM = 4
 # A record's leading date, the endings of a sentence, and a remark in brackets at its end.
 DATE_PREFIX = r"^(\d{4}-\d{2}-\d{2})\s*[—–\-:,.]?\s*"
 SENTENCE_END = r"(다|료|음|됨)\.?$"
@@ -25,54 +24,6 @@ REMARK = r"\s*\([^)]*\)\.?$"
 ROW = ["project", "note_id", "section", "n", "evidence", "key", "text", "metric_key", "value", "unit", "condition"]
 
 
-def _grams(text: Column, size: int) -> Column:
-    """All runs of size characters; found by a pattern that takes none of them away."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-
-
-def contained(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "text", size: int = GRAM) -> DataFrame:
-    """(id, pos): which names (pos, name) each text contains, letter by letter; empty names are in none.
-
-    Every name is found by one run of ``size`` characters (all of it, if it is shorter), the one that fewest names have. Only
-    ids and runs meet in the join, and what shares a run is compared in full, so the work is that of the texts and not
-    texts times names. An id must name one text.
-    """
-    named = names.where("name <> ''").select(F.col("pos").alias("_fb_pos"), F.col("name").alias("_fb_name"), F.least(F.lit(size), F.length("name")).alias("g"))
-    sizes = [r.g for r in named.select("g").distinct().collect()]  # at most size numbers
-    if not sizes:
-        return texts.select(id_col, F.lit(0).cast(names.schema["pos"].dataType).alias("pos")).where("false")
-    runs = F.coalesce(*[F.when(F.col("g") == g, _grams(F.col("_fb_name"), g)) for g in sizes])
-    each = named.select("_fb_pos", "_fb_name", F.explode(runs).alias("gram"))
-    common = each.groupBy("gram").agg(F.count("*").alias("times"))
-    rare = each.join(common, "gram").groupBy("_fb_pos", "_fb_name").agg(F.min_by("gram", F.struct("times", "gram")).alias("gram"))
-    seen = texts.select(F.col(id_col).alias("_fb_id"), F.explode(F.array_distinct(F.concat(*[_grams(F.col(text_col), g) for g in sizes]))).alias("gram"))
-    both = seen.join(rare, "gram").select("_fb_id", "_fb_pos", "_fb_name")
-    full = both.join(texts.select(F.col(id_col).alias("_fb_id"), F.col(text_col).alias("_fb_text")), "_fb_id")
-    return full.where(F.contains("_fb_text", F.col("_fb_name"))).select(F.col("_fb_id").alias(id_col), F.col("_fb_pos").alias("pos")).distinct()
-
-
-def first_name(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "text", both_ways: bool = False) -> DataFrame:
-    """(id, pos): the first name that a text contains, or with both_ways also one that contains the text; texts without are left out."""
-    found = contained(texts, names, id_col, text_col)
-    if both_ways:
-        # the two sides change places: texts are looked for in names
-        asked = texts.select(F.col(id_col).alias("pos"), F.col(text_col).alias("name"))
-        turned = contained(names.select(F.col("pos").alias("_fb_at"), "name"), asked, "_fb_at", "name")
-        found = found.unionByName(turned.select(F.col("pos").alias(id_col), F.col("_fb_at").alias("pos")))
-    return found.groupBy(id_col).agg(F.min("pos").alias("pos"))
-
-
-def match_names(evidence: DataFrame, catalog: DataFrame, text: str = "content") -> DataFrame:
-    """evidence with metric_key, the key of the first catalogue row (pos, key, name) whose name its text contains in any case.
-
-    Equal texts are looked up once; the catalogue may have any length.
-    """
-    texts = evidence.select(F.lower(text).alias("text")).where("text is not null").distinct().withColumn("id", F.sha2("text", 256))
-    names = catalog.select("pos", F.lower("name").alias("name"))
-    found = first_name(texts, names).join(catalog.select("pos", F.col("key").alias("metric_key")), "pos").select("id", "metric_key")
-    return evidence.withColumn("id_", F.sha2(F.lower(text), 256)).join(found.withColumnRenamed("id", "id_"), "id_", "left").drop("id_")
-
-
 def entry_date(content: Column) -> Column:
     """The date a record begins with: the first field of ``date,name,value,unit`` rows, or a leading date; else null."""
     return parse_iso(F.regexp_extract(F.trim(content), r"^(\d{4}-\d{2}-\d{2})", 1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions import text as tx
 from fieldbook.functions.numbers import to_number
+from fieldbook.operators.joins import broadcast_if_small
 
 # Fixed value: units of counts.
 COUNT_UNITS = "^[건회명개편차번]$"
@@ -120,7 +121,7 @@ def _flagged(rows: DataFrame, where: Column, gate: str, checks: list[tuple[Colum
 
 def g3_numeric(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Value form, percentage range, whole counts, unit mismatch and false claims of a met target."""
-    wide = rows.join(F.broadcast(catalog.select(F.col("key").alias("metric_key"), F.col("unit").alias("cat_unit"), "target", "direction")), "metric_key", "left")
+    wide = rows.join(broadcast_if_small(catalog.select(F.col("key").alias("metric_key"), F.col("unit").alias("cat_unit"), "target", "direction")), "metric_key", "left")
     wide = wide.withColumn("v", to_number(F.col("value")))
     missed = F.when(F.col("direction") == "lower", F.col("v") > F.col("target")).otherwise(F.col("v") < F.col("target"))
     # comparisons with a value that is no number are null, so none of the others holds for it

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldbook.functions import dates
+from fieldbook.functions import dates, numbers
 from fieldbook.functions import text as tx
 from fieldbook.functions.hashing import fields_hash
-from fieldbook.operators import analyze, autodraft, lifecycle, planner, seal, sealing, store, views
+from fieldbook.operators import analyze, autodraft, draft, lifecycle, planner, seal, sealing, store, views
 from fieldbook.operators import notes as nt
 from fieldbook.operators.extract import MONTH_MARK, WP_LINE
 from fieldbook.plans import mapping as m
 from fieldbook.plans.notebook import _BLOCKS, _HELD, _MILESTONES, _SLOT, _milestones, _slot_notes
-from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _NOTES, _PACKAGES, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, SEALED_FIELDS, TODAY, _packages, _projects, query
+from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _NOTES, _PACKAGES, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, SEALED_FIELDS, TODAY, _packages, _projects, _rule_sql, query
 
 TEXTS, ROWS, DAYS = ("error", "view", "click"), ("purchase", "signup"), 5
 
@@ -167,7 +167,7 @@ def catalog_match(spark, sf):
     """Documents with the first long word of the benchmark that they contain, a catalogue of thousands of names."""
     words = m.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ɏ]{6,}"), F.lit(0))).alias("name")).distinct()
     names = words.select(F.row_number().over(Window.orderBy(F.lower("name"), "name")).alias("pos"), "name", F.col("name").alias("key"))
-    return autodraft.match_names(m.table(spark, sf, "documents").select("doc_id", "text"), names, "text").select("doc_id", F.col("metric_key").alias("name"))
+    return draft.match_catalog(m.table(spark, sf, "documents").select("doc_id", "text"), names, "text").select("doc_id", F.col("metric_key").alias("name"))
 
 
 def approved_notes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -408,3 +408,34 @@ def cell_dates(spark, sf):
     serial = (F.datediff(day, F.lit("1899-12-30").cast("date"))).cast("string")
     cell = F.when(F.col("event_id") % 4 == 0, F.date_format(day, "yyyy. M. d.")).when(F.col("event_id") % 4 == 1, serial).when(F.col("event_id") % 4 == 2, F.date_format(day, "yyyy년 M월")).otherwise(F.col("value").cast("string"))
     return m.table(spark, sf, "events").select("event_id", dates.cell_date(cell).alias("day"))
+
+
+@query("wording_reasons", f"""WITH {_NARRATIVE}, x AS (SELECT event_id, {_rule_sql('text')} AS k FROM narrative) SELECT event_id, {[f'{lang}/{why}' for lang, why, _ in tx.FORBIDDEN]!r}[k + 1] AS reason FROM x WHERE k IS NOT NULL""")
+def wording_reasons(spark, sf):
+    """Why the wording of an entry is not allowed."""
+    told = m.narrative(m.table(spark, sf, "events"))
+    return told.select("event_id", tx.forbidden_reason(tx.forbidden_rule(F.col("text"))).alias("reason")).where("reason is not null")
+
+
+@query("backups_due", f"""WITH {_PROJECTS} SELECT project, DATE '{TODAY}' - "end" AS days, coalesce(DATE '{TODAY}' - "end" >= 30, true) AS due FROM (SELECT project, CASE WHEN project % 9 <> 0 THEN "end" END AS "end" FROM projects)""")
+def backups_due(spark, sf):
+    """Projects last backed up on the day they ended; every ninth never was."""
+    last = F.when(F.col("project") % 9 != 0, F.col("end"))
+    return views.backup_due(_projects(spark, sf).select("project", last.alias("last_backup")), TODAY).withColumn("days", F.col("days").cast("long"))
+
+
+@query("stamped_values", r"""SELECT event_id, date_trunc('second', ts) AS at, floor(value * 10.0 + 0.5) / 10.0 AS value FROM events""")
+def stamped_values(spark, sf):
+    """The times of events, written and read as time stamps, and their values to one place."""
+    stamp = F.concat(F.date_format("ts", "yyyyMMddHHmmss"), F.when(F.col("event_id") % 2 == 0, ".5").otherwise(""), F.lit("Z"))
+    return m.table(spark, sf, "events").select("event_id", dates.generalized_time(stamp).cast("timestamp_ntz").alias("at"), numbers.round_half_up(F.col("value"), 1).alias("value"))
+
+
+@query("packages_in_period", f"""WITH {_PROJECTS}, k AS (SELECT o_custkey AS project, o_orderkey AS pos, CAST(o_orderkey % 4 AS INTEGER) AS num, CAST(o_orderdate AS DATE) - 30 AS a, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) + 90 END AS b FROM orders),
+f AS (SELECT *, row_number() OVER (PARTITION BY project, num ORDER BY pos) AS n FROM k)
+SELECT f.project, num, pos, greatest(a, p.start) AS start, least(coalesce(b, p."end"), p."end") AS "end" FROM f JOIN projects AS p ON p.project = f.project WHERE n = 1""")
+def packages_in_period(spark, sf):
+    """Packages from a month before to three after each order, the first of each number, clamped to their project."""
+    day = F.to_date("o_orderdate")
+    packages = m.table(spark, sf, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") % 4).cast("int").alias("num"), F.date_sub(day, 30).alias("start"), F.when(F.col("o_orderkey") % 5 != 0, F.date_add(day, 90)).alias("end"))
+    return planner.normalise_packages(packages, _projects(spark, sf)).select("project", "num", "pos", "start", "end")

@@ -9,6 +9,7 @@ from fieldbook.functions import dates, numbers
 from fieldbook.functions import text as tx
 from fieldbook.functions.hashing import canonical_json, fields_hash
 from fieldbook.operators import draft, extract, gates, planner, seal, views
+from fieldbook.operators.joins import broadcast_if_small
 from fieldbook.plans import mapping as m
 from fieldbook.sources import export, parse
 from fieldbook.streaming import sprints
@@ -92,7 +93,7 @@ def _metric_notes(spark: SparkSession, sf: str) -> DataFrame:
     cat = m.catalog(spark).select("key", "direction", "monotonic")
     rows = e.select(F.col("event_id").alias("note_id"), F.concat("event_type", F.lit("-"), (F.col("user_id") % 5).cast("string")).alias("key"), F.col("event_type").alias("k2"), end.alias("end"), (F.floor(F.col("value") / 10) * 10).cast("double").alias("value"), F.when(F.col("event_id") % 2 == 0, "sealed").otherwise("draft").alias("state"))
     rows = rows.withColumns({"start": F.date_sub("end", 2), "change_reason": F.when(F.col("note_id") % 3 == 0, "recalibrated").when(F.col("note_id") % 3 == 1, "")})
-    return rows.join(F.broadcast(cat.withColumnRenamed("key", "k2")), "k2").drop("k2")
+    return rows.join(broadcast_if_small(cat.withColumnRenamed("key", "k2")), "k2").drop("k2")
 
 
 _METRIC_NOTES = """mn AS (

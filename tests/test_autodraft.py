@@ -8,7 +8,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from fieldbook.operators import autodraft, planner
+from fieldbook.operators import autodraft, draft, planner
 
 CATALOG = [(1, "k_yield", "공정 수율", "%"), (2, "k_defects", "불량", "건"), (3, "k_heat", "발열", ""), (4, "k_y", "수율", "%")]
 NOTE = "RN-20260301-20260314"
@@ -36,17 +36,17 @@ def test_names_in_texts_match_brute_force(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     n = spark.createDataFrame(list(enumerate(names)), "pos long, name string")
     want = {(i, k) for i, x in enumerate(texts) for k, y in enumerate(names) if x is not None and y and y in x}
-    assert {tuple(r) for r in autodraft.contained(t, n).collect()} == want
+    assert {tuple(r) for r in draft.contained(t, n).collect()} == want
     both = {i: min([k for k, y in enumerate(names) if y and x and (y in x or x in y)], default=None) for i, x in enumerate(texts)}
-    assert {tuple(r) for r in autodraft.first_name(t, n, both_ways=True).collect()} == {x for x in both.items() if x[1] is not None}
-    assert autodraft.contained(t, n.limit(0)).count() == 0 and autodraft.contained(t.limit(0), n).count() == 0
+    assert {tuple(r) for r in draft.first_name(t, n, both_ways=True).collect()} == {x for x in both.items() if x[1] is not None}
+    assert draft.contained(t, n.limit(0)).count() == 0 and draft.contained(t.limit(0), n).count() == 0
 
 
 def test_no_text_meets_every_name(spark):
     """The plan has neither a nested loop nor a cross join, and the names are not brought to the driver."""
     names = spark.range(20_000).select(F.col("id").alias("pos"), F.concat(F.lit("name "), F.col("id")).alias("name"), F.col("id").cast("string").alias("key"))
     texts = spark.range(3000).select("id", F.concat(F.lit("of name "), F.col("id") * 5, F.lit(" and more")).alias("content"))
-    out = autodraft.match_names(texts, names)
+    out = draft.match_catalog(texts, names)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     # 'name 1' comes before 'name 10' in the list, so the first name of a text is its shortest beginning
