@@ -29,7 +29,33 @@ def entry_date(content: Column) -> Column:
     return parse_iso(F.regexp_extract(F.trim(content), r"^(\d{4}-\d{2}-\d{2})", 1))
 
 
-def draft(entries: DataFrame, catalog: DataFrame) -> DataFrame:
+def _read(entries: DataFrame) -> DataFrame:
+    """entries with what their content says: fields, csv, day, stamp, body, number, and the keys cname and text_id of what is to be looked up."""
+    raw = F.regexp_replace(F.coalesce("content", F.lit("")), rf"^{tx.SPACE}+|{tx.SPACE}+$", "")
+    field = lambda k: F.trim(F.get("fields", F.lit(k)))
+    e = entries.withColumn("raw", raw).withColumns({"fields": F.split("raw", ","), "stamp": F.regexp_extract("raw", DATE_PREFIX, 1)})
+    e = e.withColumns({"day": parse_iso(field(0)), "body": F.trim(F.regexp_replace("raw", DATE_PREFIX, ""))})
+    e = e.withColumn("csv", (F.size("fields") >= 4) & F.col("day").isNotNull())
+    day = F.when(F.col("csv"), F.col("day")).otherwise(parse_iso(F.col("stamp")))
+    e = e.withColumns({"day": day, "number": F.when(F.col("csv"), to_number(field(2)))})
+    # null for what is not looked up
+    return e.withColumns({"cname": F.when(F.col("number").isNotNull(), F.nullif(field(1), F.lit(""))), "text_id": F.when(F.col("kind") == "measurement", F.sha2("body", 256))})
+
+
+def look_up(entries: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the catalogue knows of entries: (cname, ckey, cunit) of names in rows, (text_id, tkey, tunit, v) of names with a number in texts."""
+    e, names, unit = _read(entries), catalog.select("pos", "name"), F.coalesce("unit", F.lit(""))
+    asked = e.where("cname is not null").select("cname", F.col("cname").alias("text")).distinct()
+    by_name = first_name(asked, names, "cname", "text", both_ways=True).join(catalog.select("pos", F.col("key").alias("ckey"), unit.alias("cunit")), "pos").drop("pos")
+    bodies = e.where("text_id is not null").select("text_id", "body").distinct()
+    pattern = F.concat(F.lit(r"(\d+(?:\.\d+)?)"), F.when(unit != "", F.concat(F.lit(r"\s*\Q"), unit, F.lit(r"\E"))).otherwise(""))
+    in_text = contained(bodies, names, "text_id", "body").join(bodies, "text_id").join(catalog.select("pos", "key", "unit"), "pos")
+    in_text = in_text.withColumn("v", to_number(F.call_function("regexp_extract", F.col("body"), pattern, F.lit(1)))).where("v is not null")
+    in_text = in_text.groupBy("text_id").agg(F.min_by(F.struct(F.col("key").alias("tkey"), unit.alias("tunit"), "v"), "pos").alias("x")).select("text_id", "x.*")
+    return by_name, in_text
+
+
+def draft(entries: DataFrame, catalog: DataFrame, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """ROW for all that a draft takes from the entries, and for what adds no text, with the reason as its section.
 
     * ``date,name,value,unit,condition`` of a catalogue name (equal, or one within the other) is a row of metrics.
@@ -38,26 +64,14 @@ def draft(entries: DataFrame, catalog: DataFrame) -> DataFrame:
 
     Records dated outside the note's period (if it has one) are off_period, wording that is not allowed is forbidden, and
     what is no sentence non_sentence. Of equal rows of a note the first stays. Texts are compared without
-    white space, metrics by key, value and date. catalog: pos, key, name, unit. Equal names and bodies are looked up once.
+    white space, metrics by key, value and date. catalog: pos, key, name, unit. Equal names and bodies are looked up once; found is
+    what look_up gave for these entries or for more.
     """
-    raw = F.regexp_replace(F.coalesce("content", F.lit("")), rf"^{tx.SPACE}+|{tx.SPACE}+$", "")
-    fields = F.split("raw", ",")
-    field = lambda k: F.trim(F.get(fields, F.lit(k)))
-    outside = lambda d: F.coalesce((d < F.col("start")) | (d > F.col("end")), F.lit(False))
-    e = entries.withColumn("raw", raw).withColumn("csv", (F.size(fields) >= 4) & parse_iso(field(0)).isNotNull())
-    e = e.withColumns({"stamp": F.regexp_extract("raw", DATE_PREFIX, 1), "body": F.trim(F.regexp_replace("raw", DATE_PREFIX, "")), "number": F.when(F.col("csv"), to_number(field(2)))})
-    e = e.withColumn("off", outside(F.when(F.col("csv"), parse_iso(field(0))).otherwise(parse_iso(F.col("stamp")))))
-    # keys of what is to be looked up; null for what is not
-    e = e.withColumns({"cname": F.when(~F.col("off") & F.col("number").isNotNull(), F.nullif(field(1), F.lit(""))), "text_id": F.when(~F.col("off") & (F.col("kind") == "measurement"), F.sha2("body", 256))})
-
-    names, unit = catalog.select("pos", "name"), F.coalesce("unit", F.lit(""))
-    asked = e.where("cname is not null").select("cname", F.col("cname").alias("text")).distinct()
-    by_name = first_name(asked, names, "cname", "text", both_ways=True).join(catalog.select("pos", F.col("key").alias("ckey"), unit.alias("cunit")), "pos").drop("pos")
-    bodies = e.where("text_id is not null").select("text_id", "body").distinct()
-    pattern = F.concat(F.lit(r"(\d+(?:\.\d+)?)"), F.when(unit != "", F.concat(F.lit(r"\s*\Q"), unit, F.lit(r"\E"))).otherwise(""))
-    in_text = contained(bodies, names, "text_id", "body").join(bodies, "text_id").join(catalog.select("pos", "key", "unit"), "pos")
-    in_text = in_text.withColumn("v", to_number(F.call_function("regexp_extract", F.col("body"), pattern, F.lit(1)))).where("v is not null")
-    in_text = in_text.groupBy("text_id").agg(F.min_by(F.struct(F.col("key").alias("tkey"), unit.alias("tunit"), "v"), "pos").alias("x")).select("text_id", "x.*")
+    by_name, in_text = found or look_up(entries, catalog)
+    field = lambda k: F.trim(F.get("fields", F.lit(k)))
+    off = F.coalesce((F.col("day") < F.col("start")) | (F.col("day") > F.col("end")), F.lit(False))
+    e = _read(entries).withColumn("off", off)
+    e = e.withColumns({c: F.when(~F.col("off"), F.col(c)) for c in ("cname", "text_id")})
     # keys of their own where there is nothing to look up: nulls would meet in one task
     own = F.concat(F.lit("\n"), F.col("project").cast("string"), F.lit(" "), F.col("n").cast("string"))
     wide = e.withColumns({"cname": F.coalesce("cname", own), "text_id": F.coalesce("text_id", own)}).join(by_name, "cname", "left").join(in_text, "text_id", "left")
@@ -106,5 +120,5 @@ def redirect(entries: DataFrame, notes: DataFrame, sprints: DataFrame, rows: Dat
     last = notes.groupBy("project", F.left("note_id", F.lit(SLOT)).alias("slot")).agg(F.max(F.struct("revision", "state", "note_id")).alias("x"))
     targets = slots.join(last, ["project", "slot"], "left").where("x is null or x.state <> 'sealed'").select("project", "seq", "start", "end", F.coalesce("x.note_id", "slot").alias("note_id"), F.col("x").isNull().alias("created"))
     moved = off.join(grid, "project").withColumn("seq", seq).join(targets, ["project", "seq"]).where("day between start and end")
-    drafted = draft(moved.select("project", "note_id", "start", "end", "n", "id", "kind", "content"), catalog)
+    drafted = draft(moved.select("project", "note_id", "start", "end", "n", "id", "kind", "content"), catalog, look_up(off, catalog))
     return add_rows(rows, drafted.where("key is not null")).join(targets.select("project", "note_id", "created"), ["project", "note_id"])
