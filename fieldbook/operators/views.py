@@ -72,6 +72,28 @@ def dashboard(notes: DataFrame, actuals: DataFrame, ledger: DataFrame) -> DataFr
     return total.unionByName(named(notes, "state", "notes_")).unionByName(keys).unionByName(named(ledger, "kind", "evidence_"))
 
 
+def project_dashboard(projects: DataFrame, sprints: DataFrame, notes: DataFrame, milestones: DataFrame, flags: DataFrame, today: str, most: int = 6) -> DataFrame:
+    """(project, elapsed, sprints, sealed, awaiting, current, next, flags): what each project's first page shows.
+
+    current is the sprint of the day, null outside the project; next the first milestone (date, name) that is not past; flags the first
+    ``most`` in order of their text. sprints: project, seq, start, end; notes: project, state; milestones: project, name, date; flags:
+    project, flag. All parts come together in one union and one aggregate.
+    """
+    day = F.lit(today).cast("date")
+    none = {"sprint": "int", "seq": "int", "state": "string", "date": "date", "name": "string", "flag": "string"}
+    row = lambda **c: [F.col("project"), *[(c[k] if k in c else F.lit(None)).cast(t).alias(k) for k, t in none.items()]]
+    parts = sprints.select(row(sprint=F.col("seq"), seq=F.when(day.between(F.col("start"), F.col("end")), F.col("seq")))).unionByName(notes.select(row(state=F.col("state"))))
+    ahead = milestones.where(F.col("date") >= day)
+    parts = parts.unionByName(ahead.select(row(date=F.col("date"), name=F.col("name")))).unionByName(flags.select(row(flag=F.col("flag"))))
+    found = parts.groupBy("project").agg(
+        F.count("sprint").alias("sprints"), F.count_if(F.col("state") == "sealed").alias("sealed"), F.count_if(F.col("state") == "awaiting_sign").alias("awaiting"), F.max("seq").alias("current"),
+        F.min(F.when(F.col("date").isNotNull(), F.struct("date", "name"))).alias("next"), F.slice(F.array_sort(F.collect_set("flag")), 1, most).alias("flags"),
+    )
+    out = elapsed_percent(projects, today).join(found, "project", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("sprints", "sealed", "awaiting")]
+    return out.select("project", "elapsed", *counts, "current", "next", F.coalesce("flags", F.array().cast("array<string>")).alias("flags"))
+
+
 def elapsed_percent(projects: DataFrame, today: str) -> DataFrame:
     day = F.lit(today).cast("date")
     total = F.datediff("end", "start") + 1

@@ -439,3 +439,17 @@ def packages_in_period(spark, sf):
     day = F.to_date("o_orderdate")
     packages = m.table(spark, sf, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") % 4).cast("int").alias("num"), F.date_sub(day, 30).alias("start"), F.when(F.col("o_orderkey") % 5 != 0, F.date_add(day, 90)).alias("end"))
     return planner.normalise_packages(packages, _projects(spark, sf)).select("project", "num", "pos", "start", "end")
+
+
+@query("project_dashboard", f"""WITH {_PROJECTS}, {_SPRINTS}, {_MILESTONES},
+n AS (SELECT o_custkey AS project, count(*) FILTER (o_orderstatus = 'F') AS sealed, count(*) FILTER (o_orderstatus = 'P') AS awaiting, list_sort(list(DISTINCT o_orderpriority || ' ' || o_orderkey % 7) FILTER (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%'))[: 6] AS flags FROM orders GROUP BY 1),
+s AS (SELECT project, count(*) AS sprints, max(CAST(seq AS INTEGER)) FILTER (DATE '{TODAY}' BETWEEN start AND "end") AS current FROM sprints GROUP BY 1),
+m AS (SELECT project, min(date) AS date, arg_min(name, date) AS name FROM milestones WHERE date >= DATE '{TODAY}' GROUP BY 1)
+SELECT p.project, CAST(floor(greatest(least(DATE '{TODAY}' - start + 1, "end" - start + 1), 0) / ("end" - start + 1) * 100 + 0.5) AS BIGINT) AS elapsed, sprints, sealed, awaiting, current, m.date AS next_date, m.name AS next_name, coalesce(array_to_string(flags, ', '), '') AS flags
+FROM projects AS p LEFT JOIN n USING (project) LEFT JOIN s USING (project) LEFT JOIN m USING (project)""")
+def project_dashboard(spark, sf):
+    """The first page of every customer's project; urgent orders are its flags."""
+    projects, orders = _projects(spark, sf), m.table(spark, sf, "orders")
+    urgent = orders.where("o_orderpriority like '1%' or o_orderpriority like '2%'").select(F.col("o_custkey").alias("project"), F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey") % 7).alias("flag"))
+    found = views.project_dashboard(projects, planner.sprint_grid(projects), m.notes(orders).select("project", "state"), _milestones(projects), urgent, TODAY)
+    return found.select("project", "elapsed", "sprints", "sealed", "awaiting", "current", F.col("next.date").alias("next_date"), F.col("next.name").alias("next_name"), F.array_join("flags", ", ").alias("flags"))
