@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from fieldbook.functions import dates, numbers
 from fieldbook.functions import text as tx
 from fieldbook.functions.hashing import fields_hash
-from fieldbook.operators import analyze, autodraft, draft, lifecycle, planner, seal, sealing, store, views
+from fieldbook.operators import analyze, autodraft, draft, lifecycle, planner, seal, sealing, store, system, views
 from fieldbook.operators import notes as nt
 from fieldbook.operators.extract import MONTH_MARK, WP_LINE
 from fieldbook.plans import mapping as m
 from fieldbook.plans.notebook import _BLOCKS, _HELD, _MILESTONES, _SLOT, _milestones, _slot_notes
-from fieldbook.plans.queries import _CATALOG, _G1, _G3, _NARRATIVE, _NOTES, _PACKAGES, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, SEALED_FIELDS, TODAY, _packages, _projects, _rule_sql, query
+from fieldbook.plans.queries import ORACLE_SQL, _CATALOG, _G1, _G3, _NARRATIVE, _NOTES, _PACKAGES, _PROJECTS, _ROWS, _SENTENCES, _SPRINTS, EVENT_START, SEALED_FIELDS, TODAY, _packages, _projects, _rule_sql, query
 
 TEXTS, ROWS, DAYS = ("error", "view", "click"), ("purchase", "signup"), 5
 
@@ -453,3 +453,17 @@ def project_dashboard(spark, sf):
     urgent = orders.where("o_orderpriority like '1%' or o_orderpriority like '2%'").select(F.col("o_custkey").alias("project"), F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey") % 7).alias("flag"))
     found = views.project_dashboard(projects, planner.sprint_grid(projects), m.notes(orders).select("project", "state"), _milestones(projects), urgent, TODAY)
     return found.select("project", "elapsed", "sprints", "sealed", "awaiting", "current", F.col("next.date").alias("next_date"), F.col("next.name").alias("next_name"), F.array_join("flags", ", ").alias("flags"))
+
+
+@query("system_generate", ORACLE_SQL["analyze_documents"].replace("SELECT project, field, row_number() OVER (PARTITION BY project, field", ", all_ AS (SELECT project, field, row_number() OVER (PARTITION BY project, field", 1) + f""")
+SELECT s.project, coalesce(max(value) FILTER (field = 'title'), '') AS title, 'PRJ-1998-0615' AS code, DATE '1998-07-01' AS start, DATE '2000-06-30' AS "end", 53 AS sprints, 24 AS months,
+  count(*) FILTER (field = 'packages') AS packages, count(*) FILTER (field = 'milestones') AS milestones, count(*) FILTER (field = 'kpis') AS metrics FROM all_ AS s GROUP BY s.project""")
+def system_generate(spark, sf):
+    """The systems of the analysed sources: their period, and how many parts each has."""
+    docs = m.table(spark, sf, "documents").select(F.col("source").alias("project"), F.col("doc_id").alias("di"), F.expr(_marked("text")).alias("text"))
+    # a row a project, read by six tables; what an executor loses is computed again
+    made = system.generate(analyze.analyse(docs).persist(), TODAY)
+    out = made["projects"].select("project", "title", "code", "start", "end")
+    for part in ("sprints", "months", "packages", "milestones", "metrics"):
+        out = out.join(made[part].groupBy("project").agg(F.count("*").alias(part)), "project", "left")
+    return out.na.fill(0, ["sprints", "months", "packages", "milestones", "metrics"])

@@ -99,3 +99,30 @@ def test_one_scan_of_the_documents(spark, tmp_path):
     plan_ = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan_.count("FileScan") == 1 and out.limit(1).count() == 1
     assert analyze.analyse(spark.read.parquet(f"{tmp_path}/d").limit(0)).count() == 0
+
+
+def test_systems_of_drawn_plans_break_no_rule(spark):
+    """From documents to sprints and metrics; a project without any document text gets the defaults."""
+    from datetime import date
+
+    from fieldbook.operators import planner, system
+
+    rng = random.Random(5)
+    plans = [plan(rng) for _ in range(12)]
+    docs = spark.createDataFrame([(f"p{k}", 0, text) for k, (_, text, _) in enumerate(plans)] + [("bare", 0, None)], "project string, di int, text string")
+    cells = spark.createDataFrame([(f"p{k}", 0, 0, r, c, v) for k, (_, _, rows) in enumerate(plans) for r, row in enumerate(rows) for c, v in enumerate(row)], "project string, di int, t int, r int, c int, v string")
+    made = system.generate(spark.createDataFrame(analyze.analyse(docs, cells).collect(), analyze.analyse(docs, cells).schema), "2026-08-12")
+    assert system.breaches(made).count() == 0
+    projects = {r.project: r for r in made["projects"].collect()}
+    for k, (truth, _, _) in enumerate(plans):
+        p = projects[f"p{k}"]
+        assert (p.title, p.code, p.org, str(p.start), str(p.end), p.source) == (truth["title"], truth["code"], truth["org"], truth["start"], truth["end"], "extracted")
+    assert made["packages"].where("project = 'p0'").count() == len(plans[0][0]["packages"])
+    metrics = {(r.project, r.key): (r.target, r.direction) for r in made["metrics"].collect()}
+    assert metrics["p0", "공정_수율"] == (float(plans[0][0]["kpis"][0][2]), "higher") and len(metrics) == 24
+    bare = projects["bare"]
+    assert (bare.title, bare.code, bare.start, bare.end, bare.months, bare.source) == (system.NO_TITLE, "PRJ-2026-0812", date(2026, 9, 1), date(2028, 8, 31), 24, "months" if bare.source == "months" else "default")
+    days = (bare.end - bare.start).days + 1
+    assert made["sprints"].where("project = 'bare'").count() == -(-days // 14) and made["months"].where("project = 'bare'").count() == 24 and made["packages"].where("project = 'bare'").count() == 3
+    weekly = planner.sprint_grid(made["projects"].where("project = 'bare'").select("project", "start", "end"), 7)
+    assert weekly.count() == -(-days // 7)
