@@ -133,7 +133,7 @@ def line_candidates(docs: DataFrame) -> DataFrame:
     each = F.flatten(F.transform("lines", lambda x: _of_line(x["line"], place(x["i"]))))
     first = F.filter("lines", lambda x: F.length(x["line"]).between(8, 120))
     guess = F.transform(F.slice(first, 1, 1), lambda x: _candidate("title", 9, "low", place(x["i"]), x["line"], x["line"]))
-    size = F.array(_candidate("#", 0, "", F.lit(""), F.size("lines").cast("string"), F.lit(""), F.col("di").cast("string")))
+    size = F.array(_candidate("#", 0, "", F.lit(""), F.size("lines").cast("string"), F.lit("")))
     return lines.select("project", "di", F.explode(F.concat(each, guess, size)).alias("x")).select("project", "di", "x.*")
 
 
@@ -189,8 +189,10 @@ def analyse(docs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     if cells is not None:
         found = found.unionByName(cell_candidates(cells))
     order = F.struct("tier", "rank", "di", "place", "value", "confidence", "quote")
-    one = found.groupBy("project", "field", "key").agg(F.min(order).alias("x")).select("project", "field", "key", "x.*")
-    # every document adds a candidate of field #, so each project has rows; they come last and number nothing
+    # every document adds a candidate of field #, so each project has a row of it, which comes last and numbers nothing
+    is_size = F.col("field") == "#"
+    one = found.groupBy("project", "field", "key").agg(F.min(order).alias("x"), F.count_if(is_size).alias("docs"), F.sum(F.when(is_size, F.col("value").cast("long"))).alias("lines"))
+    one = one.select("project", "field", "key", "x.*", "docs", "lines")
     number = F.create_map(*[F.lit(x) for k, f in enumerate([*FIELDS, "#"]) for x in (f, k)])
     most = F.create_map(*[F.lit(x) for f, n in FIELDS.items() for x in (f, n)])
     of_field = Window.partitionBy("project", "field")
@@ -205,7 +207,7 @@ def analyse(docs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     is_item = F.col("field") != "#"
     whole = items.groupBy("project").agg(
         F.array_sort(F.collect_list(F.when(is_item, item))).alias("items"), F.max(F.when(is_item, F.col("ledger"))).alias("last"),
-        F.count_if(~is_item).alias("docs"), F.sum(F.when(~is_item, F.col("value").cast("long"))).alias("lines"),
+        F.max("docs").alias("docs"), F.max("lines").alias("lines"),
     )
     kind = f"array<{item_type(docs)}>"
     whole = whole.withColumns({"items": F.col("items").cast(kind), "last": F.coalesce("last", F.lit(0))})

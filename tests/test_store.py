@@ -195,3 +195,11 @@ def test_a_replayed_batch_of_the_audit_adds_nothing(spark, tmp_path):
     # a lost checkpoint replays all batches under their old numbers
     store.append_audit(stream, root, str(tmp_path / "check2")).awaitTermination()
     assert store.read_audit(spark, root).count() == 6
+
+
+def test_sealed_notes_are_archived_by_year(spark, tmp_path):
+    from fieldbook.sources import export
+
+    df = spark.createDataFrame([("a", "sealed", date(2025, 3, 1)), ("b", "draft", date(2025, 3, 1)), ("c", "sealed", date(2026, 3, 1))], "note_id string, state string, end date")
+    export.archive(df, f"file://{tmp_path}/archive")
+    assert {(r.note_id, r.year) for r in spark.read.json(f"{tmp_path}/archive").collect()} == {("a", 2025), ("c", 2026)}
