@@ -140,8 +140,8 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def same_citations(before: Column, after: Column) -> Column:
-    """Whether two texts cite the same evidence, in any order."""
-    return F.array_sort(tx.citations(before)) == F.array_sort(tx.citations(after))
+    """Whether two texts cite the same evidence, in any order, whatever the length of its numbers."""
+    return F.array_sort(tx.citations(before, "+")) == F.array_sort(tx.citations(after, "+"))
 
 
 def accept_polish(pairs: DataFrame) -> DataFrame:
