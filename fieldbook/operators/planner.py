@@ -15,6 +15,16 @@ def sprint_grid(projects: DataFrame, step: int = 14) -> DataFrame:
     return tiles.select("project", (F.col("n") + 1).alias("seq"), "start", F.least(F.date_add("start", step - 1), F.col("last")).alias("end"))
 
 
+def sprint_list(start: Column, end: Column, step: int = 14) -> Column:
+    """A project's sprint grid as one array of (seq, start, end); null if end comes first.
+
+    What is computed for each sprint of a project is best computed in this array and exploded last: a grid is some hundred
+    times as large as its projects, and it is then neither shuffled nor sorted nor broadcast.
+    """
+    tiles = F.transform(F.sequence(start, end, F.expr(f"interval {step} day")), lambda d, n: F.struct((n + 1).alias("seq"), d.alias("start"), F.least(F.date_add(d, step - 1), end).alias("end")))
+    return F.when(end >= start, tiles)
+
+
 def month_blocks(projects: DataFrame) -> DataFrame:
     """(project, seq, start, end): months counted from the start day, month ends clamped, the last one clipped."""
     n = projects.where("end >= start").select("project", F.col("start").alias("first"), F.col("end").alias("last"), F.explode(F.sequence(F.lit(0), month_span(F.col("start"), F.col("end")) - 1)).alias("n"))
@@ -23,6 +33,18 @@ def month_blocks(projects: DataFrame) -> DataFrame:
     return out.where("start <= last").drop("last")
 
 
+def block_list(start: Column, end: Column) -> Column:
+    """A project's month blocks as one array of (seq, start, end); null if end comes first."""
+    tiles = F.transform(F.sequence(F.lit(0), month_span(start, end) - 1), lambda n: F.struct((n + 1).alias("seq"), F.add_months(start, n).alias("start"), F.least(F.date_add(F.add_months(start, n + 1), -1), end).alias("end")))
+    return F.filter(tiles, lambda b: b["start"] <= end)
+
+
+def assign_block(day: Column, start: Column) -> Column:
+    """The 1-based month block of a day by arithmetic: no range join."""
+    n = (F.year(day) - F.year(start)) * 12 + F.month(day) - F.month(start)
+    return F.when(day >= start, n + F.when(day < F.add_months(start, n), 0).otherwise(1))
+
+
 def resolve_period(plans: DataFrame, today: str, months: int = 24) -> DataFrame:
     """(project, start, end, source): the extracted period, else start and months, else from next month on.
 

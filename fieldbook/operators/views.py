@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions.dates import clamp_date
-from fieldbook.operators.gates import month_buckets
+from fieldbook.operators.planner import assign_block, block_list
 
 
 def state_counts(notes: DataFrame) -> DataFrame:
@@ -29,27 +29,30 @@ def package_progress(active: DataFrame, notes: DataFrame) -> DataFrame:
     return wide.groupBy("project", package).agg(F.count("*").alias("sprints"), F.sum(F.coalesce("s", F.lit(0))).alias("sealed_sprints"), F.sum(F.coalesce("n", F.lit(0))).alias("notes"))
 
 
-def month_detail(blocks: DataFrame, sprints: DataFrame, notes: DataFrame, milestones: DataFrame) -> DataFrame:
-    """(project, month, sprints, notes, sealed, milestones) for every month block of a project.
+def month_detail(projects: DataFrame, notes: DataFrame, milestones: DataFrame, step: int = 14) -> DataFrame:
+    """(project, month, sprints, notes, sealed, milestones) for every month block of a project (project, start, end).
 
     Sprints count in each block they overlap, notes in the block their period starts in, milestones (project, month,
-    name) by number. Sprints tile a project in equal steps but the last, so those of a block are arithmetic on its bounds; notes
-    and blocks meet by calendar month. All counts come together in one union and one aggregate.
+    name) by number. Sprints tile a project in equal steps but the last, so those of a block, and the block of a note, are arithmetic. Counts
+    go to their project as one map; only then is a project spread to its blocks, so no block is shuffled or broadcast.
     """
-    days = F.datediff("end", "start") + 1
-    grid = sprints.groupBy("project").agg(F.min("start").alias("zero"), F.max("end").alias("last"), F.max(days).alias("step"))
-    nth = lambda d: F.floor(F.datediff(d, "zero") / F.col("step"))
-    block = blocks.select("project", F.col("seq").alias("month"), F.col("start").alias("b0"), F.col("end").alias("b1"))
-    held = block.join(grid, "project", "left").withColumn("n", F.coalesce(nth(F.least("b1", "last")) - nth("b0") + 1, F.lit(0)))
+    period = projects.where("end >= start").select("project", "start", "end")
+    starts = notes.select("project", F.col("start").alias("day"), (F.col("state") == "sealed").cast("long").alias("s")).join(period, "project").where("day between start and end")
+    written = starts.groupBy("project", assign_block(F.col("day"), F.col("start")).alias("month")).agg(F.count("*").alias("n"), F.sum(F.coalesce("s", F.lit(0).cast("long"))).alias("s"))
+    stones = milestones.where("month is not null").groupBy("project", "month").agg(F.count("*").alias("n"))
+    mapped = lambda df, value, name: df.groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct(F.col("month").cast("int"), value))).alias(name))
+    wide = period.join(mapped(written, F.struct("n", "s"), "written"), "project", "left").join(mapped(stones, F.col("n"), "stones"), "project", "left")
+    nth = lambda d: F.floor(F.datediff(d, "start") / step)
     zero = F.lit(0).cast("long")
-    row = lambda **c: [F.col("project"), F.col("month"), *[c.get(k, zero).alias(k) for k in ("there", "sprints", "notes", "sealed", "milestones")]]
-    wide = block.withColumn("cm", F.explode(month_buckets(F.col("b0"), F.col("b1"))))
-    starts = notes.groupBy("project", F.col("start").alias("n0")).agg(F.count("*").alias("n"), F.count_if(F.col("state") == "sealed").alias("s")).withColumn("cm", F.trunc("n0", "month"))
-    written = wide.join(starts, ["project", "cm"]).where("n0 between b0 and b1")
-    one = F.lit(1).cast("long")
-    parts = held.select(row(there=one, sprints=F.col("n"))).unionByName(written.select(row(notes=F.col("n"), sealed=F.col("s")))).unionByName(milestones.select(row(milestones=one)))
-    counts = [F.sum(c).alias(c) for c in ("there", "sprints", "notes", "sealed", "milestones")]
-    return parts.groupBy("project", "month").agg(*counts).where("there > 0").drop("there")
+
+    def counts(b: Column) -> Column:
+        of = F.try_element_at("written", b["seq"])
+        return F.struct(
+            b["seq"].alias("month"), (nth(b["end"]) - nth(b["start"]) + 1).alias("sprints"), F.coalesce(of["n"], zero).alias("notes"), F.coalesce(of["s"], zero).alias("sealed"),
+            F.coalesce(F.try_element_at("stones", b["seq"]), zero).alias("milestones"),
+        )
+
+    return wide.select("project", F.explode(F.transform(block_list(F.col("start"), F.col("end")), counts)).alias("x")).select("project", "x.*")
 
 
 def upcoming_milestones(milestones: DataFrame, today: str, most: int = 4) -> DataFrame:

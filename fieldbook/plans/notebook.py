@@ -177,7 +177,7 @@ def _milestones(projects: DataFrame) -> DataFrame:
   (SELECT count(*) FROM notes AS n WHERE n.project = b.project AND n.start BETWEEN b0 AND b1 AND state = 'sealed') AS sealed, (SELECT count(*) FROM milestones AS x WHERE x.project = b.project AND x.month = b.month) AS milestones FROM blocks AS b""")
 def month_detail(spark, sf):
     projects = _projects(spark, sf)
-    return views.month_detail(planner.month_blocks(projects), planner.sprint_grid(projects), m.notes(m.table(spark, sf, "orders")), _milestones(projects))
+    return views.month_detail(projects, m.notes(m.table(spark, sf, "orders")), _milestones(projects))
 
 
 @query("upcoming_milestones", f"WITH {_PROJECTS}, {_MILESTONES} SELECT project, CAST(k AS INTEGER) AS nth, name, date FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY pos) AS k FROM milestones WHERE date >= DATE '{TODAY}') WHERE k <= 4")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from conftest import SF_DIR
 from pyspark.sql import functions as F
 
+from fieldbook import catalog
 from fieldbook.functions import text as tx
 from fieldbook.operators import draft
 
@@ -12,3 +14,22 @@ def test_citations_of_long_numbers(spark):
     pairs = spark.createDataFrame([("a [E100001].", "a."), ("a [E100001] [E7].", "a [E007] [E0100001]."), ("a [E12345678901].", "b [E12345678901].")], "a string, b string")
     assert [r[0] for r in pairs.select(draft.same_citations(F.col("a"), F.col("b"))).collect()] == [False, True, True]
     assert [r[0] for r in pairs.select(tx.strip_citations(F.col("a"), "+")).collect()] == ["a .", "a .", "a ."]
+
+
+def plan(spark, name):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return catalog.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def spread_last(lines):
+    """Whether the first explode from the top has neither shuffle nor sort nor join above it."""
+    top = next(k for k, line in enumerate(lines) if "Generate explode" in line)
+    return not any(word in line for line in lines[:top] for word in ("Exchange", "Sort", "Join", "Aggregate"))
+
+
+def test_month_blocks_are_spread_last(spark):
+    assert spread_last(plan(spark, "month_detail"))
