@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions.dates import month_number
 from fieldbook.functions.numbers import to_number
+from fieldbook.operators.planner import sprint_list
 from fieldbook.operators.seal import can_move, note_id
 
 #: length of a note id without its revision: all revisions of a slot share it
@@ -26,11 +27,16 @@ def slot_states(sprints: DataFrame, notes: DataFrame) -> DataFrame:
     return wide.select("project", "seq", "slot", F.coalesce("notes", F.lit(0)).cast("long").alias("notes"), F.coalesce("last.state", F.lit("empty")).alias("state"))
 
 
-def create_notes(sprints: DataFrame, notes: DataFrame) -> DataFrame:
-    """(project, seq, note_id, start, end, revision, supersedes, state, mode): a draft for every slot that holds no note."""
-    taken = notes.select("project", F.left("note_id", F.lit(SLOT)).alias("note_id")).distinct()
-    new = sprints.select("project", "seq", note_id(F.col("start"), F.col("end"), F.lit(0)).alias("note_id"), "start", "end")
-    free = new.join(taken, ["project", "note_id"], "left_anti")
+def create_notes(projects: DataFrame, notes: DataFrame, step: int = 14) -> DataFrame:
+    """(project, seq, note_id, start, end, revision, supersedes, state, mode): a draft for every slot that holds no note.
+
+    The slots are those of the sprint grids of projects (project, start, end). What a project's notes take is one set of slots, which meets the
+    project before that is spread to its sprints: notes and projects are shuffled, sprints are not.
+    """
+    taken = notes.groupBy("project").agg(F.collect_set(F.left("note_id", F.lit(SLOT))).alias("taken"))
+    wide = projects.select("project", "start", "end").join(taken, "project", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<string>")))
+    slots = F.transform(sprint_list(F.col("start"), F.col("end"), step), lambda s: F.struct(s["seq"].alias("seq"), note_id(s["start"], s["end"], F.lit(0)).alias("note_id"), s["start"].alias("start"), s["end"].alias("end")))
+    free = wide.select("project", F.explode(F.filter(slots, lambda s: ~F.array_contains("taken", s["note_id"]))).alias("x")).select("project", "x.*")
     return free.select("project", "seq", "note_id", "start", "end", F.lit(0).alias("revision"), F.lit(None).cast("string").alias("supersedes"), F.lit("draft").alias("state"), F.lit("advisory").alias("mode"))
 
 

@@ -41,7 +41,7 @@ def slot_states(spark, sf):
 FROM sprints AS s WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = s.project AND CAST(o_orderdate AS DATE) BETWEEN s.start AND s."end")""")
 def note_create(spark, sf):
     """A draft for each sprint of a project in which it has no note."""
-    return lifecycle.create_notes(planner.sprint_grid(_projects(spark, sf)), _slot_notes(spark, sf))
+    return lifecycle.create_notes(_projects(spark, sf), _slot_notes(spark, sf))
 
 
 @query("gate_apply", f"""WITH {_NOTES} SELECT note_id, CASE WHEN trim(author) = '' OR trim(reviewer) = '' OR trim(author) = trim(reviewer) OR written_on IS NULL OR "end" < start THEN 'rejected' ELSE 'awaiting_sign' END AS state FROM notes""")

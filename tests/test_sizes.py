@@ -33,3 +33,7 @@ def spread_last(lines):
 
 def test_month_blocks_are_spread_last(spark):
     assert spread_last(plan(spark, "month_detail"))
+
+
+def test_free_slots_are_spread_last(spark):
+    assert spread_last(plan(spark, "note_create"))
