@@ -65,6 +65,17 @@ def assign_sprint(day: Column, start: Column, step: int = 14) -> Column:
     return F.when(day >= start, F.floor(F.datediff(day, start) / step).cast("int") + 1)
 
 
+def package_spans(projects: DataFrame, packages: DataFrame, step: int = 14) -> DataFrame:
+    """(project, num, low, high): the first and last sprint that each package (project, num, start, end) overlaps, by arithmetic.
+
+    Packages outside their project's sprints are left out.
+    """
+    period = projects.where("end >= start").select("project", F.col("start").alias("zero"), (F.floor(F.datediff("end", "start") / step) + 1).cast("int").alias("n"))
+    spans = packages.where("end >= start").join(period, "project").where(f"end >= zero and start < date_add(zero, n * {step})")
+    nth = lambda d: F.floor(F.datediff(d, "zero") / step).cast("int") + 1
+    return spans.select("project", "num", F.greatest(nth("start"), F.lit(1)).alias("low"), F.least(nth("end"), F.col("n")).alias("high"))
+
+
 def active_pairs(sprints: DataFrame, packages: DataFrame, step: int = 14) -> DataFrame:
     """(project, seq, num): which packages (project, num, start, end) overlap each sprint; repeated if a number repeats.
 

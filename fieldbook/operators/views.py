@@ -18,15 +18,20 @@ def month_rollup(notes: DataFrame) -> DataFrame:
     return notes.groupBy(F.trunc("start", "month").alias("month")).agg(F.count("*").alias("notes"), F.count_if(F.col("state") == "sealed").alias("sealed"))
 
 
-def package_progress(active: DataFrame, notes: DataFrame) -> DataFrame:
+def package_progress(spans: DataFrame, notes: DataFrame) -> DataFrame:
     """(project, package, sprints, sealed_sprints, notes): how many of a package's sprints have a sealed note.
 
-    active: project, seq, num; notes: project, sprint, state.
+    spans: project, num, low, high, the sprints of each package (planner.package_spans); notes: project, sprint, state. A project's notes are counted by
+    sprint and meet its packages as one list, so the sprints of a package are never rows.
     """
-    per = notes.groupBy("project", F.col("sprint").alias("seq")).agg(F.count("*").alias("n"), F.max(F.when(F.col("state") == "sealed", 1).otherwise(0)).alias("s"))
-    wide = active.distinct().join(per, ["project", "seq"], "left")
-    package = F.concat(F.lit("WP"), F.col("num").cast("string")).alias("package")
-    return wide.groupBy("project", package).agg(F.count("*").alias("sprints"), F.sum(F.coalesce("s", F.lit(0))).alias("sealed_sprints"), F.sum(F.coalesce("n", F.lit(0))).alias("notes"))
+    per = notes.where("sprint is not null").groupBy("project", F.col("sprint").alias("seq")).agg(F.count("*").alias("n"), F.max(F.when(F.col("state") == "sealed", 1).otherwise(0)).alias("s"))
+    held = per.groupBy("project").agg(F.collect_list(F.struct("seq", "n", "s")).alias("held"))
+    # a number may be given twice: its sprints count once
+    each = spans.groupBy("project", "num").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("low", "high")))).alias("seqs"))
+    wide = each.join(held, "project", "left").withColumn("held", F.filter(F.coalesce("held", F.array().cast("array<struct<seq:int,n:bigint,s:int>>")), lambda h: F.array_contains("seqs", h["seq"])))
+    zero = F.lit(0).cast("long")
+    total = lambda c: F.aggregate("held", zero, lambda acc, h: acc + h[c])
+    return wide.select("project", F.concat(F.lit("WP"), F.col("num").cast("string")).alias("package"), F.size("seqs").cast("long").alias("sprints"), total("s").alias("sealed_sprints"), total("n").alias("notes"))
 
 
 def month_detail(projects: DataFrame, notes: DataFrame, milestones: DataFrame, step: int = 14) -> DataFrame:

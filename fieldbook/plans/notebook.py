@@ -190,7 +190,7 @@ SELECT s.project, 'WP' || num AS package, count(*) AS sprints, count(*) FILTER (
 FROM sprints AS s JOIN packages AS p ON p.project = s.project AND p."end" >= s.start AND p.start <= s."end" LEFT JOIN per ON per.project = s.project AND per.seq = s.seq GROUP BY ALL""")
 def package_progress(spark, sf):
     projects = _projects(spark, sf)
-    return views.package_progress(planner.active_pairs(planner.sprint_grid(projects), _packages(projects)), _slot_notes(spark, sf))
+    return views.package_progress(planner.package_spans(projects, _packages(projects)), _slot_notes(spark, sf))
 
 
 @query("ledger_newest", f"WITH {_LEDGER} SELECT id, day, content FROM ledger ORDER BY day DESC, CAST(substr(id, 2) AS BIGINT) DESC LIMIT 300")

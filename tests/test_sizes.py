@@ -37,3 +37,8 @@ def test_month_blocks_are_spread_last(spark):
 
 def test_free_slots_are_spread_last(spark):
     assert spread_last(plan(spark, "note_create"))
+
+
+def test_sprints_of_packages_are_no_rows(spark):
+    lines = plan(spark, "package_progress")
+    assert not any("posexplode" in line for line in lines) and sum("Generate" in line for line in lines) == 1
