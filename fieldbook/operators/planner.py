@@ -103,20 +103,28 @@ def normalise_packages(packages: DataFrame, projects: DataFrame) -> DataFrame:
     return one.join(period, "project").withColumns({"start": clamp_date(start, F.col("p0"), F.col("p1")), "end": clamp_date(end, F.col("p0"), F.col("p1"))}).drop("p0", "p1")
 
 
-def validate_grid(grid: DataFrame, projects: DataFrame) -> DataFrame:
-    """(project, issue, n): gaps between neighbours, a first or last day that misses the period, days that do not add up."""
-    w = Window.partitionBy("project").orderBy("seq")
-    gaps = grid.withColumn("before", F.lag("end").over(w)).where("before is not null and date_add(before, 1) <> start")
-    ends = grid.groupBy("project").agg(F.min("start").alias("a"), F.max("end").alias("b"), F.sum(F.datediff("end", "start") + 1).alias("days"))
-    period = projects.where("end >= start").join(ends, "project", "left")
-    out = [gaps.groupBy("project").agg(F.count("*").alias("n")).select("project", F.lit("gap").alias("issue"), "n")]
-    for issue, bad in (("start", "a is null or a <> start"), ("end", "b is null or b <> end"), ("days", "days is null or days <> datediff(end, start) + 1")):
-        out.append(period.where(bad).select("project", F.lit(issue).alias("issue"), F.lit(1).cast("long").alias("n")))
-    out.append(projects.where("end < start").select("project", F.lit("order").alias("issue"), F.lit(1).cast("long").alias("n")))
-    found = out[0]
-    for df in out[1:]:
-        found = found.unionByName(df)
-    return found
+def validate_grid(plans: DataFrame) -> DataFrame:
+    """(project, issue, n): gaps between neighbours, a first or last day that misses the period, days that do not add up.
+
+    plans: project, start, end, sprints, the project's grid as an array of (seq, start, end). A project is checked in its own row, without sort or shuffle.
+    """
+    s = F.col("s")
+    gap = F.size(F.filter(F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.size(s)), lambda a, b: F.date_add(a["end"], 1) != b["start"]), lambda x: x)).cast("long")
+    days = F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.datediff(x["end"], x["start"]) + 1)
+    none = F.array().cast("array<struct<seq:int,start:date,end:date>>")
+    ends = lambda c, how: how(F.transform("s", lambda x: x[c]))
+    once = F.lit(1).cast("long")
+    forward = F.col("end") >= F.col("start")
+    missing = lambda bad: F.when(forward & F.coalesce(bad, F.lit(True)), once)
+    found = F.array(*[
+        F.struct(F.lit(name).alias("issue"), n.alias("n"))
+        for name, n in (
+            ("gap", F.when(gap > 0, gap)), ("start", missing(ends("start", F.array_min) != F.col("start"))), ("end", missing(ends("end", F.array_max) != F.col("end"))),
+            ("days", missing(days != F.datediff("end", "start") + 1)), ("order", F.when(F.col("end") < F.col("start"), once)),
+        )
+    ])
+    sorted_ = plans.select("project", "start", "end", F.array_sort(F.coalesce("sprints", none)).alias("s"))
+    return sorted_.select("project", F.explode(F.filter(found, lambda x: x["n"].isNotNull())).alias("x")).select("project", "x.*")
 
 
 def normalise_milestones(milestones: DataFrame, projects: DataFrame, most: int = 24) -> DataFrame:

@@ -42,3 +42,8 @@ def test_free_slots_are_spread_last(spark):
 def test_sprints_of_packages_are_no_rows(spark):
     lines = plan(spark, "package_progress")
     assert not any("posexplode" in line for line in lines) and sum("Generate" in line for line in lines) == 1
+
+
+def test_grids_are_checked_in_their_row(spark):
+    lines = plan(spark, "planner_validate")
+    assert sum("Exchange" in line for line in lines) == 1 and not any("Sort" in line or "Window" in line for line in lines)
