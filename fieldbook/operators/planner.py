@@ -76,22 +76,15 @@ def package_spans(projects: DataFrame, packages: DataFrame, step: int = 14) -> D
     return spans.select("project", "num", F.greatest(nth("start"), F.lit(1)).alias("low"), F.least(nth("end"), F.col("n")).alias("high"))
 
 
-def active_pairs(sprints: DataFrame, packages: DataFrame, step: int = 14) -> DataFrame:
-    """(project, seq, num): which packages (project, num, start, end) overlap each sprint; repeated if a number repeats.
+def active_work_packages(projects: DataFrame, packages: DataFrame, step: int = 14) -> DataFrame:
+    """(project, seq, packages): the packages that overlap each sprint of a project, by number, as one text; sprints without any are left out.
 
-    A package is exploded to the sprints it touches by arithmetic, so the overlap needs no range join.
+    A project's packages are one list of spans, from which the text of each of its sprints follows; sprints are exploded last.
     """
-    first = sprints.groupBy("project").agg(F.min("start").alias("zero"), F.max("seq").alias("n"))
-    spans = packages.where("end >= start").join(first, "project").where(f"end >= zero and start < date_add(zero, n * {step})")
-    low = F.greatest(F.floor(F.datediff("start", "zero") / step).cast("int") + 1, F.lit(1))
-    high = F.least(F.floor(F.datediff("end", "zero") / step).cast("int") + 1, F.col("n"))
-    return spans.select("project", F.explode(F.sequence(low, high)).alias("seq"), "num")
-
-
-def active_work_packages(sprints: DataFrame, packages: DataFrame, step: int = 14) -> DataFrame:
-    """(project, seq, packages): the packages that overlap each sprint, by number, as one text."""
-    hits = active_pairs(sprints, packages, step)
-    return hits.groupBy("project", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_set("num")), lambda x: F.concat(F.lit("WP"), x.cast("string"))), ",").alias("packages"))
+    spans = package_spans(projects, packages, step).groupBy("project").agg(F.collect_list(F.struct("num", "low", "high")).alias("spans"), F.min("low").alias("low"), F.max("high").alias("high"))
+    names = lambda s: F.transform(F.array_sort(F.array_distinct(F.transform(F.filter("spans", lambda p: s.between(p["low"], p["high"])), lambda p: p["num"]))), lambda n: F.concat(F.lit("WP"), n.cast("string")))
+    each = F.transform(F.sequence("low", "high"), lambda s: F.struct(s.alias("seq"), F.array_join(names(s), ",").alias("packages")))
+    return spans.select("project", F.explode(each).alias("x")).select("project", "x.*").where("packages <> ''")
 
 
 def normalise_packages(packages: DataFrame, projects: DataFrame) -> DataFrame:

@@ -47,3 +47,7 @@ def test_sprints_of_packages_are_no_rows(spark):
 def test_grids_are_checked_in_their_row(spark):
     lines = plan(spark, "planner_validate")
     assert sum("Exchange" in line for line in lines) == 1 and not any("Sort" in line or "Window" in line for line in lines)
+
+
+def test_sprints_with_packages_are_spread_last(spark):
+    assert spread_last(plan(spark, "active_packages"))
