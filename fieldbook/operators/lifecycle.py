@@ -52,10 +52,12 @@ def add_signatures(notes: DataFrame, requests: DataFrame) -> DataFrame:
     """(note_id, nth, signer, signed_at): the contributors of each note, each once, in the order of their first request.
 
     Requests (note_id, signer, signed_at, content_sha256) count only for notes not yet sealed, and only if they sign the
-    present content. Equal times go by signer.
+    present content. Equal times go by signer. Requests are joined by their note alone, by which all later steps go too, and contents are compared in the
+    aggregate: as a key of the join they would move all requests once more.
     """
-    open_ = notes.where("state <> 'sealed'").select("note_id", "content_sha256")
-    first = requests.join(open_, ["note_id", "content_sha256"]).groupBy("note_id", "signer").agg(F.min("signed_at").alias("signed_at"))
+    now = notes.where("state <> 'sealed'").select("note_id", F.col("content_sha256").alias("_fb_now"))
+    same = F.col("content_sha256") == F.col("_fb_now")
+    first = requests.join(now, "note_id").groupBy("note_id", "signer").agg(F.min(F.when(same, F.col("signed_at"))).alias("signed_at"), F.max(same).alias("counts")).where("counts")
     nth = F.row_number().over(Window.partitionBy("note_id").orderBy("signed_at", "signer"))
     return first.select("note_id", nth.alias("nth"), "signer", "signed_at")
 

@@ -51,3 +51,7 @@ def test_grids_are_checked_in_their_row(spark):
 
 def test_sprints_with_packages_are_spread_last(spark):
     assert spread_last(plan(spark, "active_packages"))
+
+
+def test_requests_move_once(spark):
+    assert sum("Exchange" in line for line in plan(spark, "note_signatures")) == 3
