@@ -14,6 +14,7 @@ from fieldbook.functions import text as tx
 from fieldbook.functions.dates import parse_iso
 from fieldbook.functions.numbers import to_number
 from fieldbook.operators.draft import contained, first_name, first_wins, merge_key
+from fieldbook.operators.joins import broadcast_if_small, kept
 from fieldbook.operators.lifecycle import SLOT
 from fieldbook.operators.seal import note_id
 
@@ -44,15 +45,18 @@ def _read(entries: DataFrame) -> DataFrame:
 
 def look_up(entries: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the catalogue knows of entries: (cname, ckey, cunit) of names in rows, (text_id, tkey, tunit, v) of names with a number in texts."""
-    e, names, unit = _read(entries), catalog.select("pos", "name"), F.coalesce("unit", F.lit(""))
-    asked = e.where("cname is not null").select("cname", F.col("cname").alias("text")).distinct()
+    names, unit = catalog.select("pos", "name"), F.coalesce("unit", F.lit(""))
+    # one pass over the entries: what is asked is few names and bodies, which each of the joins below would otherwise read all entries for
+    each = F.array(*[F.when(F.col(i).isNotNull(), F.struct(F.lit(i).alias("what"), F.col(i).alias("id"), F.col(t).alias("text"))) for i, t in (("cname", "cname"), ("text_id", "body"))])
+    told = kept(_read(entries).select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("x.*").distinct())
+    asked = told.where("what = 'cname'").select(F.col("id").alias("cname"), "text")
     by_name = first_name(asked, names, "cname", "text", both_ways=True).join(catalog.select("pos", F.col("key").alias("ckey"), unit.alias("cunit")), "pos").drop("pos")
-    bodies = e.where("text_id is not null").select("text_id", "body").distinct()
+    bodies = told.where("what = 'text_id'").select(F.col("id").alias("text_id"), F.col("text").alias("body"))
     pattern = F.concat(F.lit(r"(\d+(?:\.\d+)?)"), F.when(unit != "", F.concat(F.lit(r"\s*\Q"), unit, F.lit(r"\E"))).otherwise(""))
     in_text = contained(bodies, names, "text_id", "body").join(bodies, "text_id").join(catalog.select("pos", "key", "unit"), "pos")
     in_text = in_text.withColumn("v", to_number(F.call_function("regexp_extract", F.col("body"), pattern, F.lit(1)))).where("v is not null")
     in_text = in_text.groupBy("text_id").agg(F.min_by(F.struct(F.col("key").alias("tkey"), unit.alias("tunit"), "v"), "pos").alias("x")).select("text_id", "x.*")
-    return by_name, in_text
+    return kept(by_name), kept(in_text)
 
 
 def draft(entries: DataFrame, catalog: DataFrame, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -67,7 +71,7 @@ def draft(entries: DataFrame, catalog: DataFrame, found: tuple[DataFrame, DataFr
     white space, metrics by key, value and date. catalog: pos, key, name, unit. Equal names and bodies are looked up once; found is
     what look_up gave for these entries or for more.
     """
-    by_name, in_text = found or look_up(entries, catalog)
+    by_name, in_text = map(broadcast_if_small, found or look_up(entries, catalog))
     field = lambda k: F.trim(F.get("fields", F.lit(k)))
     off = F.coalesce((F.col("day") < F.col("start")) | (F.col("day") > F.col("end")), F.lit(False))
     e = _read(entries).withColumn("off", off)
@@ -114,11 +118,12 @@ def redirect(entries: DataFrame, notes: DataFrame, sprints: DataFrame, rows: Dat
     day = entry_date(F.col("content"))
     off = entries.withColumn("day", day).where("day is not null and (day < start or day > end)").drop("note_id", "start", "end")
     step = F.max(F.datediff("end", "start") + 1)
-    grid = sprints.groupBy("project").agg(F.min("start").alias("zero"), step.alias("step"))
-    seq = F.floor(F.datediff("day", "zero") / F.col("step")).cast("int") + 1
-    slots = sprints.select("project", "seq", "start", "end", note_id(F.col("start"), F.col("end"), F.lit(0)).alias("slot"))
-    last = notes.groupBy("project", F.left("note_id", F.lit(SLOT)).alias("slot")).agg(F.max(F.struct("revision", "state", "note_id")).alias("x"))
-    targets = slots.join(last, ["project", "slot"], "left").where("x is null or x.state <> 'sealed'").select("project", "seq", "start", "end", F.coalesce("x.note_id", "slot").alias("note_id"), F.col("x").isNull().alias("created"))
-    moved = off.join(grid, "project").withColumn("seq", seq).join(targets, ["project", "seq"]).where("day between start and end")
-    drafted = draft(moved.select("project", "note_id", "start", "end", "n", "id", "kind", "content"), catalog, look_up(off, catalog))
-    return add_rows(rows, drafted.where("key is not null")).join(targets.select("project", "note_id", "created"), ["project", "note_id"])
+    grid = sprints.groupBy("project").agg(F.min("start").alias("zero"), step.alias("step"), F.max("end").alias("last"))
+    # a record's sprint, and so its slot, is arithmetic: sprints are never joined
+    start = F.date_add("zero", F.floor(F.datediff("day", "zero") / F.col("step")).cast("int") * F.col("step"))
+    placed = off.join(grid, "project").where("day between zero and last").withColumn("start", start).withColumn("end", F.least(F.date_add("start", F.col("step") - 1), F.col("last")))
+    held = notes.groupBy("project", F.left("note_id", F.lit(SLOT)).alias("slot")).agg(F.max(F.struct("revision", "state", "note_id")).alias("x"))
+    moved = placed.withColumn("slot", note_id(F.col("start"), F.col("end"), F.lit(0))).join(held, ["project", "slot"], "left").where("x is null or x.state <> 'sealed'").withColumn("note_id", F.coalesce("x.note_id", "slot"))
+    drafted = draft(moved.select("project", "note_id", "start", "end", "n", "id", "kind", "content"), catalog, look_up(entries, catalog))
+    there = held.select("project", "x.note_id", F.lit(False).alias("_fb_new"))
+    return add_rows(rows, drafted.where("key is not null")).join(there, ["project", "note_id"], "left").select(*ROW, F.coalesce("_fb_new", F.lit(True)).alias("created"))

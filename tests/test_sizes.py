@@ -55,3 +55,9 @@ def test_sprints_with_packages_are_spread_last(spark):
 
 def test_requests_move_once(spark):
     assert sum("Exchange" in line for line in plan(spark, "note_signatures")) == 3
+
+
+def test_line_items_are_drafted_in_one_scan(spark):
+    """What the catalogue knows of them is looked up once before and kept; sprints are not joined."""
+    for name in ("draft_redirect", "draft_notes"):
+        assert sum("FileScan" in line and "l_shipdate" in line for line in plan(spark, name)) == 1
