@@ -11,10 +11,6 @@ def parse_iso(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
 
 
-def _from_parts(y: Column, m: Column, d: Column) -> Column:
-    return parse_iso(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
-
-
 #: a year, then either a month with marks of its own and maybe a day, or both as two digits each
 _LOOSE = r"^(\d{4})(?:[.\-/년]\s*(\d{1,2})(?:[.\-/월]\s*(\d{1,2})\s*일?|\s*월?)\.?|(\d{2})(\d{2}))$"
 
@@ -22,9 +18,8 @@ _LOOSE = r"^(\d{4})(?:[.\-/년]\s*(\d{1,2})(?:[.\-/월]\s*(\d{1,2})\s*일?|\s*
 def parse_loose(text: Column) -> Column:
     """A date from y-m-d with ``.-/`` or 년월일 between, y-m (its first day), or yyyymmdd; impossible days give null."""
     t = F.trim(text)
-    part = lambda k: F.nullif(F.regexp_extract(t, _LOOSE, k), F.lit(""))
-    month, day = F.coalesce(part(2), part(4)), F.coalesce(part(3), part(5), F.lit("1"))
-    return F.when(t.rlike(_LOOSE), _from_parts(part(1), month, day))
+    parts = F.regexp_replace(F.regexp_replace(t, _LOOSE, "$1-$2$4-$3$5"), "-$", "-1")
+    return F.when(t.rlike(_LOOSE), F.try_to_timestamp(parts, F.lit("yyyy-M-d")).cast("date"))
 
 
 def excel_serial(n: Column) -> Column:

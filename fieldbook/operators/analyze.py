@@ -1,13 +1,17 @@
 """All of a project's documents analysed in one pass: fields with their evidence, flags for what is missing, defaults, statistics.
 
-Each document is read once: its lines are turned into candidates (field, key, tier, place, value, quote) by higher-order
-functions, one row explodes into its candidates, and everything after that works on candidates only. A field takes the best
+Each document is read once: it explodes into its lines, each line into its candidates (field, key, tier, place, value, quote), and
+everything after that works on candidates only. A line is searched for a field's pattern only if it holds one of the words without
+which the pattern cannot match. A field takes the best
 candidate of each key, lowest tier first, then document and line; the ledger numbers what was taken, by field and place,
 across all documents of a project. No project's documents meet in one task: best candidates are partial aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +38,6 @@ AGENCIES = (
     "산업통상자원부|과학기술정보통신부|중소벤처기업부|보건복지부|교육부|환경부|해양수산부|농림축산식품부|국토교통부|방위사업청|식품의약품안전처|"
     "한국연구재단|한국산업기술기획평가원|한국산업기술진흥원|정보통신기획평가원"
 )
-#: what a line must hold to say anything: a word of some pattern above
-ANY = f"(?i){TITLE}|{CODE_LABEL}|{AGENCY}|{ORG}|{BUDGET}|{AGENCIES}|{ROLES}|[A-Z]{{2,4}}-\\d{{4}}-|\\d{{4}}\\s*[.\\-/년]|개월|WP|세부|목표|달성치|기준|마일스톤|milestone|M\\d{{1,3}}\\s*(?:평가|점검)|단계"
 _CODE, _MARK, _WP = (ascii_bounds(p) for p in (CODE, MONTH_MARK, WP_LINE))
 SEPARATORS = r"[\s:：·\-–|]*"
 #: fields in the order in which the ledger numbers them, and the most values each keeps
@@ -44,7 +46,7 @@ CANDIDATE = "struct<field:string,key:string,tier:int,rank:int,place:string,value
 QUOTE = 300
 
 
-def _candidate(field: str, tier: int, confidence: str, place: Column, value: Column, quote: Column, key: Column | None = None, rank: Column | None = None) -> Column:
+def _candidate(field: str, tier: int | Column, confidence: str | Column, place: Column, value: Column, quote: Column, key: Column | None = None, rank: Column | None = None) -> Column:
     """rank orders candidates of one tier before their places do."""
     return F.struct(
         F.lit(field).alias("field"), (F.lit("") if key is None else key).alias("key"), F.lit(tier).alias("tier"), (F.lit(0) if rank is None else rank).cast("int").alias("rank"),
@@ -57,69 +59,94 @@ def _after(label: str, line: Column) -> Column:
     return F.trim(F.regexp_extract(line, rf"(?i)(?:{label}){SEPARATORS}(.*)$", 1))
 
 
-def _gated(line: Column, gate: str, condition: Column, candidate: Column) -> Column:
-    """The candidate, or null: most lines hold nothing of most fields, and one cheap pattern tells before the dear ones run."""
-    return F.when(line.rlike(gate), F.when(condition, candidate))
+def _has(line: Column, *words: str) -> Column:
+    """Whether a line holds one of the words; patterns of any case ask its lower-case form."""
+    return reduce(Column.__or__, [F.contains(line, F.lit(w)) for w in words])
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being found once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
+def _gated(line: Column, cheap: Column, gate: str, condition: Column, candidate: Column) -> Column:
+    """The candidate, or null: most lines hold nothing of most fields, and what every match of the gate holds tells before dear patterns run."""
+    return F.when(cheap, F.when(line.rlike(gate), F.when(condition, candidate)))
 
-def _labelled(line: Column, at: Column, tier: int) -> list[Column]:
-    """Candidates of the fields that are a label's value; a label that stands for itself gives none."""
+
+def _labelled(line: Column, low: Column, at: Column, tier: int) -> list[Column]:
+    """Candidates of the fields that are a label's value; a label that stands for itself gives none. low: the line in lower case."""
     some = lambda x, low, high: F.length(x).between(low, high)
     title, agency, org, money = (_after(p, line) for p in (TITLE, AGENCY, ORG, BUDGET))
     code = F.coalesce(F.nullif(F.regexp_extract(_after(CODE_LABEL, line), CODE_VALUE, 1), F.lit("")), F.nullif(F.regexp_extract(line, CODE_VALUE, 1), F.lit("")))
     sum_ = F.regexp_extract(money, BUDGET_VALUE, 1)
     amount = korean_number(F.regexp_replace(sum_, r"\s", ""))
     return [
-        _gated(line, f"(?i){TITLE}", some(title, 4, 200) & ~title.rlike(r"^[\d.\-\s]+$"), _candidate("title", tier, "high", at, title, line)),
-        _gated(line, f"(?i){CODE_LABEL}", code.isNotNull(), _candidate("code", tier, "high", at, code, line)),
-        _gated(line, f"(?i){AGENCY}", some(agency, 2, 60), _candidate("agency", tier, "high", at, agency, line)),
-        _gated(line, f"(?i){ORG}", some(org, 2, 60) & ~org.rlike("기관명|회사명"), _candidate("org", tier, "high", at, org, line)),
-        _gated(line, f"(?i){BUDGET}", amount > 0, _candidate("budget", tier, "medium", at, amount.cast("decimal(20,0)").cast("string"), line)),
+        _gated(line, _has(low, "과제명", "사업명", "프로젝트명", "제목", "title"), f"(?i){TITLE}", some(title, 4, 200) & ~title.rlike(r"^[\d.\-\s]+$"), _candidate("title", tier, "high", at, title, line)),
+        _gated(line, _has(low, "번호", "과제코드", "project"), f"(?i){CODE_LABEL}", code.isNotNull(), _candidate("code", tier, "high", at, code, line)),
+        _gated(line, _has(low, "전문기관", "부처", "발주처", "지원기관", "agency"), f"(?i){AGENCY}", some(agency, 2, 60), _candidate("agency", tier, "high", at, agency, line)),
+        _gated(line, _has(low, "기관", "회사명", "organization", "company"), f"(?i){ORG}", some(org, 2, 60) & ~org.rlike("기관명|회사명"), _candidate("org", tier, "high", at, org, line)),
+        _gated(line, _has(low, "개발비", "사업비", "예산", "budget"), f"(?i){BUDGET}", amount > 0, _candidate("budget", tier, "medium", at, amount.cast("decimal(20,0)").cast("string"), line)),
     ]
 
 
-def _range(line: Column, at: Column, labelled: Column, tier: int, confidence: str) -> Column:
+def _range(line: Column, at: Column, tier: int | Column, confidence: str | Column) -> Column:
     """The date range of a text; of equal tiers the one of most months comes first."""
     a, b = F.regexp_extract(line, RANGE, 1), F.regexp_extract(line, RANGE, 2)
-    start, last = parse_loose(a), parse_loose(b)
+    last = parse_loose(b)
     end = F.when(b.rlike(r"^\d{4}\s*[.\-/년]\s*\d{1,2}\s*월?\.?$"), F.last_day(last)).otherwise(last)
-    value = F.concat_ws("~", start.cast("string"), end.cast("string"))
-    return _gated(line, RANGE, labelled & (end > start), _candidate("period", tier, confidence, at, value, line, rank=-month_span(start, end)))
+
+    def found(x: Column) -> Column:
+        value = F.concat_ws("~", x["start"].cast("string"), x["end"].cast("string"))
+        return F.when(x["end"] > x["start"], _candidate("period", tier, confidence, at, value, line, rank=-month_span(x["start"], x["end"])))
+
+    return _gated(line, line.rlike(r"\d{4}[.\-/년]"), RANGE, F.lit(True), _once(F.struct(parse_loose(a).alias("start"), end.alias("end")), found))
 
 
-def _of_line(line: Column, at: Column) -> Column:
+def _of_line(line: Column, low: Column, at: Column) -> Column:
+    """A line's candidates; low is the line in lower case."""
     part = lambda p, k: F.regexp_extract(line, p, k)
     label = line.rlike(PERIOD)
+    text = lambda c: c.cast("string")
     role = F.regexp_replace(part(rf"({ROLES})", 1), r"\s+", " ")
     # the first Hangul after the role, whatever stands between
     name = part(rf"(?:{ROLES})[^가-힣]*([가-힣]{{2,4}})", 1)
-    wp, sub = part(_WP, 1).try_cast("int"), part(SUBTASK, 1).try_cast("int")
-    wp_name, sub_name = F.left(F.trim(part(_WP, 2)), F.lit(160)), F.left(F.trim(part(SUBTASK, 2)), F.lit(160))
-    months = part(MONTHS, 1).try_cast("int")
+
+    def person(x: Column) -> Column:
+        both = F.concat_ws("|", x, role)
+        return F.when((F.length(x) >= 2) & ~x.isin(NO_NAMES), _candidate("people", 1, "medium", at, both, line, both))
+
+    def package(pattern: str, most: int, tier: int, confidence: str) -> Column:
+        name = F.left(F.trim(part(pattern, 2)), F.lit(160))
+        use = lambda x: F.when(x["n"].between(1, most) & (F.length(x["name"]) >= 2), _candidate("packages", tier, confidence, at, x["name"], line, F.lpad(text(x["n"]), 2, "0")))
+        return _once(F.struct(part(pattern, 1).try_cast("int").alias("n"), name.alias("name")), use)
+
+    months = lambda n: F.when(n.between(1, 120), _candidate("period", 9, "low", at, F.concat(text(n), F.lit(" months")), line))
     goal, kpi = korean_number(part(KPI, 2)), F.left(tx.norm_space(part(KPI, 1)), F.lit(120))
-    word = F.when(line.rlike(MILESTONE), MILESTONE)
-    month = F.when(word.isNotNull(), part(MILESTONE, 1)).otherwise(part(_MARK, 1)).try_cast("int")
-    marked = word.isNotNull() | line.rlike(_MARK)
-    title = F.trim(F.when(word.isNotNull(), part(MILESTONE, 2)).otherwise(part(_MARK, 2)))
-    stone = F.concat(F.lit("M"), month.cast("string"))
+
+    def stone(x: Column) -> Column:
+        key = F.concat(F.lit("M"), text(x["month"]))
+        value = F.concat_ws("|", text(x["month"]), F.coalesce(F.nullif(x["title"], F.lit("")), F.concat(key, F.lit(" 마일스톤"))))
+        return F.when(x["month"].between(1, 120), _candidate("milestones", 1, "medium", at, value, line, key))
+
+    by_word = line.rlike(MILESTONE)
+    marked = lambda k: F.when(by_word, part(MILESTONE, k)).otherwise(part(_MARK, k))
+    mark = F.struct(marked(1).try_cast("int").alias("month"), F.trim(marked(2)).alias("title"))
     stage = F.concat(F.lit("S"), part(STAGE, 1))
-    text = lambda c: c.cast("string")
     found = [
-        *_labelled(line, at, 2),
-        _gated(line, _CODE, F.lit(True), _candidate("code", 3, "medium", at, part(_CODE, 1), line)),
-        _gated(line, AGENCIES, F.lit(True), _candidate("agency", 3, "medium", at, part(f"({AGENCIES})", 1), line)),
-        _range(line, at, label, 1, "high"),
-        _range(line, at, ~label, 3, "medium"),
-        _gated(line, "개월", months.between(1, 120), _candidate("period", 9, "low", at, F.concat(text(months), F.lit(" months")), line)),
-        _gated(line, ROLES, (F.length(name) >= 2) & ~name.isin(NO_NAMES), _candidate("people", 1, "medium", at, F.concat_ws("|", name, role), line, F.concat_ws("|", name, role))),
-        _gated(line, _WP, wp.between(1, 40) & (F.length(wp_name) >= 2), _candidate("packages", 1, "high", at, wp_name, line, F.lpad(text(wp), 2, "0"))),
-        _gated(line, SUBTASK, sub.between(1, 99) & (F.length(sub_name) >= 2), _candidate("packages", 3, "medium", at, sub_name, line, F.lpad(text(sub), 2, "0"))),
-        _gated(line, "목표|달성치|기준", goal.isNotNull() & (F.length(kpi) >= 2), _candidate("kpis", 2, "medium", at, F.concat_ws("|", kpi, part(KPI, 3), text(goal), F.when(kpi.rlike(LOWER_BETTER), "lower").otherwise("higher")), line, F.lower(kpi))),
-        _gated(line, f"{MILESTONE}|{_MARK}", month.between(1, 120), _candidate("milestones", 1, "medium", at, F.concat_ws("|", text(month), F.coalesce(F.nullif(title, F.lit("")), F.concat(stone, F.lit(" 마일스톤")))), line, stone)),
-        _gated(line, STAGE, ~marked, _candidate("milestones", 1, "medium", at, F.concat(F.lit("|"), F.trim(F.concat_ws(" ", F.concat(part(STAGE, 1), F.lit("단계")), part(STAGE, 2), part(STAGE, 3)))), line, stage)),
+        *_labelled(line, low, at, 2),
+        _gated(line, line.rlike(r"[A-Z]-\d{4}-\d{4}"), _CODE, F.lit(True), _candidate("code", 3, "medium", at, part(_CODE, 1), line)),
+        _gated(line, line.rlike("[가-힣]"), AGENCIES, F.lit(True), _candidate("agency", 3, "medium", at, part(f"({AGENCIES})", 1), line)),
+        _range(line, at, F.when(label, 1).otherwise(3), F.when(label, "high").otherwise("medium")),
+        F.when(_has(line, "개월"), _once(part(MONTHS, 1).try_cast("int"), months)),
+        F.when(_has(line, "책임자", "연구원", "PI", "Investigator"), _once(name, person)),
+        _gated(line, _has(low, "wp"), _WP, F.lit(True), package(_WP, 40, 1, "high")),
+        _gated(line, _has(line, "세부"), SUBTASK, F.lit(True), package(SUBTASK, 99, 3, "medium")),
+        F.when(_has(line, "목표", "달성치", "기준"), F.when(goal.isNotNull() & (F.length(kpi) >= 2), _candidate("kpis", 2, "medium", at, F.concat_ws("|", kpi, part(KPI, 3), text(goal), F.when(kpi.rlike(LOWER_BETTER), "lower").otherwise("higher")), line, F.lower(kpi)))),
+        F.when(_has(low, "마일스톤", "milestone", "평가", "점검"), _once(mark, stone)),
+        _gated(line, _has(line, "단계"), STAGE, ~(by_word | line.rlike(_MARK)), _candidate("milestones", 1, "medium", at, F.concat(F.lit("|"), F.trim(F.concat_ws(" ", F.concat(part(STAGE, 1), F.lit("단계")), part(STAGE, 2), part(STAGE, 3)))), line, stage)),
     ]
-    some = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return F.when(line.rlike(ANY), some).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
+    return F.array_compact(F.array(*found))
 
 
 def line_candidates(docs: DataFrame) -> DataFrame:
@@ -127,14 +154,17 @@ def line_candidates(docs: DataFrame) -> DataFrame:
 
     A document's first line of 8 to 120 characters is its title where nothing names one.
     """
-    place = lambda i: F.lpad((i + 1).cast("string"), 9, "0")
     raw = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: tx.norm_space(x))
     lines = docs.select("project", "di", F.filter(F.transform(raw, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"] != "").alias("lines"))
-    each = F.flatten(F.transform("lines", lambda x: _of_line(x["line"], place(x["i"]))))
-    first = F.filter("lines", lambda x: F.length(x["line"]).between(8, 120))
-    guess = F.transform(F.slice(first, 1, 1), lambda x: _candidate("title", 9, "low", place(x["i"]), x["line"], x["line"]))
-    size = F.array(_candidate("#", 0, "", F.lit(""), F.size("lines").cast("string"), F.lit("")))
-    return lines.select("project", "di", F.explode(F.concat(each, guess, size)).alias("x")).select("project", "di", "x.*")
+    # before its lines, each document has a row with the line that may be its title, and their number
+    head = F.transform(F.array(F.try_element_at(F.filter("lines", lambda x: F.length(x["line"]).between(8, 120)), F.lit(1))), lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), F.lit(None).cast("string").alias("low"), F.size("lines").alias("n")))
+    body = F.transform("lines", lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), F.lower(x["line"]).alias("low"), F.lit(None).cast("int").alias("n")))
+    rows = lines.select("project", "di", F.explode(F.concat(head, body)).alias("x")).select("project", "di", "x.line", "x.low", "x.n", F.lpad((F.col("x.i") + 1).cast("string"), 9, "0").alias("place"))
+    line, at = F.col("line"), F.col("place")
+    guess = F.when(line.isNotNull(), _candidate("title", 9, "low", at, line, line))
+    size = _candidate("#", 0, "", F.lit(""), F.col("n").cast("string"), F.lit(""))
+    each = F.when(F.col("n").isNull(), _of_line(line, F.col("low"), at)).otherwise(F.array_compact(F.array(guess, size)))
+    return rows.select("project", "di", F.explode(each).alias("x")).select("project", "di", "x.*")
 
 
 def cell_candidates(cells: DataFrame) -> DataFrame:
@@ -148,8 +178,8 @@ def cell_candidates(cells: DataFrame) -> DataFrame:
     pair = lambda c, k: F.when(F.col(c) != "", F.struct(F.concat_ws(": ", "v", c).alias("line"), F.concat("at", F.lit(k)).alias("at")))
     is_label = F.col("v").rlike(rf"(?i)^\s*(?:{TITLE}|{CODE_LABEL}|{AGENCY}|{ORG}|{BUDGET})\s*$")
     pairs = F.filter(F.array(F.when(is_label, pair("right", "a")), F.when(is_label, pair("below", "b"))), lambda x: x.isNotNull())
-    labelled = F.flatten(F.transform(pairs, lambda x: F.filter(F.array(*_labelled(x["line"], x["at"], 1)), lambda y: y.isNotNull())))
-    ranges = F.filter(F.array(_range(F.col("v"), F.col("at"), F.lit(True), 2, "medium")), lambda x: x.isNotNull())
+    labelled = F.flatten(F.transform(pairs, lambda x: F.filter(F.array(*_labelled(x["line"], F.lower(x["line"]), x["at"], 1)), lambda y: y.isNotNull())))
+    ranges = F.filter(F.array(_range(F.col("v"), F.col("at"), 2, "medium")), lambda x: x.isNotNull())
     single = near.select("project", "di", F.explode(F.concat(labelled, ranges)).alias("x"))
 
     rows = v.groupBy("project", "di", "t", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda x: x["v"]).alias("v"))

@@ -61,3 +61,10 @@ def test_line_items_are_drafted_in_one_scan(spark):
     """What the catalogue knows of them is looked up once before and kept; sprints are not joined."""
     for name in ("draft_redirect", "draft_notes"):
         assert sum("FileScan" in line and "l_shipdate" in line for line in plan(spark, name)) == 1
+
+
+def test_lines_of_documents_are_rows(spark):
+    """A line's candidates are found in a row of its own, behind words that every match holds, not in a lambda over a document's lines."""
+    lines = plan(spark, "analyze_documents")
+    assert sum("Generate explode" in line for line in lines) == 3
+    assert not any("transform(lines" in line and "연구원" in line for line in lines)
