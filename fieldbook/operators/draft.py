@@ -11,12 +11,15 @@ from fieldbook.operators.joins import broadcast_if_small
 
 #: letters of the runs by which names are found in texts
 GRAM = 4
+#: what stands between words
+_BETWEEN = r"[^\p{L}\p{N}]+"
 
 
 def lines_view(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, li, line): normalised non-empty lines with their position."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("li", "raw"))
-    return lines.select("doc_id", "li", tx.norm_space(F.col("raw")).alias("line")).where("line <> ''")
+    # normalised before they are rows, so that no condition does so again
+    lines = F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: tx.norm_space(x))
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("li", "line")).where("line <> ''")
 
 
 def evidence_candidates(lines: DataFrame, most: int = 80, shortest: int = 6, cut: int = 200) -> DataFrame:
@@ -42,12 +45,43 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+def _words(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, word): the words of texts, each once."""
+    return texts.select(id_col, F.explode(F.array_distinct(F.split(text_col, _BETWEEN))).alias("_fb_word"))
+
+
+def _in_words(texts: DataFrame, names: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(word, pos): which names, each a part of one word, the words of texts contain. A word is compared once, in however many texts it stands."""
+    words = _words(texts, text_col, text_col).select("_fb_word").distinct()
+    return _in_texts(words.select("_fb_word", F.col("_fb_word").alias("_fb_w")), names, "_fb_word", "_fb_w", size)
+
+
 def contained(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "text", size: int = GRAM) -> DataFrame:
     """(id, pos): which names (pos, name) each text contains, letter by letter; empty names are in none.
 
+    A name of letters and digits alone can only stand within a word, so it is looked for in the distinct words of all texts; other
+    names are looked for in whole texts. An id must name one text.
+    """
+    whole, plain = _split_names(names)
+    found = _in_texts(texts, whole, id_col, text_col, size)
+    if plain is None:
+        return found
+    return found.unionByName(_words(texts, id_col, text_col).join(_in_words(texts, plain, text_col, size), "_fb_word").select(id_col, "pos").distinct())
+
+
+def _split_names(names: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Names that may reach over several words, and those that cannot, if there are any."""
+    is_plain = F.col("name").rlike(r"^[\p{L}\p{N}]+$")
+    plain = names.where(is_plain)
+    return names.where(~is_plain), plain if plain.head(1) else None
+
+
+def _in_texts(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, pos) of names in whole texts.
+
     Every name is found by one run of ``size`` characters (all of it, if it is shorter), the one that fewest names have. Only
     ids and runs meet in the join, and what shares a run is compared in full, so the work is that of the texts and not
-    texts times names. An id must name one text.
+    texts times names.
     """
     named = names.where("name <> ''").select(F.col("pos").alias("_fb_pos"), F.col("name").alias("_fb_name"), F.least(F.lit(size), F.length("name")).alias("g"))
     sizes = [r.g for r in named.select("g").distinct().collect()]  # at most size numbers
@@ -65,7 +99,12 @@ def contained(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col:
 
 def first_name(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "text", both_ways: bool = False) -> DataFrame:
     """(id, pos): the first name that a text contains, or with both_ways also one that contains the text; texts without are left out."""
-    found = contained(texts, names, id_col, text_col)
+    whole, plain = _split_names(names)
+    found = _in_texts(texts, whole, id_col, text_col, GRAM)
+    if plain is not None:
+        # of a word's names only the first can be a text's first
+        first = _in_words(texts, plain, text_col, GRAM).groupBy("_fb_word").agg(F.min("pos").alias("pos"))
+        found = found.unionByName(_words(texts, id_col, text_col).join(first, "_fb_word").groupBy(id_col).agg(F.min("pos").alias("pos")))
     if both_ways:
         # the two sides change places: texts are looked for in names
         asked = texts.select(F.col(id_col).alias("pos"), F.col(text_col).alias("name"))

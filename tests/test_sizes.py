@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldbook import catalog
 from fieldbook.functions import text as tx
-from fieldbook.operators import draft
+from fieldbook.operators import draft, store
 
 
 def test_citations_of_long_numbers(spark):
@@ -68,3 +68,38 @@ def test_lines_of_documents_are_rows(spark):
     lines = plan(spark, "analyze_documents")
     assert sum("Generate explode" in line for line in lines) == 3
     assert not any("transform(lines" in line and "연구원" in line for line in lines)
+
+
+def test_names_within_words_are_looked_for_in_distinct_words(spark):
+    texts = spark.createDataFrame([("a", "the red ring, redder rings"), ("b", "ring-fence"), ("c", "RING 7x"), ("d", None)], "id string, text string")
+    names = spark.createDataFrame([(1, "ring"), (2, "red ring"), (3, "7x"), (4, "g, r"), (5, "redd")], "pos int, name string")
+    found = draft.contained(texts, names)
+    assert sorted(map(tuple, found.collect())) == [("a", 1), ("a", 2), ("a", 4), ("a", 5), ("b", 1), ("c", 3)]
+    assert sorted(map(tuple, draft.first_name(texts, names).collect())) == [("a", 1), ("b", 1), ("c", 3)]
+    assert "_fb_word" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plans_are_checked_in_their_row(spark):
+    lines = plan(spark, "system_validate")
+    assert not any("Window" in line for line in lines) and not any("posexplode" in line for line in lines)
+
+
+def test_lines_of_keywords_meet_once(spark):
+    assert sum("Exchange hashpartitioning" in line for line in plan(spark, "keyword_top10")) == 2
+
+
+def test_writes_are_sorted_once(spark):
+    assert sum("Sort [" in line for line in plan(spark, "writes_applied")) == 2
+
+
+def test_equal_writes_apply_once(spark):
+    stored = spark.createDataFrame([("a", 3, "x")], "path string, rev long, body string")
+    writes = spark.createDataFrame([("a", 3, "1", "w", "y")] * 3 + [("a", None, None, "w", "z"), ("b", 1, "0", "v", "q")], "path string, base long, at string, writer string, body string")
+    after, tried = store.compare_and_set(stored, writes)
+    assert sorted((r.path, r.base is None, r.applied) for r in tried.collect()) == [("a", False, False)] * 3 + [("a", True, True), ("b", False, False)]
+    assert [tuple(r) for r in store.compare_and_set(stored, writes.where("base = 3"))[0].collect()] == [("a", 4, "y")] and after.count() == 1
+
+
+def test_dates_of_a_range_are_read_once(spark):
+    found = catalog.QUERIES["extract_period"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("gettimestamp(") == 3
