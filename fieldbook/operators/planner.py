@@ -148,7 +148,7 @@ def normalise_kpis(kpis: DataFrame, keys: DataFrame, most: int = 60) -> DataFram
 
 
 def validate_system(projects: DataFrame, sprints: DataFrame, months: DataFrame, milestones: DataFrame, packages: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(project, rule, place): every rule that a project's plan breaks, in one pass over all parts together.
+    """(project, rule, place): every rule that a project's plan breaks; all parts of a plan are brought to one row (see validate_plans).
 
     projects: project, start, end, months. sprints: project, seq, start, end, slot. months: project, seq, start, end. milestones:
     project, id, date. packages: project, num, start, end. metrics: project, key. The rules:
@@ -159,51 +159,61 @@ def validate_system(projects: DataFrame, sprints: DataFrame, months: DataFrame,
     * milestone_outside, package_outside, package_order; metric_key: two metrics with one key.
     """
     none = lambda t: F.lit(None).cast(t)
-
-    def part(df: DataFrame, kind: str, place, start="start", end="end", seq=None, key=None, n=None) -> DataFrame:
-        return df.select("project", F.lit(kind).alias("kind"), place.cast("string").alias("place"), F.col(start).alias("start") if start else none("date").alias("start"), F.col(end).alias("end") if end else none("date").alias("end"), (none("int") if seq is None else F.col(seq).cast("int")).alias("seq"), (none("string") if key is None else F.col(key)).alias("key"), (none("int") if n is None else F.col(n).cast("int")).alias("n"))
-
-    sid = F.concat(F.lit("S"), F.lpad(F.col("seq").cast("string"), 2, "0"))
-    parts = [
-        part(projects, "project", F.lit(""), n="months"), part(sprints, "sprint", sid, seq="seq", key="slot"), part(months, "month", F.concat(F.lit("M"), F.col("seq").cast("string")), seq="seq"),
-        part(milestones, "milestone", F.col("id"), "date", "date"), part(packages, "package", F.concat(F.lit("WP"), F.col("num").cast("string"))), part(metrics, "metric", F.col("key"), None, None, key="key"),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    # one shuffle by project serves all windows and the aggregate
-    whole, line = Window.partitionBy("project"), Window.partitionBy("project", "kind").orderBy("seq", "start", "end")
-    own = lambda c: F.max(F.when(F.col("kind") == "project", F.col(c))).over(whole)
-    nth = lambda c: F.row_number().over(Window.partitionBy("project", "kind", c).orderBy("start", "end", "place"))
-    rows = rows.withColumns({"p0": own("start"), "p1": own("end"), "before": F.lag("end").over(line), "prior": F.lag("place").over(line), "key_nth": nth("key"), "seq_nth": nth("seq")})
-    k = F.col("kind")
-    outside = (F.col("start") < F.col("p0")) | (F.col("end") > F.col("p1"))
-    broken = lambda cond, rule, place=F.col("place"): F.when(cond, F.struct(F.lit(rule).alias("rule"), place.alias("place")))
-    span = month_span(F.col("start"), F.col("end"))
-    each = F.array(
-        broken((k == "project") & F.coalesce(F.col("start") > F.col("end"), F.lit(True)), "period"),
-        broken((k == "project") & ~F.col("n").eqNullSafe(span) & (F.col("start") <= F.col("end")), "months"),
-        broken((k == "sprint") & F.col("before").isNotNull() & (F.date_add("before", 1) != F.col("start")), "gap", F.col("prior")),
-        broken((k == "sprint") & (F.col("start") > F.col("end")), "sprint_order"),
-        broken((k == "sprint") & outside, "sprint_outside"),
-        broken((k == "sprint") & (F.col("key_nth") == 2), "slot", F.col("key")),
-        broken((k == "sprint") & (F.col("seq_nth") == 2), "sprint_id"),
-        broken((k == "milestone") & outside, "milestone_outside"),
-        broken((k == "package") & outside, "package_outside"),
-        broken((k == "package") & (F.col("start") > F.col("end")), "package_order"),
-        broken((k == "metric") & (F.col("key_nth") == 2), "metric_key"),
-    )
-    single = F.filter(each, lambda x: x.isNotNull())
-    count = lambda kind: F.count_if(k == kind)
-    of = lambda kind, c: F.when(k == kind, F.col(c))
-    total = rows.groupBy("project").agg(
-        F.flatten(F.collect_list(single)).alias("single"), count("project").alias("there"), count("sprint").alias("sprints"), count("month").alias("blocks"),
-        F.min_by(F.when(k == "sprint", F.col("start")), of("sprint", "seq")).alias("first"), F.max_by(F.when(k == "sprint", F.col("end")), of("sprint", "seq")).alias("last"),
-        F.max(of("project", "start")).alias("start"), F.max(of("project", "end")).alias("end"),
-    ).where("there > 0")
-    at = F.lit("")
-    sums = F.array(
-        broken(F.col("sprints") == 0, "no_sprint", at), broken(F.col("first") != F.col("start"), "first_day", at), broken(F.col("last") != F.col("end"), "last_day", at),
-        broken(F.col("blocks") != month_span(F.col("start"), F.col("end")), "blocks", at),
+    kinds = {
+        "plan": (projects, "struct<start:date,end:date,months:int>", F.struct(F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"), F.col("months").cast("int").alias("months"))),
+        "sprint": (sprints, "struct<seq:int,start:date,end:date,slot:string>", F.struct(F.col("seq").cast("int").alias("seq"), "start", "end", F.col("slot").cast("string").alias("slot"))),
+        "month": (months, "int", F.lit(1)),
+        "milestone": (milestones, "struct<id:string,date:date>", F.struct(F.col("id").cast("string").alias("id"), "date")),
+        "package": (packages, "struct<num:string,start:date,end:date>", F.struct(F.col("num").cast("string").alias("num"), "start", "end")),
+        "metric": (metrics, "struct<key:string>", F.struct(F.col("key").cast("string").alias("key"))),
+    }
+    rows = None
+    for kind, (df, _, value) in kinds.items():
+        part = df.select("project", *[(value if k == kind else none(t)).cast(t).alias(k) for k, (_, t, _) in kinds.items()])
+        rows = part if rows is None else rows.unionByName(part)
+    lists = {"sprints": "sprint", "milestones": "milestone", "packages": "package", "metrics": "metric"}
+    whole = rows.groupBy("project").agg(F.max("plan").alias("plan"), F.count("month").alias("blocks"), *[F.collect_list(k).alias(c) for c, k in lists.items()]).where("plan is not null")
+    return validate_plans(whole.select("project", "plan.*", "blocks", *lists))
+
+
+def _twice(values: Column) -> Column:
+    """Each value that is there twice or more, once; null is a value."""
+    v = F.sort_array(values)
+    return F.when(F.size(F.array_distinct(v)) < F.size(v), F.array_distinct(F.filter(v, lambda x, i: (i > 0) & x.eqNullSafe(F.get(v, i - 1))))).otherwise(F.array().cast("array<string>"))
+
+
+def validate_plans(plans: DataFrame) -> DataFrame:
+    """(project, rule, place): the rules of validate_system, each plan checked in its own row, without sort or shuffle.
+
+    plans: project, start, end, months, blocks (how many month blocks), and arrays, null if empty: sprints (seq, start, end, slot),
+    milestones (id, date), packages (num as text, start, end), metrics (key).
+    """
+    rule = lambda name, place: F.struct(F.lit(name).alias("rule"), place.alias("place"))
+    broken = lambda cond, name, place: F.when(cond, rule(name, place))
+    those = lambda items, check: F.array_compact(F.flatten(F.transform(items, lambda x, i: F.array(*check(x, i)))))
+    start, end, at = F.col("start"), F.col("end"), F.lit("")
+    outside = lambda a, b: (a < start) | (b > end)
+    sid = lambda seq: F.concat(F.lit("S"), F.lpad(seq.cast("string"), 2, "0"))
+    wp = lambda p: F.concat(F.lit("WP"), p["num"])
+    span = month_span(start, end)
+    numbered = F.filter("s", lambda x: x["seq"].isNotNull())
+    first, last = F.try_element_at(numbered, F.lit(1))["start"], F.try_element_at(numbered, F.lit(-1))["end"]
+
+    def sprint(x: Column, i: Column) -> list[Column]:
+        before = F.get("s", i - 1)
+        return [broken((i > 0) & (F.date_add(before["end"], 1) != x["start"]), "gap", sid(before["seq"])), broken(x["start"] > x["end"], "sprint_order", sid(x["seq"])), broken(outside(x["start"], x["end"]), "sprint_outside", sid(x["seq"]))]
+
+    of_plan = F.array_compact(F.array(
+        broken(F.coalesce(start > end, F.lit(True)), "period", at), broken(~F.col("months").eqNullSafe(span) & (start <= end), "months", at),
+        broken(F.size("s") == 0, "no_sprint", at), broken(first != start, "first_day", at), broken(last != end, "last_day", at), broken(F.col("blocks") != span, "blocks", at),
+    ))
+    twice = lambda c, field, name, place=lambda x: x: F.transform(_twice(F.transform(c, lambda x: x[field].cast("string"))), lambda x: rule(name, place(x)))
+    found = F.concat(
+        of_plan, those("s", sprint), twice("s", "slot", "slot"), twice("s", "seq", "sprint_id", sid),
+        those("milestones", lambda x, i: [broken(outside(x["date"], x["date"]), "milestone_outside", x["id"])]),
+        those("packages", lambda x, i: [broken(outside(x["start"], x["end"]), "package_outside", wp(x)), broken(x["start"] > x["end"], "package_order", wp(x))]),
+        twice("metrics", "key", "metric_key"),
     )
-    return total.select("project", F.explode(F.concat("single", F.filter(sums, lambda x: x.isNotNull()))).alias("x")).select("project", "x.rule", "x.place")
+    empty = {"sprints": "seq:int,start:date,end:date,slot:string", "milestones": "id:string,date:date", "packages": "num:string,start:date,end:date", "metrics": "key:string"}
+    full = plans.select("project", "start", "end", "months", "blocks", *[F.coalesce(c, F.array().cast(f"array<struct<{t}>>")).cast(f"array<struct<{t}>>").alias(c) for c, t in empty.items()])
+    return full.withColumn("s", F.sort_array("sprints")).select("project", F.explode(found).alias("x")).select("project", "x.rule", "x.place")
