@@ -15,6 +15,7 @@ from fieldbook.functions import dates
 from fieldbook.functions import text as tx
 from fieldbook.functions.numbers import to_number
 from fieldbook.operators import gates
+from fieldbook.operators.joins import kept
 
 # Fields of nested structs are in order of name, so that to_json gives one form of equal content.
 ENTRY = "struct<evidence:array<string>,text:string,wp:string>"
@@ -225,7 +226,8 @@ def run_gates(notes: DataFrame, ledger: DataFrame, catalog: DataFrame, mode: Col
     source_type, source_file; catalog: key, unit, target, direction, monotonic; both may have project, which then must be equal.
     A ledger's ids and a catalogue's keys are taken to be unique.
     """
-    own = notes.select(*NOTE).withColumns({"_fb_entries": entries(), "_fb_metrics": metrics(), "_fb_id": _id(), "_fb_key": F.sha2(F.to_json(F.struct(*NOTE)), 256)})
+    # read by each of the look-ups and comparisons below, so what the notes are made of is computed once
+    own = kept(notes.select(*NOTE).withColumns({"_fb_id": _id(), "_fb_key": F.sha2(F.to_json(F.struct(*NOTE)), 256)})).withColumns({"_fb_entries": entries(), "_fb_metrics": metrics()})
     # equal notes name the same things, so they share one row of what is found for them
     names = own.select("_fb_key", "project", "_fb_id", cited().alias("ids"), F.array_distinct(F.transform("_fb_metrics", metric_key)).alias("keys")).distinct()
     at = lambda other: [c for c in ("project",) if c in other.columns]

@@ -103,3 +103,8 @@ def test_equal_writes_apply_once(spark):
 def test_dates_of_a_range_are_read_once(spark):
     found = catalog.QUERIES["extract_period"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert found.count("gettimestamp(") == 3
+
+
+def test_notes_are_made_once_for_all_gates(spark):
+    """The gates read the kept notes; the table of events is scanned for the ledger alone."""
+    assert sum("FileScan" in line for line in plan(spark, "gate_run_notes")) == 1
