@@ -2,7 +2,7 @@
 
 Each document is read once: it explodes into its lines, each line into its candidates (field, key, tier, place, value, quote), and
 everything after that works on candidates only. A line is searched for a field's pattern only if it holds one of the words without
-which the pattern cannot match. A field takes the best
+which the pattern cannot match, and for Korean words only if it has Hangul, which is found once a line. A field takes the best
 candidate of each key, lowest tier first, then document and line; the ledger numbers what was taken, by field and place,
 across all documents of a project. No project's documents meet in one task: best candidates are partial aggregates.
 """
@@ -39,6 +39,8 @@ AGENCIES = (
     "한국연구재단|한국산업기술기획평가원|한국산업기술진흥원|정보통신기획평가원"
 )
 _CODE, _MARK, _WP = (ascii_bounds(p) for p in (CODE, MONTH_MARK, WP_LINE))
+#: Hangul, and a year with the sign behind it that dates and codes have
+HANGUL, DATED = "[가-힣]", r"\d{4}[.\-/년]"
 SEPARATORS = r"[\s:：·\-–|]*"
 #: fields in the order in which the ledger numbers them, and the most values each keeps
 FIELDS = {"title": 1, "code": 1, "agency": 1, "org": 1, "period": 1, "budget": 1, "people": 100, "packages": 40, "kpis": 60, "milestones": 20}
@@ -60,7 +62,7 @@ def _after(label: str, line: Column) -> Column:
 
 
 def _has(line: Column, *words: str) -> Column:
-    """Whether a line holds one of the words; patterns of any case ask its lower-case form."""
+    """Whether a line holds one of the words; patterns of any case ask its lower-case form. Of English words, a part that begins with a rare letter is asked."""
     return reduce(Column.__or__, [F.contains(line, F.lit(w)) for w in words])
 
 
@@ -74,24 +76,33 @@ def _gated(line: Column, cheap: Column, gate: str, condition: Column, candidate:
     return F.when(cheap, F.when(line.rlike(gate), F.when(condition, candidate)))
 
 
-def _labelled(line: Column, low: Column, at: Column, tier: int) -> list[Column]:
-    """Candidates of the fields that are a label's value; a label that stands for itself gives none. low: the line in lower case."""
+def _clean(raw: Column) -> Column:
+    """norm_space of a line, which most lines need no pattern for."""
+    return F.when(_has(raw, "  ", *tx.ODD_SPACES), tx.norm_space(raw)).otherwise(F.trim(raw))
+
+
+def _labelled(line: Column, low: Column, at: Column, tier: int, hangul: Column | None = None) -> list[Column]:
+    """Candidates of the fields that are a label's value; a label that stands for itself gives none. low: the line in lower case.
+
+    hangul: whether the line has any, without which it has no Korean word; None if that is not known.
+    """
+    korean = lambda *words: _has(line, *words) if hangul is None else hangul & _has(line, *words)
     some = lambda x, low, high: F.length(x).between(low, high)
     title, agency, org, money = (_after(p, line) for p in (TITLE, AGENCY, ORG, BUDGET))
     code = F.coalesce(F.nullif(F.regexp_extract(_after(CODE_LABEL, line), CODE_VALUE, 1), F.lit("")), F.nullif(F.regexp_extract(line, CODE_VALUE, 1), F.lit("")))
     sum_ = F.regexp_extract(money, BUDGET_VALUE, 1)
     amount = korean_number(F.regexp_replace(sum_, r"\s", ""))
     return [
-        _gated(line, _has(low, "과제명", "사업명", "프로젝트명", "제목", "title"), f"(?i){TITLE}", some(title, 4, 200) & ~title.rlike(r"^[\d.\-\s]+$"), _candidate("title", tier, "high", at, title, line)),
-        _gated(line, _has(low, "번호", "과제코드", "project"), f"(?i){CODE_LABEL}", code.isNotNull(), _candidate("code", tier, "high", at, code, line)),
-        _gated(line, _has(low, "전문기관", "부처", "발주처", "지원기관", "agency"), f"(?i){AGENCY}", some(agency, 2, 60), _candidate("agency", tier, "high", at, agency, line)),
-        _gated(line, _has(low, "기관", "회사명", "organization", "company"), f"(?i){ORG}", some(org, 2, 60) & ~org.rlike("기관명|회사명"), _candidate("org", tier, "high", at, org, line)),
-        _gated(line, _has(low, "개발비", "사업비", "예산", "budget"), f"(?i){BUDGET}", amount > 0, _candidate("budget", tier, "medium", at, amount.cast("decimal(20,0)").cast("string"), line)),
+        _gated(line, _has(low, "ject") | korean("과제명", "사업명", "프로젝트명", "제목"), f"(?i){TITLE}", some(title, 4, 200) & ~title.rlike(r"^[\d.\-\s]+$"), _candidate("title", tier, "high", at, title, line)),
+        _gated(line, _has(low, "ject") | korean("번호", "과제코드"), f"(?i){CODE_LABEL}", code.isNotNull(), _candidate("code", tier, "high", at, code, line)),
+        _gated(line, _has(low, "gency") | korean("전문기관", "부처", "발주처", "지원기관"), f"(?i){AGENCY}", some(agency, 2, 60), _candidate("agency", tier, "high", at, agency, line)),
+        _gated(line, _has(low, "zation", "mpany") | korean("기관", "회사명"), f"(?i){ORG}", some(org, 2, 60) & ~org.rlike("기관명|회사명"), _candidate("org", tier, "high", at, org, line)),
+        _gated(line, _has(low, "budget") | korean("개발비", "사업비", "예산"), f"(?i){BUDGET}", amount > 0, _candidate("budget", tier, "medium", at, amount.cast("decimal(20,0)").cast("string"), line)),
     ]
 
 
-def _range(line: Column, at: Column, tier: int | Column, confidence: str | Column) -> Column:
-    """The date range of a text; of equal tiers the one of most months comes first."""
+def _range(line: Column, dated: Column, at: Column, tier: int | Column, confidence: str | Column) -> Column:
+    """The date range of a text, if it is dated (see DATED); of equal tiers the one of most months comes first."""
     a, b = F.regexp_extract(line, RANGE, 1), F.regexp_extract(line, RANGE, 2)
     last = parse_loose(b)
     end = F.when(b.rlike(r"^\d{4}\s*[.\-/년]\s*\d{1,2}\s*월?\.?$"), F.last_day(last)).otherwise(last)
@@ -100,11 +111,12 @@ def _range(line: Column, at: Column, tier: int | Column, confidence: str | Colum
         value = F.concat_ws("~", x["start"].cast("string"), x["end"].cast("string"))
         return F.when(x["end"] > x["start"], _candidate("period", tier, confidence, at, value, line, rank=-month_span(x["start"], x["end"])))
 
-    return _gated(line, line.rlike(r"\d{4}[.\-/년]"), RANGE, F.lit(True), _once(F.struct(parse_loose(a).alias("start"), end.alias("end")), found))
+    return _gated(line, dated, RANGE, F.lit(True), _once(F.struct(parse_loose(a).alias("start"), end.alias("end")), found))
 
 
-def _of_line(line: Column, low: Column, at: Column) -> Column:
-    """A line's candidates; low is the line in lower case."""
+def _of_line(line: Column, low: Column, hangul: Column, dated: Column, at: Column) -> Column:
+    """A line's candidates; low is the line in lower case, hangul whether it has any, dated whether it matches DATED."""
+    korean = lambda *words: hangul & _has(line, *words)
     part = lambda p, k: F.regexp_extract(line, p, k)
     label = line.rlike(PERIOD)
     text = lambda c: c.cast("string")
@@ -129,22 +141,24 @@ def _of_line(line: Column, low: Column, at: Column) -> Column:
         value = F.concat_ws("|", text(x["month"]), F.coalesce(F.nullif(x["title"], F.lit("")), F.concat(key, F.lit(" 마일스톤"))))
         return F.when(x["month"].between(1, 120), _candidate("milestones", 1, "medium", at, value, line, key))
 
-    by_word = line.rlike(MILESTONE)
+    by_word = _has(low, "마일스톤", "milestone") & line.rlike(MILESTONE)
     marked = lambda k: F.when(by_word, part(MILESTONE, k)).otherwise(part(_MARK, k))
     mark = F.struct(marked(1).try_cast("int").alias("month"), F.trim(marked(2)).alias("title"))
     stage = F.concat(F.lit("S"), part(STAGE, 1))
     found = [
-        *_labelled(line, low, at, 2),
-        _gated(line, line.rlike(r"[A-Z]-\d{4}-\d{4}"), _CODE, F.lit(True), _candidate("code", 3, "medium", at, part(_CODE, 1), line)),
-        _gated(line, line.rlike("[가-힣]"), AGENCIES, F.lit(True), _candidate("agency", 3, "medium", at, part(f"({AGENCIES})", 1), line)),
-        _range(line, at, F.when(label, 1).otherwise(3), F.when(label, "high").otherwise("medium")),
-        F.when(_has(line, "개월"), _once(part(MONTHS, 1).try_cast("int"), months)),
-        F.when(_has(line, "책임자", "연구원", "PI", "Investigator"), _once(name, person)),
-        _gated(line, _has(low, "wp"), _WP, F.lit(True), package(_WP, 40, 1, "high")),
-        _gated(line, _has(line, "세부"), SUBTASK, F.lit(True), package(SUBTASK, 99, 3, "medium")),
-        F.when(_has(line, "목표", "달성치", "기준"), F.when(goal.isNotNull() & (F.length(kpi) >= 2), _candidate("kpis", 2, "medium", at, F.concat_ws("|", kpi, part(KPI, 3), text(goal), F.when(kpi.rlike(LOWER_BETTER), "lower").otherwise("higher")), line, F.lower(kpi)))),
-        F.when(_has(low, "마일스톤", "milestone", "평가", "점검"), _once(mark, stone)),
-        _gated(line, _has(line, "단계"), STAGE, ~(by_word | line.rlike(_MARK)), _candidate("milestones", 1, "medium", at, F.concat(F.lit("|"), F.trim(F.concat_ws(" ", F.concat(part(STAGE, 1), F.lit("단계")), part(STAGE, 2), part(STAGE, 3)))), line, stage)),
+        *_labelled(line, low, at, 2, hangul),
+        # a code has a year with a sign behind it, as dates have
+        _gated(line, dated & line.rlike(r"[A-Z]-\d{4}-\d{4}"), _CODE, F.lit(True), _candidate("code", 3, "medium", at, part(_CODE, 1), line)),
+        F.when(korean(*AGENCIES.split("|")), _candidate("agency", 3, "medium", at, part(f"({AGENCIES})", 1), line)),
+        _range(line, dated, at, F.when(label, 1).otherwise(3), F.when(label, "high").otherwise("medium")),
+        F.when(korean("개월"), _once(part(MONTHS, 1).try_cast("int"), months)),
+        # names are Hangul, whatever their role is written in
+        F.when(korean("책임자", "연구원", "PI", "Investigator"), _once(name, person)),
+        F.when(_has(low, "wp"), package(_WP, 40, 1, "high")),
+        F.when(korean("세부"), package(SUBTASK, 99, 3, "medium")),
+        F.when(korean("목표", "달성치", "기준"), F.when(goal.isNotNull() & (F.length(kpi) >= 2), _candidate("kpis", 2, "medium", at, F.concat_ws("|", kpi, part(KPI, 3), text(goal), F.when(kpi.rlike(LOWER_BETTER), "lower").otherwise("higher")), line, F.lower(kpi)))),
+        F.when(_has(low, "milestone") | korean("마일스톤", "평가", "점검"), _once(mark, stone)),
+        _gated(line, korean("단계"), STAGE, ~(by_word | line.rlike(_MARK)), _candidate("milestones", 1, "medium", at, F.concat(F.lit("|"), F.trim(F.concat_ws(" ", F.concat(part(STAGE, 1), F.lit("단계")), part(STAGE, 2), part(STAGE, 3)))), line, stage)),
     ]
     return F.array_compact(F.array(*found))
 
@@ -154,16 +168,17 @@ def line_candidates(docs: DataFrame) -> DataFrame:
 
     A document's first line of 8 to 120 characters is its title where nothing names one.
     """
-    raw = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: tx.norm_space(x))
+    raw = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), _clean)
     lines = docs.select("project", "di", F.filter(F.transform(raw, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"] != "").alias("lines"))
     # before its lines, each document has a row with the line that may be its title, and their number
-    head = F.transform(F.array(F.try_element_at(F.filter("lines", lambda x: F.length(x["line"]).between(8, 120)), F.lit(1))), lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), F.lit(None).cast("string").alias("low"), F.size("lines").alias("n")))
-    body = F.transform("lines", lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), F.lower(x["line"]).alias("low"), F.lit(None).cast("int").alias("n")))
-    rows = lines.select("project", "di", F.explode(F.concat(head, body)).alias("x")).select("project", "di", "x.line", "x.low", "x.n", F.lpad((F.col("x.i") + 1).cast("string"), 9, "0").alias("place"))
+    head = F.transform(F.array(F.try_element_at(F.filter("lines", lambda x: F.length(F.left(x["line"], F.lit(121))).between(8, 120)), F.lit(1))), lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), F.size("lines").alias("n")))
+    body = F.transform("lines", lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), F.lit(None).cast("int").alias("n")))
+    rows = lines.select("project", "di", F.explode(F.concat(head, body)).alias("x")).select("project", "di", "x.line", "x.n", F.lpad((F.col("x.i") + 1).cast("string"), 9, "0").alias("place"))
     line, at = F.col("line"), F.col("place")
+    rows = rows.withColumns({"low": F.lower(line), "hangul": line.rlike(HANGUL), "dated": line.rlike(DATED)})
     guess = F.when(line.isNotNull(), _candidate("title", 9, "low", at, line, line))
     size = _candidate("#", 0, "", F.lit(""), F.col("n").cast("string"), F.lit(""))
-    each = F.when(F.col("n").isNull(), _of_line(line, F.col("low"), at)).otherwise(F.array_compact(F.array(guess, size)))
+    each = F.when(F.col("n").isNull(), _of_line(line, F.col("low"), F.col("hangul"), F.col("dated"), at)).otherwise(F.array_compact(F.array(guess, size)))
     return rows.select("project", "di", F.explode(each).alias("x")).select("project", "di", "x.*")
 
 
@@ -179,7 +194,7 @@ def cell_candidates(cells: DataFrame) -> DataFrame:
     is_label = F.col("v").rlike(rf"(?i)^\s*(?:{TITLE}|{CODE_LABEL}|{AGENCY}|{ORG}|{BUDGET})\s*$")
     pairs = F.filter(F.array(F.when(is_label, pair("right", "a")), F.when(is_label, pair("below", "b"))), lambda x: x.isNotNull())
     labelled = F.flatten(F.transform(pairs, lambda x: F.filter(F.array(*_labelled(x["line"], F.lower(x["line"]), x["at"], 1)), lambda y: y.isNotNull())))
-    ranges = F.filter(F.array(_range(F.col("v"), F.col("at"), 2, "medium")), lambda x: x.isNotNull())
+    ranges = F.filter(F.array(_range(F.col("v"), F.col("v").rlike(DATED), F.col("at"), 2, "medium")), lambda x: x.isNotNull())
     single = near.select("project", "di", F.explode(F.concat(labelled, ranges)).alias("x"))
 
     rows = v.groupBy("project", "di", "t", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda x: x["v"]).alias("v"))

@@ -92,6 +92,19 @@ def test_flags_of_what_is_guessed(spark, text, flag):
     assert flag in analysed(spark, [("p", 0, text)])["p"].flags
 
 
+@pytest.mark.parametrize("line,field,value", [
+    ("pRoJecttiTle: An Odd Study", "title", "An Odd Study"), ("연구\u3000제목 - 긴 이름의 연구", "title", "긴 이름의 연구"), ("PROJECT  code AB-2024-001", "code", "AB-2024-001"),
+    ("x ABC-2024-12345", "code", "ABC-2024-12345"), ("FUNDINGAGENCY: Some Office", "agency", "Some Office"), ("the 정보통신기획평가원 pays", "agency", "정보통신기획평가원"), ("oRGANIZATION\tOne", "org", "One"),
+    ("COMPANY: Two", "org", "Two"), ("Total\xa0BUDGET 1,200 원", "budget", "1200"), ("2023.1.5 ~ 2024년 2월", "period", "2023-01-05~2024-02-29"), ("총 6 개월", "period", "6 months"),
+    ("PI: 홍길동", "people", "홍길동|PI"), ("wP-3: Parts", "packages", "Parts"), ("제2세부: 분석과 시험", "packages", "분석과 시험"), ("정확도 목표 92", "kpis", "정확도||92.0|higher"),
+    ("MILEstone M4: End", "milestones", "4|End"), ("M7점검: 중간", "milestones", "7|중간"), ("2 단계 완료: 끝", "milestones", "|2단계 완료 끝"),
+])
+def test_words_of_any_case_and_script_are_found(spark, line, field, value):
+    """What is asked before a pattern runs holds for each of its forms."""
+    found = analyze.line_candidates(spark.createDataFrame([("p", 0, line)], "project string, di int, text string")).where("tier < 9 or field <> 'title'").collect()
+    assert value in {r.value for r in found if r.field == field}
+
+
 def test_one_scan_of_the_documents(spark, tmp_path):
     spark.createDataFrame([("p", 0, "과제명: 하나의 과제")], "project string, di int, text string").write.parquet(f"{tmp_path}/d")
     out = analyze.analyse(spark.read.parquet(f"{tmp_path}/d"))

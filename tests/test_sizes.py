@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldbook import catalog
 from fieldbook.functions import text as tx
-from fieldbook.operators import draft, store
+from fieldbook.operators import analyze, draft, joins, store
 
 
 def test_citations_of_long_numbers(spark):
@@ -108,3 +108,24 @@ def test_dates_of_a_range_are_read_once(spark):
 def test_notes_are_made_once_for_all_gates(spark):
     """The gates read the kept notes; the table of events is scanned for the ledger alone."""
     assert sum("FileScan" in line for line in plan(spark, "gate_run_notes")) == 1
+
+
+def test_lines_are_searched_for_hangul_and_years_once(spark):
+    """Every Korean pattern asks a column of the line, and names of agencies are looked for as words, not by a pattern over each line."""
+    lines = plan(spark, "analyze_documents")
+    found = next(line for line in lines if "Generate explode" in line and "연구원" in line)
+    assert ", [가-힣])" not in found and r", \d{4}[.\-/년])" not in found and ", 산업통상자원부|" not in found
+    assert sum(", [가-힣])" in line and r", \d{4}[.\-/년])" in line for line in lines) == 1
+
+
+def test_a_small_analysis_is_stored_in_few_parts(spark):
+    """Six tables read it: with one part for each of the shuffle's, their tasks would grow with the shuffle and not with the projects."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        lines = plan(spark, "system_generate")
+        assert not any("InMemory" in line for line in lines)
+        docs = spark.createDataFrame([(f"p{i}", 0, "과제명: 하나의 과제") for i in range(100)], "project string, di int, text string")
+        assert joins.kept(analyze.analyse(docs)).rdd.getNumPartitions() < 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
