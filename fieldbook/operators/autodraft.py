@@ -71,7 +71,17 @@ def draft(entries: DataFrame, catalog: DataFrame, found: tuple[DataFrame, DataFr
     white space, metrics by key, value and date. catalog: pos, key, name, unit. Equal names and bodies are looked up once; found is
     what look_up gave for these entries or for more.
     """
-    by_name, in_text = map(broadcast_if_small, found or look_up(entries, catalog))
+    return _first(_drafted(entries, found or look_up(entries, catalog))).select(ROW)
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """The first of what a note's draft counts as the same."""
+    return first_wins(rows, ["project", "note_id", "section", "same"], ["n"])
+
+
+def _drafted(entries: DataFrame, found: tuple[DataFrame, DataFrame], *more: str) -> DataFrame:
+    """ROW, same and more (columns that all entries of a note share) for everything that a draft takes or passes over, equal rows too."""
+    by_name, in_text = map(broadcast_if_small, found)
     field = lambda k: F.trim(F.get("fields", F.lit(k)))
     off = F.coalesce((F.col("day") < F.col("start")) | (F.col("day") > F.col("end")), F.lit(False))
     e = _read(entries).withColumn("off", off)
@@ -87,7 +97,7 @@ def draft(entries: DataFrame, catalog: DataFrame, found: tuple[DataFrame, DataFr
     said = F.when(is_row & (F.coalesce(field(4), F.lit("")) != ""), field(4)).when(date.isNotNull(), F.concat(F.lit("Measured "), date)).otherwise("")
     value, key = F.when(is_row, F.col("number")).otherwise(F.col("v")), F.when(is_row, F.col("ckey")).otherwise(F.col("tkey"))
     none = lambda t: F.lit(None).cast(t)
-    found = F.struct(
+    measured = F.struct(
         F.lit("metrics").alias("section"), F.concat_ws("|", key, value.cast("string"), F.coalesce(date, F.lit(""))).alias("same"), F.concat_ws("|", key, value.cast("string"), said).alias("key"),
         none("string").alias("text"), key.alias("metric_key"), value.alias("value"), F.when(is_row, F.col("cunit")).otherwise(F.col("tunit")).alias("unit"), said.alias("condition"),
     )
@@ -96,34 +106,38 @@ def draft(entries: DataFrame, catalog: DataFrame, found: tuple[DataFrame, DataFr
     work = F.struct(F.lit("work").alias("section"), F.concat("stamp", F.lit("|"), F.regexp_replace("body", r"\s+", "")).alias("same"), merge_key(line).alias("key"), line.alias("text"), *rest)
     passed = lambda why: F.struct(F.lit(why).alias("section"), F.concat("id", F.lit(" "), F.col("n").cast("string")).alias("same"), none("string").alias("key"), none("string").alias("text"), *rest)
     text = F.when(F.col("off"), passed("off_period")).when(is_row, F.lit(None)).when(~is_sentence, passed("non_sentence")).when(tx.forbidden_rule(F.col("body")).isNotNull(), passed("forbidden")).otherwise(work)
-    each = wide.select("project", "note_id", "n", F.col("id").alias("evidence"), F.explode(F.filter(F.array(F.when(key.isNotNull(), found), text), lambda x: x.isNotNull())).alias("x"))
-    each = each.select("project", "note_id", "n", "evidence", "x.*")
-    return first_wins(each, ["project", "note_id", "section", "same"], ["n"]).select(ROW)
+    each = wide.select("project", "note_id", "n", F.col("id").alias("evidence"), *more, F.explode(F.filter(F.array(F.when(key.isNotNull(), measured), text), lambda x: x.isNotNull())).alias("x"))
+    return each.select("project", "note_id", "n", "evidence", *more, "x.*")
 
 
 def add_rows(rows: DataFrame, drafted: DataFrame) -> DataFrame:
     """The drafted rows that their notes lack, one of each key: adding them a second time adds nothing."""
     at = ["project", "note_id", "section", "key"]
-    return first_wins(drafted.select(ROW), at, ["n", "evidence"]).join(rows.select(at), at, "left_anti").select(ROW)
+    there = broadcast_if_small(rows.select(at).distinct())
+    return first_wins(drafted, at, ["n", "evidence"]).join(there, at, "left_anti").select(drafted.columns)
 
 
-def redirect(entries: DataFrame, notes: DataFrame, sprints: DataFrame, rows: DataFrame, catalog: DataFrame) -> DataFrame:
+def redirect(entries: DataFrame, notes: DataFrame, sprints: DataFrame, rows: DataFrame, catalog: DataFrame, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Rows to add (ROW, and created) for entries dated outside their note's period, in the notes of the sprints they belong to.
 
     A sprint's note is the last revision in its slot; sealed notes take nothing, and where there is none one is
     created, which created says. Records whose date lies in no sprint of the project are left out. Rows that the target notes have already
     (rows: project, note_id, section, key) are not added again, so a second run adds nothing. notes: project, note_id,
-    revision, state; sprints: project, seq, start, end, of equal length but the last.
+    revision, state; sprints: project, seq, start, end, of equal length but the last; found: see draft.
+
+    Entries meet their project alone, with its slots as one map, and stay where they have met it: whatever comes after goes by project too.
     """
     day = entry_date(F.col("content"))
     off = entries.withColumn("day", day).where("day is not null and (day < start or day > end)").drop("note_id", "start", "end")
     step = F.max(F.datediff("end", "start") + 1)
     grid = sprints.groupBy("project").agg(F.min("start").alias("zero"), step.alias("step"), F.max("end").alias("last"))
+    held = notes.where("note_id is not null").groupBy("project", F.left("note_id", F.lit(SLOT)).alias("slot")).agg(F.max(F.struct("revision", "state", "note_id")).alias("x"))
+    held = held.groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("held"))
     # a record's sprint, and so its slot, is arithmetic: sprints are never joined
     start = F.date_add("zero", F.floor(F.datediff("day", "zero") / F.col("step")).cast("int") * F.col("step"))
-    placed = off.join(grid, "project").where("day between zero and last").withColumn("start", start).withColumn("end", F.least(F.date_add("start", F.col("step") - 1), F.col("last")))
-    held = notes.groupBy("project", F.left("note_id", F.lit(SLOT)).alias("slot")).agg(F.max(F.struct("revision", "state", "note_id")).alias("x"))
-    moved = placed.withColumn("slot", note_id(F.col("start"), F.col("end"), F.lit(0))).join(held, ["project", "slot"], "left").where("x is null or x.state <> 'sealed'").withColumn("note_id", F.coalesce("x.note_id", "slot"))
-    drafted = draft(moved.select("project", "note_id", "start", "end", "n", "id", "kind", "content"), catalog, look_up(entries, catalog))
-    there = held.select("project", "x.note_id", F.lit(False).alias("_fb_new"))
-    return add_rows(rows, drafted.where("key is not null")).join(there, ["project", "note_id"], "left").select(*ROW, F.coalesce("_fb_new", F.lit(True)).alias("created"))
+    placed = off.join(grid.join(held, "project", "left"), "project").where("day between zero and last").withColumn("start", start).withColumn("end", F.least(F.date_add("start", F.col("step") - 1), F.col("last")))
+    slot = note_id(F.col("start"), F.col("end"), F.lit(0))
+    moved = placed.withColumn("slot", slot).withColumn("x", F.try_element_at("held", F.col("slot"))).where("x is null or x.state <> 'sealed'")
+    moved = moved.withColumns({"note_id": F.coalesce("x.note_id", "slot"), "created": F.col("x").isNull()})
+    drafted = _drafted(moved.select("project", "note_id", "start", "end", "n", "id", "kind", "content", "created"), found or look_up(entries, catalog), "created")
+    return add_rows(rows, _first(drafted.where("key is not null")).select(*ROW, "created"))

@@ -14,15 +14,20 @@ from fieldbook.plans.queries import _LEDGER, _NOTES, _PACKAGES, _PROJECTS, _SPRI
 _SLOT = "'RN-' || strftime({0}start, '%Y%m%d') || '-' || strftime({0}\"end\", '%Y%m%d')"
 
 
+def _in_slots(rows: DataFrame, projects: DataFrame) -> DataFrame:
+    """rows (project, row_id, day) with the sprint of their day in the project's own grid, its start and end, and the note of its slot; every fourth is a revision."""
+    period = projects.select("project", F.col("start").alias("p0"), F.col("end").alias("p1"))
+    o = rows.join(period, "project").withColumn("sprint", planner.assign_sprint(F.col("day"), F.col("p0")))
+    start = F.expr("date_add(p0, 14 * (sprint - 1))")
+    o = o.withColumns({"start": start, "end": F.least(F.date_add(start, 13), F.col("p1")), "revision": (F.col("row_id") % 4 == 0).cast("int")})
+    return o.withColumn("note_id", seal.note_id(F.col("start"), F.col("end"), F.col("revision")))
+
+
 def _slot_notes(spark: SparkSession, sf: str) -> DataFrame:
     """A note an order in the project's own sprint of its date; every fourth is a revision."""
     orders = m.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("project"), F.to_date("o_orderdate").alias("day"), "o_orderstatus")
-    period = _projects(spark, sf).select("project", F.col("start").alias("p0"), F.col("end").alias("p1"))
-    o = orders.join(period, "project").withColumn("sprint", planner.assign_sprint(F.col("day"), F.col("p0")))
-    start = F.expr("date_add(p0, 14 * (sprint - 1))")
-    o = o.withColumns({"start": start, "end": F.least(F.date_add(start, 13), F.col("p1")), "revision": (F.col("row_id") % 4 == 0).cast("int")})
     state = F.when(F.col("o_orderstatus") == "F", "sealed").when(F.col("o_orderstatus") == "O", "draft").otherwise("awaiting_sign")
-    return o.select("project", "row_id", "sprint", "start", "end", "revision", seal.note_id(F.col("start"), F.col("end"), F.col("revision")).alias("note_id"), state.alias("state"))
+    return _in_slots(orders, _projects(spark, sf)).select("project", "row_id", "sprint", "start", "end", "revision", "note_id", state.alias("state"))
 
 
 _STATE = "CASE o_orderstatus WHEN 'F' THEN 'sealed' WHEN 'O' THEN 'draft' ELSE 'awaiting_sign' END"

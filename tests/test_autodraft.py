@@ -90,3 +90,16 @@ def test_redirected_rows_go_to_their_sprints_once(spark, catalog):
     held = spark.createDataFrame([(r.project, r.note_id, r.section, r.key) for r in first], rows.schema)
     made = spark.createDataFrame([("p", n, 0, "draft") for n in ("RN-20260412-20260425", "RN-20260426-20260429")], notes.schema)
     assert autodraft.redirect(e, notes.union(made), sprints, held, catalog).count() == 0
+
+
+def test_redirect_takes_what_was_looked_up_and_passes_over_notes_without_id(spark, catalog):
+    start = date(2026, 3, 1)
+    sprints = planner.sprint_grid(spark.createDataFrame([("p", start, start + timedelta(days=59)), ("q", start, start)], "project string, start date, end date"))
+    notes = spark.createDataFrame([("p", None, 3, "sealed"), ("p", "RN-20260315-20260328", 0, None), ("p", "RN-20260329-20260411", 0, "draft")], "project string, note_id string, revision int, state string")
+    e = entries(spark, ["2026-03-20 — 상태가 없는 노트에 시험하였다.", "2026-04-01,공정 수율,90,%,표준", "2026-04-01,공정 수율,90,%,표준", "2026-04-15 — 아직 없는 노트에 시험하였다.", "2026-04-15 — 아직 없는 노트에 시험하였다"])
+    rows = spark.createDataFrame([], "project string, note_id string, section string, key string")
+    more = autodraft.look_up(e.union(entries(spark, ["2026-04-02,불량,3,건,x"])), catalog)
+    for found in (None, more):
+        out = autodraft.redirect(e, notes, sprints, rows, catalog, found)
+        assert out.columns == [*autodraft.ROW, "created"]
+        assert {(r.note_id, r.section, r.n, r.created) for r in out.collect()} == {("RN-20260329-20260411", "metrics", 2, False), ("RN-20260412-20260425", "work", 4, True)}

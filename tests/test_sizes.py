@@ -63,6 +63,14 @@ def test_line_items_are_drafted_in_one_scan(spark):
         assert sum("FileScan" in line and "l_shipdate" in line for line in plan(spark, name)) == 1
 
 
+def test_texts_of_line_items_do_not_move(spark):
+    """An item moves to its part, its order and its project before its texts are made; whatever is drafted from them stays where it is."""
+    for name in ("draft_redirect", "draft_notes"):
+        lines = plan(spark, name)
+        top = next(k for k, line in enumerate(lines) if "Generate explode" in line)
+        assert not any("Exchange" in line for line in lines[:top])
+
+
 def test_lines_of_documents_are_rows(spark):
     """A line's candidates are found in a row of its own, behind words that every match holds, not in a lambda over a document's lines."""
     lines = plan(spark, "analyze_documents")
