@@ -127,17 +127,20 @@ def redirect(entries: DataFrame, notes: DataFrame, sprints: DataFrame, rows: Dat
 
     Entries meet their project alone, with its slots as one map, and stay where they have met it: whatever comes after goes by project too.
     """
-    day = entry_date(F.col("content"))
-    off = entries.withColumn("day", day).where("day is not null and (day < start or day > end)").drop("note_id", "start", "end")
     step = F.max(F.datediff("end", "start") + 1)
     grid = sprints.groupBy("project").agg(F.min("start").alias("zero"), step.alias("step"), F.max("end").alias("last"))
     held = notes.where("note_id is not null").groupBy("project", F.left("note_id", F.lit(SLOT)).alias("slot")).agg(F.max(F.struct("revision", "state", "note_id")).alias("x"))
     held = held.groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("held"))
+    # day and slot are exploded from one element: as columns they would be made anew in every condition and below every join
+    off = F.filter(F.array(entry_date(F.col("content"))), lambda d: ((d < F.col("start")) | (d > F.col("end"))) & d.between(F.col("zero"), F.col("last")))
+    entry = ["project", "n", "id", "kind", "content", "held"]
+    placed = entries.join(grid.join(held, "project", "left"), "project").select(*entry, "zero", "step", "last", F.explode(off).alias("day"))
     # a record's sprint, and so its slot, is arithmetic: sprints are never joined
     start = F.date_add("zero", F.floor(F.datediff("day", "zero") / F.col("step")).cast("int") * F.col("step"))
-    placed = off.join(grid.join(held, "project", "left"), "project").where("day between zero and last").withColumn("start", start).withColumn("end", F.least(F.date_add("start", F.col("step") - 1), F.col("last")))
-    slot = note_id(F.col("start"), F.col("end"), F.lit(0))
-    moved = placed.withColumn("slot", slot).withColumn("x", F.try_element_at("held", F.col("slot"))).where("x is null or x.state <> 'sealed'")
+    end = F.least(F.date_add(start, F.col("step") - 1), F.col("last"))
+    slot = F.struct(start.alias("start"), end.alias("end"), note_id(start, end, F.lit(0)).alias("slot"))
+    moved = placed.select(*entry, F.explode(F.array(slot)).alias("at")).select(*entry, "at.*")
+    moved = moved.withColumn("x", F.try_element_at("held", F.col("slot"))).where("x is null or x.state <> 'sealed'")
     moved = moved.withColumns({"note_id": F.coalesce("x.note_id", "slot"), "created": F.col("x").isNull()})
     drafted = _drafted(moved.select("project", "note_id", "start", "end", "n", "id", "kind", "content", "created"), found or look_up(entries, catalog), "created")
     return add_rows(rows, _first(drafted.where("key is not null")).select(*ROW, "created"))
